@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import archive_name, basename, col_or_lit, slug
 from ..schema import BUNDLES, MEMBERS
+from ..session import work_dir
 from .inventory import DEFAULT_EXCLUDE, exclude_paths
 from .scan import running_sum
 
 DEFAULT_PART_BYTES = 64 * 1024 * 1024
-MAX_CELL = 2**31 - 1
 
 
 def bundle_plan(objects: DataFrame, owner_col: str = "owner", key_col: str = "key",
@@ -28,84 +28,147 @@ def bundle_plan(objects: DataFrame, owner_col: str = "owner", key_col: str = "ke
     return r.withColumn("part", part.cast("bigint")).drop("_cum")
 
 
-def _packer(owner_col, key_col, content_col, name_col, mtime_col, max_part_bytes):
-    def pack(batches):
+# Rows out of the packer: finished archives (kind "A") and loose members of the parts that may
+# straddle a block boundary (kind "M"), merged afterwards.
+_PACKED = ("owner string, part bigint, name string, kind string, archive binary, n_files bigint, "
+           "bytes bigint, key string, content binary, mtime bigint")
+
+
+def _tar_factory():
+    def tar_bytes(name, members):
         import gzip
         import io
         import tarfile
 
+        buf = io.BytesIO()
+        with gzip.GzipFile(fileobj=buf, mode="wb", mtime=0) as gz:
+            with tarfile.open(fileobj=gz, mode="w", format=tarfile.PAX_FORMAT) as tar:
+                for key, body, mtime in members:
+                    info = tarfile.TarInfo(name=f"{name}/{key}")
+                    info.size = len(body)
+                    info.mtime = int(mtime or 0)
+                    info.mode = 0o644
+                    tar.addfile(info, io.BytesIO(body))
+        return buf.getvalue()
+
+    return tar_bytes
+
+
+def _packer(blocks: dict, max_part_bytes: int):
+    tar_bytes = _tar_factory()
+
+    def pack(batches):
         import pandas as pd
         from pyspark import TaskContext
 
         blk = TaskContext.get().partitionId()
-        out_rows = []
-        state = {"owner": object(), "members": [], "bytes": 0, "idx": 0, "name": None}
+        first_owner, last_owner, offset, from_prev, to_next = blocks.get(blk, (None, None, 0, False, False))
+        out = []
+        st = {"owner": None, "part": None, "name": None, "members": [], "bytes": 0, "cum": 0,
+              "first": True, "seen": False}
 
-        def flush():
-            if not state["members"]:
+        def flush(last: bool):
+            if not st["members"]:
                 return
-            buf = io.BytesIO()
-            with gzip.GzipFile(fileobj=buf, mode="wb", mtime=0) as gz:
-                with tarfile.open(fileobj=gz, mode="w", format=tarfile.PAX_FORMAT) as tar:
-                    for key, body, mtime in state["members"]:
-                        info = tarfile.TarInfo(name=f"{state['name']}/{key}")
-                        info.size = len(body)
-                        info.mtime = mtime
-                        info.mode = 0o644
-                        tar.addfile(info, io.BytesIO(body))
-            out_rows.append((state["owner"], (blk << 32) + state["idx"], state["name"], buf.getvalue(),
-                             len(state["members"]), state["bytes"]))
-            state["members"], state["bytes"] = [], 0
+            loose = (st["first"] and from_prev) or (last and to_next)
+            if loose:
+                for key, body, mtime in st["members"]:
+                    out.append((st["owner"], st["part"], st["name"], "M", None, None, None, key, body, mtime))
+            else:
+                out.append((st["owner"], st["part"], st["name"], "A", tar_bytes(st["name"], st["members"]),
+                            len(st["members"]), st["bytes"], None, None, None))
+            st["members"], st["bytes"], st["first"] = [], 0, False
 
         def drain():
-            if out_rows:
-                df = pd.DataFrame(out_rows, columns=["owner", "part", "name", "archive", "n_files", "bytes"])
-                out_rows.clear()
-                return df
-            return None
+            df = pd.DataFrame(out, columns=["owner", "part", "name", "kind", "archive", "n_files", "bytes",
+                                            "key", "content", "mtime"])
+            out.clear()
+            return df
 
         for pdf in batches:
-            owners = pdf[owner_col].tolist()
-            keys = pdf[key_col].tolist()
-            bodies = pdf[content_col].tolist()
-            names = pdf[name_col].tolist()
-            mtimes = pdf[mtime_col].tolist() if mtime_col else [0] * len(pdf)
-            for owner, key, body, name, mtime in zip(owners, keys, bodies, names, mtimes):
-                body = bytes(body)
-                if owner != state["owner"]:
-                    flush()
-                    state.update(owner=owner, idx=0, name=name)
-                elif state["members"] and state["bytes"] + len(body) > max_part_bytes:
-                    flush()
-                    state["idx"] += 1
-                state["members"].append((key, body, int(mtime or 0)))
-                state["bytes"] += len(body)
-            df = drain()
-            if df is not None:
-                yield df
-        flush()
-        df = drain()
-        if df is not None:
-            yield df
+            cols = [pdf[c].tolist() for c in ("owner", "key", "content", "_name", "_mtime", "_len")]
+            for owner, key, body, name, mtime, length in zip(*cols):
+                if not st["seen"]:
+                    st["seen"] = True
+                    if owner != first_owner:
+                        raise RuntimeError("block summary does not match the block's rows; retry the job")
+                if owner != st["owner"]:
+                    flush(False)
+                    st.update(owner=owner, name=name, part=None,
+                              cum=offset if (owner == first_owner and from_prev) else 0)
+                part = st["cum"] // max_part_bytes
+                if part != st["part"]:
+                    flush(False)
+                    st["part"] = part
+                st["members"].append((key, bytes(body), mtime))
+                st["bytes"] += int(length)
+                st["cum"] += int(length)
+            if len(out) >= 64:
+                yield drain()
+        if st["seen"] and st["owner"] != last_owner:
+            raise RuntimeError("block summary does not match the block's rows; retry the job")
+        flush(True)
+        if out:
+            yield drain()
 
     return pack
 
 
+def _merger():
+    tar_bytes = _tar_factory()
+
+    def merge(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("key", kind="stable")
+        members = [(k, bytes(b), m) for k, b, m in zip(pdf["key"], pdf["content"], pdf["mtime"])]
+        name = pdf["name"].iloc[0]
+        return pd.DataFrame([(pdf["owner"].iloc[0], int(pdf["part"].iloc[0]), name, tar_bytes(name, members),
+                              len(members), int(sum(len(b) for _, b, _ in members)))],
+                            columns=["owner", "part", "name", "archive", "n_files", "bytes"])
+
+    return merge
+
+
+def _block_plan(ranged: DataFrame) -> dict:
+    """Per range block: its first and last owner, the bytes of the first owner in earlier blocks,
+    and whether the first/last owner continues from/into a neighbour. One row per block: bounded by
+    the number of partitions, whatever the data size."""
+    per = (ranged.select(F.spark_partition_id().alias("_blk"), "owner", "_len")
+           .groupBy("_blk", "owner").agg(F.sum("_len").alias("b")))
+    summ = per.groupBy("_blk").agg(F.min_by(F.struct("owner", "b"), F.col("owner")).alias("f"),
+                                   F.max_by(F.struct("owner", "b"), F.col("owner")).alias("l"))
+    rows = sorted((r._blk, r.f.owner, int(r.f.b), r.l.owner, int(r.l.b)) for r in summ.collect())
+    plan, carry_owner, carry = {}, None, 0
+    for i, (blk, fo, fb, lo, lb) in enumerate(rows):
+        from_prev = fo == carry_owner
+        offset = carry if from_prev else 0
+        to_next = i + 1 < len(rows) and rows[i + 1][1] == lo
+        plan[blk] = (fo, lo, offset, from_prev, to_next)
+        carry = offset + fb if fo == lo else lb
+        carry_owner = lo
+    return plan
+
+
 def pack_archives(objects: DataFrame, owner_col: str = "owner", *, key_col: str = "key",
                   content_col: str = "content", folder=None, path_col: str | None = None,
                   max_part_bytes: int = DEFAULT_PART_BYTES,
                   exclude: Sequence[str] = DEFAULT_EXCLUDE, partitions: int | None = None) -> DataFrame:
-    """Bundle every owner's files into ``tar.gz`` archives of at most ``max_part_bytes`` of members
-    (a single larger file gets an archive of its own).
+    """Bundle every owner's files into ``tar.gz`` archives: ``(owner, part, name, archive, n_files,
+    bytes)``. ``part`` is the :func:`bundle_plan` part of the files (bytes before the file, in key
+    order, div ``max_part_bytes``), so an archive holds less than ``max_part_bytes`` plus one file.
 
-    Members sit under a root directory named like the archive, ``<folder>_<slug>.tar.gz``, and are
-    stored sorted, with mode 644 and gzip mtime 0, so a bundle is reproducible. Junk path components
-    (``exclude``) are left out, and so are links and rows without content.
+    Members sit under a root directory named like the archive, ``<folder>_<slug>.tar.gz``, sorted,
+    mode 644, gzip mtime 0: a bundle is reproducible. Junk path components (``exclude``), links and
+    rows without content are left out.
 
-    One shuffle: rows are range-partitioned on (owner, key) and each task streams its sorted rows,
-    cutting an archive whenever the next file would overflow the bound, so memory holds at most one
-    archive and an owner with a third of all bytes is spread over many tasks. ``part`` increases
-    with key order within an owner (it is not dense).
+    Plan: the rows are range-partitioned on (owner, key), the only shuffle of the bodies, so an owner
+    with a third of all bytes spans many tasks. A summary of one row per block gives each block the
+    running byte count its first owner starts from; each task then streams its sorted rows and
+    writes every part that lies inside the block as one archive (memory: one part). Only the first
+    and last part of a block can straddle a boundary; their members are merged by a small grouped
+    step. The packed rows are checkpointed to the session's checkpoint folder, which also cuts the
+    lineage before the merge.
     """
     df = exclude_paths(objects, key_col, exclude, "component")
     df = df.where(F.col(content_col).isNotNull())
@@ -115,20 +178,22 @@ def pack_archives(objects: DataFrame, owner_col: str = "owner", *, key_col: str
         fold = basename(F.col(path_col))
     else:
         fold = col_or_lit(folder if folder is not None else "materials")
-    df = df.withColumn("_name", archive_name(fold, slug(F.coalesce(F.col(owner_col).cast("string"), F.lit("")))))
-    mtime_col = None
-    if "modified" in df.columns:
-        df = df.withColumn("_mtime", F.coalesce(F.unix_seconds(F.col("modified").cast("timestamp")), F.lit(0)))
-        mtime_col = "_mtime"
-    keep = [owner_col, key_col, content_col, "_name"] + ([mtime_col] if mtime_col else [])
-    n = partitions or int(objects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.select(*keep).repartitionByRange(n, owner_col, key_col)
-              .sortWithinPartitions(owner_col, key_col))
-    schema = BUNDLES
-    if dict(df.dtypes)[owner_col] != "string":
-        ranged = ranged.withColumn(owner_col, F.col(owner_col).cast("string"))
-    return ranged.mapInPandas(_packer(owner_col, key_col, content_col, "_name", mtime_col,
-                                      int(max_part_bytes)), schema)
+    owner = F.coalesce(F.col(owner_col).cast("string"), F.lit(""))
+    mtime = (F.coalesce(F.unix_seconds(F.col("modified").cast("timestamp")), F.lit(0))
+             if "modified" in df.columns else F.lit(0)).cast("bigint")
+    df = df.select(owner.alias("owner"), F.col(key_col).alias("key"), F.col(content_col).alias("content"),
+                   archive_name(fold, slug(owner)).alias("_name"), mtime.alias("_mtime"),
+                   F.octet_length(content_col).cast("bigint").alias("_len"))
+    spark = objects.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, "owner", "key").sortWithinPartitions("owner", "key")
+    blocks = _block_plan(ranged)
+    work_dir(spark)  # make sure a checkpoint folder is set
+    packed = ranged.mapInPandas(_packer(blocks, int(max_part_bytes)), _PACKED).checkpoint(eager=True)
+    whole = packed.where(F.col("kind") == "A").select(*BUNDLES.fieldNames())
+    merged = (packed.where(F.col("kind") == "M").select("owner", "part", "name", "key", "content", "mtime")
+              .groupBy("owner", "part").applyInPandas(_merger(), BUNDLES))
+    return whole.unionByName(merged)
 
 
 def _unpacker(archive_col, names, strip_root, batch_rows=256):

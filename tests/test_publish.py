@@ -1,0 +1,66 @@
+import datetime as dt
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from courier.operators import SizeLimitExceeded
+from courier.operators.ledger import MissingObjects
+from courier.plans import copy_objects, publish
+from courier.session import local_path, work_dir
+from courier.sources import object_inventory
+
+SCHEMA = "prefix string, owner string, folder string, key string, length bigint, ts timestamp_ntz, delivery_id bigint"
+
+
+def _rows(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_replace_mode_last_write_wins_and_leaves_other_keys(spark):
+    t = dt.datetime(2024, 1, 1)
+    target = work_dir(spark, "test_replace")
+    publish(_rows(spark, [("b", "u", "m", "b/m_u.tar.gz", 1, t, 1), ("b", "u", "n", "b/n_u.tar.gz", 2, t, 2),
+                          ("", "u", "m", "m_u.tar.gz", 3, t, 3)]), target, mode="replace")
+    cur = publish(_rows(spark, [("b", "u", "m", "b/m_u.tar.gz", 10, t, 4)]), target, mode="replace")
+    got = {r.key: r.delivery_id for r in cur.collect()}
+    assert got == {"b/m_u.tar.gz": 4, "b/n_u.tar.gz": 2, "m_u.tar.gz": 3}
+    assert os.path.isdir(os.path.join(local_path(target), "_p_prefix=__root__"))
+
+
+def test_ledger_mode_keeps_versions(spark):
+    t = dt.datetime(2024, 1, 1)
+    target = work_dir(spark, "test_ledger")
+    publish(_rows(spark, [("b", "u", "m", "k", 1, t, 1)]), target)
+    cur = publish(_rows(spark, [("b", "u", "m", "k", 2, t - dt.timedelta(hours=1), 2)]), target)
+    assert [r.delivery_id for r in cur.collect()] == [1]
+    assert spark.read.parquet(target).count() == 2
+
+
+def test_size_guard_prevents_write(spark):
+    t = dt.datetime(2024, 1, 1)
+    target = work_dir(spark, "test_guard")
+    with pytest.raises(SizeLimitExceeded):
+        publish(_rows(spark, [("b", "u", "m", "k", 3 * 1024 * 1024, t, 1)]), target, max_size_mb=1)
+    assert not os.path.exists(local_path(target))
+
+
+def test_copy_objects_body_unchanged(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "modello.gguf").write_bytes(b"y" * 32)
+    inv = object_inventory(spark, str(src), content=True).withColumn("owner", F.lit("mario.rossi"))
+    target = work_dir(spark, "test_copy")
+    out = copy_objects(inv, target, prefix="corso", bucket="b").collect()
+    assert [(r.key, r.uri, r.length) for r in out] == [("corso/modello_mario_rossi.gguf", "s3://b/corso/modello_mario_rossi.gguf", 32)]
+    with open(os.path.join(local_path(target), "corso/modello_mario_rossi.gguf"), "rb") as f:
+        assert f.read() == b"y" * 32
+    requested = spark.createDataFrame([("modello.gguf",), ("sub",)], "key string")
+    with pytest.raises(MissingObjects):
+        copy_objects(inv, target, prefix="corso", requested=requested)
+
+
+def test_write_failure_raises(spark):
+    df = spark.createDataFrame([("a", b"x")], "key string, content binary").withColumn("owner", F.lit(""))
+    with pytest.raises(Exception):
+        copy_objects(df, work_dir(spark, "test_fail"), prefix="", key="../escape")

@@ -1,0 +1,35 @@
+from pyspark.sql import functions as F
+
+from courier.operators import latest_delivery
+from courier.session import work_dir
+from courier.sources.tables import deliveries_from_events, table
+from courier.streaming import observed_transfer, read_ledger, stream_delivery_ledger
+
+from conftest import SF01
+
+
+def test_stream_equals_batch_with_late_data(spark):
+    ev = table(spark, SF01, "events")
+    base = work_dir(spark, "test_stream")
+    landing = f"{base}/landing"
+    # newest week lands first, so older writes arrive late in later micro-batches
+    weeks = ev.withColumn("wk", F.weekofyear("ts")).select("wk").distinct().orderBy(F.desc("wk")).collect()
+    for i, w in enumerate(weeks):
+        ev.where(F.weekofyear("ts") == w.wk).coalesce(1).write.parquet(f"{landing}/b{i:02d}")
+    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(landing))
+    q = stream_delivery_ledger(deliveries_from_events(stream), f"{base}/sink", f"{base}/cp")
+    q.awaitTermination()
+    assert q.exception() is None
+    assert len(q.recentProgress) >= 3
+    got = read_ledger(spark, f"{base}/sink").select("key", "delivery_id")
+    want = latest_delivery(deliveries_from_events(ev)).select("key", "delivery_id")
+    assert got.count() == want.count() == 750
+    assert got.exceptAll(want).count() == 0
+
+
+def test_observed_transfer(spark):
+    inv = spark.createDataFrame([("a", 5), ("b", 7)], "key string, length bigint")
+    out, obs = observed_transfer(inv)
+    out.write.format("noop").mode("overwrite").save()
+    assert obs.get == {"bytes": 12, "files": 2}
