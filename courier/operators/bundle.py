@@ -1,6 +1,5 @@
 """Bundling: plan bounded archives per owner, pack them (tar.gz) and unpack them again."""
 
-from __future__ import annotations
 
 from collections.abc import Sequence
 
@@ -59,17 +58,15 @@ def _packer(blocks: dict, max_part_bytes: int):
 
     def pack(batches):
         import pandas as pd
-        from pyspark import TaskContext
 
-        blk = TaskContext.get().partitionId()
-        first_owner, last_owner, offset, from_prev, to_next = blocks.get(blk, (None, None, 0, False, False))
         out = []
-        st = {"owner": None, "part": None, "name": None, "members": [], "bytes": 0, "cum": 0,
-              "first": True, "seen": False}
+        st = {"blk": None, "owner": None, "part": None, "name": None, "members": [], "bytes": 0, "cum": 0,
+              "first": True, "info": None}
 
         def flush(last: bool):
             if not st["members"]:
                 return
+            _, _, _, from_prev, to_next = st["info"]
             loose = (st["first"] and from_prev) or (last and to_next)
             if loose:
                 for key, body, mtime in st["members"]:
@@ -79,6 +76,12 @@ def _packer(blocks: dict, max_part_bytes: int):
                             len(st["members"]), st["bytes"], None, None, None))
             st["members"], st["bytes"], st["first"] = [], 0, False
 
+        def end_block():
+            if st["blk"] is not None:
+                if st["owner"] != st["info"][1]:
+                    raise RuntimeError("block summary does not match the block's rows")
+                flush(True)
+
         def drain():
             df = pd.DataFrame(out, columns=["owner", "part", "name", "kind", "archive", "n_files", "bytes",
                                             "key", "content", "mtime"])
@@ -86,12 +89,14 @@ def _packer(blocks: dict, max_part_bytes: int):
             return df
 
         for pdf in batches:
-            cols = [pdf[c].tolist() for c in ("owner", "key", "content", "_name", "_mtime", "_len")]
-            for owner, key, body, name, mtime, length in zip(*cols):
-                if not st["seen"]:
-                    st["seen"] = True
-                    if owner != first_owner:
-                        raise RuntimeError("block summary does not match the block's rows; retry the job")
+            cols = [pdf[c].tolist() for c in ("_blk", "owner", "key", "content", "_name", "_mtime", "_len")]
+            for blk, owner, key, body, name, mtime, length in zip(*cols):
+                if blk != st["blk"]:
+                    end_block()
+                    st.update(blk=blk, owner=None, part=None, first=True, info=blocks[blk])
+                    if owner != st["info"][0]:
+                        raise RuntimeError("block summary does not match the block's rows")
+                first_owner, _, offset, from_prev, _ = st["info"]
                 if owner != st["owner"]:
                     flush(False)
                     st.update(owner=owner, name=name, part=None,
@@ -105,9 +110,7 @@ def _packer(blocks: dict, max_part_bytes: int):
                 st["cum"] += int(length)
             if len(out) >= 64:
                 yield drain()
-        if st["seen"] and st["owner"] != last_owner:
-            raise RuntimeError("block summary does not match the block's rows; retry the job")
-        flush(True)
+        end_block()
         if out:
             yield drain()
 
@@ -130,12 +133,47 @@ def _merger():
     return merge
 
 
-def _block_plan(ranged: DataFrame) -> dict:
-    """Per range block: its first and last owner, the bytes of the first owner in earlier blocks,
-    and whether the first/last owner continues from/into a neighbour. One row per block: bounded by
-    the number of partitions, whatever the data size."""
-    per = (ranged.select(F.spark_partition_id().alias("_blk"), "owner", "_len")
-           .groupBy("_blk", "owner").agg(F.sum("_len").alias("b")))
+SAMPLES_PER_BLOCK = 64
+MAX_SAMPLES = 1_000_000
+
+
+def _block_bounds(narrow: DataFrame, n_blocks: int) -> list:
+    """Split points of (owner, key) into about ``n_blocks`` ranges of equal row count, from a seeded
+    sample (the same input always gives the same points). The sample is bounded: at most
+    ``MAX_SAMPLES`` rows reach the driver whatever the data size."""
+    total = narrow.count()
+    if total == 0 or n_blocks <= 1:
+        return []
+    want = min(MAX_SAMPLES, SAMPLES_PER_BLOCK * n_blocks)
+    frac = min(1.0, want / total)
+    rows = narrow.select("owner", "key").sample(False, frac, seed=17).collect()
+    pts = sorted((r.owner.encode("utf-8"), r.key.encode("utf-8")) for r in rows)
+    if not pts:
+        return []
+    step = len(pts) / n_blocks
+    bounds = sorted({pts[int(i * step)] for i in range(1, n_blocks) if int(i * step) < len(pts)})
+    return bounds
+
+
+def _block_of(bounds: list):
+    """Block id = number of split points <= (owner, key), in binary (UTF-8) order like Spark's."""
+    import pandas as pd
+
+    @F.pandas_udf("int")
+    def blk(owner: pd.Series, key: pd.Series) -> pd.Series:
+        import bisect
+
+        return pd.Series([bisect.bisect_right(bounds, (o.encode("utf-8"), k.encode("utf-8")))
+                          for o, k in zip(owner, key)], dtype="int32")
+
+    return blk
+
+
+def _block_plan(narrow: DataFrame) -> dict:
+    """Per block: its first and last owner, the bytes of the first owner in earlier blocks, and
+    whether the first/last owner continues from/into a neighbour. One row per block reaches the
+    driver: bounded by the number of blocks, whatever the data size."""
+    per = narrow.groupBy("_blk", "owner").agg(F.sum("_len").alias("b"))
     summ = per.groupBy("_blk").agg(F.min_by(F.struct("owner", "b"), F.col("owner")).alias("f"),
                                    F.max_by(F.struct("owner", "b"), F.col("owner")).alias("l"))
     rows = sorted((r._blk, r.f.owner, int(r.f.b), r.l.owner, int(r.l.b)) for r in summ.collect())
@@ -162,13 +200,14 @@ def pack_archives(objects: DataFrame, owner_col: str = "owner", *, key_col: str
     mode 644, gzip mtime 0: a bundle is reproducible. Junk path components (``exclude``), links and
     rows without content are left out.
 
-    Plan: the rows are range-partitioned on (owner, key), the only shuffle of the bodies, so an owner
-    with a third of all bytes spans many tasks. A summary of one row per block gives each block the
-    running byte count its first owner starts from; each task then streams its sorted rows and
-    writes every part that lies inside the block as one archive (memory: one part). Only the first
-    and last part of a block can straddle a boundary; their members are merged by a small grouped
-    step. The packed rows are checkpointed to the session's checkpoint folder, which also cuts the
-    lineage before the merge.
+    Plan. Rows are cut into key-range blocks of about equal row count (split points from a seeded,
+    bounded sample), so an owner with a third of all files spans many blocks. A summary of one row
+    per block gives each block the running byte count its first owner starts from. Then the only
+    shuffle of the bodies sends each block to one task, which streams its rows in (owner, key) order
+    and writes every part that lies inside the block as one archive (memory: one part). Only the
+    first and last part of a block can straddle a boundary; their members are merged by a small
+    grouped step. The packed rows are checkpointed into the session's checkpoint folder, which also
+    cuts the lineage before the merge.
     """
     df = exclude_paths(objects, key_col, exclude, "component")
     df = df.where(F.col(content_col).isNotNull())
@@ -186,10 +225,13 @@ def pack_archives(objects: DataFrame, owner_col: str = "owner", *, key_col: str
                    F.octet_length(content_col).cast("bigint").alias("_len"))
     spark = objects.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, "owner", "key").sortWithinPartitions("owner", "key")
-    blocks = _block_plan(ranged)
+    bounds = _block_bounds(df.select("owner", "key"), n)
+    blk = _block_of(bounds)
+    blocks = _block_plan(df.select("owner", "_len", blk("owner", "key").alias("_blk")))
     work_dir(spark)  # make sure a checkpoint folder is set
-    packed = ranged.mapInPandas(_packer(blocks, int(max_part_bytes)), _PACKED).checkpoint(eager=True)
+    rows = (df.withColumn("_blk", blk("owner", "key")).repartition(n, "_blk")
+            .sortWithinPartitions("_blk", "owner", "key"))
+    packed = rows.mapInPandas(_packer(blocks, int(max_part_bytes)), _PACKED).checkpoint(eager=True)
     whole = packed.where(F.col("kind") == "A").select(*BUNDLES.fieldNames())
     merged = (packed.where(F.col("kind") == "M").select("owner", "part", "name", "key", "content", "mtime")
               .groupBy("owner", "part").applyInPandas(_merger(), BUNDLES))

@@ -1,22 +1,24 @@
 """``courier_objects``: write one object (file) per row, under ``<path>/<key>``.
 
-A Python Data Source writer: each task stages its rows in its own attempt folder, the driver's
-``commit`` moves them into place (a later write of a key replaces it) and ``abort`` drops the
-stage. A failed job therefore leaves no half-written object under a key. Keys must be relative and
-must not climb out of the target (``..``).
+A Python Data Source writer. Each task writes each of its objects to a temporary name beside the
+target and renames it into place, so every object appears whole or not at all and a later write of
+a key replaces it (the per-object semantics of an object store). Only counts travel back to the
+driver: nothing per object passes through it. A retried or speculative task rewrites the same
+bytes under the same key, which is harmless. Keys must be relative and must not climb out of the
+target (``..``).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 
 @dataclass
-class _Staged(WriterCommitMessage):
-    stage: str
-    keys: list = field(default_factory=list)
+class _Written(WriterCommitMessage):
+    objects: int
+    bytes: int
 
 
 def safe_key(key: str) -> bool:
@@ -42,14 +44,12 @@ class ObjectsDataSource(DataSource):
 
 class ObjectsWriter(DataSourceWriter):
     def __init__(self, options: dict):
-        import uuid
-
         from ..session import local_path
 
         self.root = local_path(options["path"]).rstrip("/")
-        self.job = uuid.uuid4().hex
         self.key_col = options.get("key_col", "key")
         self.content_col = options.get("content_col", "content")
+        self.totals = (0, 0)
 
     def write(self, iterator):
         import os
@@ -57,39 +57,34 @@ class ObjectsWriter(DataSourceWriter):
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
-        stage = os.path.join(self.root, "_staging", self.job, f"{ctx.partitionId()}-{ctx.attemptNumber()}")
-        os.makedirs(stage, exist_ok=True)
-        keys = []
+        tag = f".tmp-{ctx.stageId()}-{ctx.partitionId()}-{ctx.attemptNumber()}"
+        made, n, nbytes = set(), 0, 0
         for row in iterator:
             key = row[self.key_col]
             if not safe_key(key):
                 raise ValueError(f"unsafe object key: {key!r}")
             body = row[self.content_col]
-            dest = os.path.join(stage, key)
-            os.makedirs(os.path.dirname(dest), exist_ok=True)
-            with open(dest, "wb") as f:
-                f.write(bytes(body) if body is not None else b"")
-            keys.append(key)
-        return _Staged(stage, keys)
+            body = bytes(body) if body is not None else b""
+            dest = os.path.join(self.root, key)
+            parent = os.path.dirname(dest)
+            if parent not in made:
+                os.makedirs(parent, exist_ok=True)
+                made.add(parent)
+            tmp = dest + tag
+            with open(tmp, "wb") as f:
+                f.write(body)
+            os.replace(tmp, dest)
+            n += 1
+            nbytes += len(body)
+        return _Written(n, nbytes)
 
     def commit(self, messages):
-        import os
-        import shutil
-
-        for m in messages:
-            if m is None:
-                continue
-            for key in m.keys:
-                dest = os.path.join(self.root, key)
-                os.makedirs(os.path.dirname(dest), exist_ok=True)
-                os.replace(os.path.join(m.stage, key), dest)
-        shutil.rmtree(os.path.join(self.root, "_staging", self.job), ignore_errors=True)
+        self.totals = (sum(m.objects for m in messages if m), sum(m.bytes for m in messages if m))
 
     def abort(self, messages):
-        import os
-        import shutil
-
-        shutil.rmtree(os.path.join(self.root, "_staging", self.job), ignore_errors=True)
+        # objects already renamed into place are complete; temporary names of failed attempts are
+        # left with a ``.tmp-`` suffix and are never read as objects
+        pass
 
 
 _registered: set[int] = set()
