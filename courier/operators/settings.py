@@ -43,8 +43,8 @@ def layered_settings(layers: DataFrame, defaults=None, *, scope_col: str = "scop
     * ``effective``: the first non-blank value of any layer, else the default.
     * ``source``: the layer that gave ``resolved`` (NULL = default).
 
-    One grouped aggregate (``min_by`` with FILTER), pre-aggregated on the map side. Defaults are the
-    fixed settings catalogue (bounded, checked), so they are broadcast.
+    One grouped aggregate (``min_by`` over the counting rows), pre-aggregated on the map side. The
+    default catalogue (a mapping) becomes a map literal; a DataFrame of defaults is joined.
     """
     v, lay = F.col(value_col), F.col(layer_col)
     counts = v.isNotNull() & ((v != "") | ~lay.isin(*skip_blank_layers)) if skip_blank_layers else v.isNotNull()
@@ -56,13 +56,14 @@ def layered_settings(layers: DataFrame, defaults=None, *, scope_col: str = "scop
     if defaults is None:
         defaults = DEFAULTS
     if isinstance(defaults, Mapping):
+        # the catalogue is a fixed, small mapping: a map literal looked up per row, no join at all
         if len(defaults) > MAX_DEFAULTS:
-            raise ValueError("the settings catalogue is too large to broadcast")
-        ddf = layers.sparkSession.createDataFrame(list(defaults.items()), "_dname string, _default string")
-        ddf = F.broadcast(ddf)
+            raise ValueError("the settings catalogue is too large for a map literal")
+        lookup_map = F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv])
+        out = agg.withColumn("_default", F.try_element_at(lookup_map, F.col(name_col)))
     else:
         ddf = defaults.toDF("_dname", "_default")
-    out = agg.join(ddf, agg[name_col] == ddf["_dname"], "left")
+        out = agg.join(ddf, agg[name_col] == ddf["_dname"], "left")
     return out.select(scope_col, name_col,
                       F.coalesce("_resolved", "_default").alias("resolved"),
                       F.coalesce("_effective", "_default").alias("effective"),

@@ -63,3 +63,13 @@ def test_endpoint_inventory_broker_list(spark):
     df = spark.createDataFrame([("a:1,b,c:9093,d:",), ("b:9092",)], "servers string")
     got = sorted((r.host, r.port, r.n) for r in endpoint_inventory(df, "servers").collect())
     assert got == [("a", 1, 1), ("b", 9092, 2), ("c", 9093, 1), ("d", 9092, 1)]
+
+
+def test_unknown_setting_has_no_default_and_no_join(spark):
+    df = spark.createDataFrame([("s", "custom", None, 0), ("s", "custom2", "v", 1)],
+                               "scope string, name string, value string, layer int")
+    res = layered_settings(df)
+    got = {r.name: (r.resolved, r.effective) for r in res.collect()}
+    assert got == {"custom": (None, None), "custom2": ("v", "v")}
+    plan = res._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Join" not in plan
