@@ -75,22 +75,28 @@ def object_preview(df: DataFrame, col: str, size: int = 1000, decode: bool = Tru
 
 def tree_stats(inv: DataFrame, group_cols: Sequence[str] = (), *, key_col: str = "key",
                length_col: str = "length", names: Sequence[str] = DEFAULT_EXCLUDE,
-               mode: str = "directory") -> DataFrame:
+               mode: str = "directory", rollup: bool = False) -> DataFrame:
     """Total bytes and number of regular files per group (partial + final hash aggregate).
 
     Links are not counted. With no group columns a missing or empty tree gives one row (0, 0).
+    ``rollup=True`` adds the subtotals of every prefix of ``group_cols`` and the grand total (NULL
+    in the rolled-up columns), e.g. per (prefix, owner), per prefix, and overall.
     """
     df = exclude_paths(inv, key_col, names, mode)
     if "is_link" in inv.columns:
         df = df.where(~F.coalesce(F.col("is_link"), F.lit(False)))
     agg = [F.coalesce(F.sum(length_col), F.lit(0)).cast("bigint").alias("total_bytes"),
            F.count(F.lit(1)).alias("n_files")]
-    return df.groupBy(*group_cols).agg(*agg)
+    grouped = df.rollup(*group_cols) if rollup and group_cols else df.groupBy(*group_cols)
+    return grouped.agg(*agg)
 
 
-def size_report(df: DataFrame, group_cols: Sequence[str], length_col: str = "length") -> DataFrame:
-    """``total_bytes``, ``n_files`` and the human-readable ``human`` per group."""
-    agg = (df.groupBy(*group_cols)
+def size_report(df: DataFrame, group_cols: Sequence[str], length_col: str = "length", *,
+                rollup: bool = False) -> DataFrame:
+    """``total_bytes``, ``n_files`` and the human-readable ``human`` per group (``rollup=True`` adds
+    subtotals and the grand total)."""
+    grouped = df.rollup(*group_cols) if rollup and group_cols else df.groupBy(*group_cols)
+    agg = (grouped
            .agg(F.coalesce(F.sum(length_col), F.lit(0)).cast("bigint").alias("total_bytes"),
                 F.count(F.lit(1)).alias("n_files")))
     return agg.withColumn("human", human_bytes("total_bytes"))

@@ -1,0 +1,29 @@
+from pyspark.sql import functions as F
+
+from courier.operators import pack_archives, size_report, tree_stats
+from courier.plans import restore
+from courier.sources.tables import documents_inventory
+
+from conftest import SF001
+
+
+def test_restore_current_bundle_of_each_owner(spark):
+    inv = documents_inventory(spark, SF001, content=True)
+    bundles = (pack_archives(inv, "owner", max_part_bytes=4096)
+               .withColumn("key", F.concat(F.lit("b/"), F.col("name"))))
+    owners = spark.createDataFrame([("src0",), ("src1",), ("nobody",)], "owner string")
+    members, missing = restore(bundles, owners, prefix="b")
+    got = members.select("owner", F.col("path").alias("key"), "content")
+    want = inv.where(F.col("owner").isin("src0", "src1")).select("owner", "key", "content")
+    assert got.count() == want.count() > 0
+    assert got.exceptAll(want).count() == 0
+    assert [r.owner for r in missing.collect()] == ["nobody"]
+
+
+def test_rollup_totals(spark):
+    df = spark.createDataFrame([("p", "a", "x/1", 5), ("p", "b", "x/2", 7), ("q", "a", "y/1", 1)],
+                               "prefix string, owner string, key string, length bigint")
+    got = {(r.prefix, r.owner): (r.total_bytes, r.n_files) for r in tree_stats(df, ["prefix", "owner"], rollup=True).collect()}
+    assert got[("p", None)] == (12, 2) and got[(None, None)] == (13, 3) and got[("q", "a")] == (1, 1)
+    rep = {(r.prefix,): r.human for r in size_report(df, ["prefix"], rollup=True).collect()}
+    assert rep == {("p",): "12 B", ("q",): "1 B", (None,): "13 B"}
