@@ -134,6 +134,9 @@ def _merger():
 
 
 SAMPLES_PER_BLOCK = 64
+# More blocks than tasks: blocks are hashed to tasks, and several small blocks per task even out the
+# load; the price is at most two boundary parts per block to merge.
+BLOCKS_PER_TASK = 4
 MAX_SAMPLES = 1_000_000
 
 
@@ -225,7 +228,7 @@ def pack_archives(objects: DataFrame, owner_col: str = "owner", *, key_col: str
                    F.octet_length(content_col).cast("bigint").alias("_len"))
     spark = objects.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = _block_bounds(df.select("owner", "key"), n)
+    bounds = _block_bounds(df.select("owner", "key"), BLOCKS_PER_TASK * n)
     blk = _block_of(bounds)
     blocks = _block_plan(df.select("owner", "_len", blk("owner", "key").alias("_blk")))
     work_dir(spark)  # make sure a checkpoint folder is set

@@ -2,15 +2,16 @@
 
 Spark's own file listing (``binaryFile``) hides names that start with ``.`` or ``_`` and follows
 symbolic links; an inventory of a home folder must keep ``.bashrc`` and ``__init__.py`` and must
-not count links. The driver lists only the root's first level and spreads its sub-directories over
-``partitions`` tasks; each task walks its sub-trees on the executor (links are reported with
-``is_link`` and never descended). Options:
+not count links. The driver splits the tree breadth-first within a bounded budget of directory
+entries and spreads the pieces over ``partitions`` tasks; each task lists its pieces on the
+executor (links are reported with ``is_link`` and never descended). Options:
 
 * ``path`` – root folder (every executor must see it: a shared mount);
 * ``content`` – ``true`` to read bodies (``max_bytes`` caps each body, ``-1`` = whole file);
 * ``prefix`` – only keys that start with it (directories that cannot match are not walked);
 * ``prune`` – comma-separated directory names not to descend (the size-up rule);
-* ``partitions`` – number of tasks (default: ``spark.default.parallelism``-like 8).
+* ``partitions`` – number of tasks;
+* ``plan_entries`` – how many directory entries the driver may read to split the tree.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ SCHEMA = "key string, length bigint, is_link boolean, modified timestamp_ntz, co
 
 
 class _Shard(InputPartition):
-    def __init__(self, index: int, tops: list[str], root_files: bool):
+    def __init__(self, index: int, flat: list[str], deep: list[str]):
         super().__init__(index)
-        self.tops = tops
-        self.root_files = root_files
+        self.flat = flat  # directories whose own files this task lists
+        self.deep = deep  # directories this task walks completely
 
 
 class TreeDataSource(DataSource):
@@ -47,6 +48,10 @@ def _could_match(rel: str, prefix: str) -> bool:
     return d.startswith(prefix) or prefix.startswith(d)
 
 
+def _join(rel: str, name: str) -> str:
+    return f"{rel}/{name}" if rel else name
+
+
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict):
         from ..session import local_path
@@ -60,35 +65,51 @@ class TreeReader(DataSourceReader):
         self.prefix = options.get("prefix", "")
         self.prune = tuple(p for p in options.get("prune", "").split(",") if p)
         self.n = max(1, int(options.get("partitions", "8")))
+        self.plan_entries = int(options.get("plan_entries", str(max(2048, 256 * self.n))))
 
     def partitions(self):
+        """Split the tree breadth-first on the driver until there are enough pieces: expanded
+        directories become "own files only" items, the frontier becomes "whole sub-tree" items. The
+        driver reads at most ``plan_entries`` directory entries, so planning stays bounded while one
+        huge sub-directory still spreads over many tasks."""
         import os
-        import zlib
+        from collections import deque
 
         if not os.path.isdir(self.root):
-            return [_Shard(0, [], False)]
-        tops = []
-        try:
-            with os.scandir(self.root) as it:
-                for e in it:
-                    if e.is_dir(follow_symlinks=False) and e.name not in self.prune \
-                            and _could_match(e.name, self.prefix):
-                        tops.append(e.name)
-        except OSError:
-            pass
-        buckets = [[] for _ in range(self.n)]
-        for t in sorted(tops):
-            buckets[zlib.crc32(t.encode("utf-8", "surrogateescape")) % self.n].append(t)
-        return [_Shard(i, b, i == 0) for i, b in enumerate(buckets)]
+            return [_Shard(0, [], [])]
+        flat, deep = [], []
+        queue, seen = deque([""]), 0
+        while queue:
+            rel = queue.popleft()
+            if rel and (seen >= self.plan_entries or len(flat) + len(deep) + len(queue) >= 16 * self.n):
+                deep.append(rel)
+                continue
+            flat.append(rel)
+            try:
+                with os.scandir(os.path.join(self.root, rel)) as it:
+                    for e in it:
+                        seen += 1
+                        child = _join(rel, e.name)
+                        if e.is_dir(follow_symlinks=False) and e.name not in self.prune \
+                                and _could_match(child, self.prefix):
+                            queue.append(child)
+            except OSError:
+                continue
+        shards = [([], []) for _ in range(self.n)]
+        for i, rel in enumerate(sorted(flat)):
+            shards[i % self.n][0].append(rel)
+        for i, rel in enumerate(sorted(deep)):
+            shards[(i + len(flat)) % self.n][1].append(rel)
+        return [_Shard(i, f, d) for i, (f, d) in enumerate(shards) if f or d] or [_Shard(0, [], [])]
 
     def _row(self, full: str, rel: str):
         import datetime as dt
         import os
+        import stat as st_
 
         st = os.lstat(full)
-        import stat as _st
-        link = _st.S_ISLNK(st.st_mode)
-        if not link and not _st.S_ISREG(st.st_mode):
+        link = st_.S_ISLNK(st.st_mode)
+        if not link and not st_.S_ISREG(st.st_mode):
             return None
         body = None
         if self.content and not link:
@@ -97,45 +118,40 @@ class TreeReader(DataSourceReader):
         mod = dt.datetime.fromtimestamp(st.st_mtime, dt.timezone.utc).replace(tzinfo=None)
         return (rel, int(st.st_size), link, mod, body)
 
-    def read(self, partition: _Shard):
+    def _files_of(self, rel: str):
+        """Files (and links, also links to directories) directly inside ``rel``."""
         import os
 
-        root = self.root
-        if partition.root_files and os.path.isdir(root):
+        try:
+            with os.scandir(os.path.join(self.root, rel)) as it:
+                entries = sorted(it, key=lambda e: e.name)
+        except OSError:
+            return
+        for e in entries:
+            if e.is_dir(follow_symlinks=False):
+                continue
+            key = _join(rel, e.name)
+            if not key.startswith(self.prefix):
+                continue
             try:
-                with os.scandir(root) as it:
-                    entries = sorted(it, key=lambda e: e.name)
+                r = self._row(e.path, key)
             except OSError:
-                entries = []
-            for e in entries:
-                if e.is_dir(follow_symlinks=False) or not e.name.startswith(self.prefix):
-                    continue
-                try:
-                    r = self._row(e.path, e.name)
-                except OSError:
-                    continue
-                if r is not None:
-                    yield r
-        for top in partition.tops:
-            for cur, dirs, files in os.walk(os.path.join(root, top), followlinks=False):
-                rel_dir = os.path.relpath(cur, root)
+                continue
+            if r is not None:
+                yield r
+
+    def read(self, partition: _Shard):
+        import os
+
+        for rel in partition.flat:
+            yield from self._files_of(rel)
+        for top in partition.deep:
+            for cur, dirs, _files in os.walk(os.path.join(self.root, top), followlinks=False):
+                rel_dir = os.path.relpath(cur, self.root)
+                yield from self._files_of(rel_dir)
                 dirs[:] = sorted(d for d in dirs if d not in self.prune
+                                 and not os.path.islink(os.path.join(cur, d))
                                  and _could_match(f"{rel_dir}/{d}", self.prefix))
-                # os.walk lists links to directories among dirs; report them as link entries
-                for d in list(dirs):
-                    if os.path.islink(os.path.join(cur, d)):
-                        dirs.remove(d)
-                        files.append(d)
-                for name in sorted(files):
-                    rel = f"{rel_dir}/{name}"
-                    if not rel.startswith(self.prefix):
-                        continue
-                    try:
-                        r = self._row(os.path.join(cur, name), rel)
-                    except OSError:
-                        continue
-                    if r is not None:
-                        yield r
 
 
 _registered: set[int] = set()

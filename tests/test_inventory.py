@@ -83,3 +83,19 @@ def test_preview_of_binary_drops_cut_characters(spark):
     df = spark.createDataFrame([(b,) for b in bodies], "content binary")
     got = [r.head for r in object_preview(df, "content", 4).collect()]
     assert got == [b[:4].decode("utf-8", errors="ignore") for b in bodies]
+
+
+def test_tree_split_spreads_one_big_directory(spark, tmp_path):
+    from courier.sources.tree import TreeReader
+
+    files = {f"home/u/d{i:03d}/f{j}.txt": "x" * j for i in range(120) for j in range(3)}
+    files.update({"home/top.txt": "t", "home/u/mid.txt": "mm", "other/z.txt": "zzz"})
+    _write(tmp_path, files)
+    parts = TreeReader({"path": str(tmp_path), "partitions": "8"}).partitions()
+    assert len(parts) == 8
+    assert max(len(p.deep) for p in parts) < 120  # the one big directory is split
+    inv = object_inventory(spark, str(tmp_path), partitions=8)
+    got = {r.key: r.length for r in inv.collect()}
+    assert got == {k: len(v) for k, v in files.items()}
+    only = {r.key for r in object_inventory(spark, str(tmp_path), prefix="home/u/d00").collect()}
+    assert only == {f"home/u/d00{i}/f{j}.txt" for i in range(10) for j in range(3)}
