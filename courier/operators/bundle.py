@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import archive_name, basename, col_or_lit, slug
 from ..schema import BUNDLES, MEMBERS
-from ..session import work_dir
+from ..session import block_count, work_dir
 from .inventory import DEFAULT_EXCLUDE, exclude_paths
 from .scan import running_sum
 
@@ -227,7 +227,7 @@ def pack_archives(objects: DataFrame, owner_col: str = "owner", *, key_col: str
                    archive_name(fold, slug(owner)).alias("_name"), mtime.alias("_mtime"),
                    F.octet_length(content_col).cast("bigint").alias("_len"))
     spark = objects.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or block_count(df)
     bounds = _block_bounds(df.select("owner", "key"), BLOCKS_PER_TASK * n)
     blk = _block_of(bounds)
     blocks = _block_plan(df.select("owner", "_len", blk("owner", "key").alias("_blk")))

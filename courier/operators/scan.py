@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import block_count
+
 BLOCK = "_blk"
 LOCAL = "_lcum"
 
@@ -74,7 +76,7 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: s
     one in ``order`` (``order`` must make rows unique within a group). ``total`` adds the group total.
     """
     by, order = list(by), list(order)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or block_count(df.select(*by, *order, value))
     ranged = df.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order)
     schema = T.StructType(df.schema.fields + [T.StructField(BLOCK, T.IntegerType(), False),
                                               T.StructField(LOCAL, T.LongType(), False)])

@@ -94,3 +94,20 @@ def ship_package(spark: SparkSession) -> None:
                                   root_dir=os.path.dirname(pkg_dir), base_dir="courier")
     sc.addPyFile(archive)
     _shipped.add(app)
+
+
+BLOCK_BYTES = 256 * 1024 * 1024
+MAX_BLOCKS = 1_000_000
+
+
+def block_count(df, target_bytes: int = BLOCK_BYTES) -> int:
+    """How many blocks (tasks) a block-based operator should cut ``df`` into: about ``target_bytes``
+    each by Catalyst's size estimate of the plan (no job is run), never fewer than the cluster's
+    default parallelism, so small inputs still use every core and 100 TB gets ~400k blocks."""
+    spark = df.sparkSession
+    floor = max(1, spark.sparkContext.defaultParallelism)
+    try:
+        est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - an estimate is optional
+        est = 0
+    return int(min(MAX_BLOCKS, max(floor, -(-est // target_bytes))))
