@@ -97,7 +97,8 @@ def ship_package(spark: SparkSession) -> None:
 
 
 BLOCK_BYTES = 256 * 1024 * 1024
-MAX_BLOCKS = 1_000_000
+MAX_BLOCKS = 500_000
+UNKNOWN_SIZE = 1 << 60  # Catalyst reports Long.MaxValue when it cannot estimate
 
 
 def block_count(df, target_bytes: int = BLOCK_BYTES) -> int:
@@ -109,5 +110,8 @@ def block_count(df, target_bytes: int = BLOCK_BYTES) -> int:
     try:
         est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 - an estimate is optional
-        est = 0
+        est = -1
+    if est < 0 or est >= UNKNOWN_SIZE:
+        # no usable estimate (e.g. a Python data source): the session's shuffle width
+        return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return int(min(MAX_BLOCKS, max(floor, -(-est // target_bytes))))
