@@ -21,7 +21,8 @@ def publish(deliveries: DataFrame, target: str, *, mode: str = "ledger", max_siz
 
     * ``ledger`` (default): append; the current state is :func:`latest_delivery` of the ledger, so no
       version is lost and no small per-key folders are made.
-    * ``replace``: a write to a key replaces it. Partitioned by (prefix, owner, folder) and written
+    * ``replace``: a write to a key replaces it (and within one call the latest row of a key wins).
+      Partitioned by (prefix, owner, folder) and written
       with dynamic partition overwrite, so only the touched keys are replaced; an empty prefix is
       stored as ``__root__`` (an empty partition value would read back as NULL); the full ``key``
       stays a data column.
@@ -38,6 +39,8 @@ def publish(deliveries: DataFrame, target: str, *, mode: str = "ledger", max_siz
         return current(deliveries.sparkSession, target)
     if mode != "replace":
         raise ValueError("mode must be 'ledger' or 'replace'")
+    # last write wins inside one publish too: one row per key (pre-aggregated, skew-safe)
+    df = latest_delivery(df, ["key"]) if "ts" in df.columns and "delivery_id" in df.columns else df
     parts = {
         "_p_prefix": F.coalesce(F.nullif(F.col("prefix"), F.lit("")), F.lit(ROOT_DIR)),
         "_p_owner": F.coalesce(F.nullif(F.col("owner"), F.lit("")), F.lit(ROOT_DIR)),

@@ -28,6 +28,16 @@ def test_replace_mode_last_write_wins_and_leaves_other_keys(spark):
     assert os.path.isdir(os.path.join(local_path(target), "_p_prefix=__root__"))
 
 
+def test_replace_mode_keeps_latest_within_one_call(spark):
+    t = dt.datetime(2024, 1, 1)
+    target = work_dir(spark, "test_replace_batch")
+    cur = publish(_rows(spark, [("b", "u", "m", "b/m_u.tar.gz", 1, t, 1),
+                                ("b", "u", "m", "b/m_u.tar.gz", 2, t + dt.timedelta(hours=1), 2),
+                                ("b", "u", "m", "b/m_u.tar.gz", 3, t - dt.timedelta(hours=1), 3)]),
+                  target, mode="replace")
+    assert [(r.key, r.delivery_id) for r in cur.collect()] == [("b/m_u.tar.gz", 2)]
+
+
 def test_ledger_mode_keeps_versions(spark):
     t = dt.datetime(2024, 1, 1)
     target = work_dir(spark, "test_ledger")
@@ -45,6 +55,19 @@ def test_size_guard_prevents_write(spark):
     assert not os.path.exists(local_path(target))
 
 
+def test_observed_metrics_in_a_stream(spark):
+    from courier.streaming import observed_stream
+
+    base = work_dir(spark, "test_obs_stream")
+    spark.createDataFrame([("a", 5), ("b", 7)], "key string, length bigint").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("key string, length bigint").parquet(f"{base}/in")
+    q = (observed_stream(stream).writeStream.format("noop").option("checkpointLocation", f"{base}/cp")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    metrics = [p["observedMetrics"]["transfer"] for p in q.recentProgress if p.get("observedMetrics")]
+    assert metrics and metrics[0]["bytes"] == 12 and metrics[0]["files"] == 2
+
+
 def test_copy_objects_body_unchanged(spark, tmp_path):
     src = tmp_path / "src"
     src.mkdir()
