@@ -7,11 +7,11 @@ from .keys import delivery_keys, file_keys
 from .ledger import (MissingObjects, SizeLimitExceeded, fetch_user_archive, key_collisions,
                      latest_delivery, missing_archives, oversized, size_guard, transfer_progress)
 from .scan import running_sum
-from .settings import (endpoint_inventory, endpoints, layered_settings, nested_lookup,
+from .settings import (credential_pairs, endpoint_inventory, endpoints, layered_settings, nested_lookup,
                        redact_presence)
 
 __all__ = [
-    "DEFAULT_EXCLUDE", "MissingObjects", "SizeLimitExceeded", "bundle_plan", "delivery_keys",
+    "DEFAULT_EXCLUDE", "MissingObjects", "credential_pairs", "SizeLimitExceeded", "bundle_plan", "delivery_keys",
     "endpoint_inventory", "endpoints", "exclude_paths", "excluded", "fetch_user_archive",
     "file_keys", "key_collisions", "latest_delivery", "layered_settings", "list_objects",
     "missing_archives", "nested_lookup", "object_preview", "oversized", "pack_archives",

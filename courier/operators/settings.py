@@ -70,6 +70,24 @@ def layered_settings(layers: DataFrame, defaults=None, *, scope_col: str = "scop
                       "source")
 
 
+def credential_pairs(resolved: DataFrame, key_name: str = "aws_access_key_id",
+                     secret_name: str = "aws_secret_access_key", *, scope_col: str = "scope",
+                     name_col: str = "name", value_col: str = "effective") -> DataFrame:
+    """Per scope: is a key/secret pair usable? Both halves are resolved independently (they may come
+    from different layers) and count only together; otherwise the default credential chain applies.
+    Returns ``(scope, has_key, has_secret, complete)``, never the values themselves."""
+    v = F.col(value_col)
+    present = v.isNotNull() & (v != "")
+    agg = (resolved.where(F.col(name_col).isin(key_name, secret_name))
+           .groupBy(scope_col)
+           .agg(F.max(F.when(F.col(name_col) == key_name, present)).alias("has_key"),
+                F.max(F.when(F.col(name_col) == secret_name, present)).alias("has_secret")))
+    has_key = F.coalesce(F.col("has_key"), F.lit(False))
+    has_secret = F.coalesce(F.col("has_secret"), F.lit(False))
+    return agg.select(scope_col, has_key.alias("has_key"), has_secret.alias("has_secret"),
+                      (has_key & has_secret).alias("complete"))
+
+
 def redact_presence(df: DataFrame, secret_cols: Sequence[str], *, rename: Mapping[str, str] | None = None,
                     blank_to_null: bool = True) -> DataFrame:
     """Never show a secret, only whether it is there: each secret column becomes the BOOLEAN

@@ -73,3 +73,16 @@ def test_unknown_setting_has_no_default_and_no_join(spark):
     assert got == {"custom": (None, None), "custom2": ("v", "v")}
     plan = res._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Join" not in plan
+
+
+def test_credentials_per_field_and_complete_pairs(spark):
+    from courier.operators import credential_pairs
+
+    rows = [("a", "aws_access_key_id", "AKIATEST", 0), ("a", "aws_secret_access_key", "s3cr3t", 1),
+            ("b", "aws_access_key_id", "only-key", 1), ("c", "aws_secret_access_key", "", 0),
+            ("c", "aws_access_key_id", "k", 0)]
+    layers = spark.createDataFrame(rows, "scope string, name string, value string, layer int")
+    pairs = credential_pairs(layered_settings(layers)).collect()
+    got = {r.scope: (r.has_key, r.has_secret, r.complete) for r in pairs}
+    assert got == {"a": (True, True, True), "b": (True, False, False), "c": (True, False, False)}
+    assert "s3cr3t" not in repr(pairs) and "AKIATEST" not in repr(pairs)
