@@ -63,3 +63,14 @@ def test_unpack_rules(spark):
     assert ok == {"a.txt": b"a", "__pycache__/y.pyc": b"y"}
     errors = sorted(r._error.split(":")[0] for r in rows if r._error)
     assert errors == ["corrupt archive", "unsafe member path"]
+
+
+def test_empty_inputs(spark):
+    from courier.operators import running_sum, transfer_progress
+
+    empty = spark.createDataFrame([], "owner string, key string, content binary")
+    assert pack_archives(empty, "owner").count() == 0
+    assert unpack_archives(pack_archives(empty, "owner")).count() == 0
+    e2 = spark.createDataFrame([], "g string, o bigint, v bigint")
+    assert running_sum(e2, ["g"], ["o"], "v", "cum").count() == 0
+    assert transfer_progress(e2, ["g"], ["o"], "v").count() == 0
