@@ -37,14 +37,16 @@ def decode_ignore(b: Column) -> Column:
 
     Valid input is cast directly; invalid input is repaired with ``make_valid_utf8`` and the
     replacement characters it inserted are removed. A genuine U+FFFD in an otherwise invalid body is
-    rare; that row goes through a vectorized Python fallback instead.
+    rare; only those rows are handed to a vectorized Python fallback (Spark evaluates a Python UDF
+    for every row even inside a CASE branch, so every other row reaches it as NULL).
     """
     s = b.cast("string")
-    repaired = F.regexp_replace(F.make_valid_utf8(s), "�", "")
-    ambiguous = F.instr(b.cast("string"), "�") > 0
-    return (F.when(F.is_valid_utf8(s), s)
+    valid = F.is_valid_utf8(s)
+    repaired = F.regexp_replace(F.make_valid_utf8(s), "\ufffd", "")
+    ambiguous = ~valid & (F.instr(s, "\ufffd") > 0)
+    return (F.when(valid, s)
             .when(~ambiguous, repaired)
-            .otherwise(_decode_ignore_udf(b)))
+            .otherwise(_decode_ignore_udf(F.when(ambiguous, b))))
 
 
 def _decode_ignore_udf(b: Column) -> Column:

@@ -99,3 +99,10 @@ def test_tree_split_spreads_one_big_directory(spark, tmp_path):
     assert got == {k: len(v) for k, v in files.items()}
     only = {r.key for r in object_inventory(spark, str(tmp_path), prefix="home/u/d00").collect()}
     assert only == {f"home/u/d00{i}/f{j}.txt" for i in range(10) for j in range(3)}
+
+
+def test_preview_keeps_genuine_replacement_character(spark):
+    bodies = ["a�b".encode() + b"\xff", "ok".encode(), b"\xe2\x82"]
+    df = spark.createDataFrame([(b,) for b in bodies], "content binary")
+    got = [r.head for r in object_preview(df, "content", 10).collect()]
+    assert got == [b[:10].decode("utf-8", errors="ignore") for b in bodies]
