@@ -83,7 +83,9 @@ def fetch_user_archive(objects: DataFrame, owners: DataFrame, *, prefix: str | N
     a bucket listing, the key ends with ``<owner slug><suffix>``. The theta join is rewritten as an
     equi join: every key explodes into its suffixes (no longer than the longest slug), which are
     pre-aggregated to ``min(key)`` per suffix before the join, so a suffix shared by many keys (the
-    empty one, a common digit) is one row per map task in the shuffle, not a hot join key.
+    empty one, a common digit) is one row per map task in the shuffle, not a hot join key. When the
+    owners' slugs are measured to fit under the broadcast threshold, a broadcast semi join first
+    drops every suffix that is nobody's slug, so almost nothing is shuffled.
     """
     objs = objects
     if prefix is not None:
@@ -96,16 +98,33 @@ def fetch_user_archive(objects: DataFrame, owners: DataFrame, *, prefix: str | N
     if match != "suffix":
         raise ValueError("match must be 'owner' or 'suffix'")
     o = owners.select(owner_col).distinct().withColumn("_slug", slug(F.coalesce(F.col(owner_col), F.lit(""))))
-    max_len = o.agg(F.max(F.char_length("_slug"))).first()[0]
-    if max_len is None:
+    st = o.agg(F.max(F.char_length("_slug")).alias("m"), F.count(F.lit(1)).alias("n"),
+               F.sum(F.octet_length("_slug")).alias("b")).first()
+    if st.m is None:
         return o.select(owner_col, F.lit(None).cast("string").alias(key_col)).limit(0)
     stems = (objs.where(F.col(key_col).endswith(suffix))
              .select(key_col, F.expr(f"substring({key_col}, 1, char_length({key_col}) - {len(suffix)})").alias("_stem")))
-    firsts = (stems.select(key_col, F.explode(_suffixes(F.col("_stem"), max_len)).alias("_sfx"))
-              .groupBy("_sfx").agg(F.min(key_col).alias(key_col)))
+    exploded = stems.select(key_col, F.explode(_suffixes(F.col("_stem"), st.m)).alias("_sfx"))
+    if 0 < int(st.b) + 48 * int(st.n) <= broadcast_limit(objects.sparkSession):
+        # the slugs are measured and small: drop suffixes that are nobody's slug before aggregating
+        exploded = exploded.join(F.broadcast(o.select(F.col("_slug").alias("_sfx"))), "_sfx", "left_semi")
+    firsts = exploded.groupBy("_sfx").agg(F.min(key_col).alias(key_col))
     return o.join(firsts, o["_slug"] == firsts["_sfx"], "inner").select(owner_col, key_col)
 
 
+def broadcast_limit(spark) -> int:
+    """The session's broadcast threshold in bytes (``-1`` = broadcasting disabled → 0)."""
+    raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    num = raw.rstrip("bkmg")
+    mult = units.get(raw[len(num):], 1)
+    try:
+        val = int(float(num) * mult)
+    except ValueError:
+        return 0
+    return max(0, val)
+
+
 def missing_archives(owners: DataFrame, found: DataFrame, owner_col: str = "owner",
                      found_owner_col: str | None = None) -> DataFrame:
     """Owners with no archive: a left anti join against the distinct owners that have one.

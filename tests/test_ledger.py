@@ -105,3 +105,19 @@ def test_running_sum_skewed_group_spans_many_tasks(spark):
     ref = df.withColumn("cum", F.sum("v").over(w)).withColumn("tot", F.sum("v").over(Window.partitionBy("g")))
     assert got.exceptAll(ref.select(*got.columns)).count() == 0
     assert got.count() == df.count()
+
+
+def test_suffix_mode_prefilters_with_a_measured_broadcast(spark):
+    objs = spark.createDataFrame([("p/m_1.tar.gz",), ("p/m_21.tar.gz",), ("p/m_x.tar.gz",)], "key string")
+    owners = spark.createDataFrame([("1",), ("x",), ("9",)], "owner string")
+    res = fetch_user_archive(objs, owners, prefix="p", match="suffix")
+    assert sorted(tuple(r) for r in res.collect()) == [("1", "p/m_1.tar.gz"), ("x", "p/m_x.tar.gz")]
+    plan = res._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        res2 = fetch_user_archive(objs, owners, prefix="p", match="suffix")
+        assert sorted(tuple(r) for r in res2.collect()) == [("1", "p/m_1.tar.gz"), ("x", "p/m_x.tar.gz")]
+        assert "LeftSemi" not in res2._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
