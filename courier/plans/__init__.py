@@ -1,6 +1,8 @@
 """Multi-step jobs built from the operators: publish, copy, restore, and the query contracts."""
 
+from .deliver import BUCKETS, current_bundles, deliver, restore_bundles
 from .publish import copy_objects, current, publish
 from .restore import restore
 
-__all__ = ["copy_objects", "current", "publish", "restore"]
+__all__ = ["BUCKETS", "copy_objects", "current", "current_bundles", "deliver", "publish", "restore",
+           "restore_bundles"]

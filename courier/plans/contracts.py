@@ -155,6 +155,17 @@ def q_pack_roundtrip(spark, d):
     return members.select(F.col("path").alias("key"), "length", F.md5("content").alias("digest"))
 
 
+def q_deliver_restore(spark, d):
+    from .deliver import deliver, restore_bundles
+
+    inv = documents_inventory(spark, d, content=True)
+    store = work_dir(spark, "store")
+    deliver(inv, store, preset="materials", prefix="course", max_part_bytes=PART_BYTES)
+    owners = table(spark, d, "documents").select(F.col("source").alias("owner")).distinct()
+    members, _missing = restore_bundles(spark, store, owners, prefix="course")
+    return members.select(F.col("path").alias("key"), "length", F.md5("content").alias("digest"))
+
+
 def q_endpoint_inventory(spark, d):
     return endpoint_inventory(table(spark, d, "pages"), "url", 443, url=True)
 
@@ -227,6 +238,7 @@ QUERIES = {
     "stream_delivery_ledger": q_stream_delivery_ledger,
     "bundle_plan": q_bundle_plan,
     "pack_roundtrip": q_pack_roundtrip,
+    "deliver_restore": q_deliver_restore,
     "endpoint_inventory": q_endpoint_inventory,
     "file_keys": q_file_keys,
     "redact_presence": q_redact_presence,
@@ -316,6 +328,7 @@ ORACLE = {
               ROWS UNBOUNDED PRECEDING) - length) // {PART_BYTES} AS BIGINT) AS part FROM inv)
         GROUP BY owner, part""",
     "pack_roundtrip": f"WITH {INV} SELECT key, length, md5(text) AS digest FROM inv",
+    "deliver_restore": f"WITH {INV} SELECT key, length, md5(text) AS digest FROM inv",
     "endpoint_inventory": """WITH a AS (SELECT regexp_replace(regexp_extract(url,
         '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', '') AS auth FROM pages)
         SELECT split_part(auth, ':', 1) AS host,

@@ -27,3 +27,32 @@ def test_rollup_totals(spark):
     assert got[("p", None)] == (12, 2) and got[(None, None)] == (13, 3) and got[("q", "a")] == (1, 1)
     rep = {(r.prefix,): r.human for r in size_report(df, ["prefix"], rollup=True).collect()}
     assert rep == {("p",): "12 B", ("q",): "1 B", (None,): "13 B"}
+
+
+def test_deliver_then_restore_latest_delivery(spark):
+    import pytest
+
+    from courier.operators import SizeLimitExceeded
+    from courier.plans import current_bundles, deliver, restore_bundles
+    from courier.session import work_dir
+
+    inv = documents_inventory(spark, SF001, content=True)
+    store = work_dir(spark, "test_store")
+    out = deliver(inv, store, preset="bootcamp", prefix="c1", max_part_bytes=4096, delivery_id=1).collect()
+    assert {r.uri.split("/")[2] for r in out} == {"quantia-bootcamp-results"}
+    assert all(r.key.startswith("c1/materials_") for r in out)
+    # a second delivery of one owner, smaller: it replaces that owner's bundle
+    small = inv.where((F.col("owner") == "src0") & (F.col("lang") == "en"))
+    deliver(small, store, preset="bootcamp", prefix="c1", delivery_id=2)
+    with pytest.raises(SizeLimitExceeded):
+        deliver(inv, store, preset="bootcamp", prefix="c1", max_size_mb=0, delivery_id=3)
+    assert spark.read.parquet(store).where("delivery_id = 3").count() == 0
+    cur = current_bundles(spark, store)
+    assert {r.delivery_id for r in cur.where("owner = 'src0'").collect()} == {2}
+    owners = spark.createDataFrame([("src0",), ("src1",), ("zed",)], "owner string")
+    members, missing = restore_bundles(spark, store, owners, prefix="c1")
+    got = members.select("owner", F.col("path").alias("key"), "content")
+    want = small.select("owner", "key", "content").unionByName(
+        inv.where(F.col("owner") == "src1").select("owner", "key", "content"))
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    assert [r.owner for r in missing.collect()] == ["zed"]
