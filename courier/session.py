@@ -36,16 +36,29 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; ``None`` under Spark Connect."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect sessions have no SparkContext
+        return None
+
+
+def _master(spark: SparkSession) -> str:
+    sc = _context(spark)
+    return sc.master if sc is not None else spark.conf.get("spark.master", "")
+
+
 def work_dir(spark: SparkSession, *parts: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
     The folder is read from the session (``spark.checkpoint.dir``). Only a local master may fall
     back to a folder of its own, because there every task runs on this machine.
     """
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    sc = _context(spark)
+    base = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not sc.master.startswith("local"):
+        if sc is None or not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="courier-")
         sc.setCheckpointDir(base)
@@ -79,7 +92,9 @@ def ship_package(spark: SparkSession) -> None:
     on a local master, when running from a source checkout, it is zipped into the session's
     checkpoint folder and added with ``addPyFile`` once per application.
     """
-    sc = spark.sparkContext
+    sc = _context(spark)
+    if sc is None:
+        return
     app = sc.applicationId
     if app in _shipped or not sc.master.startswith("local"):
         return
@@ -106,7 +121,8 @@ def block_count(df, target_bytes: int = BLOCK_BYTES) -> int:
     each by Catalyst's size estimate of the plan (no job is run), never fewer than the cluster's
     default parallelism, so small inputs still use every core and 100 TB gets ~400k blocks."""
     spark = df.sparkSession
-    floor = max(1, spark.sparkContext.defaultParallelism)
+    sc = _context(spark)
+    floor = max(1, sc.defaultParallelism if sc is not None else int(spark.conf.get("spark.default.parallelism", "8")))
     try:
         est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 - an estimate is optional

@@ -172,7 +172,10 @@ def object_inventory(spark, root: str, *, content: bool = False, prefix: str = "
     """Inventory of a tree: ``key`` (relative to ``root``), ``length``, ``is_link``, ``modified``
     and, with ``content=True``, the body. A missing root gives no rows."""
     register(spark)
-    n = partitions or 2 * max(1, spark.sparkContext.defaultParallelism)
+    from ..session import _context
+
+    sc = _context(spark)
+    n = partitions or 2 * max(1, sc.defaultParallelism if sc is not None else 8)
     reader = (spark.read.format("courier_tree").option("content", str(content).lower())
               .option("prefix", prefix).option("prune", ",".join(prune))
               .option("partitions", str(n)).option("max_bytes", str(max_bytes)))
