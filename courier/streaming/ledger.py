@@ -48,3 +48,23 @@ def read_ledger(spark: SparkSession, sink: str, key_cols: Sequence[str] = ("key"
     """Current row of every key across all micro-batch folders."""
     df = spark.read.parquet(sink)
     return latest_delivery(df.drop("batch"), key_cols, order_cols)
+
+
+def compact_ledger(spark: SparkSession, sink: str, target: str, key_cols: Sequence[str] = ("key",),
+                   order_cols: Sequence[str] = ("ts", "delivery_id")) -> DataFrame:
+    """Write the current row of every key once into ``target`` (a fresh folder) and return it read
+    back: one row per key instead of one per re-emission, so later reads scan far fewer files.
+    Readers combine it with newer batches through :func:`read_ledger` on both folders."""
+    read_ledger(spark, sink, key_cols, order_cols).write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
+
+
+def read_ledgers(spark: SparkSession, paths: Sequence[str], key_cols: Sequence[str] = ("key",),
+                 order_cols: Sequence[str] = ("ts", "delivery_id")) -> DataFrame:
+    """Current row of every key across a compacted base and the batch folders written after it."""
+    dfs = [spark.read.parquet(p) for p in paths]
+    dfs = [d.drop("batch") if "batch" in d.columns else d for d in dfs]
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d)
+    return latest_delivery(out, key_cols, order_cols)

@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 from courier.operators import latest_delivery
 from courier.session import work_dir
 from courier.sources.tables import deliveries_from_events, table
-from courier.streaming import observed_transfer, read_ledger, stream_delivery_ledger
+from courier.streaming import (compact_ledger, observed_transfer, read_ledger, read_ledgers,
+                               stream_delivery_ledger)
 
 from conftest import SF01
 
@@ -26,6 +27,10 @@ def test_stream_equals_batch_with_late_data(spark):
     want = latest_delivery(deliveries_from_events(ev)).select("key", "delivery_id")
     assert got.count() == want.count() == 750
     assert got.exceptAll(want).count() == 0
+    compacted = compact_ledger(spark, f"{base}/sink", f"{base}/compact")
+    assert compacted.count() == 750
+    both = read_ledgers(spark, [f"{base}/compact", f"{base}/sink"]).select("key", "delivery_id")
+    assert both.exceptAll(want).count() == 0 and both.count() == 750
 
 
 def test_observed_transfer(spark):
