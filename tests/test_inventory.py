@@ -106,3 +106,13 @@ def test_preview_keeps_genuine_replacement_character(spark):
     df = spark.createDataFrame([(b,) for b in bodies], "content binary")
     got = [r.head for r in object_preview(df, "content", 10).collect()]
     assert got == [b[:10].decode("utf-8", errors="ignore") for b in bodies]
+
+
+def test_sizes_do_not_read_bodies(spark, tmp_path):
+    _write(tmp_path, {"a/x.txt": "12345", "b/y.txt": "1"})
+    stats = tree_stats(binary_inventory(spark, str(tmp_path)))
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    read_schema = [l for l in plan.splitlines() if "ReadSchema" in l or "FileScan" in l]
+    assert read_schema and not any("content" in l for l in read_schema)
+    r = stats.first()
+    assert (r.total_bytes, r.n_files) == (6, 2)
