@@ -30,9 +30,9 @@ PART_BYTES = 65536
 
 def current_bundles(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: the current bundle of every owner in every course, and how big it is."""
-    latest = latest_delivery(events_deliveries(spark, d), ["key"])
-    return latest.select("key", "owner", "course", "delivery_id", "ts", "length",
-                         human_bytes("length").alias("human"))
+    cols = ["key", "owner", "course", "delivery_id", "ts", "length"]
+    latest = latest_delivery(events_deliveries(spark, d).select(*cols), ["key"])
+    return latest.select(*cols, human_bytes("length").alias("human"))
 
 
 def q_list_objects(spark, d):
@@ -127,7 +127,8 @@ def _ledger_view(df):
 
 
 def q_latest_delivery(spark, d):
-    return _ledger_view(latest_delivery(events_deliveries(spark, d), ["key"]))
+    dl = events_deliveries(spark, d).select("key", "course", "user_id", "delivery_id", "ts")
+    return _ledger_view(latest_delivery(dl, ["key"]))
 
 
 def q_stream_delivery_ledger(spark, d):
