@@ -9,24 +9,34 @@ from pyspark.sql import functions as F
 UNITS = ("B", "KB", "MB", "GB", "TB")
 
 
+def _by_unit(a: Column, values) -> Column:
+    """``CASE`` picking ``values[k]`` for the first unit with ``a < 1024**(k+1)`` (TB last)."""
+    expr = None
+    for k, v in enumerate(values[:-1]):
+        cond = a < F.lit(float(1024 ** (k + 1)))
+        expr = F.when(cond, v) if expr is None else expr.when(cond, v)
+    return expr.otherwise(values[-1])
+
+
 def human_bytes(n) -> Column:
     """``0 B``, ``1.5 KB``, ``5.0 MB`` … The unit is picked on ``abs(n) < 1024**k`` before rounding,
-    ``B`` has no decimals, the rest one decimal rounded half to even (like Python's format)."""
+    ``B`` has no decimals, the rest one decimal rounded half to even (like Python's format).
+
+    Tenths are ``rint(|n| * 10 / 1024**k)``: the division by a power of two is exact in a double and
+    ``rint`` rounds half to even, so ties round like Python. The expression is kept small on purpose:
+    one long CASE per unit would generate a method too large for the JIT to compile.
+    """
     v = (F.col(n) if isinstance(n, str) else n).cast("double")
     a = F.abs(v)
-    expr = None
-    for k, unit in enumerate(UNITS):
-        scaled = v / F.lit(float(1024 ** k))
-        if unit == "B":
-            text = F.format_string("%.0f B", F.bround(scaled, 0))
-        else:
-            text = F.format_string(f"%.1f {unit}", F.bround(scaled, 1))
-        if unit == UNITS[-1]:
-            expr = expr.otherwise(text)
-        else:
-            cond = a < F.lit(float(1024 ** (k + 1)))
-            expr = F.when(cond, text) if expr is None else expr.when(cond, text)
-    return expr
+    sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
+    div = _by_unit(a, [F.lit(float(1024 ** k)) for k in range(len(UNITS))])
+    unit = _by_unit(a, [F.lit(u) for u in UNITS])
+    tenths = F.rint(a * F.lit(10.0) / div).cast("bigint")
+    whole = F.rint(a).cast("bigint")
+    text = F.when(a < F.lit(1024.0), F.concat(whole.cast("string"), F.lit(" B"))).otherwise(
+        F.concat(F.floor(tenths / F.lit(10)).cast("string"), F.lit("."),
+                 F.pmod(tenths, F.lit(10)).cast("string"), F.lit(" "), unit))
+    return F.concat(sign, text)
 
 
 def mb_to_bytes(max_size_mb) -> Column:
