@@ -33,14 +33,14 @@ _PACKED = ("owner string, part bigint, name string, kind string, archive binary,
            "bytes bigint, key string, content binary, mtime bigint")
 
 
-def _tar_factory():
+def _tar_factory(level: int = 6):
     def tar_bytes(name, members):
         import gzip
         import io
         import tarfile
 
         buf = io.BytesIO()
-        with gzip.GzipFile(fileobj=buf, mode="wb", mtime=0) as gz:
+        with gzip.GzipFile(fileobj=buf, mode="wb", mtime=0, compresslevel=level) as gz:
             with tarfile.open(fileobj=gz, mode="w", format=tarfile.PAX_FORMAT) as tar:
                 for key, body, mtime in members:
                     info = tarfile.TarInfo(name=f"{name}/{key}")
@@ -53,8 +53,8 @@ def _tar_factory():
     return tar_bytes
 
 
-def _packer(blocks: dict, max_part_bytes: int):
-    tar_bytes = _tar_factory()
+def _packer(blocks: dict, max_part_bytes: int, level: int):
+    tar_bytes = _tar_factory(level)
 
     def pack(batches):
         import pandas as pd
@@ -117,8 +117,8 @@ def _packer(blocks: dict, max_part_bytes: int):
     return pack
 
 
-def _merger():
-    tar_bytes = _tar_factory()
+def _merger(level: int):
+    tar_bytes = _tar_factory(level)
 
     def merge(pdf):
         import pandas as pd
@@ -194,14 +194,15 @@ def _block_plan(narrow: DataFrame) -> dict:
 def pack_archives(objects: DataFrame, owner_col: str = "owner", *, key_col: str = "key",
                   content_col: str = "content", folder=None, path_col: str | None = None,
                   max_part_bytes: int = DEFAULT_PART_BYTES,
-                  exclude: Sequence[str] = DEFAULT_EXCLUDE, partitions: int | None = None) -> DataFrame:
+                  exclude: Sequence[str] = DEFAULT_EXCLUDE, partitions: int | None = None,
+                  compresslevel: int = 6) -> DataFrame:
     """Bundle every owner's files into ``tar.gz`` archives: ``(owner, part, name, archive, n_files,
     bytes)``. ``part`` is the :func:`bundle_plan` part of the files (bytes before the file, in key
     order, div ``max_part_bytes``), so an archive holds less than ``max_part_bytes`` plus one file.
 
     Members sit under a root directory named like the archive, ``<folder>_<slug>.tar.gz``, sorted,
-    mode 644, gzip mtime 0: a bundle is reproducible. Junk path components (``exclude``), links and
-    rows without content are left out.
+    mode 644, gzip mtime 0 and a fixed ``compresslevel``: a bundle is reproducible. Junk path
+    components (``exclude``), links and rows without content are left out.
 
     Plan. Rows are cut into key-range blocks of about equal row count (split points from a seeded,
     bounded sample), so an owner with a third of all files spans many blocks. A summary of one row
@@ -234,10 +235,10 @@ def pack_archives(objects: DataFrame, owner_col: str = "owner", *, key_col: str
     work_dir(spark)  # make sure a checkpoint folder is set
     rows = (df.withColumn("_blk", blk("owner", "key")).repartition(n, "_blk")
             .sortWithinPartitions("_blk", "owner", "key"))
-    packed = rows.mapInPandas(_packer(blocks, int(max_part_bytes)), _PACKED).checkpoint(eager=True)
+    packed = rows.mapInPandas(_packer(blocks, int(max_part_bytes), compresslevel), _PACKED).checkpoint(eager=True)
     whole = packed.where(F.col("kind") == "A").select(*BUNDLES.fieldNames())
     merged = (packed.where(F.col("kind") == "M").select("owner", "part", "name", "key", "content", "mtime")
-              .groupBy("owner", "part").applyInPandas(_merger(), BUNDLES))
+              .groupBy("owner", "part").applyInPandas(_merger(compresslevel), BUNDLES))
     return whole.unionByName(merged)
 
 
