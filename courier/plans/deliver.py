@@ -2,7 +2,8 @@
 
 ``deliver``: drop junk → pack every owner's files into bounded archives → refuse owners whose
 compressed bundle is over the limit (its own action, before anything is written) → derive key and
-URI → append the parts to the store with one delivery id. ``current_bundles`` gives, per key, all
+URI → write the parts into the store's ``delivery_id=<id>`` folder (dynamic overwrite, so a rerun
+of the same delivery replaces it instead of adding a copy). ``current_bundles`` gives, per key, all
 parts of its latest delivery; ``restore_bundles`` unpacks them for a set of owners and reports the
 owners that have none.
 """
@@ -53,7 +54,9 @@ def deliver(objects: DataFrame, store: str, *, owner_col: str = "owner", key_col
         join_key(pre, F.col("name")).alias("key"), "part", "archive", "n_files", "bytes", "compressed",
         F.localtimestamp().alias("ts"), F.lit(did).cast("bigint").alias("delivery_id"))
     rows = rows.withColumn("uri", s3_uri(F.col("bucket"), F.col("key")))
-    rows.write.mode("append").parquet(store)
+    # one folder per delivery, replaced as a whole: re-running a delivery never duplicates parts
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("delivery_id").parquet(store))
     written = spark.read.parquet(store).where(F.col("delivery_id") == did)
     return (written.groupBy("owner", "key", "uri")
             .agg(F.count(F.lit(1)).alias("parts"), F.sum("compressed").alias("bytes")))

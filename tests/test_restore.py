@@ -44,6 +44,9 @@ def test_deliver_then_restore_latest_delivery(spark):
     # a second delivery of one owner, smaller: it replaces that owner's bundle
     small = inv.where((F.col("owner") == "src0") & (F.col("lang") == "en"))
     deliver(small, store, preset="bootcamp", prefix="c1", delivery_id=2)
+    before = spark.read.parquet(store).count()
+    deliver(small, store, preset="bootcamp", prefix="c1", delivery_id=2)  # a rerun replaces it
+    assert spark.read.parquet(store).count() == before
     with pytest.raises(SizeLimitExceeded):
         deliver(inv, store, preset="bootcamp", prefix="c1", max_size_mb=0, delivery_id=3)
     assert spark.read.parquet(store).where("delivery_id = 3").count() == 0
