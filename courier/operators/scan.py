@@ -20,6 +20,7 @@ from ..session import block_count
 
 BLOCK = "_blk"
 LOCAL = "_lcum"
+LOCAL_TOTAL = "_ltot"
 
 
 def _local_scan(by: Sequence[str], value: str):
@@ -30,43 +31,72 @@ def _local_scan(by: Sequence[str], value: str):
         import pandas as pd
         from pyspark import TaskContext
 
-        blk = TaskContext.get().partitionId()
-        last_key = None
-        carry = 0
+        blk = np.int32(TaskContext.get().partitionId())
+        pending, cur_key, cur_cum = [], None, 0
+
+        def key_at(pdf, i):
+            return tuple(None if pd.isna(pdf[c].iloc[i]) else pdf[c].iloc[i] for c in by)
+
+        def emit(frames, total):
+            if not frames:
+                return None
+            out = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]
+            return out.assign(**{LOCAL_TOTAL: np.int64(total)})
+
         for pdf in batches:
             if pdf.empty:
                 continue
+            pdf = pdf.reset_index(drop=True)
+            n = len(pdf)
             vals = pdf[value].fillna(0).astype("int64").to_numpy()
-            new = np.zeros(len(pdf), dtype=bool)
-            new[0] = True
+            new = np.zeros(n, dtype=bool)
+            new[0] = key_at(pdf, 0) != cur_key
             for c in by:
-                s = pdf[c]
-                na = s.isna().to_numpy()
-                sv = s.to_numpy(dtype=object)
-                diff = np.empty(len(pdf), dtype=bool)
-                diff[0] = True
+                col = pdf[c]
+                na = col.isna().to_numpy()
+                sv = col.to_numpy(dtype=object)
+                diff = np.zeros(n, dtype=bool)
                 diff[1:] = (na[1:] != na[:-1]) | (~na[1:] & (sv[1:] != sv[:-1]))
                 new |= diff
             gid = np.cumsum(new)
             local = pd.Series(vals).groupby(gid).cumsum().to_numpy()
-            first_key = tuple(None if pd.isna(pdf[c].iloc[0]) else pdf[c].iloc[0] for c in by)
-            if last_key is not None and first_key == last_key:
-                local[gid == 1] += carry
-            last_key = tuple(None if pd.isna(pdf[c].iloc[-1]) else pdf[c].iloc[-1] for c in by)
-            carry = int(local[-1])
-            yield pdf.assign(**{BLOCK: np.int32(blk), LOCAL: local.astype("int64")})
+            if not new[0]:
+                local[gid == gid[0]] += cur_cum
+            pdf = pdf.assign(**{BLOCK: blk, LOCAL: local.astype("int64")})
+            first, last = gid[0], gid[-1]
+            if new[0]:
+                done = emit(pending, cur_cum)
+                if done is not None:
+                    yield done
+                pending = []
+            if first == last:
+                pending.append(pdf)
+            else:
+                head = pdf[gid == first]
+                done = emit(pending + [head], int(head[LOCAL].iloc[-1]))
+                if done is not None:
+                    yield done
+                mid = pdf[(gid != first) & (gid != last)]
+                if len(mid):
+                    totals = mid.groupby(gid[(gid != first) & (gid != last)])[LOCAL].transform("last")
+                    yield mid.assign(**{LOCAL_TOTAL: totals.to_numpy().astype("int64")})
+                pending = [pdf[gid == last]]
+            cur_key, cur_cum = key_at(pdf, n - 1), int(local[-1])
+        done = emit(pending, cur_cum)
+        if done is not None:
+            yield done
 
     return scan
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
+def _null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
     r = right.select(*[F.col(c).alias(f"_r_{c}") for c in cols],
                      *[c for c in right.columns if c not in cols])
     cond = None
     for c in cols:
         e = left[c].eqNullSafe(r[f"_r_{c}"])
         cond = e if cond is None else cond & e
-    return left.join(r, cond, "inner").drop(*[f"_r_{c}" for c in cols])
+    return left.join(r, cond, how).drop(*[f"_r_{c}" for c in cols])
 
 
 def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str,
@@ -74,19 +104,28 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: s
                 partitions: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over the rows of the same ``by`` group up to and including this
     one in ``order`` (``order`` must make rows unique within a group). ``total`` adds the group total.
+
+    Each block knows, for every group, its running sum and total *within the block*. Only groups
+    that span blocks need a correction (offset from earlier blocks, total over all blocks): such
+    (block, group) pairs number at most twice the block count, whatever the data, so that small
+    table is broadcast; no row of the input is shuffled a second time.
     """
     by, order = list(by), list(order)
     n = partitions or block_count(df.select(*by, *order, value))
     ranged = df.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order)
     schema = T.StructType(df.schema.fields + [T.StructField(BLOCK, T.IntegerType(), False),
-                                              T.StructField(LOCAL, T.LongType(), False)])
+                                              T.StructField(LOCAL, T.LongType(), False),
+                                              T.StructField(LOCAL_TOTAL, T.LongType(), False)])
     scanned = ranged.mapInPandas(_local_scan(by, value), schema)
-    blocks = scanned.groupBy(BLOCK, *by).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("_bsum"))
-    before = Window.partitionBy(*by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(BLOCK, *by, F.coalesce(F.sum("_bsum").over(before), F.lit(0)).alias("_off"),
-                            F.sum("_bsum").over(Window.partitionBy(*by)).alias("_tot"))
-    joined = _null_safe_join(scanned, offsets, [BLOCK, *by])
-    res = joined.withColumn(out, (F.col("_off") + F.col(LOCAL)).cast("bigint"))
+    blocks = scanned.groupBy(BLOCK, *by).agg(F.max(LOCAL_TOTAL).alias("_bsum"))
+    group = Window.partitionBy(*by)
+    before = group.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    spanning = (blocks.select(BLOCK, *by, F.count(F.lit(1)).over(group).alias("_nblk"),
+                              F.coalesce(F.sum("_bsum").over(before), F.lit(0)).alias("_off"),
+                              F.sum("_bsum").over(group).alias("_tot"))
+                .where(F.col("_nblk") > 1).drop("_nblk"))
+    joined = _null_safe_join(scanned, F.broadcast(spanning), [BLOCK, *by], "left")
+    res = joined.withColumn(out, (F.coalesce(F.col("_off"), F.lit(0)) + F.col(LOCAL)).cast("bigint"))
     if total:
-        res = res.withColumn(total, F.col("_tot").cast("bigint"))
-    return res.drop(BLOCK, LOCAL, "_off", "_tot")
+        res = res.withColumn(total, F.coalesce(F.col("_tot"), F.col(LOCAL_TOTAL)).cast("bigint"))
+    return res.drop(BLOCK, LOCAL, LOCAL_TOTAL, "_off", "_tot")

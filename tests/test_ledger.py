@@ -121,3 +121,20 @@ def test_suffix_mode_prefilters_with_a_measured_broadcast(spark):
         assert "LeftSemi" not in res2._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_running_sum_groups_across_small_arrow_batches(spark):
+    rnd = random.Random(11)
+    rows = [("hot", i, rnd.randint(0, 9)) for i in range(300)]
+    rows += [(f"g{i % 7}", i, rnd.randint(0, 9)) for i in range(120)] + [(None, i, 2) for i in range(15)]
+    df = spark.createDataFrame(rows, "g string, o bigint, v bigint")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = running_sum(df, ["g"], ["o"], "v", "cum", total="tot", partitions=5).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    w = Window.partitionBy("g").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
+    ref = df.withColumn("cum", F.sum("v").over(w)).withColumn("tot", F.sum("v").over(Window.partitionBy("g")))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, ref.collect())))
+    plan = running_sum(df, ["g"], ["o"], "v", "cum")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
