@@ -59,7 +59,7 @@ def _packer(blocks: dict, max_part_bytes: int, level: int):
     def pack(batches):
         import pandas as pd
 
-        out = []
+        out, held = [], [0]
         st = {"blk": None, "owner": None, "part": None, "name": None, "members": [], "bytes": 0, "cum": 0,
               "first": True, "info": None}
 
@@ -72,8 +72,12 @@ def _packer(blocks: dict, max_part_bytes: int, level: int):
                 for key, body, mtime in st["members"]:
                     out.append((st["owner"], st["part"], st["name"], "M", None, None, None, key, body, mtime))
             else:
-                out.append((st["owner"], st["part"], st["name"], "A", tar_bytes(st["name"], st["members"]),
+                blob = tar_bytes(st["name"], st["members"])
+                out.append((st["owner"], st["part"], st["name"], "A", blob,
                             len(st["members"]), st["bytes"], None, None, None))
+                held[0] += len(blob)
+            if loose:
+                held[0] += st["bytes"]
             st["members"], st["bytes"], st["first"] = [], 0, False
 
         def end_block():
@@ -86,6 +90,7 @@ def _packer(blocks: dict, max_part_bytes: int, level: int):
             df = pd.DataFrame(out, columns=["owner", "part", "name", "kind", "archive", "n_files", "bytes",
                                             "key", "content", "mtime"])
             out.clear()
+            held[0] = 0
             return df
 
         for pdf in batches:
@@ -108,8 +113,8 @@ def _packer(blocks: dict, max_part_bytes: int, level: int):
                 st["members"].append((key, bytes(body), mtime))
                 st["bytes"] += int(length)
                 st["cum"] += int(length)
-            if len(out) >= 64:
-                yield drain()
+                if held[0] >= OUT_BYTES or len(out) >= 1024:
+                    yield drain()
         end_block()
         if out:
             yield drain()
@@ -134,6 +139,9 @@ def _merger(level: int):
 
 
 SAMPLES_PER_BLOCK = 64
+# Python workers hand back at most about this many bytes per Arrow batch.
+OUT_BYTES = 32 * 1024 * 1024
+IN_BYTES = str(64 * 1024 * 1024)
 # More blocks than tasks: blocks are hashed to tasks, and several small blocks per task even out the
 # load; the price is at most two boundary parts per block to merge.
 BLOCKS_PER_TASK = 4
@@ -235,14 +243,23 @@ def pack_archives(objects: DataFrame, owner_col: str = "owner", *, key_col: str
     work_dir(spark)  # make sure a checkpoint folder is set
     rows = (df.withColumn("_blk", blk("owner", "key")).repartition(n, "_blk")
             .sortWithinPartitions("_blk", "owner", "key"))
-    packed = rows.mapInPandas(_packer(blocks, int(max_part_bytes), compresslevel), _PACKED).checkpoint(eager=True)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    user_cap = spark.conf.get(key, None)
+    if user_cap is None:
+        spark.conf.set(key, IN_BYTES)  # bodies reach Python in batches of bounded bytes
+    try:
+        packed = (rows.mapInPandas(_packer(blocks, int(max_part_bytes), compresslevel), _PACKED)
+                  .checkpoint(eager=True))
+    finally:
+        if user_cap is None:
+            spark.conf.unset(key)
     whole = packed.where(F.col("kind") == "A").select(*BUNDLES.fieldNames())
     merged = (packed.where(F.col("kind") == "M").select("owner", "part", "name", "key", "content", "mtime")
               .groupBy("owner", "part").applyInPandas(_merger(compresslevel), BUNDLES))
     return whole.unionByName(merged)
 
 
-def _unpacker(archive_col, names, strip_root, batch_rows=256):
+def _unpacker(archive_col, names, strip_root, batch_rows=1024, batch_bytes=32 * 1024 * 1024):
     def unpack(batches):
         import gzip
         import io
@@ -251,11 +268,12 @@ def _unpacker(archive_col, names, strip_root, batch_rows=256):
 
         import pandas as pd
 
-        rows = []
+        rows, held = [], [0]
 
         def emit():
             df = pd.DataFrame(rows, columns=["owner", "part", "path", "content", "length", "_error"])
             rows.clear()
+            held[0] = 0
             return df
 
         for pdf in batches:
@@ -276,7 +294,8 @@ def _unpacker(archive_col, names, strip_root, batch_rows=256):
                                 continue
                             body = tar.extractfile(m).read()
                             rows.append((owner, part, path, body, len(body), None))
-                            if len(rows) >= batch_rows:
+                            held[0] += len(body)
+                            if len(rows) >= batch_rows or held[0] >= batch_bytes:
                                 yield emit()
                 except (tarfile.TarError, OSError, EOFError, gzip.BadGzipFile) as e:
                     rows.append((owner, part, None, None, None, f"corrupt archive: {e}"))
