@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from courier.operators import delivery_keys, file_keys
 
