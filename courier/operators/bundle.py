@@ -145,7 +145,7 @@ IN_BYTES = str(64 * 1024 * 1024)
 # More blocks than tasks: blocks are hashed to tasks, and several small blocks per task even out the
 # load; the price is at most two boundary parts per block to merge.
 BLOCKS_PER_TASK = 4
-MAX_SAMPLES = 1_000_000
+MAX_SAMPLES = 400_000
 
 
 def _block_bounds(narrow: DataFrame, n_blocks: int) -> list:
@@ -237,7 +237,7 @@ def pack_archives(objects: DataFrame, owner_col: str = "owner", *, key_col: str
                    F.octet_length(content_col).cast("bigint").alias("_len"))
     spark = objects.sparkSession
     n = partitions or block_count(df)
-    bounds = _block_bounds(df.select("owner", "key"), BLOCKS_PER_TASK * n)
+    bounds = _block_bounds(df.select("owner", "key"), min(BLOCKS_PER_TASK * n, MAX_SAMPLES // 8))
     blk = _block_of(bounds)
     blocks = _block_plan(df.select("owner", "_len", blk("owner", "key").alias("_blk")))
     work_dir(spark)  # make sure a checkpoint folder is set

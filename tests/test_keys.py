@@ -1,4 +1,3 @@
-
 from courier.operators import delivery_keys, file_keys
 
 
