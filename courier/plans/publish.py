@@ -61,24 +61,38 @@ def current(spark, target: str, key_cols: Sequence[str] = ("key",)) -> DataFrame
 
 def copy_objects(objects: DataFrame, target: str, *, name_col: str = "key", owner_col: str = "owner",
                  prefix=None, branch_col: str = "branch", key=None, bucket=None,
-                 content_col: str = "content", requested: DataFrame | None = None) -> DataFrame:
+                 content_col: str = "content", requested: DataFrame | None = None,
+                 source_root: str | None = None) -> DataFrame:
     """Write each object as is (no compression) under its file key; return ``(key, uri, length)``.
 
+    With ``source_root`` the objects are files under that folder (an inventory: ``name_col`` is the
+    relative path, ``length`` its size) and each task copies them by path, streamed, so no body
+    passes through a column and files of any size are copied.
+
     ``requested`` (a column ``name_col``) lists what must exist: a missing object or a directory
     raises :class:`MissingObjects` before anything is written (anti join, one action).
     """
+    by_path = source_root is not None
     if requested is not None:
-        missing = requested.join(objects.where(F.col(content_col).isNotNull()).select(name_col).distinct(),
-                                 name_col, "left_anti")
+        present = objects if by_path else objects.where(F.col(content_col).isNotNull())
+        if by_path and "is_link" in objects.columns:
+            present = present.where(~F.coalesce(F.col("is_link"), F.lit(False)))
+        missing = requested.join(present.select(name_col).distinct(), name_col, "left_anti")
         gone = missing.limit(5).collect()
         if gone:
             raise MissingObjects("not regular files: " + ", ".join(r[name_col] for r in gone))
-    keyed = file_keys(objects, name_col=name_col, owner_col=owner_col, prefix=prefix,
-                      branch_col=branch_col, key=key, bucket=bucket)
+    keyed = file_keys(objects.withColumn("_src", F.col(name_col)), name_col=name_col, owner_col=owner_col,
+                      prefix=prefix, branch_col=branch_col, key=key, bucket=bucket)
     objects_sink.register(objects.sparkSession)
-    (keyed.select("key", F.col(content_col).alias("content"))
-          .write.format("courier_objects").mode("append").save(target))
-    cols = ["key", F.octet_length(content_col).cast("bigint").alias("length")]
+    if by_path:
+        (keyed.select("key", F.col("_src").alias("src"))
+              .write.format("courier_objects").mode("append").option("source_root", source_root).save(target))
+        size = F.col("length").cast("bigint")
+    else:
+        (keyed.select("key", F.col(content_col).alias("content"))
+              .write.format("courier_objects").mode("append").save(target))
+        size = F.octet_length(content_col).cast("bigint")
+    cols = ["key", size.alias("length")]
     if bucket is not None:
         cols.insert(1, "uri")
     return keyed.select(*cols)

@@ -36,7 +36,7 @@ class ObjectsDataSource(DataSource):
         return "courier_objects"
 
     def schema(self) -> str:
-        return "key string, content binary"
+        return "key string, content binary, src string"
 
     def writer(self, schema, overwrite: bool):
         return ObjectsWriter(dict(self.options))
@@ -49,10 +49,13 @@ class ObjectsWriter(DataSourceWriter):
         self.root = local_path(options["path"]).rstrip("/")
         self.key_col = options.get("key_col", "key")
         self.content_col = options.get("content_col", "content")
+        # copy by path: rows carry ``src`` (relative to ``source_root``) instead of a body
+        self.source_root = local_path(options["source_root"]) if options.get("source_root") else None
         self.totals = (0, 0)
 
     def write(self, iterator):
         import os
+        import shutil
 
         from pyspark import TaskContext
 
@@ -63,19 +66,27 @@ class ObjectsWriter(DataSourceWriter):
             key = row[self.key_col]
             if not safe_key(key):
                 raise ValueError(f"unsafe object key: {key!r}")
-            body = row[self.content_col]
-            body = bytes(body) if body is not None else b""
             dest = os.path.join(self.root, key)
             parent = os.path.dirname(dest)
             if parent not in made:
                 os.makedirs(parent, exist_ok=True)
                 made.add(parent)
             tmp = dest + tag
-            with open(tmp, "wb") as f:
-                f.write(body)
+            if self.source_root is not None:
+                src = row["src"]
+                if not safe_key(src):
+                    raise ValueError(f"unsafe source path: {src!r}")
+                shutil.copyfile(os.path.join(self.source_root, src), tmp)  # streamed, any size
+                size = os.path.getsize(tmp)
+            else:
+                body = row[self.content_col]
+                body = bytes(body) if body is not None else b""
+                with open(tmp, "wb") as f:
+                    f.write(body)
+                size = len(body)
             os.replace(tmp, dest)
             n += 1
-            nbytes += len(body)
+            nbytes += size
         return _Written(n, nbytes)
 
     def commit(self, messages):

@@ -87,3 +87,19 @@ def test_write_failure_raises(spark):
     df = spark.createDataFrame([("a", b"x")], "key string, content binary").withColumn("owner", F.lit(""))
     with pytest.raises(Exception):
         copy_objects(df, work_dir(spark, "test_fail"), prefix="", key="../escape")
+
+
+def test_copy_objects_by_path(spark, tmp_path):
+    src = tmp_path / "src"
+    (src / "sub").mkdir(parents=True)
+    (src / "modello.gguf").write_bytes(bytes(range(256)) * 1000)
+    (src / "sub" / "b.bin").write_bytes(b"\x00\x01")
+    inv = object_inventory(spark, str(src)).withColumn("owner", F.lit("mario.rossi"))
+    target = work_dir(spark, "test_copy_path")
+    out = {r.key: r.length for r in copy_objects(inv, target, prefix="corso", source_root=str(src)).collect()}
+    assert out == {"corso/modello_mario_rossi.gguf": 256000, "corso/b_mario_rossi.bin": 2}
+    with open(os.path.join(local_path(target), "corso/modello_mario_rossi.gguf"), "rb") as f:
+        assert f.read() == bytes(range(256)) * 1000
+    requested = spark.createDataFrame([("modello.gguf",), ("nope",)], "key string")
+    with pytest.raises(MissingObjects):
+        copy_objects(inv, target, prefix="corso", source_root=str(src), requested=requested)
