@@ -68,3 +68,16 @@ def read_ledgers(spark: SparkSession, paths: Sequence[str], key_cols: Sequence[s
     for d in dfs[1:]:
         out = out.unionByName(d)
     return latest_delivery(out, key_cols, order_cols)
+
+
+def kafka_delivery_ledger(spark: SparkSession, topic: str, settings, sink: str, checkpoint: str, *,
+                          schema=None, starting_offsets: str = "earliest", **kwargs):
+    """The ledger fed by a Kafka topic of JSON delivery records (``schema``: the deliveries table's
+    by default). Offsets are tracked in ``checkpoint``; needs Spark's Kafka connector on the
+    classpath."""
+    from ..schema import DELIVERIES
+    from ..sources.connectors import kafka_read
+
+    raw = kafka_read(spark, topic, settings, stream=True, startingOffsets=starting_offsets)
+    rows = raw.select(F.from_json(F.col("value").cast("string"), schema or DELIVERIES).alias("d")).select("d.*")
+    return stream_delivery_ledger(rows, sink, checkpoint, **kwargs)
