@@ -157,7 +157,7 @@ def _block_bounds(narrow: DataFrame, n_blocks: int) -> list:
         return []
     want = min(MAX_SAMPLES, SAMPLES_PER_BLOCK * n_blocks)
     frac = min(1.0, want / total)
-    rows = narrow.select("owner", "key").sample(False, frac, seed=17).collect()
+    rows = narrow.select("owner", "key").sample(False, frac, seed=17).limit(2 * MAX_SAMPLES).collect()
     pts = sorted((r.owner.encode("utf-8"), r.key.encode("utf-8")) for r in rows)
     if not pts:
         return []
