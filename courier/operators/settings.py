@@ -105,6 +105,19 @@ def redact_presence(df: DataFrame, secret_cols: Sequence[str], *, rename: Mappin
     return df.select(*cols)
 
 
+def settings_report(resolved: DataFrame, *, scope_col: str = "scope", name_col: str = "name",
+                    value_col: str = "effective", names=None, secrets=SECRETS) -> DataFrame:
+    """One row per scope with every setting as a column, the way a diagnosis shows them: plain
+    settings as values (blank → NULL; a setting no layer mentions takes its default), secrets only as
+    ``has_<name>`` flags — no secret text in any cell. One grouped pivot over the fixed catalogue (explicit values: no extra job to find them)."""
+    names = list(names or DEFAULTS)
+    wide = (resolved.where(F.col(name_col).isin(*names))
+            .groupBy(scope_col).pivot(name_col, names).agg(F.first(value_col, ignorenulls=True)))
+    # a setting no layer mentions for a scope has its catalogue default
+    wide = wide.select(scope_col, *[F.coalesce(F.col(n), F.lit(DEFAULTS.get(n))).alias(n) for n in names])
+    return redact_presence(wide, [n for n in names if n in secrets])
+
+
 def nested_lookup(df: DataFrame, doc_col: str, dotted_path: str, type_: str = "variant", *,
                   strict: bool = False, out: str | None = None) -> DataFrame:
     """Value at a dotted path of a JSON document column (``a.b`` → ``$['a']['b']``, no escaping of

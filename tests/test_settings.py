@@ -86,3 +86,19 @@ def test_credentials_per_field_and_complete_pairs(spark):
     got = {r.scope: (r.has_key, r.has_secret, r.complete) for r in pairs}
     assert got == {"a": (True, True, True), "b": (True, False, False), "c": (True, False, False)}
     assert "s3cr3t" not in repr(pairs) and "AKIATEST" not in repr(pairs)
+
+
+def test_settings_report_hides_secrets(spark):
+    from courier.operators import settings_report
+
+    rows = [("u1", "kafka_bootstrap", "broker:9092", 1), ("u1", "aws_secret_access_key", "segretissimo", 1),
+            ("u1", "aws_access_key_id", "AKIAPROVA", 0), ("u1", "course", "", 0), ("u2", "course", "c2", 1)]
+    layers = spark.createDataFrame(rows, "scope string, name string, value string, layer int")
+    rep = settings_report(layered_settings(layers)).collect()
+    text = repr(rep)
+    assert "segretissimo" not in text and "AKIAPROVA" not in text
+    by = {r.scope: r for r in rep}
+    assert by["u1"].kafka_bootstrap == "broker:9092" and by["u1"].has_aws_secret_access_key
+    assert by["u1"].course is None and by["u2"].course == "c2"
+    assert by["u2"].kafka_bootstrap == "localhost:9092" and not by["u2"].has_aws_access_key_id
+    assert by["u2"].schema_registry_url is None
