@@ -4,7 +4,8 @@ State is one row per key (``max_by`` on event time), so the order of arrival doe
 late, older write never wins. No watermark by default, because dropping a key's state would let an
 older record win later. ``update`` output re-emits a key whenever a row for it arrives; the sink is
 idempotent (each micro-batch overwrites its own ``batch=<id>`` folder), and readers keep the last
-row per key across batches.
+row per key across batches. For very many keys, run with the RocksDB state store provider
+(``spark.sql.streaming.stateStore.providerClass``) so the state is kept on local disk.
 """
 
 from __future__ import annotations
