@@ -38,3 +38,24 @@ def test_observed_transfer(spark):
     out, obs = observed_transfer(inv)
     out.write.format("noop").mode("overwrite").save()
     assert obs.get == {"bytes": 12, "files": 2}
+
+
+def test_ledger_stream_on_rocksdb_state(spark):
+    import pytest
+
+    ev = table(spark, SF01, "events").limit(2000)
+    base = work_dir(spark, "test_rocks")
+    ev.write.parquet(f"{base}/in")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(ev.schema).parquet(f"{base}/in")
+        q = stream_delivery_ledger(deliveries_from_events(stream), f"{base}/sink", f"{base}/cp")
+        q.awaitTermination()
+        if q.exception() is not None:
+            pytest.skip(f"RocksDB state store unavailable: {q.exception()}")
+    finally:
+        spark.conf.unset(key)
+    got = read_ledger(spark, f"{base}/sink").select("key", "delivery_id")
+    want = latest_delivery(deliveries_from_events(spark.read.parquet(f"{base}/in"))).select("key", "delivery_id")
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
