@@ -137,19 +137,21 @@ def missing_archives(owners: DataFrame, found: DataFrame, owner_col: str = "owne
 
 
 def transfer_progress(chunks: DataFrame, transfer_cols: Sequence[str], order_cols: Sequence[str],
-                      n_col: str, step: int = 10) -> DataFrame:
+                      n_col: str, step: int = 10, *, total_col: str | None = None) -> DataFrame:
     """Milestones of a byte counter: the rows where the integer percentage reaches a new multiple of
     ``step`` (a jump over several steps emits once, at its real percentage). A transfer of 0 bytes
     emits nothing. Adds ``done`` (running bytes) and ``pct``.
 
-    The running sum is exact and skew-safe (see :mod:`scan`); the previous row's percentage is
-    derived from ``done - n``, so no ``lag`` (and no second window) is needed.
+    The percentage is taken of ``total_col`` when given (the size declared before the transfer, so an
+    interrupted transfer stops below 100 %), else of the sum of the transfer's chunks. The running
+    sum is exact and skew-safe (see :mod:`scan`); the previous row's percentage is derived from
+    ``done - n``, so no ``lag`` (and no second window) is needed.
     """
-    r = running_sum(chunks, transfer_cols, order_cols, n_col, "done", total="_total")
-    n = F.coalesce(F.col(n_col), F.lit(0)).cast("bigint")
+    r = running_sum(chunks, transfer_cols, order_cols, n_col, "done", total="_sum")
+    r = r.withColumn("_total", F.col(total_col).cast("bigint") if total_col else F.col("_sum"))
     pct = F.expr("(done * 100) div _total")
     prev = F.expr(f"((done - coalesce({n_col}, 0)) * 100) div _total")
     return (r.where(F.col("_total") > 0)
              .withColumn("pct", pct.cast("bigint"))
              .where(F.floor(F.col("pct") / step) > F.floor(prev / step))
-             .drop("_total"))
+             .drop("_total", "_sum"))

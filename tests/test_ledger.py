@@ -138,3 +138,10 @@ def test_running_sum_groups_across_small_arrow_batches(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, ref.collect())))
     plan = running_sum(df, ["g"], ["o"], "v", "cum")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_transfer_progress_with_declared_total(spark):
+    rows = [("t", i, 100, 1000) for i in range(5)]  # interrupted: 500 of 1000 bytes
+    df = spark.createDataFrame(rows, "xfer string, seq bigint, n bigint, size bigint")
+    got = [(r.seq, r.pct) for r in transfer_progress(df, ["xfer"], ["seq"], "n", total_col="size").orderBy("seq").collect()]
+    assert got == [(0, 10), (1, 20), (2, 30), (3, 40), (4, 50)]
