@@ -2,7 +2,7 @@
 
 from .deliver import BUCKETS, current_bundles, deliver, restore_bundles
 from .publish import copy_objects, current, publish
-from .restore import restore
+from .restore import RestoreError, restore, write_restored
 
-__all__ = ["BUCKETS", "copy_objects", "current", "current_bundles", "deliver", "publish", "restore",
+__all__ = ["BUCKETS", "RestoreError", "write_restored", "copy_objects", "current", "current_bundles", "deliver", "publish", "restore",
            "restore_bundles"]

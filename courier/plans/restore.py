@@ -24,3 +24,27 @@ def restore(bundles: DataFrame, owners: DataFrame, *, prefix: str | None = None,
     members = unpack_archives(chosen.select(F.col("_req").alias("owner"), "part", "archive"),
                               exclude=exclude)
     return members, missing_archives(owners, found, owner_col)
+
+
+class RestoreError(RuntimeError):
+    """Some members could not be restored (corrupt archive or unsafe path)."""
+
+
+def write_restored(members: DataFrame, target: str, *, per_owner: bool = True) -> DataFrame:
+    """Write restored members as files under ``target`` (``<owner>/<path>`` with ``per_owner``).
+
+    Nothing is deleted first: each file is written atomically over the old one, so a failed restore
+    never loses what was there. Rows with ``_error`` raise :class:`RestoreError` before writing.
+    Returns ``(owner, files, bytes)``.
+    """
+    from ..sources import objects as objects_sink
+
+    bad = members.where(F.col("_error").isNotNull()).select("owner", "path", "_error").limit(5).collect()
+    if bad:
+        raise RestoreError("; ".join(f"{r.owner}: {r._error} ({r.path})" for r in bad))
+    key = F.concat_ws("/", F.col("owner"), F.col("path")) if per_owner else F.col("path")
+    objects_sink.register(members.sparkSession)
+    (members.select(key.alias("key"), "content")
+            .write.format("courier_objects").mode("append").save(target))
+    return members.groupBy("owner").agg(F.count(F.lit(1)).alias("files"),
+                                        F.sum("length").cast("bigint").alias("bytes"))

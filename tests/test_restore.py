@@ -59,3 +59,25 @@ def test_deliver_then_restore_latest_delivery(spark):
         inv.where(F.col("owner") == "src1").select("owner", "key", "content"))
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
     assert [r.owner for r in missing.collect()] == ["zed"]
+
+
+def test_write_restored_files(spark):
+    import os
+
+    from courier.plans import restore_bundles, deliver, write_restored
+    from courier.session import local_path, work_dir
+    from courier.sources import object_inventory
+
+    inv = documents_inventory(spark, SF001, content=True).where(F.col("owner").isin("src0", "src1"))
+    store = work_dir(spark, "test_store_w")
+    deliver(inv, store, prefix="c", delivery_id=7)
+    owners = spark.createDataFrame([("src0",), ("src1",)], "owner string")
+    members, _ = restore_bundles(spark, store, owners, prefix="c")
+    target = work_dir(spark, "test_restored")
+    summary = {r.owner: (r.files, r.bytes) for r in write_restored(members, target).collect()}
+    want = {r.owner: (r.n, r.b) for r in inv.groupBy("owner").agg(F.count("*").alias("n"), F.sum("length").alias("b")).collect()}
+    assert summary == want
+    back = object_inventory(spark, target, content=True).select("key", "content")
+    expect = inv.select(F.concat_ws("/", "owner", "key").alias("key"), "content")
+    assert back.count() == expect.count() and back.exceptAll(expect).count() == 0
+    assert os.path.isdir(local_path(target))
