@@ -67,11 +67,12 @@ def size_guard(df: DataFrame, group_cols: Sequence[str], length_col: str = "leng
     return None
 
 
-def _suffixes(s, max_len: int):
-    """All suffixes of ``s`` no longer than ``max_len`` characters, the empty one included."""
+def _suffix_starts(s, max_len: int):
+    """Start offsets (0-based) of all suffixes of ``s`` no longer than ``max_len`` characters, the
+    empty one included; the suffix itself is a plain ``substring`` afterwards (no lambda, so the
+    whole step stays in generated code)."""
     n = F.char_length(s)
-    start = F.greatest(n - F.lit(max_len), F.lit(0))
-    return F.transform(F.sequence(start, n), lambda i: F.substring(s, i + 1, F.lit(1 << 30)))
+    return F.sequence(F.greatest(n - F.lit(max_len), F.lit(0)), n)
 
 
 def fetch_user_archive(objects: DataFrame, owners: DataFrame, *, prefix: str | None = None,
@@ -104,7 +105,8 @@ def fetch_user_archive(objects: DataFrame, owners: DataFrame, *, prefix: str | N
         return o.select(owner_col, F.lit(None).cast("string").alias(key_col)).limit(0)
     stems = (objs.where(F.col(key_col).endswith(suffix))
              .select(key_col, F.expr(f"substring({key_col}, 1, char_length({key_col}) - {len(suffix)})").alias("_stem")))
-    exploded = stems.select(key_col, F.explode(_suffixes(F.col("_stem"), st.m)).alias("_sfx"))
+    exploded = (stems.select(key_col, "_stem", F.explode(_suffix_starts(F.col("_stem"), st.m)).alias("_i"))
+                .select(key_col, F.substring(F.col("_stem"), F.col("_i") + 1, F.lit(1 << 30)).alias("_sfx")))
     if 0 < int(st.b) + 48 * int(st.n) <= broadcast_limit(objects.sparkSession):
         # the slugs are measured and small: drop suffixes that are nobody's slug before aggregating
         exploded = exploded.join(F.broadcast(o.select(F.col("_slug").alias("_sfx"))), "_sfx", "left_semi")
