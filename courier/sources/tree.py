@@ -16,6 +16,10 @@ executor (links are reported with ``is_link`` and never descended). Options:
 
 from __future__ import annotations
 
+import datetime as _dt
+import os
+import stat as _stat
+
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "key string, length bigint, is_link boolean, modified timestamp_ntz, content binary"
@@ -102,26 +106,20 @@ class TreeReader(DataSourceReader):
             shards[(i + len(flat)) % self.n][1].append(rel)
         return [_Shard(i, f, d) for i, (f, d) in enumerate(shards) if f or d] or [_Shard(0, [], [])]
 
-    def _row(self, full: str, rel: str):
-        import datetime as dt
-        import os
-        import stat as st_
-
-        st = os.lstat(full)
-        link = st_.S_ISLNK(st.st_mode)
-        if not link and not st_.S_ISREG(st.st_mode):
+    def _row(self, entry, rel: str):
+        st = entry.stat(follow_symlinks=False)  # cached by scandir where the OS allows
+        link = _stat.S_ISLNK(st.st_mode)
+        if not link and not _stat.S_ISREG(st.st_mode):
             return None
         body = None
         if self.content and not link:
-            with open(full, "rb") as f:
+            with open(entry.path, "rb") as f:
                 body = f.read() if self.max_bytes < 0 else f.read(self.max_bytes)
-        mod = dt.datetime.fromtimestamp(st.st_mtime, dt.timezone.utc).replace(tzinfo=None)
+        mod = _dt.datetime.fromtimestamp(st.st_mtime, _dt.timezone.utc).replace(tzinfo=None)
         return (rel, int(st.st_size), link, mod, body)
 
     def _files_of(self, rel: str):
         """Files (and links, also links to directories) directly inside ``rel``."""
-        import os
-
         try:
             with os.scandir(os.path.join(self.root, rel)) as it:
                 entries = sorted(it, key=lambda e: e.name)
@@ -134,7 +132,7 @@ class TreeReader(DataSourceReader):
             if not key.startswith(self.prefix):
                 continue
             try:
-                r = self._row(e.path, key)
+                r = self._row(e, key)
             except OSError:
                 continue
             if r is not None:
