@@ -1,6 +1,5 @@
 """Byte-bounded text heads: the first N bytes of a text or a body, decoded with errors ignored."""
 
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 

@@ -1,6 +1,5 @@
 """Bundling: plan bounded archives per owner, pack them (tar.gz) and unpack them again."""
 
-
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
