@@ -15,8 +15,8 @@ from ..functions.sizes import human_bytes
 from ..operators import (bundle_plan, delivery_keys, endpoint_inventory, fetch_user_archive,
                          file_keys, key_collisions, latest_delivery, layered_settings, list_objects,
                          missing_archives, nested_lookup, object_preview, pack_archives,
-                         redact_presence, size_guard, size_report, transfer_progress, tree_stats,
-                         unpack_archives)
+                         redact_presence, settings_report, size_guard, size_report,
+                         transfer_progress, tree_stats, unpack_archives)
 from ..plans.publish import copy_objects, publish
 from ..session import work_dir
 from ..sources import objects as objects_sink
@@ -91,7 +91,8 @@ def q_missing_archives(spark, d):
     return missing_archives(owners, found, "c_custkey", "user_id")
 
 
-def q_layered_settings(spark, d):
+def _bootstrap_layers(spark, d):
+    """Per user: an override layer from signups and an environment layer from purchases."""
     ev = table(spark, d, "events")
     per_user = ev.groupBy("user_id").agg(
         F.max(F.when(F.col("event_type") == "signup", F.col("value"))).alias("o_max"),
@@ -100,14 +101,28 @@ def q_layered_settings(spark, d):
     override = F.when(F.col("o_max") > 100, F.concat(F.lit("override:"), uid)).otherwise(F.lit(""))
     env = (F.when(F.col("p_max") > 150, F.concat(F.lit("env:"), uid))
             .when(F.col("p_max") > 100, F.lit("")))
-    layers = per_user.select(
+    return per_user.select(
         F.col("user_id").alias("scope"), F.lit("kafka_bootstrap").alias("name"),
         F.inline(F.array(F.struct(override.alias("value"), F.lit(0).alias("layer")),
                          F.struct(env.alias("value"), F.lit(1).alias("layer")))))
-    res = layered_settings(layers)
+
+
+def q_layered_settings(spark, d):
+    res = layered_settings(_bootstrap_layers(spark, d))
     return res.select(F.col("scope").alias("user_id"), "resolved", "effective")
 
 
+def q_settings_report(spark, d):
+    ev = table(spark, d, "events")
+    secret = (ev.where(F.col("event_type") == "error").groupBy("user_id").agg(F.max("value").alias("m"))
+              .where(F.col("m") > 300)
+              .select(F.col("user_id").alias("scope"), F.lit("aws_secret_access_key").alias("name"),
+                      F.concat(F.lit("tok-"), F.col("user_id").cast("string")).alias("value"),
+                      F.lit(1).alias("layer")))
+    res = layered_settings(_bootstrap_layers(spark, d).unionByName(secret))
+    return settings_report(res).withColumnRenamed("scope", "user_id")
+
+
 def q_key_collisions(spark, d):
     dl = events_deliveries(spark, d).drop("key", "file_name", "folder", "uri")
     branch = F.when(F.col("course").isin("click", "view"), F.lit("student")).otherwise(F.col("course"))
@@ -233,6 +248,7 @@ QUERIES = {
     "fetch_user_archive": q_fetch_user_archive,
     "missing_archives": q_missing_archives,
     "layered_settings": q_layered_settings,
+    "settings_report": q_settings_report,
     "key_collisions": q_key_collisions,
     "transfer_progress": q_transfer_progress,
     "latest_delivery": q_latest_delivery,
@@ -309,6 +325,19 @@ ORACLE = {
         SELECT o.user_id, coalesce(nullif(o.v, ''), e.v, 'localhost:9092') AS resolved,
         coalesce(nullif(o.v, ''), nullif(e.v, ''), 'localhost:9092') AS effective
         FROM o LEFT JOIN e ON o.user_id = e.user_id""",
+    "settings_report": """WITH o AS (SELECT user_id, CASE WHEN max(value) FILTER (WHERE event_type = 'signup') > 100
+        THEN 'override:' || user_id ELSE '' END AS v FROM events GROUP BY user_id),
+        e AS (SELECT user_id, CASE WHEN max(value) > 150 THEN 'env:' || user_id WHEN max(value) > 100 THEN '' END AS v
+        FROM events WHERE event_type = 'purchase' GROUP BY user_id),
+        s AS (SELECT user_id FROM events WHERE event_type = 'error' GROUP BY user_id HAVING max(value) > 300)
+        SELECT o.user_id, coalesce(nullif(o.v, ''), nullif(e.v, ''), 'localhost:9092') AS kafka_bootstrap,
+        CAST(NULL AS VARCHAR) AS schema_registry_url, CAST(NULL AS VARCHAR) AS flink_rest_url,
+        CAST(NULL AS VARCHAR) AS kafka_sasl_username, false AS has_kafka_sasl_password,
+        CAST(NULL AS VARCHAR) AS jupyterhub_user, CAST(NULL AS VARCHAR) AS course,
+        CAST(NULL AS VARCHAR) AS github_branch, CAST(NULL AS VARCHAR) AS github_repo,
+        CAST(NULL AS VARCHAR) AS aws_region, false AS has_aws_access_key_id,
+        s.user_id IS NOT NULL AS has_aws_secret_access_key
+        FROM o LEFT JOIN e ON o.user_id = e.user_id LEFT JOIN s ON o.user_id = s.user_id""",
     "key_collisions": """SELECT (CASE WHEN event_type IN ('click', 'view') THEN 'student' ELSE event_type END)
         || '/materials_user_' || user_id || '.tar.gz' AS key, count(DISTINCT event_type) AS n_courses,
         count(DISTINCT user_id) AS n_owners, count(*) AS n_writes FROM events GROUP BY 1
