@@ -21,6 +21,7 @@ from ..session import block_count
 BLOCK = "_blk"
 LOCAL = "_lcum"
 LOCAL_TOTAL = "_ltot"
+SCAN_BLOCK_BYTES = 128 * 1024 * 1024
 
 
 def _local_scan(by: Sequence[str], value: str):
@@ -111,7 +112,9 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: s
     table is broadcast; no row of the input is shuffled a second time.
     """
     by, order = list(by), list(order)
-    n = partitions or block_count(df.select(*by, *order, value))
+    # every column flows through the scan, and a block may buffer one group's rows: size blocks from
+    # the whole input, at a smaller target than the packer's
+    n = partitions or block_count(df, SCAN_BLOCK_BYTES)
     ranged = df.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order)
     schema = T.StructType(df.schema.fields + [T.StructField(BLOCK, T.IntegerType(), False),
                                               T.StructField(LOCAL, T.LongType(), False),
