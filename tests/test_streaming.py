@@ -59,3 +59,24 @@ def test_ledger_stream_on_rocksdb_state(spark):
     got = read_ledger(spark, f"{base}/sink").select("key", "delivery_id")
     want = latest_delivery(deliveries_from_events(spark.read.parquet(f"{base}/in"))).select("key", "delivery_id")
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_ledger_stream_resumes_from_its_checkpoint(spark):
+    ev = table(spark, SF01, "events")
+    base = work_dir(spark, "test_resume")
+    landing, sink, cp = f"{base}/landing", f"{base}/sink", f"{base}/cp"
+    halves = [ev.where(F.col("event_id") % 2 == i) for i in range(2)]
+    halves[0].write.parquet(f"{landing}/a")
+    stream = spark.readStream.schema(ev.schema).option("recursiveFileLookup", "true").parquet(landing)
+    q = stream_delivery_ledger(deliveries_from_events(stream), sink, cp)
+    q.awaitTermination()
+    first_batches = len(q.recentProgress)
+    halves[1].write.parquet(f"{landing}/b")
+    stream = spark.readStream.schema(ev.schema).option("recursiveFileLookup", "true").parquet(landing)
+    q2 = stream_delivery_ledger(deliveries_from_events(stream), sink, cp)
+    q2.awaitTermination()
+    assert q2.exception() is None and first_batches >= 1
+    assert sum(p["numInputRows"] for p in q2.recentProgress) == halves[1].count()
+    got = read_ledger(spark, sink).select("key", "delivery_id")
+    want = latest_delivery(deliveries_from_events(ev)).select("key", "delivery_id")
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
