@@ -137,9 +137,14 @@ def s3a_conf(settings: Settings, env: Mapping[str, str] | None = None) -> dict[s
     return conf
 
 
-def s3a_session(builder, settings: Settings, env: Mapping[str, str] | None = None):
-    """Apply :func:`s3a_conf` to a ``SparkSession.builder`` (works in classic and Connect mode)."""
-    for k, v in s3a_conf(settings, env).items():
+def s3a_session(builder, settings: Settings, env: Mapping[str, str] | None = None, *,
+                notebook: bool = True):
+    """Apply :func:`s3a_conf` to a ``SparkSession.builder`` (works in classic and Connect mode);
+    ``notebook`` also turns on eager evaluation so DataFrames render in a notebook."""
+    conf = dict(s3a_conf(settings, env))
+    if notebook:
+        conf["spark.sql.repl.eagerEval.enabled"] = "true"
+    for k, v in conf.items():
         builder = builder.config(k, v)
     return builder
 

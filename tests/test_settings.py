@@ -102,3 +102,19 @@ def test_settings_report_hides_secrets(spark):
     assert by["u1"].course is None and by["u2"].course == "c2"
     assert by["u2"].kafka_bootstrap == "localhost:9092" and not by["u2"].has_aws_access_key_id
     assert by["u2"].schema_registry_url is None
+
+
+def test_s3a_session_builder_conf():
+    from courier.sources import s3a_session
+
+    class Builder:
+        def __init__(self):
+            self.conf = {}
+
+        def config(self, k, v):
+            self.conf[k] = v
+            return self
+
+    b = s3a_session(Builder(), Settings(aws_access_key_id="k", aws_secret_access_key="s", aws_region="eu-west-1"), {})
+    assert b.conf["spark.hadoop.fs.s3a.access.key"] == "k" and b.conf["spark.sql.repl.eagerEval.enabled"] == "true"
+    assert b.conf["spark.hadoop.fs.s3a.endpoint.region"] == "eu-west-1"
