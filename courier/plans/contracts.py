@@ -18,7 +18,7 @@ from ..operators import (bundle_plan, delivery_keys, endpoint_inventory, fetch_u
                          redact_presence, settings_report, size_guard, size_report,
                          transfer_progress, tree_stats, unpack_archives)
 from ..plans.publish import copy_objects, publish
-from ..session import work_dir
+from ..session import block_count, work_dir
 from ..sources import objects as objects_sink
 from ..sources.tables import deliveries_from_events, documents_inventory, events_deliveries, table
 from ..sources.tree import object_inventory
@@ -147,11 +147,12 @@ def q_latest_delivery(spark, d):
 
 
 def q_stream_delivery_ledger(spark, d):
-    schema = table(spark, d, "events").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    events = table(spark, d, "events")
+    stream = (spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet")
               .option("maxFilesPerTrigger", 1).parquet(d))
     base = work_dir(spark, "stream_ledger")
-    q = stream_delivery_ledger(deliveries_from_events(stream), f"{base}/sink", f"{base}/checkpoint")
+    q = stream_delivery_ledger(deliveries_from_events(stream), f"{base}/sink", f"{base}/checkpoint",
+                               state_partitions=block_count(events))
     q.awaitTermination()
     if q.exception():
         raise q.exception()

@@ -28,8 +28,14 @@ def latest_by_key(stream: DataFrame, key_cols: Sequence[str] = ("key",),
 def stream_delivery_ledger(stream: DataFrame, sink: str, checkpoint: str, *,
                            key_cols: Sequence[str] = ("key",),
                            order_cols: Sequence[str] = ("ts", "delivery_id"),
-                           available_now: bool = True, processing_time: str | None = None):
-    """Start the ledger stream; returns the ``StreamingQuery``."""
+                           available_now: bool = True, processing_time: str | None = None,
+                           state_partitions: int | None = None):
+    """Start the ledger stream; returns the ``StreamingQuery``.
+
+    ``state_partitions`` fixes how many state partitions the query has (stored in its checkpoint at
+    the first start and kept afterwards); by default the session's shuffle width. It applies to this
+    query only: a stream copies the session conf when it starts.
+    """
     agg = latest_by_key(stream, key_cols, order_cols)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
@@ -41,7 +47,16 @@ def stream_delivery_ledger(stream: DataFrame, sink: str, checkpoint: str, *,
         w = w.trigger(processingTime=processing_time)
     elif available_now:
         w = w.trigger(availableNow=True)
-    return w.start()
+    if state_partitions is None:
+        return w.start()
+    spark = stream.sparkSession
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(int(state_partitions)))
+    try:
+        return w.start()
+    finally:
+        spark.conf.set(key, before)
 
 
 def read_ledger(spark: SparkSession, sink: str, key_cols: Sequence[str] = ("key",),

@@ -80,3 +80,16 @@ def test_ledger_stream_resumes_from_its_checkpoint(spark):
     got = read_ledger(spark, sink).select("key", "delivery_id")
     want = latest_delivery(deliveries_from_events(ev)).select("key", "delivery_id")
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_state_partitions_apply_to_the_stream_only(spark):
+    ev = table(spark, SF01, "events").limit(500)
+    base = work_dir(spark, "test_state_parts")
+    ev.write.parquet(f"{base}/in")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    stream = spark.readStream.schema(ev.schema).parquet(f"{base}/in")
+    q = stream_delivery_ledger(deliveries_from_events(stream), f"{base}/sink", f"{base}/cp", state_partitions=3)
+    q.awaitTermination()
+    ops = [p["stateOperators"][0] for p in q.recentProgress if p.get("stateOperators")]
+    assert ops and ops[0]["numShufflePartitions"] == 3
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
