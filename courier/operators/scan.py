@@ -105,6 +105,7 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: s
                 partitions: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over the rows of the same ``by`` group up to and including this
     one in ``order`` (``order`` must make rows unique within a group). ``total`` adds the group total.
+    ``value`` is a whole number (bytes, counts); NULL counts as 0.
 
     Each block knows, for every group, its running sum and total *within the block*. Only groups
     that span blocks need a correction (offset from earlier blocks, total over all blocks): such
