@@ -145,3 +145,11 @@ def test_transfer_progress_with_declared_total(spark):
     df = spark.createDataFrame(rows, "xfer string, seq bigint, n bigint, size bigint")
     got = [(r.seq, r.pct) for r in transfer_progress(df, ["xfer"], ["seq"], "n", total_col="size").orderBy("seq").collect()]
     assert got == [(0, 10), (1, 20), (2, 30), (3, 40), (4, 50)]
+
+
+def test_key_collisions_approx_matches_exact_on_small_data(spark):
+    rows = [(f"k{i % 7}", f"c{i % 3}", f"o{i % 2}") for i in range(60)]
+    df = spark.createDataFrame(rows, "key string, course string, owner string")
+    exact = sorted(tuple(r) for r in key_collisions(df).collect())
+    approx = sorted(tuple(r) for r in key_collisions(df, approx=True).collect())
+    assert exact == approx and len(exact) == 7

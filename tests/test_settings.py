@@ -118,3 +118,12 @@ def test_s3a_session_builder_conf():
     b = s3a_session(Builder(), Settings(aws_access_key_id="k", aws_secret_access_key="s", aws_region="eu-west-1"), {})
     assert b.conf["spark.hadoop.fs.s3a.access.key"] == "k" and b.conf["spark.sql.repl.eagerEval.enabled"] == "true"
     assert b.conf["spark.hadoop.fs.s3a.endpoint.region"] == "eu-west-1"
+
+
+def test_url_endpoints(spark):
+    from courier.operators import endpoints
+
+    df = spark.createDataFrame([("https://user:pw@h1.example.com:8443/a?b=1,2",), ("http://h2/x",), ("mailto:x",),
+                                ("s3a://bucket/key",)], "url string")
+    got = sorted((r.host, r.port) for r in endpoints(df, "url", 443, url=True).collect())
+    assert got == [("bucket", 443), ("h1.example.com", 8443), ("h2", 443)]
