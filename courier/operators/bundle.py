@@ -148,21 +148,21 @@ MAX_SAMPLES = 400_000
 
 
 def _block_bounds(narrow: DataFrame, n_blocks: int) -> list:
-    """Split points of (owner, key) into about ``n_blocks`` ranges of equal row count, from a seeded
-    sample (the same input always gives the same points). The sample is bounded: at most
-    ``MAX_SAMPLES`` rows reach the driver whatever the data size."""
-    total = narrow.count()
-    if total == 0 or n_blocks <= 1:
+    """Split points of (owner, key) into about ``n_blocks`` ranges of equal row count.
+
+    One pass: the rows with the smallest seeded random values form a uniform sample of exactly
+    ``SAMPLES_PER_BLOCK * n_blocks`` rows (at most ``MAX_SAMPLES``), found by a per-task top-k, so
+    the same input always gives the same points and the driver receives a bounded list."""
+    if n_blocks <= 1:
         return []
     want = min(MAX_SAMPLES, SAMPLES_PER_BLOCK * n_blocks)
-    frac = min(1.0, want / total)
-    rows = narrow.select("owner", "key").sample(False, frac, seed=17).limit(2 * MAX_SAMPLES).collect()
+    rows = (narrow.select("owner", "key", F.rand(17).alias("_r")).orderBy("_r").limit(want)
+            .select("owner", "key").collect())
     pts = sorted((r.owner.encode("utf-8"), r.key.encode("utf-8")) for r in rows)
     if not pts:
         return []
     step = len(pts) / n_blocks
-    bounds = sorted({pts[int(i * step)] for i in range(1, n_blocks) if int(i * step) < len(pts)})
-    return bounds
+    return sorted({pts[int(i * step)] for i in range(1, n_blocks) if int(i * step) < len(pts)})
 
 
 def _block_of(bounds: list):
