@@ -116,3 +116,13 @@ def test_sizes_do_not_read_bodies(spark, tmp_path):
     assert read_schema and not any("content" in l for l in read_schema)
     r = stats.first()
     assert (r.total_bytes, r.n_files) == (6, 2)
+
+
+def test_preview_reads_only_the_first_bytes_of_files(spark, tmp_path):
+    body = ("é" * 600).encode()  # 1200 bytes, two per character
+    _write(tmp_path, {"a.txt": body, "b.bin": b"\xff" * 50})
+    inv = object_inventory(spark, str(tmp_path), content=True, max_bytes=9)
+    rows = {r.key: r for r in object_preview(inv, "content", 9).collect()}
+    assert len(rows["a.txt"].content) == 9 and rows["a.txt"].length == 1200
+    assert rows["a.txt"].head == body[:9].decode("utf-8", errors="ignore") == "éééé"
+    assert rows["b.bin"].head == ""
