@@ -41,3 +41,22 @@ def test_running_sum_equals_the_window(spark, rows, blocks):
     w = Window.partitionBy("g").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
     ref = df.withColumn("cum", F.sum("v").over(w)).withColumn("tot", F.sum("v").over(Window.partitionBy("g")))
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, ref.collect())))
+
+
+@settings(**SETTINGS)
+@given(keys=st.lists(st.text(alphabet="ab_1.", min_size=0, max_size=8), min_size=1, max_size=40),
+       owners=st.lists(st.text(alphabet="ab_1.", min_size=0, max_size=5), min_size=1, max_size=12, unique=True))
+def test_suffix_lookup_equals_the_theta_join(spark, keys, owners):
+    from courier.operators import fetch_user_archive
+
+    objs = spark.createDataFrame([(f"p/{k}.tar.gz",) for k in keys] + [("q/x.tar.gz",)], "key string")
+    own = spark.createDataFrame([(o,) for o in owners], "owner string")
+    got = sorted(tuple(r) for r in fetch_user_archive(objs, own, prefix="p", match="suffix").collect())
+    want = []
+    for o in owners:
+        s = o.replace(".", "_") + ".tar.gz"
+        hits = sorted(k for k in (f"p/{k}.tar.gz" for k in keys) if k.endswith(s))
+        hits = sorted(hits, key=lambda k: k.encode())
+        if hits:
+            want.append((o, hits[0]))
+    assert got == sorted(want)
