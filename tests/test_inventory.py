@@ -126,3 +126,12 @@ def test_preview_reads_only_the_first_bytes_of_files(spark, tmp_path):
     assert len(rows["a.txt"].content) == 9 and rows["a.txt"].length == 1200
     assert rows["a.txt"].head == body[:9].decode("utf-8", errors="ignore") == "éééé"
     assert rows["b.bin"].head == ""
+
+
+def test_prune_skips_directories_while_listing(spark, tmp_path):
+    _write(tmp_path, {"a.txt": "12345", ".ipynb_checkpoints/j.txt": "zzz", "sub/__pycache__/x.pyc": "p",
+                      "sub/b.txt": "bb", "sub/__pycache__file": "f"})
+    pruned = object_inventory(spark, str(tmp_path), prune=("__pycache__", ".ipynb_checkpoints"))
+    assert {r.key for r in pruned.collect()} == {"a.txt", "sub/b.txt", "sub/__pycache__file"}
+    full = tree_stats(object_inventory(spark, str(tmp_path))).first()
+    assert tuple(tree_stats(pruned).first()) == tuple(full) == (8, 3)
