@@ -209,7 +209,7 @@ def pack_archives(objects: DataFrame, owner_col: str = "owner", *, key_col: str
 
     Members sit under a root directory named like the archive, ``<folder>_<slug>.tar.gz``, sorted,
     mode 644, gzip mtime 0 and a fixed ``compresslevel``: a bundle is reproducible. Junk path
-    components (``exclude``), links and rows without content are left out.
+    components (``exclude``), links and rows without content or key are left out.
 
     Plan. Rows are cut into key-range blocks of about equal row count (split points from a seeded,
     bounded sample), so an owner with a third of all files spans many blocks. A summary of one row
@@ -221,7 +221,7 @@ def pack_archives(objects: DataFrame, owner_col: str = "owner", *, key_col: str
     cuts the lineage before the merge.
     """
     df = exclude_paths(objects, key_col, exclude, "component")
-    df = df.where(F.col(content_col).isNotNull())
+    df = df.where(F.col(content_col).isNotNull() & F.col(key_col).isNotNull())
     if "is_link" in df.columns:
         df = df.where(~F.coalesce(F.col("is_link"), F.lit(False)))
     if path_col is not None:

@@ -74,3 +74,10 @@ def test_empty_inputs(spark):
     e2 = spark.createDataFrame([], "g string, o bigint, v bigint")
     assert running_sum(e2, ["g"], ["o"], "v", "cum").count() == 0
     assert transfer_progress(e2, ["g"], ["o"], "v").count() == 0
+
+
+def test_rows_without_key_or_content_are_left_out(spark):
+    df = spark.createDataFrame([("o", "a.txt", b"x"), ("o", None, b"y"), ("o", "b.txt", None)],
+                               "owner string, key string, content binary")
+    rows = pack_archives(df, "owner").collect()
+    assert [(r.n_files, r.bytes) for r in rows] == [(1, 1)]
