@@ -277,6 +277,9 @@ def _unpacker(archive_col, names, strip_root, batch_rows=1024, batch_bytes=32 *
 
         for pdf in batches:
             for owner, part, blob in zip(pdf["owner"].tolist(), pdf["part"].tolist(), pdf[archive_col].tolist()):
+                if blob is None:
+                    rows.append((owner, part, None, None, None, "missing archive"))
+                    continue
                 try:
                     with tarfile.open(fileobj=io.BytesIO(bytes(blob)), mode="r:*") as tar:
                         for m in tar:

@@ -57,12 +57,13 @@ def _tar(members):
 def test_unpack_rules(spark):
     blob = _tar([("root/a.txt", b"a"), ("root/.ipynb_checkpoints/x", b"x"), ("root/__pycache__/y.pyc", b"y"),
                  ("root/../../etc/passwd", b"p")])
-    df = spark.createDataFrame([("u", 0, blob), ("v", 0, b"not an archive")], "owner string, part bigint, archive binary")
+    df = spark.createDataFrame([("u", 0, blob), ("v", 0, b"not an archive"), ("w", 0, None)],
+                               "owner string, part bigint, archive binary")
     rows = unpack_archives(df).collect()
     ok = {r.path: r.content for r in rows if r._error is None}
     assert ok == {"a.txt": b"a", "__pycache__/y.pyc": b"y"}
     errors = sorted(r._error.split(":")[0] for r in rows if r._error)
-    assert errors == ["corrupt archive", "unsafe member path"]
+    assert errors == ["corrupt archive", "missing archive", "unsafe member path"]
 
 
 def test_empty_inputs(spark):
