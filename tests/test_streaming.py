@@ -93,3 +93,29 @@ def test_state_partitions_apply_to_the_stream_only(spark):
     ops = [p["stateOperators"][0] for p in q.recentProgress if p.get("stateOperators")]
     assert ops and ops[0]["numShufflePartitions"] == 3
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_kafka_fed_ledger_parses_json_records(spark, monkeypatch):
+    from courier.schema import DELIVERIES
+    from courier.sources import connectors
+    from courier.sources.connectors import Settings
+    from courier.sources.tables import events_deliveries
+    from courier.streaming import kafka_delivery_ledger
+
+    from conftest import SF001
+
+    dl = events_deliveries(spark, SF001).select(*DELIVERIES.fieldNames())
+    base = work_dir(spark, "test_kafka_json")
+    dl.select(F.to_json(F.struct(*dl.columns)).alias("value")).write.parquet(f"{base}/topic")
+
+    def fake_read(spark_, topic, settings, stream=True, **kw):
+        assert topic == "deliveries" and stream
+        return spark_.readStream.schema("value string").parquet(f"{base}/topic")
+
+    monkeypatch.setattr(connectors, "kafka_read", fake_read)
+    q = kafka_delivery_ledger(spark, "deliveries", Settings(), f"{base}/sink", f"{base}/cp")
+    q.awaitTermination()
+    assert q.exception() is None
+    got = read_ledger(spark, f"{base}/sink").select("key", "delivery_id")
+    want = latest_delivery(dl).select("key", "delivery_id")
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
