@@ -365,14 +365,18 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", *, shi
     component has no other id, whose component_id is then null; repeated rows are rows of their own.
     """
     own = stored(fingerprints(docs, [id_col], text_col, shingle=shingle, seed=seed), "fingerprints")
-    return own.join(members(own, id_col, distance), "fp", "left").select(id_col, "fp", "component_id")
+    found = members(own, id_col, distance).select(F.col("fp").alias("member_fp"), F.col("component_id").alias("component"))
+    return own.join(found, F.col("fp") == F.col("member_fp")).select(
+        id_col, "fp", F.col("component").alias("component_id"))
 
 
 def members(own: DataFrame, id_col: str, distance: int = 3) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint of ``own`` (``id_col``, fp)."""
+    """(fp, root, component_id) of every distinct fingerprint of ``own`` (``id_col``, fp).
+
+    ``root`` is the least fingerprint (as a signed long) of the component."""
     distinct = stored(own.groupBy("fp").agg(F.min(id_col).alias("least_id")), "distinct")
     stars = components(links(distinct.select("fp"), distance))
     rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
