@@ -20,7 +20,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _norm(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return "NULL"
-    if v is pd.NaT:
+    if v is pd.NaT or v is pd.NA:
         return "NULL"
     if isinstance(v, float):
         return repr(round(v, 6))
