@@ -1,4 +1,4 @@
-"""One query per operator, on the whole tables, and its DuckDB SQL where SQL can express it."""
+"""One query per operator, on the whole tables, with its production parameters."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from .classifier import quality_scores
 from .common import stored
 from .decontaminate import contamination
 from .line_dedup import drop_boilerplate
+from .oracles import ORACLE  # noqa: F401
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
@@ -94,5 +95,3 @@ QUERIES = {
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_token_counts": op10_token_counts,
 }
-
-ORACLE: dict[str, str] = {}
