@@ -58,9 +58,9 @@ boiler AS (SELECT k.source, bare FROM k JOIN total ON k.source IS NOT DISTINCT F
 marked AS (SELECT k.*, EXISTS (SELECT 1 FROM boiler b WHERE b.bare = k.bare AND b.source IS NOT DISTINCT FROM k.source) AS drop_it FROM k),
 doc AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (drop_it) AS hit,
   coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT drop_it), '') AS rest,
-  bool_or(NOT drop_it AND bare <> '') AS some FROM marked GROUP BY rid)
-SELECT doc_id, CASE WHEN hit > 0 AND some THEN rest ELSE text END AS text, coalesce(n_lines, 0) AS n_lines,
-  CASE WHEN some THEN hit ELSE 0 END AS n_dropped
+  bool_or(NOT drop_it AND bare <> '') AS any_left FROM marked GROUP BY rid)
+SELECT doc_id, CASE WHEN hit > 0 AND any_left THEN rest ELSE text END AS text, coalesce(n_lines, 0) AS n_lines,
+  CASE WHEN any_left THEN hit ELSE 0 END AS n_dropped
 FROM d LEFT JOIN doc USING (rid)
 """
 

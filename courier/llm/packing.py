@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import math
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
@@ -82,7 +83,7 @@ class Encoder:
         for p in pieces:
             end = p[-1:] if p[-1:] in (",", ".") else ""
             core = p[:-1] if end else p
-            if core.isalpha():
+            if core.isascii() and core.isalpha() or unicodedata.normalize("NFC", core).lower().isalpha():
                 cores[p] = (core.lower() if core.isascii() else core, end)
             else:
                 rest.append(p)
