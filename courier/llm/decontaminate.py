@@ -129,8 +129,11 @@ def _chunks(benchmark: DataFrame, id_col: str, text_col: str, chunk_windows: int
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", *,
                        item_col: str = "item_id", item_text: str = "text", size: int = 10,
-                       chunk_windows: int = 2_000_000) -> DataFrame:
-    """``keep`` columns, ``n_words``, ``spans`` (hit words, array of [start, end)) and ``items`` per row."""
+                       chunk_windows: int = 2_000_000, names: tuple = ("n_words", "spans", "items")) -> DataFrame:
+    """``keep`` columns, ``n_words``, ``spans`` (hit words, array of [start, end)) and ``items`` per row.
+
+    ``names`` gives the last three other names.
+    """
     spark = docs.sparkSession
     out, sets = None, []
     chunks = list(_chunks(benchmark, item_col, item_text, chunk_windows)) or [[]]
@@ -142,15 +145,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], t
             found = shared.value.scan(texts)
             return [[f[0] for f in found], [f[1] for f in found], [f[2] for f in found]]
 
-        names = [spare_name([*keep, text, *sum(sets, [])], f"{n}_{k}") for n in ("words", "spans", "items")]
+        own = [spare_name([*keep, text, *sum(sets, [])], f"{n}_{k}") for n in ("words", "spans", "items")]
         source = docs if out is None else out
-        fields = "{} long, {} array<array<int>>, {} array<string>".format(*names)
+        fields = "{} long, {} array<array<int>>, {} array<string>".format(*own)
         last = k == len(chunks) - 1
         carried = [*keep, *sum(sets, []), *([] if last or text in keep else [text])]
         out = map_text(source, carried, text, fields, fn)
-        sets.append(names)
+        sets.append(own)
     spans, items = F.concat(*[F.col(s[1]) for s in sets]), F.array_distinct(F.concat(*[F.col(s[2]) for s in sets]))
-    return out.select(*keep, F.col(sets[0][0]).alias("n_words"), spans.alias("spans"), items.alias("items"))
+    return out.select(*keep, F.col(sets[0][0]).alias(names[0]), spans.alias(names[1]), items.alias(names[2]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", **options) -> DataFrame:
@@ -176,12 +179,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     if mode not in ("documents", "spans"):
         raise ValueError("mode is 'documents' or 'spans'")
     columns = docs.columns
-    found = find_contamination(docs, benchmark, columns, text_col, size=size, **options)
+    words, spans, items = (spare_name(columns, f"hit_{n}") for n in ("words", "spans", "items"))
+    found = find_contamination(docs, benchmark, columns, text_col, size=size, names=(words, spans, items), **options)
     if mode == "documents":
-        return found.where(F.size("spans") == 0).select(*columns)
-    spans = spare_name(columns, "cut_spans")
+        return found.where(F.size(spans) == 0).select(*columns)
     cut = spare_name([*columns, spans], "cut_text")
-    carried = found.select(*columns, F.to_json("spans").alias(spans))
+    carried = found.select(*columns, F.to_json(spans).alias(spans))
     out = _cut(carried, columns, text_col, spans, cut)
     return out.select(*[F.col(cut).alias(c) if c == text_col else F.col(c) for c in columns])
 
