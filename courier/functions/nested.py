@@ -19,6 +19,9 @@ def lookup(doc, dotted: str, type_: str = "variant", *, strict: bool = False) ->
     value = F.try_variant_get(v, path, type_)
     if not strict:
         return value
+    # the error names the path only: a document may hold secrets
     present = F.try_variant_get(v, path, "variant").isNotNull()
-    return F.when(present, value).otherwise(
-        F.raise_error(F.concat(F.lit(f"missing key {dotted!r} in document: "), d)))
+    missing = F.raise_error(F.lit(f"missing key {dotted!r} in the document"))
+    wrong = F.raise_error(F.lit(f"the value at {dotted!r} is no {type_}"))
+    null = F.coalesce(F.is_variant_null(F.try_variant_get(v, path, "variant")), F.lit(False))
+    return F.when(~present, missing).when(value.isNull() & ~null, wrong).otherwise(value)

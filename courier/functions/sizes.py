@@ -9,34 +9,35 @@ from pyspark.sql import functions as F
 UNITS = ("B", "KB", "MB", "GB", "TB")
 
 
-def _by_unit(a: Column, values) -> Column:
-    """``CASE`` picking ``values[k]`` for the first unit with ``a < 1024**(k+1)`` (TB last)."""
-    expr = None
-    for k, v in enumerate(values[:-1]):
-        cond = a < F.lit(float(1024 ** (k + 1)))
-        expr = F.when(cond, v) if expr is None else expr.when(cond, v)
-    return expr.otherwise(values[-1])
-
-
 def human_bytes(n) -> Column:
     """``0 B``, ``1.5 KB``, ``5.0 MB`` … The unit is picked on ``abs(n) < 1024**k`` before rounding,
-    ``B`` has no decimals, the rest one decimal rounded half to even (like Python's format).
+    ``B`` has no decimals, the rest one decimal rounded half to even.
 
-    Tenths are ``rint(|n| * 10 / 1024**k)``: the division by a power of two is exact in a double and
-    ``rint`` rounds half to even, so ties round like Python. The expression is kept small on purpose:
-    one long CASE per unit would generate a method too large for the JIT to compile.
+    Whole numbers over the whole BIGINT range, in integer arithmetic: the quotient by the unit, then
+    ten times the remainder (below 10 * 1024**4) by the unit again, whose own remainder decides the
+    rounding. ``bigint`` input is exact; other numeric types are cast to it.
     """
-    v = (F.col(n) if isinstance(n, str) else n).cast("double")
-    a = F.abs(v)
+    v = (F.col(n) if isinstance(n, str) else n).cast("bigint")
+    # the least BIGINT has no positive counterpart; one less shows the same text
+    a = F.abs(F.greatest(v, F.lit(-(1 << 63) + 1)))
+    level = sum(((a >= F.lit(1024 ** k)).cast("int") for k in range(1, len(UNITS))), F.lit(0))
+    pick = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), level + F.lit(1))
+    div = pick([1024 ** k for k in range(len(UNITS))]).cast("bigint")
+    rest = F.pmod(a, div) * F.lit(10)
+    over = F.pmod(rest, div)
+    tenths = _quotient(a, div) * F.lit(10) + _quotient(rest, div)
+    # half to even: up if more than half of a tenth is over, or exactly half and the tenth is odd
+    up = (over * 2 > div) | ((over * 2 == div) & (F.pmod(tenths, F.lit(2)) == 1))
+    tenths = tenths + up.cast("int")
+    number = F.when(level == 0, a.cast("string")).otherwise(
+        F.concat(_quotient(tenths, F.lit(10)).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string")))
     sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
-    div = _by_unit(a, [F.lit(float(1024 ** k)) for k in range(len(UNITS))])
-    unit = _by_unit(a, [F.lit(u) for u in UNITS])
-    tenths = F.rint(a * F.lit(10.0) / div).cast("bigint")
-    whole = F.rint(a).cast("bigint")
-    text = F.when(a < F.lit(1024.0), F.concat(whole.cast("string"), F.lit(" B"))).otherwise(
-        F.concat(F.floor(tenths / F.lit(10)).cast("string"), F.lit("."),
-                 F.pmod(tenths, F.lit(10)).cast("string"), F.lit(" "), unit))
-    return F.concat(sign, text)
+    return F.concat(sign, number, F.lit(" "), pick(UNITS))
+
+
+def _quotient(a: Column, b: Column) -> Column:
+    """Integer division of non-negative BIGINTs: exact where ``/`` would go through a double."""
+    return F.call_function("div", a, b)
 
 
 def mb_to_bytes(max_size_mb) -> Column:

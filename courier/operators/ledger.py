@@ -34,11 +34,12 @@ def latest_delivery(deliveries: DataFrame, key_cols: Sequence[str] = ("key",),
 def key_collisions(deliveries: DataFrame, key_col: str = "key", course_col: str = "course",
                    owner_col: str = "owner", *, approx: bool = False) -> DataFrame:
     """Keys written by more than one course (or by owners that share a slug): they overwrite each other."""
-    distinct = F.approx_count_distinct if approx else F.count_distinct
-    agg = (deliveries.groupBy(key_col)
-           .agg(distinct(course_col).alias("n_courses"),
-                distinct(owner_col).alias("n_owners"),
-                F.count(F.lit(1)).alias("n_writes")))
+    # one row per (key, course, owner) first: what is counted distinct below is small, and a key that
+    # is written very often is combined before the shuffle
+    writes = deliveries.groupBy(key_col, course_col, owner_col).agg(F.count(F.lit(1)).alias("_n"))
+    distinct = F.approx_count_distinct if approx else (lambda c: F.size(F.collect_set(c)).cast("bigint"))
+    agg = writes.groupBy(key_col).agg(distinct(course_col).alias("n_courses"), distinct(owner_col).alias("n_owners"),
+                                      F.sum("_n").alias("n_writes"))
     return agg.where((F.col("n_courses") > 1) | (F.col("n_owners") > 1))
 
 
@@ -54,7 +55,8 @@ def size_guard(df: DataFrame, group_cols: Sequence[str], length_col: str = "leng
     """``filter``: the groups over the limit. ``fail``: run that check as its own action and raise
     :class:`SizeLimitExceeded` before anything is written. ``max_size_mb=None`` means no limit."""
     if max_size_mb is None:
-        return df.sparkSession.createDataFrame([], "total_bytes bigint") if mode == "filter" else None
+        none = df.groupBy(*group_cols).agg(F.sum(length_col).cast("bigint").alias("total_bytes")).limit(0)
+        return none if mode == "filter" else None
     over = oversized(df, group_cols, length_col, max_size_mb)
     if mode == "filter":
         return over
@@ -67,29 +69,25 @@ def size_guard(df: DataFrame, group_cols: Sequence[str], length_col: str = "leng
     return None
 
 
-def _suffix_starts(s, max_len: int):
-    """Start offsets (0-based) of all suffixes of ``s`` no longer than ``max_len`` characters, the
-    empty one included; the suffix itself is a plain ``substring`` afterwards (no lambda, so the
-    whole step stays in generated code)."""
-    n = F.char_length(s)
-    return F.sequence(F.greatest(n - F.lit(max_len), F.lit(0)), n)
-
-
 def fetch_user_archive(objects: DataFrame, owners: DataFrame, *, prefix: str | None = None,
                        match: str = "owner", key_col: str = "key", owner_col: str = "owner",
-                       objects_owner_col: str = "owner", suffix: str = ".tar.gz") -> DataFrame:
+                       objects_owner_col: str = "owner", suffix: str = ".tar.gz",
+                       prefix_col: str | None = None) -> DataFrame:
     """The archive of every owner: ``(owner, key)``, first key in listing order.
 
     ``match="owner"``: equi-join on the ledger's owner column. ``match="suffix"``: the loose rule of
-    a bucket listing, the key ends with ``<owner slug><suffix>``. The theta join is rewritten as an
-    equi join: every key explodes into its suffixes (no longer than the longest slug), which are
-    pre-aggregated to ``min(key)`` per suffix before the join, so a suffix shared by many keys (the
-    empty one, a common digit) is one row per map task in the shuffle, not a hot join key. When the
-    owners' slugs are measured to fit under the broadcast threshold, a broadcast semi join first
-    drops every suffix that is nobody's slug, so almost nothing is shuffled.
+    a bucket listing, the key ends with ``<owner slug><suffix>``. The theta join becomes an equi join
+    on the suffix: a key yields one suffix per length that some slug has, so the rows grow with the
+    number of distinct slug lengths and not with the longest slug. Suffixes are combined to their
+    ``min(key)`` before the join, so one that many keys share is one row per map task.
+
+    ``prefix_col`` names a stored column that holds the key's prefix: the filter then reaches the
+    scan, where a filter on a computed key cannot.
     """
     objs = objects
-    if prefix is not None:
+    if prefix is not None and prefix_col is not None:
+        objs = objs.where(F.col(prefix_col) == prefix)
+    elif prefix is not None:
         objs = objs.where(F.col(key_col).startswith(prefix + "/") if prefix else ~F.col(key_col).contains("/"))
     if match == "owner":
         firsts = (objs.where(F.col(key_col).endswith(suffix))
@@ -99,34 +97,17 @@ def fetch_user_archive(objects: DataFrame, owners: DataFrame, *, prefix: str | N
     if match != "suffix":
         raise ValueError("match must be 'owner' or 'suffix'")
     o = owners.select(owner_col).distinct().withColumn("_slug", slug(F.coalesce(F.col(owner_col), F.lit(""))))
-    st = o.agg(F.max(F.char_length("_slug")).alias("m"), F.count(F.lit(1)).alias("n"),
-               F.sum(F.octet_length("_slug")).alias("b")).first()
-    if st.m is None:
-        return o.select(owner_col, F.lit(None).cast("string").alias(key_col)).limit(0)
+    # a scalar: the lengths that occur, at most as many as the longest name has characters
+    lengths = o.agg(F.collect_set(F.char_length("_slug"))).scalar()
     stems = (objs.where(F.col(key_col).endswith(suffix))
              .select(key_col, F.expr(f"substring({key_col}, 1, char_length({key_col}) - {len(suffix)})").alias("_stem")))
-    exploded = (stems.select(key_col, "_stem", F.explode(_suffix_starts(F.col("_stem"), st.m)).alias("_i"))
-                .select(key_col, F.substring(F.col("_stem"), F.col("_i") + 1, F.lit(1 << 30)).alias("_sfx")))
-    if 0 < int(st.b) + 48 * int(st.n) <= broadcast_limit(objects.sparkSession):
-        # the slugs are measured and small: drop suffixes that are nobody's slug before aggregating
-        exploded = exploded.join(F.broadcast(o.select(F.col("_slug").alias("_sfx"))), "_sfx", "left_semi")
-    firsts = exploded.groupBy("_sfx").agg(F.min(key_col).alias(key_col))
+    cut = (stems.withColumn("_lengths", lengths).select(key_col, "_stem", F.explode("_lengths").alias("_l"))
+           .where(F.col("_l") <= F.char_length("_stem"))
+           .select(key_col, F.expr("substring(_stem, char_length(_stem) - _l + 1)").alias("_sfx")))
+    firsts = cut.groupBy("_sfx").agg(F.min(key_col).alias(key_col))
     return o.join(firsts, o["_slug"] == firsts["_sfx"], "inner").select(owner_col, key_col)
 
 
-def broadcast_limit(spark) -> int:
-    """The session's broadcast threshold in bytes (``-1`` = broadcasting disabled → 0)."""
-    raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
-    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
-    num = raw.rstrip("bkmg")
-    mult = units.get(raw[len(num):], 1)
-    try:
-        val = int(float(num) * mult)
-    except ValueError:
-        return 0
-    return max(0, val)
-
-
 def missing_archives(owners: DataFrame, found: DataFrame, owner_col: str = "owner",
                      found_owner_col: str | None = None) -> DataFrame:
     """Owners with no archive: a left anti join against the distinct owners that have one.

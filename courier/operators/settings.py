@@ -26,10 +26,10 @@ DEFAULTS = {
     "aws_secret_access_key": "",
 }
 SECRETS = ("kafka_sasl_password", "aws_access_key_id", "aws_secret_access_key")
+CREDENTIAL_PAIR = ("aws_access_key_id", "aws_secret_access_key")
 
 # Layer numbers: lower wins.
 OVERRIDE, ENV, FILE = 0, 1, 2
-MAX_DEFAULTS = 10_000
 
 
 def layered_settings(layers: DataFrame, defaults=None, *, scope_col: str = "scope",
@@ -56,9 +56,7 @@ def layered_settings(layers: DataFrame, defaults=None, *, scope_col: str = "scop
     if defaults is None:
         defaults = DEFAULTS
     if isinstance(defaults, Mapping):
-        # the catalogue is a fixed, small mapping: a map literal looked up per row, no join at all
-        if len(defaults) > MAX_DEFAULTS:
-            raise ValueError("the settings catalogue is too large for a map literal")
+        # a mapping is the program's own text: a map literal looked up per row, no join at all
         lookup_map = F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv])
         out = agg.withColumn("_default", F.try_element_at(lookup_map, F.col(name_col)))
     else:
@@ -70,8 +68,8 @@ def layered_settings(layers: DataFrame, defaults=None, *, scope_col: str = "scop
                       "source")
 
 
-def credential_pairs(resolved: DataFrame, key_name: str = "aws_access_key_id",
-                     secret_name: str = "aws_secret_access_key", *, scope_col: str = "scope",
+def credential_pairs(resolved: DataFrame, key_name: str = CREDENTIAL_PAIR[0],
+                     secret_name: str = CREDENTIAL_PAIR[1], *, scope_col: str = "scope",
                      name_col: str = "name", value_col: str = "effective") -> DataFrame:
     """Per scope: is a key/secret pair usable? Both halves are resolved independently (they may come
     from different layers) and count only together; otherwise the default credential chain applies.
@@ -91,12 +89,19 @@ def credential_pairs(resolved: DataFrame, key_name: str = "aws_access_key_id",
 def redact_presence(df: DataFrame, secret_cols: Sequence[str], *, rename: Mapping[str, str] | None = None,
                     blank_to_null: bool = True) -> DataFrame:
     """Never show a secret, only whether it is there: each secret column becomes the BOOLEAN
-    ``has_<col>`` (= not NULL and not blank); other text columns turn blanks into NULL."""
+    ``has_<col>`` (= not NULL and not blank); other text columns turn blanks into NULL.
+
+    Names compare without case, as Spark's do; a secret that names no column raises, so that a
+    misspelt name cannot leave a secret in clear."""
     rename = dict(rename or {})
     types = dict(df.dtypes)
+    secrets = {c.lower() for c in secret_cols}
+    unknown = secrets - {c.lower() for c in df.columns}
+    if unknown:
+        raise ValueError(f"no such secret columns: {sorted(unknown)}")
     cols = []
     for c in df.columns:
-        if c in secret_cols:
+        if c.lower() in secrets:
             cols.append((F.col(c).isNotNull() & (F.col(c).cast("string") != "")).alias(rename.get(c, f"has_{c}")))
         elif blank_to_null and types[c] == "string":
             cols.append(F.nullif(F.col(c), F.lit("")).alias(rename.get(c, c)))
@@ -109,13 +114,23 @@ def settings_report(resolved: DataFrame, *, scope_col: str = "scope", name_col:
                     value_col: str = "effective", names=None, secrets=SECRETS) -> DataFrame:
     """One row per scope with every setting as a column, the way a diagnosis shows them: plain
     settings as values (blank → NULL; a setting no layer mentions takes its default), secrets only as
-    ``has_<name>`` flags — no secret text in any cell. One grouped pivot over the fixed catalogue (explicit values: no extra job to find them)."""
+    ``has_<name>`` flags — no secret text in any cell. ``credentials`` says where a scope's key pair
+    comes from: ``source`` if both halves are set, else ``default-chain``. One grouped pivot over the
+    fixed catalogue (explicit values: no extra job to find them)."""
     names = list(names or DEFAULTS)
     wide = (resolved.where(F.col(name_col).isin(*names))
             .groupBy(scope_col).pivot(name_col, names).agg(F.first(value_col, ignorenulls=True)))
     # a setting no layer mentions for a scope has its catalogue default
     wide = wide.select(scope_col, *[F.coalesce(F.col(n), F.lit(DEFAULTS.get(n))).alias(n) for n in names])
-    return redact_presence(wide, [n for n in names if n in secrets])
+    known = [n for n in names if n in secrets]
+    pair = [n for n in CREDENTIAL_PAIR if n in names]
+    if len(pair) < 2:
+        return redact_presence(wide, known)
+    both = F.lit(True)
+    for n in pair:
+        both = both & F.col(n).isNotNull() & (F.col(n) != "")
+    wide = wide.withColumn("credentials", F.when(F.coalesce(both, F.lit(False)), "source").otherwise("default-chain"))
+    return redact_presence(wide, known)
 
 
 def nested_lookup(df: DataFrame, doc_col: str, dotted_path: str, type_: str = "variant", *,

@@ -337,7 +337,7 @@ ORACLE = {
         CAST(NULL AS VARCHAR) AS jupyterhub_user, CAST(NULL AS VARCHAR) AS course,
         CAST(NULL AS VARCHAR) AS github_branch, CAST(NULL AS VARCHAR) AS github_repo,
         CAST(NULL AS VARCHAR) AS aws_region, false AS has_aws_access_key_id,
-        s.user_id IS NOT NULL AS has_aws_secret_access_key
+        s.user_id IS NOT NULL AS has_aws_secret_access_key, 'default-chain' AS credentials
         FROM o LEFT JOIN e ON o.user_id = e.user_id LEFT JOIN s ON o.user_id = s.user_id""",
     "key_collisions": """SELECT (CASE WHEN event_type IN ('click', 'view') THEN 'student' ELSE event_type END)
         || '/materials_user_' || user_id || '.tar.gz' AS key, count(DISTINCT event_type) AS n_courses,

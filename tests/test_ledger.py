@@ -107,20 +107,21 @@ def test_running_sum_skewed_group_spans_many_tasks(spark):
     assert got.count() == df.count()
 
 
-def test_suffix_mode_prefilters_with_a_measured_broadcast(spark):
-    objs = spark.createDataFrame([("p/m_1.tar.gz",), ("p/m_21.tar.gz",), ("p/m_x.tar.gz",)], "key string")
-    owners = spark.createDataFrame([("1",), ("x",), ("9",)], "owner string")
-    res = fetch_user_archive(objs, owners, prefix="p", match="suffix")
-    assert sorted(tuple(r) for r in res.collect()) == [("1", "p/m_1.tar.gz"), ("x", "p/m_x.tar.gz")]
-    plan = res._jdf.queryExecution().executedPlan().toString()
-    assert "LeftSemi" in plan
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        res2 = fetch_user_archive(objs, owners, prefix="p", match="suffix")
-        assert sorted(tuple(r) for r in res2.collect()) == [("1", "p/m_1.tar.gz"), ("x", "p/m_x.tar.gz")]
-        assert "LeftSemi" not in res2._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+def test_suffix_rows_follow_the_slug_lengths(spark):
+    objs = spark.createDataFrame([(f"p/m_user_{i}.tar.gz",) for i in range(40)], "key string")
+    owners = spark.createDataFrame([("a" * 30,), ("user_7",), ("39",)], "owner string")
+    got = fetch_user_archive(objs, owners, prefix="p", match="suffix")
+    assert sorted((r.owner, r.key) for r in got.collect()) == [("39", "p/m_user_39.tar.gz"), ("user_7", "p/m_user_7.tar.gz")]
+    assert "Subquery" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_prefix_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    spark.createDataFrame([("p", "p/m_a.tar.gz", "a"), ("q", "q/m_a.tar.gz", "a")], "prefix string, key string, owner string").write.parquet(path)
+    owners = spark.createDataFrame([("a",)], "owner string")
+    got = fetch_user_archive(spark.read.parquet(path), owners, prefix="q", prefix_col="prefix")
+    assert [r.key for r in got.collect()] == ["q/m_a.tar.gz"]
+    assert "EqualTo(prefix,q)" in got._jdf.queryExecution().toString()
 
 
 def test_running_sum_groups_across_small_arrow_batches(spark):

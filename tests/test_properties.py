@@ -66,8 +66,8 @@ def test_suffix_lookup_equals_the_theta_join(spark, keys, owners):
 @given(values=st.lists(st.integers(min_value=-(2 ** 62), max_value=2 ** 62), min_size=1, max_size=300))
 def test_human_bytes_follows_the_python_rule(spark, values):
     from courier.functions import human_bytes
-    from test_functions import python_human
+    from test_functions import exact_text
 
     df = spark.createDataFrame([(v,) for v in values], "n bigint")
     got = [(r.n, r.h) for r in df.select("n", human_bytes("n").alias("h")).collect()]
-    assert all(h == python_human(n) for n, h in got)
+    assert all(h == exact_text(n) for n, h in got)
