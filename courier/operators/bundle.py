@@ -1,4 +1,4 @@
-"""Bundling: plan bounded archives per owner, pack them (tar.gz) and unpack them again."""
+"""Bundling: plan bounded archives per owner and folder, pack them (tar.gz) and unpack them again."""
 
 from collections.abc import Sequence
 
@@ -7,258 +7,174 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import archive_name, basename, col_or_lit, slug
 from ..schema import BUNDLES, MEMBERS
-from ..session import block_count, work_dir
+from ..session import materialise
 from .inventory import DEFAULT_EXCLUDE, exclude_paths
 from .scan import running_sum
 
 DEFAULT_PART_BYTES = 64 * 1024 * 1024
+# Python workers hand back about this many bytes per Arrow batch, or one archive.
+OUT_BYTES = 32 * 1024 * 1024
+
+
+class BundleError(RuntimeError):
+    """The objects cannot be bundled without losing or mixing up some of them."""
 
 
 def bundle_plan(objects: DataFrame, owner_col: str = "owner", key_col: str = "key",
-                length_col: str = "length", max_part_bytes: int = DEFAULT_PART_BYTES) -> DataFrame:
-    """Add ``part`` = ``(bytes before this file in key order) div max_part_bytes`` per owner.
+                length_col: str = "length", max_part_bytes: int = DEFAULT_PART_BYTES, *,
+                folder_col: str | None = None, partitions: int | None = None) -> DataFrame:
+    """Add ``part`` = ``(bytes before this file in key order) div max_part_bytes`` per owner (and
+    folder).
 
     Exact over the owner's whole key order; computed by the skew-safe running sum, so an owner with
     a third of all files still spreads over many tasks.
     """
-    r = running_sum(objects, [owner_col], [key_col], length_col, "_cum")
+    by = [owner_col] if folder_col is None else [owner_col, folder_col]
+    r = running_sum(objects, by, [key_col], length_col, "_cum", partitions=partitions)
     part = F.expr(f"(_cum - coalesce({length_col}, 0)) div {int(max_part_bytes)}")
     return r.withColumn("part", part.cast("bigint")).drop("_cum")
 
 
-# Rows out of the packer: finished archives (kind "A") and loose members of the parts that may
-# straddle a block boundary (kind "M"), merged afterwards.
-_PACKED = ("owner string, part bigint, name string, kind string, archive binary, n_files bigint, "
-           "bytes bigint, key string, content binary, mtime bigint")
-
-
-def _tar_factory(level: int = 6):
-    def tar_bytes(name, members):
+def whole_body(df: DataFrame, content_col: str = "content"):
+    """The body column; a row whose body could not be read (``_error``) fails the job that needs it."""
+    if "_error" not in df.columns:
+        return F.col(content_col)
+    return F.when(F.col("_error").isNotNull(), F.raise_error(F.concat(F.lit("unreadable object: "), F.col("_error")))
+                  ).otherwise(F.col(content_col))
+
+
+def _writer(level: int):
+    """A function that adds one member to an open tar; shared by every archive of a task."""
+    import io
+    import tarfile
+
+    def add(tar, name, row):
+        info = tarfile.TarInfo(name=f"{name}/{row['key']}")
+        info.mtime = int(row["_mtime"] or 0)
+        info.mode = int(row["_mode"])
+        if row["_target"] is not None:
+            info.type, info.linkname = tarfile.SYMTYPE, row["_target"]
+            tar.addfile(info)
+            return 0
+        if row["_dir"]:
+            info.type = tarfile.DIRTYPE
+            tar.addfile(info)
+            return 0
+        body = row["content"]
+        if body is None:
+            raise ValueError(f"no body for {row['key']!r} of {row['owner']!r}")
+        if row["_len"] == row["_len"] and int(row["_len"]) != len(body):  # not null
+            raise ValueError(f"the body of {row['key']!r} has {len(body)} of {int(row['_len'])} bytes")
+        info.size = len(body)
+        tar.addfile(info, io.BytesIO(bytes(body)))
+        return len(body)
+
+    return add
+
+
+def _packer(level: int):
+    """Rows sorted by (owner, folder, part, key) → one archive per part, written as the rows pass."""
+    def pack(batches):
         import gzip
         import io
         import tarfile
 
-        buf = io.BytesIO()
-        with gzip.GzipFile(fileobj=buf, mode="wb", mtime=0, compresslevel=level) as gz:
-            with tarfile.open(fileobj=gz, mode="w", format=tarfile.PAX_FORMAT) as tar:
-                for key, body, mtime in members:
-                    info = tarfile.TarInfo(name=f"{name}/{key}")
-                    info.size = len(body)
-                    info.mtime = int(mtime or 0)
-                    info.mode = 0o644
-                    tar.addfile(info, io.BytesIO(body))
-        return buf.getvalue()
+        import pandas as pd
 
-    return tar_bytes
+        add, done, held, now = _writer(level), [], 0, None
 
+        def begin(row):
+            buf = io.BytesIO()
+            gz = gzip.GzipFile(fileobj=buf, mode="wb", mtime=0, compresslevel=level)
+            return {"at": (row["owner"], row["_folder"], row["part"]), "name": row["_name"], "buf": buf, "gz": gz,
+                    "tar": tarfile.open(fileobj=gz, mode="w", format=tarfile.PAX_FORMAT), "n": 0, "bytes": 0}
 
-def _packer(blocks: dict, max_part_bytes: int, level: int):
-    tar_bytes = _tar_factory(level)
+        def end(a):
+            a["tar"].close()
+            a["gz"].close()
+            owner, folder, part = a["at"]
+            return (owner, folder, int(part), a["name"], a["buf"].getvalue(), a["n"], a["bytes"])
 
-    def pack(batches):
-        import pandas as pd
-
-        out, held = [], [0]
-        st = {"blk": None, "owner": None, "part": None, "name": None, "members": [], "bytes": 0, "cum": 0,
-              "first": True, "info": None}
-
-        def flush(last: bool):
-            if not st["members"]:
-                return
-            _, _, _, from_prev, to_next = st["info"]
-            loose = (st["first"] and from_prev) or (last and to_next)
-            if loose:
-                for key, body, mtime in st["members"]:
-                    out.append((st["owner"], st["part"], st["name"], "M", None, None, None, key, body, mtime))
-            else:
-                blob = tar_bytes(st["name"], st["members"])
-                out.append((st["owner"], st["part"], st["name"], "A", blob,
-                            len(st["members"]), st["bytes"], None, None, None))
-                held[0] += len(blob)
-            if loose:
-                held[0] += st["bytes"]
-            st["members"], st["bytes"], st["first"] = [], 0, False
-
-        def end_block():
-            if st["blk"] is not None:
-                if st["owner"] != st["info"][1]:
-                    raise RuntimeError("block summary does not match the block's rows")
-                flush(True)
-
-        def drain():
-            df = pd.DataFrame(out, columns=["owner", "part", "name", "kind", "archive", "n_files", "bytes",
-                                            "key", "content", "mtime"])
-            out.clear()
-            held[0] = 0
-            return df
+        def frame(rows):
+            return pd.DataFrame(rows, columns=["owner", "folder", "part", "name", "archive", "n_files", "bytes"])
 
         for pdf in batches:
-            cols = [pdf[c].tolist() for c in ("_blk", "owner", "key", "content", "_name", "_mtime", "_len")]
-            for blk, owner, key, body, name, mtime, length in zip(*cols):
-                if blk != st["blk"]:
-                    end_block()
-                    st.update(blk=blk, owner=None, part=None, first=True, info=blocks[blk])
-                    if owner != st["info"][0]:
-                        raise RuntimeError("block summary does not match the block's rows")
-                first_owner, _, offset, from_prev, _ = st["info"]
-                if owner != st["owner"]:
-                    flush(False)
-                    st.update(owner=owner, name=name, part=None,
-                              cum=offset if (owner == first_owner and from_prev) else 0)
-                part = st["cum"] // max_part_bytes
-                if part != st["part"]:
-                    flush(False)
-                    st["part"] = part
-                st["members"].append((key, bytes(body), mtime))
-                st["bytes"] += int(length)
-                st["cum"] += int(length)
-                if held[0] >= OUT_BYTES or len(out) >= 1024:
-                    yield drain()
-        end_block()
-        if out:
-            yield drain()
+            for row in pdf.to_dict("records"):
+                if now is None or now["at"] != (row["owner"], row["_folder"], row["part"]):
+                    if now is not None:
+                        done.append(end(now))
+                        held += len(done[-1][4])
+                        if held >= OUT_BYTES:
+                            yield frame(done)
+                            done, held = [], 0
+                    now = begin(row)
+                now["bytes"] += add(now["tar"], now["name"], row)
+                now["n"] += 1
+        if now is not None:
+            done.append(end(now))
+        if done:
+            yield frame(done)
 
     return pack
 
 
-def _merger(level: int):
-    tar_bytes = _tar_factory(level)
-
-    def merge(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("key", kind="stable")
-        members = [(k, bytes(b), m) for k, b, m in zip(pdf["key"], pdf["content"], pdf["mtime"])]
-        name = pdf["name"].iloc[0]
-        return pd.DataFrame([(pdf["owner"].iloc[0], int(pdf["part"].iloc[0]), name, tar_bytes(name, members),
-                              len(members), int(sum(len(b) for _, b, _ in members)))],
-                            columns=["owner", "part", "name", "archive", "n_files", "bytes"])
-
-    return merge
-
-
-SAMPLES_PER_BLOCK = 64
-# Python workers hand back at most about this many bytes per Arrow batch.
-OUT_BYTES = 32 * 1024 * 1024
-IN_BYTES = str(64 * 1024 * 1024)
-# More blocks than tasks: blocks are hashed to tasks, and several small blocks per task even out the
-# load; the price is at most two boundary parts per block to merge.
-BLOCKS_PER_TASK = 4
-MAX_SAMPLES = 400_000
-
-
-def _block_bounds(narrow: DataFrame, n_blocks: int) -> list:
-    """Split points of (owner, key) into about ``n_blocks`` ranges of equal row count.
-
-    One pass: the rows with the smallest seeded random values form a uniform sample of exactly
-    ``SAMPLES_PER_BLOCK * n_blocks`` rows (at most ``MAX_SAMPLES``), found by a per-task top-k, so
-    the same input always gives the same points and the driver receives a bounded list."""
-    if n_blocks <= 1:
-        return []
-    want = min(MAX_SAMPLES, SAMPLES_PER_BLOCK * n_blocks)
-    rows = (narrow.select("owner", "key", F.rand(17).alias("_r")).orderBy("_r").limit(want)
-            .select("owner", "key").collect())
-    pts = sorted((r.owner.encode("utf-8"), r.key.encode("utf-8")) for r in rows)
-    if not pts:
-        return []
-    step = len(pts) / n_blocks
-    return sorted({pts[int(i * step)] for i in range(1, n_blocks) if int(i * step) < len(pts)})
-
-
-def _block_of(bounds: list):
-    """Block id = number of split points <= (owner, key), in binary (UTF-8) order like Spark's."""
-    import pandas as pd
-
-    @F.pandas_udf("int")
-    def blk(owner: pd.Series, key: pd.Series) -> pd.Series:
-        import bisect
-
-        return pd.Series([bisect.bisect_right(bounds, (o.encode("utf-8"), k.encode("utf-8")))
-                          for o, k in zip(owner, key)], dtype="int32")
-
-    return blk
-
-
-def _block_plan(narrow: DataFrame) -> dict:
-    """Per block: its first and last owner, the bytes of the first owner in earlier blocks, and
-    whether the first/last owner continues from/into a neighbour. One row per block reaches the
-    driver: bounded by the number of blocks, whatever the data size."""
-    per = narrow.groupBy("_blk", "owner").agg(F.sum("_len").alias("b"))
-    summ = per.groupBy("_blk").agg(F.min_by(F.struct("owner", "b"), F.col("owner")).alias("f"),
-                                   F.max_by(F.struct("owner", "b"), F.col("owner")).alias("l"))
-    rows = sorted((r._blk, r.f.owner, int(r.f.b), r.l.owner, int(r.l.b)) for r in summ.collect())
-    plan, carry_owner, carry = {}, None, 0
-    for i, (blk, fo, fb, lo, lb) in enumerate(rows):
-        from_prev = fo == carry_owner
-        offset = carry if from_prev else 0
-        to_next = i + 1 < len(rows) and rows[i + 1][1] == lo
-        plan[blk] = (fo, lo, offset, from_prev, to_next)
-        carry = offset + fb if fo == lo else lb
-        carry_owner = lo
-    return plan
-
-
 def pack_archives(objects: DataFrame, owner_col: str = "owner", *, key_col: str = "key",
                   content_col: str = "content", folder=None, path_col: str | None = None,
-                  max_part_bytes: int = DEFAULT_PART_BYTES,
+                  length_col: str | None = None, max_part_bytes: int = DEFAULT_PART_BYTES,
                   exclude: Sequence[str] = DEFAULT_EXCLUDE, partitions: int | None = None,
                   compresslevel: int = 6) -> DataFrame:
-    """Bundle every owner's files into ``tar.gz`` archives: ``(owner, part, name, archive, n_files,
-    bytes)``. ``part`` is the :func:`bundle_plan` part of the files (bytes before the file, in key
-    order, div ``max_part_bytes``), so an archive holds less than ``max_part_bytes`` plus one file.
+    """Bundle every owner's files into ``tar.gz`` archives, one series of parts per (owner, folder):
+    ``(owner, folder, part, name, archive, n_files, bytes)``. ``part`` is the :func:`bundle_plan` part
+    of the files, so an archive holds less than ``max_part_bytes`` plus one file.
 
     Members sit under a root directory named like the archive, ``<folder>_<slug>.tar.gz``, sorted,
-    mode 644, gzip mtime 0 and a fixed ``compresslevel``: a bundle is reproducible. Junk path
-    components (``exclude``), links and rows without content or key are left out.
-
-    Plan. Rows are cut into key-range blocks of about equal row count (split points from a seeded,
-    bounded sample), so an owner with a third of all files spans many blocks. A summary of one row
-    per block gives each block the running byte count its first owner starts from. Then the only
-    shuffle of the bodies sends each block to one task, which streams its rows in (owner, key) order
-    and writes every part that lies inside the block as one archive (memory: one part). Only the
-    first and last part of a block can straddle a boundary; their members are merged by a small
-    grouped step. The packed rows are checkpointed into the session's checkpoint folder, which also
-    cuts the lineage before the merge.
+    with their mode (``mode`` column, else 644), gzip mtime 0 and a fixed ``compresslevel``: a bundle
+    is reproducible. Links (``is_link`` and ``link_target``) and empty folders (``is_dir``) are stored
+    as such. Junk path components (``exclude``) are left out. An object without a key, a key twice in
+    one bundle, a file without its body or with a part of it only, and a link without its target
+    raise :class:`BundleError` or fail the job: nothing is left out silently.
+
+    Plan. The parts come from keys and lengths alone (``length_col``, by default a column ``length``
+    if there is one; the bodies are not read for it). Bodies are then joined to their part on the
+    whole key, so every join key is one row, and meet by (owner, folder, part), whose bytes are
+    bounded; a task writes each archive while its rows pass.
     """
-    df = exclude_paths(objects, key_col, exclude, "component")
-    df = df.where(F.col(content_col).isNotNull() & F.col(key_col).isNotNull())
-    if "is_link" in df.columns:
-        df = df.where(~F.coalesce(F.col("is_link"), F.lit(False)))
-    if path_col is not None:
-        fold = basename(F.col(path_col))
-    else:
-        fold = col_or_lit(folder if folder is not None else "materials")
+    df = exclude_paths(objects, key_col, exclude, "component") if exclude else objects
+    # a null key must not vanish in the filter
+    df = df if not exclude else df.unionByName(objects.where(F.col(key_col).isNull()))
+    fold = basename(F.col(path_col)) if path_col is not None else col_or_lit(
+        folder if folder is not None else "materials")
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit(""))
-    mtime = (F.coalesce(F.unix_seconds(F.col("modified").cast("timestamp")), F.lit(0))
-             if "modified" in df.columns else F.lit(0)).cast("bigint")
-    df = df.select(owner.alias("owner"), F.col(key_col).alias("key"), F.col(content_col).alias("content"),
-                   archive_name(fold, slug(owner)).alias("_name"), mtime.alias("_mtime"),
-                   F.octet_length(content_col).cast("bigint").alias("_len"))
-    spark = objects.sparkSession
-    n = partitions or block_count(df)
-    bounds = _block_bounds(df.select("owner", "key"), min(BLOCKS_PER_TASK * n, MAX_SAMPLES // 8))
-    blk = _block_of(bounds)
-    blocks = _block_plan(df.select("owner", "_len", blk("owner", "key").alias("_blk")))
-    work_dir(spark)  # make sure a checkpoint folder is set
-    rows = (df.withColumn("_blk", blk("owner", "key")).repartition(n, "_blk")
-            .sortWithinPartitions("_blk", "owner", "key"))
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    user_cap = spark.conf.get(key, None)
-    if user_cap is None:
-        spark.conf.set(key, IN_BYTES)  # bodies reach Python in batches of bounded bytes
-    try:
-        packed = (rows.mapInPandas(_packer(blocks, int(max_part_bytes), compresslevel), _PACKED)
-                  .checkpoint(eager=True))
-    finally:
-        if user_cap is None:
-            spark.conf.unset(key)
-    whole = packed.where(F.col("kind") == "A").select(*BUNDLES.fieldNames())
-    merged = (packed.where(F.col("kind") == "M").select("owner", "part", "name", "key", "content", "mtime")
-              .groupBy("owner", "part").applyInPandas(_merger(compresslevel), BUNDLES))
-    return whole.unionByName(merged)
-
-
-def _unpacker(archive_col, names, strip_root, batch_rows=1024, batch_bytes=32 * 1024 * 1024):
+    have = set(df.columns)
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in have else F.lit(False)
+    mtime = F.coalesce(F.unix_seconds(F.col("modified").cast("timestamp")), F.lit(0)) if "modified" in have else F.lit(0)
+    length = length_col or ("length" if "length" in have else None)
+    size = F.col(length) if length else F.octet_length(content_col)
+    plain = ~flag("is_link") & ~flag("is_dir")
+    target = F.when(flag("is_link"), F.coalesce(F.col("link_target"), F.lit("")) if "link_target" in have else F.lit(""))
+    df = df.select(owner.alias("owner"), fold.alias("_folder"), F.col(key_col).alias("key"),
+                   whole_body(df, content_col).alias("content"), archive_name(fold, slug(owner)).alias("_name"),
+                   mtime.cast("bigint").alias("_mtime"),
+                   (F.coalesce(F.col("mode"), F.lit(0o644)) if "mode" in have else F.lit(0o644)).cast("int").alias("_mode"),
+                   target.alias("_target"), flag("is_dir").alias("_dir"),
+                   F.when(plain, size.cast("bigint")).alias("_len"))
+    at = ["owner", "_folder", "key"]
+    plan = materialise(bundle_plan(df.select(*at, "_target", F.coalesce("_len", F.lit(0)).alias("_size")), "owner", "key",
+                                   "_size", max_part_bytes, folder_col="_folder", partitions=partitions), "bundle_plan")
+    bad = plan.where(F.col("key").isNull() | (F.col("_target") == "")).select("owner", "key").limit(5).collect()
+    if bad:
+        raise BundleError("objects without a key or links without a target: "
+                          + ", ".join(f"{r.owner}: {r.key}" for r in bad))
+    twice = plan.groupBy(*at).count().where("count > 1").limit(5).collect()
+    if twice:
+        raise BundleError("keys twice in one bundle: " + ", ".join(f"{r.owner}/{r._folder}: {r.key}" for r in twice))
+    width = [partitions] if partitions else []
+    rows = (df.join(plan.select(*at, "part"), at).repartition(*width, "owner", "_folder", "part")
+            .sortWithinPartitions("owner", "_folder", "part", "key"))
+    return rows.mapInPandas(_packer(compresslevel), BUNDLES)
+
+
+def _unpacker(source_col, by_path, names, strip_root, batch_rows=1024, batch_bytes=32 * 1024 * 1024):
     def unpack(batches):
         import gzip
         import io
@@ -267,57 +183,66 @@ def _unpacker(archive_col, names, strip_root, batch_rows=1024, batch_bytes=32 *
 
         import pandas as pd
 
-        rows, held = [], [0]
+        columns = ["owner", "folder", "part", "path", "content", "length", "kind", "mode", "link_target", "_error"]
+        rows, held = [], 0
 
-        def emit():
-            df = pd.DataFrame(rows, columns=["owner", "part", "path", "content", "length", "_error"])
-            rows.clear()
-            held[0] = 0
-            return df
+        def inside(path):
+            norm = posixpath.normpath(path) if path else ""
+            return bool(path) and not path.startswith("/") and norm == path and norm.split("/")[0] != ".."
 
         for pdf in batches:
-            for owner, part, blob in zip(pdf["owner"].tolist(), pdf["part"].tolist(), pdf[archive_col].tolist()):
-                if blob is None:
-                    rows.append((owner, part, None, None, None, "missing archive"))
+            for owner, folder, part, source in zip(*[pdf[c].tolist() for c in ("owner", "folder", "part", source_col)]):
+                at = (owner, folder, part)
+                if source is None:
+                    rows.append((*at, None, None, None, None, None, None, "missing archive"))
                     continue
                 try:
-                    with tarfile.open(fileobj=io.BytesIO(bytes(blob)), mode="r:*") as tar:
+                    opened = {"name": source} if by_path else {"fileobj": io.BytesIO(bytes(source))}
+                    with tarfile.open(mode="r:*", **opened) as tar:
                         for m in tar:
-                            if not m.isreg():
+                            if not (m.isreg() or m.issym() or m.isdir()) or any(n in m.name for n in names):
                                 continue
-                            if any(n in m.name for n in names):
-                                continue
-                            path = m.name
+                            path = m.name.rstrip("/")
                             if strip_root:
                                 path = path.split("/", 1)[1] if "/" in path else ""
-                            norm = posixpath.normpath(path) if path else ""
-                            if not path or path.startswith("/") or norm.startswith("..") or norm != path:
-                                rows.append((owner, part, m.name, None, None, "unsafe member path"))
+                                if not path and m.isdir():
+                                    continue
+                            to = m.linkname if m.issym() else None
+                            # a link may point anywhere below the root of its bundle, nowhere else
+                            safe = inside(path) and (to is None or not to.startswith("/") and inside(
+                                posixpath.normpath(posixpath.join(posixpath.dirname(path), to))))
+                            if not safe:
+                                rows.append((*at, m.name, None, None, None, None, None, "unsafe member path"))
                                 continue
-                            body = tar.extractfile(m).read()
-                            rows.append((owner, part, path, body, len(body), None))
-                            held[0] += len(body)
-                            if len(rows) >= batch_rows or held[0] >= batch_bytes:
-                                yield emit()
+                            body = tar.extractfile(m).read() if m.isreg() else None
+                            kind = "file" if m.isreg() else "link" if to is not None else "folder"
+                            rows.append((*at, path, body, len(body or b""), kind, m.mode, to, None))
+                            held += len(body or b"")
+                            if len(rows) >= batch_rows or held >= batch_bytes:
+                                yield pd.DataFrame(rows, columns=columns)
+                                rows, held = [], 0
                 except (tarfile.TarError, OSError, EOFError, gzip.BadGzipFile) as e:
-                    rows.append((owner, part, None, None, None, f"corrupt archive: {e}"))
+                    rows.append((*at, None, None, None, None, None, None, f"corrupt archive: {e}"))
         if rows:
-            yield emit()
+            yield pd.DataFrame(rows, columns=columns)
 
     return unpack
 
 
-def unpack_archives(bundles: DataFrame, *, archive_col: str = "archive",
+def unpack_archives(bundles: DataFrame, *, archive_col: str = "archive", path_col: str | None = None,
                     exclude: Sequence[str] = (".ipynb_checkpoints",), strip_root: bool = True) -> DataFrame:
-    """One row per regular member of every archive: ``(owner, part, path, content, length, _error)``.
-
-    The archive's root directory is stripped; members whose name contains an excluded text are left
-    out (the restore rule keeps ``__pycache__``). Absolute or ``..`` paths and corrupt archives come
-    back as rows with ``_error`` set, never as files. Archive by archive, no shuffle.
+    """One row per member of every archive: ``(owner, folder, part, path, content, length, kind, mode,
+    link_target, _error)``; ``kind`` is ``file``, ``link`` or ``folder``.
+
+    The archive is the column ``archive_col``, or the file that ``path_col`` names, opened by the task
+    that unpacks it. The archive's root directory is stripped; members whose name contains an excluded
+    text are left out (the restore rule keeps ``__pycache__``). Absolute or ``..`` paths, links out of
+    the bundle and corrupt archives come back as rows with ``_error`` set, never as files. Archive by
+    archive, no shuffle.
     """
+    source = path_col or archive_col
     df = bundles
-    for c, t in (("owner", "string"), ("part", "bigint")):
-        if c not in df.columns:
-            df = df.withColumn(c, F.lit(None).cast(t))
-    df = df.select(F.col("owner").cast("string"), F.col("part").cast("bigint"), archive_col)
-    return df.mapInPandas(_unpacker(archive_col, tuple(exclude), strip_root), MEMBERS)
+    for c, t in (("owner", "string"), ("folder", "string"), ("part", "bigint")):
+        df = df.withColumn(c, F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t))
+    df = df.select("owner", "folder", "part", F.col(source))
+    return df.mapInPandas(_unpacker(source, path_col is not None, tuple(exclude), strip_root), MEMBERS)

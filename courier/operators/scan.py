@@ -2,10 +2,10 @@
 
 ``sum(x) OVER (PARTITION BY g ORDER BY o)`` sends every row of a group to one task; a group holding a
 third of the data would then hold a third of the job. Here the rows are range-partitioned on
-``(g, o)`` instead, so a large group spans many contiguous blocks. Each block is scanned locally
-(vectorized, streaming, constant memory), the per-block totals are pre-aggregated to one row per
-(block, group), and a window over those few rows gives each block its offset. The result is the
-same exact ROWS-frame running sum.
+``(g, o)``, so a large group spans many contiguous blocks, and written once with their block number:
+every later step reads that one table, so all agree on the blocks. A window per (block, group) gives
+the running sum inside a block, one row per (block, group) gives each block its offset. The result
+is the same exact ROWS-frame running sum. Everything is native; pass narrow rows, not bodies.
 """
 
 from __future__ import annotations
@@ -14,80 +14,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import block_count
+from ..session import materialise
 
 BLOCK = "_blk"
-LOCAL = "_lcum"
-LOCAL_TOTAL = "_ltot"
-SCAN_BLOCK_BYTES = 128 * 1024 * 1024
-
-
-def _local_scan(by: Sequence[str], value: str):
-    by = list(by)
-
-    def scan(batches):
-        import numpy as np
-        import pandas as pd
-        from pyspark import TaskContext
-
-        blk = np.int32(TaskContext.get().partitionId())
-        pending, cur_key, cur_cum = [], None, 0
-
-        def key_at(pdf, i):
-            return tuple(None if pd.isna(pdf[c].iloc[i]) else pdf[c].iloc[i] for c in by)
-
-        def emit(frames, total):
-            if not frames:
-                return None
-            out = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]
-            return out.assign(**{LOCAL_TOTAL: np.int64(total)})
-
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pdf = pdf.reset_index(drop=True)
-            n = len(pdf)
-            vals = pdf[value].fillna(0).astype("int64").to_numpy()
-            new = np.zeros(n, dtype=bool)
-            new[0] = key_at(pdf, 0) != cur_key
-            for c in by:
-                col = pdf[c]
-                na = col.isna().to_numpy()
-                sv = col.to_numpy(dtype=object)
-                diff = np.zeros(n, dtype=bool)
-                diff[1:] = (na[1:] != na[:-1]) | (~na[1:] & (sv[1:] != sv[:-1]))
-                new |= diff
-            gid = np.cumsum(new)
-            local = pd.Series(vals).groupby(gid).cumsum().to_numpy()
-            if not new[0]:
-                local[gid == gid[0]] += cur_cum
-            pdf = pdf.assign(**{BLOCK: blk, LOCAL: local.astype("int64")})
-            first, last = gid[0], gid[-1]
-            if new[0]:
-                done = emit(pending, cur_cum)
-                if done is not None:
-                    yield done
-                pending = []
-            if first == last:
-                pending.append(pdf)
-            else:
-                head = pdf[gid == first]
-                done = emit(pending + [head], int(head[LOCAL].iloc[-1]))
-                if done is not None:
-                    yield done
-                mid = pdf[(gid != first) & (gid != last)]
-                if len(mid):
-                    totals = mid.groupby(gid[(gid != first) & (gid != last)])[LOCAL].transform("last")
-                    yield mid.assign(**{LOCAL_TOTAL: totals.to_numpy().astype("int64")})
-                pending = [pdf[gid == last]]
-            cur_key, cur_cum = key_at(pdf, n - 1), int(local[-1])
-        done = emit(pending, cur_cum)
-        if done is not None:
-            yield done
-
-    return scan
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
@@ -107,29 +37,29 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: s
     one in ``order`` (``order`` must make rows unique within a group). ``total`` adds the group total.
     ``value`` is a whole number (bytes, counts); NULL counts as 0.
 
-    Each block knows, for every group, its running sum and total *within the block*. Only groups
-    that span blocks need a correction (offset from earlier blocks, total over all blocks): such
-    (block, group) pairs number at most twice the block count, whatever the data, so that small
-    table is broadcast; no row of the input is shuffled a second time.
+    Runs one job, which writes the rows with their block number under the shared checkpoint folder.
+    ``partitions`` is the number of blocks; without it the session's shuffle partitions. A group that
+    spans blocks needs a correction: at most two (block, group) pairs per block, so that side of the
+    join is small whatever the data.
     """
     by, order = list(by), list(order)
-    # every column flows through the scan, and a block may buffer one group's rows: size blocks from
-    # the whole input, at a smaller target than the packer's
-    n = partitions or block_count(df, SCAN_BLOCK_BYTES)
-    ranged = df.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order)
-    schema = T.StructType(df.schema.fields + [T.StructField(BLOCK, T.IntegerType(), False),
-                                              T.StructField(LOCAL, T.LongType(), False),
-                                              T.StructField(LOCAL_TOTAL, T.LongType(), False)])
-    scanned = ranged.mapInPandas(_local_scan(by, value), schema)
-    blocks = scanned.groupBy(BLOCK, *by).agg(F.max(LOCAL_TOTAL).alias("_bsum"))
+    blocks = [partitions] if partitions else []
+    ranged = df.repartitionByRange(*blocks, *by, *order).withColumn(BLOCK, F.spark_partition_id())
+    rows = materialise(ranged, "running_sum")
+    amount = F.coalesce(F.col(value).cast("bigint"), F.lit(0))
+    inside = Window.partitionBy(BLOCK, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.groupBy(BLOCK, *by).agg(F.sum(amount).alias("_sum"))
     group = Window.partitionBy(*by)
     before = group.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    spanning = (blocks.select(BLOCK, *by, F.count(F.lit(1)).over(group).alias("_nblk"),
-                              F.coalesce(F.sum("_bsum").over(before), F.lit(0)).alias("_off"),
-                              F.sum("_bsum").over(group).alias("_tot"))
-                .where(F.col("_nblk") > 1).drop("_nblk"))
-    joined = _null_safe_join(scanned, F.broadcast(spanning), [BLOCK, *by], "left")
-    res = joined.withColumn(out, (F.coalesce(F.col("_off"), F.lit(0)) + F.col(LOCAL)).cast("bigint"))
+    spanning = sums.select(BLOCK, *by, F.count(F.lit(1)).over(group).alias("_nblk"),
+                           F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"),
+                           F.sum("_sum").over(group).alias("_tot")).where(F.col("_nblk") > 1).drop("_nblk")
+    local = rows.withColumn("_local", F.sum(amount).over(inside))
+    if total:
+        whole = Window.partitionBy(BLOCK, *by)
+        local = local.withColumn("_ltot", F.sum(amount).over(whole))
+    res = _null_safe_join(local, spanning, [BLOCK, *by], "left")
+    res = res.withColumn(out, (F.coalesce("_off", F.lit(0)) + F.col("_local")).cast("bigint"))
     if total:
-        res = res.withColumn(total, F.coalesce(F.col("_tot"), F.col(LOCAL_TOTAL)).cast("bigint"))
-    return res.drop(BLOCK, LOCAL, LOCAL_TOTAL, "_off", "_tot")
+        res = res.withColumn(total, F.coalesce("_tot", "_ltot").cast("bigint"))
+    return res.drop(BLOCK, "_local", "_ltot", "_off", "_tot")

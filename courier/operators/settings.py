@@ -10,22 +10,24 @@ from pyspark.sql import functions as F
 from ..functions.endpoints import DEFAULT_PORT, host, port, url_authority
 from ..functions.nested import lookup
 
-# The settings catalogue and its defaults (name → default value).
-DEFAULTS = {
-    "kafka_bootstrap": "localhost:9092",
-    "schema_registry_url": "",
-    "flink_rest_url": "",
-    "kafka_sasl_username": "",
-    "kafka_sasl_password": "",
-    "jupyterhub_user": "",
-    "course": "",
-    "github_branch": "",
-    "github_repo": "",
-    "aws_region": "",
-    "aws_access_key_id": "",
-    "aws_secret_access_key": "",
-}
-SECRETS = ("kafka_sasl_password", "aws_access_key_id", "aws_secret_access_key")
+# Fixed values, one line per setting: name, environment variable, default, secret, whether a program
+# may override it.
+CATALOGUE = (
+    ("kafka_bootstrap", "KAFKA_BOOTSTRAP_SERVERS", "localhost:9092", False, True),
+    ("schema_registry_url", "SCHEMA_REGISTRY_URL", "", False, True),
+    ("flink_rest_url", "FLINK_REST_URL", "", False, True),
+    ("kafka_sasl_username", "KAFKA_SASL_USERNAME", "", False, True),
+    ("kafka_sasl_password", "KAFKA_SASL_PASSWORD", "", True, True),
+    ("jupyterhub_user", "JUPYTERHUB_USER", "", False, False),
+    ("course", "COURSE_NAME", "", False, True),
+    ("github_branch", "GITHUB_BRANCH", "", False, False),
+    ("github_repo", "GITHUB_REPO", "", False, False),
+    ("aws_region", "AWS_DEFAULT_REGION", "", False, True),
+    ("aws_access_key_id", "AWS_ACCESS_KEY_ID", "", True, True),
+    ("aws_secret_access_key", "AWS_SECRET_ACCESS_KEY", "", True, True),
+)
+DEFAULTS = {name: default for name, _, default, _, _ in CATALOGUE}
+SECRETS = tuple(name for name, _, _, secret, _ in CATALOGUE if secret)
 CREDENTIAL_PAIR = ("aws_access_key_id", "aws_secret_access_key")
 
 # Layer numbers: lower wins.

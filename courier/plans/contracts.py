@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sizes import human_bytes
-from ..operators import (bundle_plan, delivery_keys, endpoint_inventory, fetch_user_archive,
+from ..operators import (bundle_plan, delivery_keys, endpoint_inventory, exclude_paths, fetch_user_archive,
                          file_keys, key_collisions, latest_delivery, layered_settings, list_objects,
                          missing_archives, nested_lookup, object_preview, pack_archives,
                          redact_presence, settings_report, size_guard, size_report,
                          transfer_progress, tree_stats, unpack_archives)
-from ..plans.publish import copy_objects, publish
-from ..session import block_count, work_dir
+from ..plans.restore import restore
+from ..plans.publish import copy_collisions, copy_objects, publish
+from ..session import work_dir
 from ..sources import objects as objects_sink
 from ..sources.tables import deliveries_from_events, documents_inventory, events_deliveries, table
 from ..sources.tree import object_inventory
@@ -45,8 +46,25 @@ def q_object_preview(spark, d):
 
 
 def q_nested_lookup(spark, d):
-    ev = table(spark, d, "events")
-    return nested_lookup(ev, "props", "k", "int", out="k").select("event_id", "k")
+    ev = table(spark, d, "events").withColumn("doc", F.concat(F.lit('{"outer":{"inner":'), "props", F.lit("}}")))
+    return nested_lookup(ev, "doc", "outer.inner.k", "int", out="k").select("event_id", "k")
+
+
+def q_binary_preview(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("body"))
+    return object_preview(docs, "body", 61).select("doc_id", "head")
+
+
+def _mode_keys(spark, d):
+    """Keys in which junk names stand as folder, as file name, inside a name, and not at all."""
+    inv = documents_inventory(spark, d)
+    name = (F.when(F.col("doc_id") % 4 == 0, "__pycache__/f.txt").when(F.col("doc_id") % 4 == 1, "__pycache__")
+            .when(F.col("doc_id") % 4 == 2, "my__pycache__file").otherwise("f.txt"))
+    return inv.select("doc_id", F.concat("lang", F.lit("/"), name).alias("key"))
+
+
+def _excluding(mode):
+    return lambda spark, d: exclude_paths(_mode_keys(spark, d), "key", mode=mode)
 
 
 def q_tree_stats(spark, d):
@@ -71,6 +89,13 @@ def q_human_bytes_ties(spark, d):
     return _lineitem_sizes(spark, d, True).withColumn("human", human_bytes("n"))
 
 
+def q_human_bytes_large(spark, d):
+    """Halves of a tenth of a TB, and the whole numbers beside them, from 1.6 PB up."""
+    li = table(spark, d, "lineitem")
+    n = F.expr(f"((l_partkey * 2 + l_linenumber) * 2 + 33001) * {1 << 38} div 5 + l_orderkey % 3 - 1")
+    return li.select("l_orderkey", "l_linenumber", n.alias("n")).withColumn("human", human_bytes("n"))
+
+
 def q_size_report(spark, d):
     return size_report(_lineitem_sizes(spark, d, True), ["l_orderkey"], "n")
 
@@ -147,12 +172,13 @@ def q_latest_delivery(spark, d):
 
 
 def q_stream_delivery_ledger(spark, d):
+    """The events as a folder of files that all span the whole time, one file per micro-batch: rows of
+    every batch but the first are late for some keys."""
     events = table(spark, d, "events")
-    stream = (spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(d))
     base = work_dir(spark, "stream_ledger")
-    q = stream_delivery_ledger(deliveries_from_events(stream), f"{base}/sink", f"{base}/checkpoint",
-                               state_partitions=block_count(events))
+    events.repartition(4, "event_id").write.option("maxRecordsPerFile", 0).parquet(f"{base}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    q = stream_delivery_ledger(deliveries_from_events(stream), f"{base}/sink", f"{base}/checkpoint", compact_every=2)
     q.awaitTermination()
     if q.exception():
         raise q.exception()
@@ -172,24 +198,69 @@ def q_pack_roundtrip(spark, d):
     return members.select(F.col("path").alias("key"), "length", F.md5("content").alias("digest"))
 
 
-def q_deliver_restore(spark, d):
-    from .deliver import deliver, restore_bundles
+def q_pack_folders(spark, d):
+    """Two folders per owner with the same file names, and junk folders that do not go in."""
+    inv = documents_inventory(spark, d, content=True)
+    inv = inv.withColumn("dir", F.concat(F.lit("/home/"), "lang")).withColumn("key", F.concat(
+        F.when(F.col("doc_id") % 5 == 0, "__pycache__/").otherwise("sub/"), F.col("doc_id").cast("string")))
+    packed = pack_archives(inv, "owner", path_col="dir", max_part_bytes=PART_BYTES)
+    members = unpack_archives(packed)
+    return members.select("owner", "folder", F.col("path").alias("key"), "length", F.md5("content").alias("digest"))
+
+
+def _delivered(spark, d):
+    """Two deliveries to one bucket, the second of some owners only, and one to another bucket."""
+    from .deliver import deliver
 
     inv = documents_inventory(spark, d, content=True)
     store = work_dir(spark, "store")
-    deliver(inv, store, preset="materials", prefix="course", max_part_bytes=PART_BYTES)
-    owners = table(spark, d, "documents").select(F.col("source").alias("owner")).distinct()
-    members, _missing = restore_bundles(spark, store, owners, prefix="course")
+    deliver(inv, store, "results", prefix="course", max_part_bytes=PART_BYTES, delivery_id=1)
+    deliver(inv.where("owner = 'src1'").withColumn("key", F.concat(F.lit("new/"), "key")), store, "results",
+            prefix="course", max_part_bytes=PART_BYTES, delivery_id=2)
+    deliver(inv.where("owner = 'src2' AND doc_id % 2 = 0"), store, "users", prefix="course", delivery_id=3)
+    return store, inv.select("owner").distinct()
+
+
+def q_deliver_restore(spark, d):
+    from .deliver import restore_bundles
+
+    store, owners = _delivered(spark, d)
+    members, _missing = restore_bundles(spark, store, owners, bucket="results", prefix="course")
     return members.select(F.col("path").alias("key"), "length", F.md5("content").alias("digest"))
 
 
+def q_deliver_manifest(spark, d):
+    from .deliver import current_bundles as current_archives
+
+    store, _owners = _delivered(spark, d)
+    return (current_archives(spark, store).groupBy("bucket", "key", "delivery_id")
+            .agg(F.count(F.lit(1)).alias("n_archives"), F.sum("n_files").alias("n_files"), F.sum("bytes").alias("bytes")))
+
+
+def q_restore_shared_slug(spark, d):
+    """Owners whose slugs agree: each gets back the own files only."""
+    inv = documents_inventory(spark, d, content=True)
+    side = F.when(F.col("doc_id") % 2 == 0, F.concat("lang", F.lit("."), "owner")).otherwise(F.concat("lang", F.lit("_"), "owner"))
+    inv = inv.withColumn("owner", side)
+    bundles = pack_archives(inv, "owner", max_part_bytes=PART_BYTES).withColumn("key", F.concat(F.lit("c/"), "name"))
+    owners = inv.where("doc_id % 2 = 0").select("owner").distinct()
+    members, _ = restore(bundles, owners, prefix="c")
+    return members.select("owner", F.col("path").alias("key"), F.md5("content").alias("digest"))
+
+
+def q_copy_collisions(spark, d):
+    inv = documents_inventory(spark, d).withColumn("key", F.concat("lang", F.lit("/"), (F.col("doc_id") % 7).cast("string"), F.lit(".txt")))
+    return copy_collisions(inv, prefix="p").select("key", "n_objects")
+
+
 def q_endpoint_inventory(spark, d):
     return endpoint_inventory(table(spark, d, "pages"), "url", 443, url=True)
 
 
 def q_file_keys(spark, d):
     pages = table(spark, d, "pages").select("page_id", F.regexp_replace("url", r"[?#].*$", "").alias("path"),
-                                            F.lit("mario.rossi").alias("owner"))
+                                            F.when(F.col("page_id") % 3 == 0, "").otherwise(
+                                                F.concat(F.lit("u."), (F.col("page_id") % 50).cast("string"))).alias("owner"))
     return file_keys(pages, name_col="path", owner_col="owner", prefix="").select("page_id", "key")
 
 
@@ -207,7 +278,7 @@ def q_object_inventory(spark, d):
     objects_sink.register(spark)
     (documents_inventory(spark, d, content=True).select("key", "content")
         .write.format("courier_objects").mode("append").save(root))
-    return object_inventory(spark, root).select("key", "length")
+    return object_inventory(spark, root if root.startswith("file:") else f"file:{root}").select("key", "length")
 
 
 def q_copy_objects(spark, d):
@@ -220,14 +291,24 @@ def q_copy_objects(spark, d):
 
 
 def q_publish(spark, d):
+    """Every delivery goes into the ledger, in two writes; reading resolves them."""
     dl = events_deliveries(spark, d)
     target = work_dir(spark, "ledger")
-    oldest = dl.groupBy("key").agg(F.min_by(F.struct(*dl.columns), F.struct("ts", "delivery_id")).alias("_w")).select("_w.*")
-    publish(oldest, target, mode="ledger")
-    cur = publish(latest_delivery(dl, ["key"]), target, mode="ledger")
+    publish(dl.where("delivery_id % 2 = 0"), target, mode="ledger")
+    cur = publish(dl.where("delivery_id % 2 = 1"), target, mode="ledger")
     return cur.select("key", F.col("delivery_id").alias("event_id"))
 
 
+def q_publish_replace(spark, d):
+    """Later writes replace earlier ones by (bucket, key); a bucket of its own per weekday parity."""
+    bucket = F.when(F.dayofweek("ts") % 2 == 0, "a").otherwise("b")
+    dl = events_deliveries(spark, d).withColumn("bucket", bucket)
+    target = work_dir(spark, "current")
+    publish(dl.where("delivery_id % 3 = 0"), target, mode="replace")
+    cur = publish(dl.where("delivery_id % 3 > 0"), target, mode="replace")
+    return cur.select("bucket", "key", F.col("delivery_id").alias("event_id"))
+
+
 def q_observed_transfer(spark, d):
     inv = documents_inventory(spark, d, content=True)
     out, obs = observed_transfer(inv, "length")
@@ -240,10 +321,15 @@ QUERIES = {
     "current_bundles": current_bundles,
     "list_objects": q_list_objects,
     "object_preview": q_object_preview,
+    "binary_preview": q_binary_preview,
     "nested_lookup": q_nested_lookup,
+    "exclude_component": _excluding("component"),
+    "exclude_directory": _excluding("directory"),
+    "exclude_substring": _excluding("substring"),
     "tree_stats": q_tree_stats,
     "human_bytes": q_human_bytes,
     "human_bytes_ties": q_human_bytes_ties,
+    "human_bytes_large": q_human_bytes_large,
     "size_report": q_size_report,
     "size_guard": q_size_guard,
     "fetch_user_archive": q_fetch_user_archive,
@@ -256,7 +342,11 @@ QUERIES = {
     "stream_delivery_ledger": q_stream_delivery_ledger,
     "bundle_plan": q_bundle_plan,
     "pack_roundtrip": q_pack_roundtrip,
+    "pack_folders": q_pack_folders,
     "deliver_restore": q_deliver_restore,
+    "deliver_manifest": q_deliver_manifest,
+    "restore_shared_slug": q_restore_shared_slug,
+    "copy_collisions": q_copy_collisions,
     "endpoint_inventory": q_endpoint_inventory,
     "file_keys": q_file_keys,
     "redact_presence": q_redact_presence,
@@ -264,6 +354,7 @@ QUERIES = {
     "object_inventory": q_object_inventory,
     "copy_objects": q_copy_objects,
     "publish": q_publish,
+    "publish_replace": q_publish_replace,
     "observed_transfer": q_observed_transfer,
 }
 
@@ -291,6 +382,16 @@ SIZES = "CAST(floor(l_extendedprice * l_partkey * l_quantity) AS BIGINT)"
 TIES = "CAST(floor(l_quantity * 256) AS BIGINT) * l_linenumber"
 EXT = r"^(\.*[^.].*?|\.*)(\.[^.]*)?$"
 
+MODE_KEYS = """WITH k AS (SELECT doc_id, lang || '/' || CASE doc_id % 4 WHEN 0 THEN '__pycache__/f.txt'
+        WHEN 1 THEN '__pycache__' WHEN 2 THEN 'my__pycache__file' ELSE 'f.txt' END AS key FROM documents)
+        SELECT doc_id, key FROM k WHERE doc_id % 4"""
+# exact in HUGEINT: tenths with halves to even
+LARGE = f"""SELECT l_orderkey, l_linenumber, n, (t // 10) || '.' || (t % 10) || ' TB' AS human FROM (
+        SELECT *, q + CASE WHEN r * 2 > {1 << 40} OR (r * 2 = {1 << 40} AND q % 2 = 1) THEN 1 ELSE 0 END AS t FROM (
+        SELECT *, CAST(n AS HUGEINT) * 10 // {1 << 40} AS q, CAST(n AS HUGEINT) * 10 % {1 << 40} AS r FROM (
+        SELECT l_orderkey, l_linenumber,
+          ((l_partkey * 2 + l_linenumber) * 2 + 33001) * {1 << 38} // 5 + l_orderkey % 3 - 1 AS n FROM lineitem)))"""
+
 ORACLE = {
     "current_bundles": f"""WITH {DELIV}
         SELECT key, owner, course, delivery_id, ts, length, {_human_sql('length')} AS human FROM dl
@@ -299,6 +400,11 @@ ORACLE = {
         ORDER BY key LIMIT 10""",
     "object_preview": """SELECT doc_id, left(text, list_max(list_filter(range(0, 65),
         lambda n: strlen(left(text, n)) <= 64))) AS head FROM documents""",
+    "binary_preview": """SELECT doc_id, left(text, list_max(list_filter(range(0, 62),
+        lambda n: strlen(left(text, n)) <= 61))) AS head FROM documents""",
+    "exclude_component": f"{MODE_KEYS} IN (2, 3)",
+    "exclude_directory": f"{MODE_KEYS} IN (1, 2, 3)",
+    "exclude_substring": f"{MODE_KEYS} = 3",
     "nested_lookup": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events",
     "tree_stats": f"""WITH {INV} SELECT source AS owner, CAST(sum(length) AS BIGINT) AS total_bytes,
         count(*) AS n_files FROM inv
@@ -308,6 +414,7 @@ ORACLE = {
         FROM (SELECT l_orderkey, l_linenumber, {SIZES} AS n FROM lineitem)""",
     "human_bytes_ties": f"""SELECT l_orderkey, l_linenumber, n, {_human_sql('n')} AS human
         FROM (SELECT l_orderkey, l_linenumber, {TIES} AS n FROM lineitem)""",
+    "human_bytes_large": LARGE,
     "size_report": f"""SELECT l_orderkey, total_bytes, n_files, {_human_sql('total_bytes')} AS human
         FROM (SELECT l_orderkey, CAST(sum({TIES}) AS BIGINT) AS total_bytes, count(*) AS n_files
               FROM lineitem GROUP BY l_orderkey)""",
@@ -359,15 +466,29 @@ ORACLE = {
               ROWS UNBOUNDED PRECEDING) - length) // {PART_BYTES} AS BIGINT) AS part FROM inv)
         GROUP BY owner, part""",
     "pack_roundtrip": f"WITH {INV} SELECT key, length, md5(text) AS digest FROM inv",
-    "deliver_restore": f"WITH {INV} SELECT key, length, md5(text) AS digest FROM inv",
+    "pack_folders": """SELECT source AS owner, lang AS folder, 'sub/' || doc_id AS key, strlen(text) AS length, md5(text) AS digest
+        FROM documents WHERE doc_id % 5 <> 0""",
+    "deliver_restore": f"""WITH {INV} SELECT CASE WHEN source = 'src1' THEN 'new/' || key ELSE key END AS key, length,
+        md5(text) AS digest FROM inv""",
+    "deliver_manifest": f"""WITH {INV}, t AS (SELECT source, doc_id, 'results' AS bucket,
+        CASE WHEN source = 'src1' THEN 2 ELSE 1 END AS delivery_id, key, length FROM inv
+        UNION ALL SELECT source, doc_id, 'users', 3, key, length FROM inv WHERE source = 'src2' AND doc_id % 2 = 0),
+        p AS (SELECT *, (sum(length) OVER (PARTITION BY bucket, source ORDER BY key ROWS UNBOUNDED PRECEDING) - length)
+              // CASE WHEN delivery_id = 3 THEN {64 * 1024 * 1024} ELSE {PART_BYTES} END AS part FROM t)
+        SELECT bucket, 'course/materials_' || source || '.tar.gz' AS key, CAST(delivery_id AS BIGINT) AS delivery_id,
+        count(DISTINCT part) AS n_archives, count(*) AS n_files, CAST(sum(length) AS BIGINT) AS bytes FROM p GROUP BY ALL""",
+    "restore_shared_slug": f"""WITH {INV} SELECT lang || '.' || source AS owner, key, md5(text) AS digest FROM inv
+        WHERE doc_id % 2 = 0""",
+    "copy_collisions": """SELECT 'p/' || doc_id % 7 || '_' || source || '.txt' AS key, count(*) AS n_objects
+        FROM documents GROUP BY 1 HAVING count(*) > 1""",
     "endpoint_inventory": """WITH a AS (SELECT regexp_replace(regexp_extract(url,
         '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', '') AS auth FROM pages)
         SELECT split_part(auth, ':', 1) AS host,
         CASE WHEN strpos(auth, ':') = 0 OR substr(auth, strpos(auth, ':') + 1) = '' THEN 443
              ELSE TRY_CAST(substr(auth, strpos(auth, ':') + 1) AS INTEGER) END AS port,
         count(*) AS n FROM a WHERE auth <> '' GROUP BY 1, 2""",
-    "file_keys": f"""SELECT page_id, regexp_replace(b, '{EXT}', '\\1') || '_mario_rossi'
-        || regexp_extract(b, '{EXT}', 2) AS key
+    "file_keys": f"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN b ELSE
+        regexp_replace(b, '{EXT}', '\\1') || '_u_' || page_id % 50 || regexp_extract(b, '{EXT}', 2) END AS key
         FROM (SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) AS b FROM pages)""",
     "redact_presence": """SELECT c_custkey, (c_name IS NOT NULL AND c_name <> '') AS has_name,
         nullif(c_mktsegment, '') AS segment FROM customer""",
@@ -377,5 +498,9 @@ ORACLE = {
         || '.txt' AS key, length, md5(text) AS digest FROM inv""",
     "publish": f"""WITH {DELIV} SELECT key, delivery_id AS event_id FROM dl
         QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, delivery_id DESC) = 1""",
+    "publish_replace": f"""WITH {DELIV}, b AS (SELECT *, CASE WHEN dayofweek(ts) % 2 = 1 THEN 'a' ELSE 'b' END AS bkt FROM dl)
+        SELECT bkt AS bucket, key, delivery_id AS event_id FROM b
+        QUALIFY row_number() OVER (PARTITION BY bkt, key
+        ORDER BY delivery_id % 3 > 0 DESC, ts DESC, delivery_id DESC) = 1""",
     "observed_transfer": "SELECT CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(*) AS files FROM documents",
 }

@@ -35,9 +35,10 @@ SETTINGS = T.StructType([
     T.StructField("secret", T.BooleanType(), True),
 ])
 
-# One bounded archive of one owner.
+# One bounded archive of one owner's folder.
 BUNDLES = T.StructType([
     T.StructField("owner", T.StringType(), True),
+    T.StructField("folder", T.StringType(), True),
     T.StructField("part", T.LongType(), True),
     T.StructField("name", T.StringType(), True),
     T.StructField("archive", T.BinaryType(), True),
@@ -48,9 +49,13 @@ BUNDLES = T.StructType([
 # One member restored from an archive.
 MEMBERS = T.StructType([
     T.StructField("owner", T.StringType(), True),
+    T.StructField("folder", T.StringType(), True),
     T.StructField("part", T.LongType(), True),
     T.StructField("path", T.StringType(), True),
     T.StructField("content", T.BinaryType(), True),
     T.StructField("length", T.LongType(), True),
+    T.StructField("kind", T.StringType(), True),
+    T.StructField("mode", T.IntegerType(), True),
+    T.StructField("link_target", T.StringType(), True),
     T.StructField("_error", T.StringType(), True),
 ])

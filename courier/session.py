@@ -20,6 +20,9 @@ LOCAL_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # stream state on local disk, not in the heap: a ledger keeps one row per key for ever
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # bodies travel to Python workers in Arrow batches of bounded bytes, not only bounded rows
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }
@@ -69,8 +72,17 @@ def work_dir(spark: SparkSession, *parts: str) -> str:
     return path
 
 
+def scheme_of(uri: str) -> str:
+    """``s3a://b/x`` → ``s3a``; a plain path has none."""
+    head, colon, _ = uri.partition(":")
+    return head.lower() if colon and head.isascii() and head.replace("+", "").replace("-", "").replace(".", "").isalnum() else ""
+
+
 def local_path(uri: str) -> str:
-    """``file:/x`` → ``/x`` for the Python workers that open files themselves."""
+    """``file:/x`` → ``/x`` for the Python workers that open files themselves. Any other scheme
+    raises: such a path would name a relative folder on each worker's own disk."""
+    if scheme_of(uri) not in ("", "file"):
+        raise ValueError(f"{uri}: only file: paths on a mount that every worker sees can be served here")
     if uri.startswith("file://"):
         return uri[len("file://"):]
     if uri.startswith("file:"):
@@ -105,7 +117,9 @@ def ship_package(spark: SparkSession) -> None:
     import courier
 
     pkg_dir = os.path.dirname(os.path.abspath(courier.__file__))
-    dest = local_path(work_dir(spark, "pyfiles"))
+    # the driver serves the file to the executors; only a local master comes here
+    shared = work_dir(spark, "pyfiles")
+    dest = local_path(shared) if scheme_of(shared) in ("", "file") else tempfile.mkdtemp(prefix="courier-")
     os.makedirs(dest, exist_ok=True)
     archive = shutil.make_archive(os.path.join(dest, "courier"), "zip",
                                   root_dir=os.path.dirname(pkg_dir), base_dir="courier")
@@ -113,23 +127,9 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-BLOCK_BYTES = 256 * 1024 * 1024
-MAX_BLOCKS = 500_000
-UNKNOWN_SIZE = 1 << 60  # Catalyst reports Long.MaxValue when it cannot estimate
-
-
-def block_count(df, target_bytes: int = BLOCK_BYTES) -> int:
-    """How many blocks (tasks) a block-based operator should cut ``df`` into: about ``target_bytes``
-    each by Catalyst's size estimate of the plan (no job is run), never fewer than the cluster's
-    default parallelism, so small inputs still use every core and 100 TB gets ~400k blocks."""
-    spark = df.sparkSession
-    sc = _context(spark)
-    floor = max(1, sc.defaultParallelism if sc is not None else int(spark.conf.get("spark.default.parallelism", "8")))
-    try:
-        est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - an estimate is optional
-        est = -1
-    if est < 0 or est >= UNKNOWN_SIZE:
-        # no usable estimate (e.g. a Python data source): the session's shuffle width
-        return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return int(min(MAX_BLOCKS, max(floor, -(-est // target_bytes))))
+def materialise(df, name: str):
+    """Write ``df`` as a table under the shared checkpoint folder and read it back. What later jobs
+    compute from it agrees, whatever plan they get and whatever executors are lost."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

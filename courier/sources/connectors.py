@@ -9,81 +9,49 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping
-from dataclasses import dataclass, field
-
-from ..operators.settings import DEFAULTS
-
-
-@dataclass(frozen=True)
-class Settings:
-    """Resolved settings of one scope (override > env > default). Secrets stay out of ``repr``."""
-
-    kafka_bootstrap: str = DEFAULTS["kafka_bootstrap"]
-    schema_registry_url: str = ""
-    flink_rest_url: str = ""
-    kafka_sasl_username: str = ""
-    kafka_sasl_password: str = field(default="", repr=False)
-    jupyterhub_user: str = ""
-    course: str = ""
-    github_branch: str = ""
-    github_repo: str = ""
-    aws_region: str = ""
-    aws_access_key_id: str = field(default="", repr=False)
-    aws_secret_access_key: str = field(default="", repr=False)
-
-
-# Environment variable of each setting (None = no environment layer).
-ENV_NAMES = {
-    "kafka_bootstrap": "KAFKA_BOOTSTRAP_SERVERS",
-    "schema_registry_url": "SCHEMA_REGISTRY_URL",
-    "flink_rest_url": "FLINK_REST_URL",
-    "kafka_sasl_username": "KAFKA_SASL_USERNAME",
-    "kafka_sasl_password": "KAFKA_SASL_PASSWORD",
-    "jupyterhub_user": "JUPYTERHUB_USER",
-    "course": "COURSE_NAME",
-    "github_branch": "GITHUB_BRANCH",
-    "github_repo": "GITHUB_REPO",
-    "aws_region": "AWS_DEFAULT_REGION",
-    "aws_access_key_id": "AWS_ACCESS_KEY_ID",
-    "aws_secret_access_key": "AWS_SECRET_ACCESS_KEY",
-}
-NO_OVERRIDE = ("jupyterhub_user", "github_branch", "github_repo")
-
-
-def settings_from_env(env: Mapping[str, str] | None = None, **overrides) -> Settings:
-    """One scope, on the driver: a non-blank override wins, else the environment variable (even when
-    set to blank), else the default. Same rule as :func:`layered_settings` ``resolved``."""
-    env = os.environ if env is None else env
-    vals = {}
-    for name, var in ENV_NAMES.items():
-        ov = None if name in NO_OVERRIDE else overrides.get(name)
-        vals[name] = ov if ov else env.get(var, DEFAULTS[name])
-    return Settings(**vals)
 
+from ..operators.settings import CATALOGUE, CREDENTIAL_PAIR, SECRETS
 
-def _effective(value: str, env: Mapping[str, str], var: str, default: str = "") -> str:
-    return value or env.get(var, "") or default
 
+class Resolved(dict):
+    """Setting name → value, in two readings: the mapping itself lets a variable that is set to blank
+    win over the default, ``effective`` passes over blanks in every layer. Shows no secret."""
 
-def kafka_options(settings: Settings, env: Mapping[str, str] | None = None) -> dict[str, str]:
-    """Options of Spark's Kafka source/sink. Bootstrap skips blanks down to ``localhost:9092``; with a
-    SASL user: PLAIN over SASL_SSL (a password without a user is ignored)."""
+    def __init__(self, values: Mapping[str, str], effective: Mapping[str, str]):
+        super().__init__(values)
+        self.effective = dict(effective)
+
+    def __repr__(self) -> str:
+        return repr({k: bool(v) if k in SECRETS else v for k, v in self.items()})
+
+
+def settings_from_env(env: Mapping[str, str] | None = None, **overrides) -> Resolved:
+    """The catalogue resolved for one scope, on the driver: the rule of :func:`layered_settings`
+    over the layers override, environment, default."""
     env = os.environ if env is None else env
-    bootstrap = _effective(settings.kafka_bootstrap, env, ENV_NAMES["kafka_bootstrap"], DEFAULTS["kafka_bootstrap"])
-    opts = {"kafka.bootstrap.servers": bootstrap}
-    if settings.kafka_sasl_username:
-        user = settings.kafka_sasl_username.replace("\\", "\\\\").replace('"', '\\"')
-        pwd = settings.kafka_sasl_password.replace("\\", "\\\\").replace('"', '\\"')
-        opts.update({
-            "kafka.sasl.mechanism": "PLAIN",
-            "kafka.security.protocol": "SASL_SSL",
-            "kafka.sasl.jaas.config": "org.apache.kafka.common.security.plain.PlainLoginModule required "
-                                      f'username="{user}" password="{pwd}";',
-        })
+    layers = {name: [overrides.get(name) or None if may else None, env.get(variable), default]
+              for name, variable, default, _, may in CATALOGUE}
+    unknown = set(overrides) - set(layers)
+    if unknown:
+        raise TypeError(f"no such settings: {sorted(unknown)}")
+    return Resolved({k: next(v for v in vs if v is not None) for k, vs in layers.items()},
+                    {k: next((v for v in vs if v), vs[-1]) for k, vs in layers.items()})
+
+
+def kafka_options(settings: Resolved) -> dict[str, str]:
+    """Options of Spark's Kafka source/sink. Bootstrap passes over blanks down to the default; with a
+    SASL user: PLAIN over SASL_SSL (a password without a user is ignored)."""
+    opts = {"kafka.bootstrap.servers": settings.effective["kafka_bootstrap"]}
+    if settings["kafka_sasl_username"]:
+        quoted = {k: settings[f"kafka_sasl_{k}"].replace("\\", "\\\\").replace('"', '\\"') for k in ("username", "password")}
+        opts["kafka.sasl.mechanism"] = "PLAIN"
+        opts["kafka.security.protocol"] = "SASL_SSL"
+        opts["kafka.sasl.jaas.config"] = ("org.apache.kafka.common.security.plain.PlainLoginModule required "
+                                          + " ".join(f'{k}="{v}"' for k, v in quoted.items()) + ";")
     return opts
 
 
-def kafka_read(spark, topic: str, settings: Settings, *, stream: bool = True, **extra):
+def kafka_read(spark, topic: str, settings: Resolved, *, stream: bool = True, **extra):
     reader = spark.readStream if stream else spark.read
     r = reader.format("kafka").options(**kafka_options(settings)).option("subscribe", topic)
     for k, v in extra.items():
@@ -91,7 +59,7 @@ def kafka_read(spark, topic: str, settings: Settings, *, stream: bool = True, **
     return r.load()
 
 
-def kafka_write(df, topic: str, settings: Settings, *, key_col: str = "key", checkpoint: str | None = None):
+def kafka_write(df, topic: str, settings: Resolved, *, key_col: str = "key", checkpoint: str | None = None):
     """Rows out as JSON values keyed by ``key_col`` (one key stays in one Kafka partition)."""
     from pyspark.sql import functions as F
 
@@ -106,42 +74,26 @@ def kafka_write(df, topic: str, settings: Settings, *, key_col: str = "key", che
     return None
 
 
-def aws_credentials(settings: Settings, env: Mapping[str, str] | None = None) -> dict[str, str]:
-    """Key and secret per field (settings, then environment); used only as a complete pair."""
-    env = os.environ if env is None else env
-    key = settings.aws_access_key_id or env.get("AWS_ACCESS_KEY_ID", "")
-    secret = settings.aws_secret_access_key or env.get("AWS_SECRET_ACCESS_KEY", "")
-    region = settings.aws_region or env.get("AWS_DEFAULT_REGION", "")
-    out = {}
-    if key and secret:
-        out.update(access_key=key, secret_key=secret)
-    if region:
-        out["region"] = region
-    return out
-
-
-def s3a_conf(settings: Settings, env: Mapping[str, str] | None = None) -> dict[str, str]:
-    """Session conf so that ``s3://`` and ``s3a://`` paths read through S3A. Without a complete key
-    pair the default credential chain of S3A is used."""
-    creds = aws_credentials(settings, env)
+def s3a_conf(settings: Resolved) -> dict[str, str]:
+    """Session conf so that ``s3://`` and ``s3a://`` paths read through S3A. The key pair counts only
+    whole; without it the default credential chain of S3A is used."""
     conf = {
         "spark.hadoop.fs.s3.impl": "org.apache.hadoop.fs.s3a.S3AFileSystem",
         "spark.hadoop.fs.s3a.multipart.threshold": "8M",
         "spark.hadoop.fs.s3a.attempts.maximum": "5",
     }
-    if "access_key" in creds:
-        conf["spark.hadoop.fs.s3a.access.key"] = creds["access_key"]
-        conf["spark.hadoop.fs.s3a.secret.key"] = creds["secret_key"]
-    if "region" in creds:
-        conf["spark.hadoop.fs.s3a.endpoint.region"] = creds["region"]
+    pair = [settings.effective[name] for name in CREDENTIAL_PAIR]
+    if all(pair):
+        conf.update(zip(("spark.hadoop.fs.s3a.access.key", "spark.hadoop.fs.s3a.secret.key"), pair))
+    if settings.effective["aws_region"]:
+        conf["spark.hadoop.fs.s3a.endpoint.region"] = settings.effective["aws_region"]
     return conf
 
 
-def s3a_session(builder, settings: Settings, env: Mapping[str, str] | None = None, *,
-                notebook: bool = True):
+def s3a_session(builder, settings: Resolved, *, notebook: bool = True):
     """Apply :func:`s3a_conf` to a ``SparkSession.builder`` (works in classic and Connect mode);
     ``notebook`` also turns on eager evaluation so DataFrames render in a notebook."""
-    conf = dict(s3a_conf(settings, env))
+    conf = s3a_conf(settings)
     if notebook:
         conf["spark.sql.repl.eagerEval.enabled"] = "true"
     for k, v in conf.items():

@@ -1,11 +1,11 @@
 """``courier_objects``: write one object (file) per row, under ``<path>/<key>``.
 
-A Python Data Source writer. Each task writes each of its objects to a temporary name beside the
-target and renames it into place, so every object appears whole or not at all and a later write of
-a key replaces it (the per-object semantics of an object store). Only counts travel back to the
-driver: nothing per object passes through it. A retried or speculative task rewrites the same
-bytes under the same key, which is harmless. Keys must be relative and must not climb out of the
-target (``..``).
+A Python Data Source writer. Each task writes an object under a hidden staging folder of the target
+and renames it into place, so every object appears whole or not at all and a later write of a key
+replaces it (the per-object semantics of an object store). Only counts travel back to the driver. A
+repeated task writes the same bytes under the same key, which is harmless; the staging folder goes
+when the write ends, well or not. Keys must be relative and must not climb out of the target.
+Optional columns: ``mode``, ``kind`` (``file``, ``link``, ``folder``) and ``link_target``.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from .tree import STAGING
+
 
 @dataclass
 class _Written(WriterCommitMessage):
@@ -27,7 +29,7 @@ def safe_key(key: str) -> bool:
     if not key or key.startswith("/") or "\x00" in key:
         return False
     norm = posixpath.normpath(key)
-    return norm == key and not norm.startswith("..")
+    return norm == key and norm.split("/")[0] not in ("..", STAGING)
 
 
 class ObjectsDataSource(DataSource):
@@ -42,11 +44,56 @@ class ObjectsDataSource(DataSource):
         return ObjectsWriter(dict(self.options))
 
 
+def put(root: str, stage: str, key: str, *, body=None, source=None, mode=None, link_target=None, folder=False) -> int:
+    """Write one object under ``root``: staged under ``stage``, then renamed into place."""
+    import os
+    import shutil
+    import uuid
+
+    dest = os.path.join(root, key)
+    os.makedirs(os.path.dirname(dest), exist_ok=True)
+    if folder:
+        os.makedirs(dest, exist_ok=True)
+        return 0
+    os.makedirs(stage, exist_ok=True)
+    tmp = os.path.join(stage, uuid.uuid4().hex)
+    if link_target is not None:
+        os.symlink(link_target, tmp)
+        size = 0
+    elif source is not None:
+        shutil.copyfile(source, tmp)  # streamed, any size
+        size = os.path.getsize(tmp)
+    else:
+        with open(tmp, "wb") as f:
+            f.write(body)
+        size = len(body)
+    if mode is not None and link_target is None:
+        os.chmod(tmp, int(mode))
+    os.replace(tmp, dest)
+    return size
+
+
+def clear_stage(stage: str) -> None:
+    """Delete a staging folder, and the one that holds them unless another write is staging."""
+    import os
+    import shutil
+
+    shutil.rmtree(stage, ignore_errors=True)
+    try:
+        os.rmdir(os.path.dirname(stage))
+    except OSError:
+        pass
+
+
 class ObjectsWriter(DataSourceWriter):
     def __init__(self, options: dict):
+        import os
+        import uuid
+
         from ..session import local_path
 
         self.root = local_path(options["path"]).rstrip("/")
+        self.stage = os.path.join(self.root, STAGING, uuid.uuid4().hex)
         self.key_col = options.get("key_col", "key")
         self.content_col = options.get("content_col", "content")
         # copy by path: rows carry ``src`` (relative to ``source_root``) instead of a body
@@ -55,57 +102,39 @@ class ObjectsWriter(DataSourceWriter):
 
     def write(self, iterator):
         import os
-        import shutil
-
-        from pyspark import TaskContext
 
-        ctx = TaskContext.get()
-        tag = f".tmp-{ctx.stageId()}-{ctx.partitionId()}-{ctx.attemptNumber()}"
-        made, n, nbytes = set(), 0, 0
+        n, nbytes = 0, 0
         for row in iterator:
-            key = row[self.key_col]
+            have = row.asDict()
+            key, kind = row[self.key_col], have.get("kind") or "file"
             if not safe_key(key):
                 raise ValueError(f"unsafe object key: {key!r}")
-            dest = os.path.join(self.root, key)
-            parent = os.path.dirname(dest)
-            if parent not in made:
-                os.makedirs(parent, exist_ok=True)
-                made.add(parent)
-            tmp = dest + tag
-            if self.source_root is not None:
-                src = row["src"]
-                if not safe_key(src):
-                    raise ValueError(f"unsafe source path: {src!r}")
-                shutil.copyfile(os.path.join(self.source_root, src), tmp)  # streamed, any size
-                size = os.path.getsize(tmp)
-            else:
-                body = row[self.content_col]
-                body = bytes(body) if body is not None else b""
-                with open(tmp, "wb") as f:
-                    f.write(body)
-                size = len(body)
-            os.replace(tmp, dest)
+            options = {"mode": have.get("mode"), "folder": kind == "folder"}
+            if kind == "link":
+                options["link_target"] = row["link_target"]
+            elif kind == "file" and self.source_root is not None:
+                if not safe_key(row["src"]):
+                    raise ValueError(f"unsafe source path: {row['src']!r}")
+                options["source"] = os.path.join(self.source_root, row["src"])
+            elif kind == "file":
+                if row[self.content_col] is None:
+                    raise ValueError(f"no body for object {key!r}")
+                options["body"] = bytes(row[self.content_col])
+            nbytes += put(self.root, self.stage, key, **options)
             n += 1
-            nbytes += size
         return _Written(n, nbytes)
 
     def commit(self, messages):
         self.totals = (sum(m.objects for m in messages if m), sum(m.bytes for m in messages if m))
+        clear_stage(self.stage)
 
     def abort(self, messages):
-        # objects already renamed into place are complete; temporary names of failed attempts are
-        # left with a ``.tmp-`` suffix and are never read as objects
-        pass
-
-
-_registered: set[int] = set()
+        # objects already renamed into place are complete
+        clear_stage(self.stage)
 
 
 def register(spark) -> None:
     from ..session import ship_package
 
     ship_package(spark)
-    key = id(spark)
-    if key not in _registered:
-        spark.dataSource.register(ObjectsDataSource)
-        _registered.add(key)
+    spark.dataSource.register(ObjectsDataSource)

@@ -18,7 +18,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 # Fixed values used by the mapping of events onto deliveries.
 MATERIALS_PATH = "/home/jovyan/materials"
-RESULTS_BUCKET = "quantia-bootcamp-results"
+RESULTS_BUCKET = "results"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

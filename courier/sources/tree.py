@@ -2,12 +2,14 @@
 
 Spark's own file listing (``binaryFile``) hides names that start with ``.`` or ``_`` and follows
 symbolic links; an inventory of a home folder must keep ``.bashrc`` and ``__init__.py`` and must
-not count links. The driver splits the tree breadth-first within a bounded budget of directory
-entries and spreads the pieces over ``partitions`` tasks; each task lists its pieces on the
-executor (links are reported with ``is_link`` and never descended). Options:
-
-* ``path`` – root folder (every executor must see it: a shared mount);
-* ``content`` – ``true`` to read bodies (``max_bytes`` caps each body, ``-1`` = whole file);
+not count links. The driver reads at most ``plan_entries`` directory entries to split the tree; what
+it has not read is dealt to all tasks by a hash of the entry names, so one flat folder, however
+large, spreads over all of them. Options:
+
+* ``path`` – root folder on a mount that every executor sees (a plain or ``file:`` path);
+* ``content`` – ``true`` to read bodies; one that cannot be read gives a row with ``_error``;
+* ``max_bytes`` – read only so much of each body, into ``head``; ``content`` stays empty;
+* ``folders`` – ``true`` to list empty folders too (``is_dir``);
 * ``prefix`` – only keys that start with it (directories that cannot match are not walked);
 * ``prune`` – comma-separated directory names not to descend (the size-up rule);
 * ``partitions`` – number of tasks;
@@ -19,17 +21,24 @@ from __future__ import annotations
 import datetime as _dt
 import os
 import stat as _stat
+import zlib
+from collections import deque
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "key string, length bigint, is_link boolean, modified timestamp_ntz, content binary"
+SCHEMA = ("key string, length bigint, is_link boolean, link_target string, is_dir boolean, mode int, "
+          "modified timestamp_ntz, content binary, head binary, _error string")
+
+#: Folder under a target where objects are staged; it holds no objects.
+STAGING = ".courier-staging"
 
 
 class _Shard(InputPartition):
-    def __init__(self, index: int, flat: list[str], deep: list[str]):
+    def __init__(self, index: int, of: int, flat: list[str], shared: list[str]):
         super().__init__(index)
+        self.index, self.of = index, of
         self.flat = flat  # directories whose own files this task lists
-        self.deep = deep  # directories this task walks completely
+        self.shared = shared  # directories of which this task takes the entries that hash to it
 
 
 class TreeDataSource(DataSource):
@@ -56,6 +65,10 @@ def _join(rel: str, name: str) -> str:
     return f"{rel}/{name}" if rel else name
 
 
+def _true(options: dict, name: str) -> bool:
+    return str(options.get(name, "false")).lower() == "true"
+
+
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict):
         from ..session import local_path
@@ -64,135 +77,153 @@ class TreeReader(DataSourceReader):
         if not root:
             raise ValueError("courier_tree needs a path")
         self.root = local_path(root).rstrip("/") or "/"
-        self.content = str(options.get("content", "false")).lower() == "true"
+        self.content, self.folders = _true(options, "content"), _true(options, "folders")
         self.max_bytes = int(options.get("max_bytes", "-1"))
         self.prefix = options.get("prefix", "")
         self.prune = tuple(p for p in options.get("prune", "").split(",") if p)
         self.n = max(1, int(options.get("partitions", "8")))
-        self.plan_entries = int(options.get("plan_entries", str(max(2048, 256 * self.n))))
+        self.plan_entries = int(options.get("plan_entries", str(256 * self.n)))
 
-    def partitions(self):
-        """Split the tree breadth-first on the driver until there are enough pieces: expanded
-        directories become "own files only" items, the frontier becomes "whole sub-tree" items. The
-        driver reads at most ``plan_entries`` directory entries, so planning stays bounded while one
-        huge sub-directory still spreads over many tasks."""
-        import os
-        from collections import deque
+    def _descends(self, entry, rel: str) -> bool:
+        return (entry.is_dir(follow_symlinks=False) and entry.name not in self.prune
+                and rel != STAGING and _could_match(rel, self.prefix))
 
+    def partitions(self):
+        """Directories read whole within the budget go to one task each; the others to all tasks."""
         if not os.path.isdir(self.root):
-            return [_Shard(0, [], [])]
-        flat, deep = [], []
-        queue, seen = deque([""]), 0
+            return [_Shard(0, 1, [], [])]
+        flat, shared, queue, left = [], [], deque([""]), self.plan_entries
         while queue:
             rel = queue.popleft()
-            if rel and (seen >= self.plan_entries or len(flat) + len(deep) + len(queue) >= 16 * self.n):
-                deep.append(rel)
-                continue
-            flat.append(rel)
-            try:
+            children, whole = [], left > 0
+            if whole:
                 with os.scandir(os.path.join(self.root, rel)) as it:
                     for e in it:
-                        seen += 1
-                        child = _join(rel, e.name)
-                        if e.is_dir(follow_symlinks=False) and e.name not in self.prune \
-                                and _could_match(child, self.prefix):
-                            queue.append(child)
-            except OSError:
-                continue
-        shards = [([], []) for _ in range(self.n)]
-        for i, rel in enumerate(sorted(flat)):
-            shards[i % self.n][0].append(rel)
-        for i, rel in enumerate(sorted(deep)):
-            shards[(i + len(flat)) % self.n][1].append(rel)
-        return [_Shard(i, f, d) for i, (f, d) in enumerate(shards) if f or d] or [_Shard(0, [], [])]
+                        left -= 1
+                        if left < 0:
+                            whole = False  # too large to read here
+                            break
+                        if self._descends(e, _join(rel, e.name)):
+                            children.append(_join(rel, e.name))
+            (flat if whole else shared).append(rel)
+            if whole:
+                queue.extend(children)
+        deal = [flat[i::self.n] for i in range(self.n)]
+        return [_Shard(i, self.n, deal[i], shared) for i in range(self.n) if deal[i] or shared]
 
     def _row(self, entry, rel: str):
         st = entry.stat(follow_symlinks=False)  # cached by scandir where the OS allows
-        link = _stat.S_ISLNK(st.st_mode)
-        if not link and not _stat.S_ISREG(st.st_mode):
-            return None
-        body = None
-        if self.content and not link:
-            with open(entry.path, "rb") as f:
-                body = f.read() if self.max_bytes < 0 else f.read(self.max_bytes)
         mod = _dt.datetime.fromtimestamp(st.st_mtime, _dt.timezone.utc).replace(tzinfo=None)
-        return (rel, int(st.st_size), link, mod, body)
-
-    def _files_of(self, rel: str):
-        """Files (and links, also links to directories) directly inside ``rel``."""
+        mode = _stat.S_IMODE(st.st_mode)
+        if _stat.S_ISDIR(st.st_mode):
+            return (rel, 0, False, None, True, mode, mod, None, None, None)
+        if _stat.S_ISLNK(st.st_mode):
+            return (rel, int(st.st_size), True, os.readlink(entry.path), False, mode, mod, None, None, None)
+        if not _stat.S_ISREG(st.st_mode):
+            return None
+        body = head = error = None
+        if self.content or self.max_bytes >= 0:
+            try:
+                with open(entry.path, "rb") as f:
+                    if self.max_bytes >= 0:
+                        head = f.read(self.max_bytes)
+                    else:
+                        body = f.read()
+            except OSError as e:
+                error = f"{rel}: {e.strerror or e}"
+        return (rel, int(st.st_size), False, None, False, mode, mod, body, head, error)
+
+    def _entries(self, rel: str):
+        """Entries of a directory as they come; one that is gone meanwhile has none."""
         try:
             with os.scandir(os.path.join(self.root, rel)) as it:
-                entries = sorted(it, key=lambda e: e.name)
-        except OSError:
+                yield from it
+        except FileNotFoundError:
             return
+
+    def _files(self, entries, rel: str):
         for e in entries:
-            if e.is_dir(follow_symlinks=False):
-                continue
             key = _join(rel, e.name)
-            if not key.startswith(self.prefix):
+            folder = e.is_dir(follow_symlinks=False)
+            if not key.startswith(self.prefix) or (folder and not self._is_empty(key)):
                 continue
             try:
-                r = self._row(e, key)
-            except OSError:
+                row = self._row(e, key)
+            except FileNotFoundError:  # removed while listing
                 continue
-            if r is not None:
-                yield r
+            if row is not None:
+                yield row
 
-    def read(self, partition: _Shard):
-        import os
+    def _is_empty(self, rel: str) -> bool:
+        return self.folders and rel != STAGING and next(self._entries(rel), None) is None
 
-        for rel in partition.flat:
-            yield from self._files_of(rel)
-        for top in partition.deep:
-            for cur, dirs, _files in os.walk(os.path.join(self.root, top), followlinks=False):
-                rel_dir = os.path.relpath(cur, self.root)
-                yield from self._files_of(rel_dir)
-                dirs[:] = sorted(d for d in dirs if d not in self.prune
-                                 and not os.path.islink(os.path.join(cur, d))
-                                 and _could_match(f"{rel_dir}/{d}", self.prefix))
+    def _walk(self, top: str):
+        stack = [top]
+        while stack:
+            rel = stack.pop()
+            yield from self._files(self._entries(rel), rel)
+            stack.extend(_join(rel, e.name) for e in self._entries(rel) if self._descends(e, _join(rel, e.name)))
 
-
-_registered: set[int] = set()
+    def read(self, partition: _Shard):
+        mine = lambda e: zlib.crc32(os.fsencode(e.name)) % partition.of == partition.index
+        for rel in partition.flat:
+            yield from self._files(self._entries(rel), rel)
+        for rel in partition.shared:
+            yield from self._files(filter(mine, self._entries(rel)), rel)
+            for e in filter(mine, self._entries(rel)):
+                if self._descends(e, _join(rel, e.name)):
+                    yield from self._walk(_join(rel, e.name))
 
 
 def register(spark) -> None:
     from ..session import ship_package
 
     ship_package(spark)
-    key = id(spark)
-    if key not in _registered:
-        spark.dataSource.register(TreeDataSource)
-        _registered.add(key)
+    spark.dataSource.register(TreeDataSource)
 
 
-def object_inventory(spark, root: str, *, content: bool = False, prefix: str = "",
+def object_inventory(spark, root: str, *, content: bool = False, prefix: str = "", folders: bool = False,
                      prune=(), partitions: int | None = None, max_bytes: int = -1):
-    """Inventory of a tree: ``key`` (relative to ``root``), ``length``, ``is_link``, ``modified``
-    and, with ``content=True``, the body. A missing root gives no rows."""
+    """Inventory of a tree: ``key`` (relative to ``root``), ``length``, ``is_link``, ``link_target``,
+    ``is_dir`` (empty folders, with ``folders=True``), ``mode``, ``modified``; with ``content=True``
+    the body and ``_error`` (why it could not be read), with ``max_bytes`` its first bytes as ``head``.
+    A missing root gives no rows.
+
+    A plain or ``file:`` root is listed by the tasks themselves, so it must be a mount that every
+    executor sees. Any other scheme goes through the Hadoop file system (:func:`binary_inventory`).
+    """
+    from ..session import _context, scheme_of
+
+    if scheme_of(root) not in ("", "file"):
+        if folders or max_bytes >= 0:
+            raise ValueError(f"{root}: folders and max_bytes need a plain or file: path")
+        from pyspark.sql import functions as F
+
+        df = binary_inventory(spark, root, content=content).where(F.col("key").startswith(prefix))
+        for name in prune:
+            df = df.where(~F.array_contains(F.slice(F.split("key", "/"), 1, F.size(F.split("key", "/")) - 1), name))
+        return df
     register(spark)
-    from ..session import _context
-
     sc = _context(spark)
     n = partitions or 2 * max(1, sc.defaultParallelism if sc is not None else 8)
     reader = (spark.read.format("courier_tree").option("content", str(content).lower())
-              .option("prefix", prefix).option("prune", ",".join(prune))
+              .option("prefix", prefix).option("prune", ",".join(prune)).option("folders", str(folders).lower())
               .option("partitions", str(n)).option("max_bytes", str(max_bytes)))
-    df = reader.load(root)
-    return df if content else df.drop("content")
+    unused = ([] if folders else ["is_dir"]) + ([] if max_bytes >= 0 else ["head"]) + (
+        [] if content or max_bytes >= 0 else ["_error"]) + ([] if content and max_bytes < 0 else ["content"])
+    return reader.load(root).drop(*unused)
 
 
 def binary_inventory(spark, root: str, *, content: bool = False):
-    """Fast path through Spark's ``binaryFile`` source. It drops names that start with ``.`` or
-    ``_`` and follows links, so use it only when that loss is acceptable. Without ``content`` the
-    body column is pruned from the scan."""
+    """Inventory through Spark's ``binaryFile`` source, for every store that Hadoop opens (``s3a:``,
+    ``hdfs:``, ``file:`` …). That source leaves out names that begin with ``.`` or ``_`` and follows
+    links. Without ``content`` the bodies are not read. A scheme that Hadoop cannot open raises."""
     from pyspark.sql import functions as F
 
-    from ..session import local_path
-
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/") + "/"
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = local_path(root).rstrip("/") + "/"
-    key = F.substring(F.regexp_replace(F.col("path"), r"^file:(//)?", ""), len(base) + 1, 1 << 30)
-    cols = [key.alias("key"), F.col("length"), F.lit(False).alias("is_link"),
+    cols = [F.substring("path", len(base) + 1, 1 << 30).alias("key"), F.col("length"), F.lit(False).alias("is_link"),
             F.col("modificationTime").cast("timestamp_ntz").alias("modified")]
     if content:
         cols.append(F.col("content"))

@@ -4,8 +4,8 @@ State is one row per key (``max_by`` on event time), so the order of arrival doe
 late, older write never wins. No watermark by default, because dropping a key's state would let an
 older record win later. ``update`` output re-emits a key whenever a row for it arrives; the sink is
 idempotent (each micro-batch overwrites its own ``batch=<id>`` folder), and readers keep the last
-row per key across batches. For very many keys, run with the RocksDB state store provider
-(``spark.sql.streaming.stateStore.providerClass``) so the state is kept on local disk.
+row per key across batches. Set ``spark.sql.streaming.stateStore.providerClass`` to the RocksDB
+provider, as the session helpers do, so that the state is kept on local disk and not in the heap.
 """
 
 from __future__ import annotations
@@ -29,17 +29,26 @@ def stream_delivery_ledger(stream: DataFrame, sink: str, checkpoint: str, *,
                            key_cols: Sequence[str] = ("key",),
                            order_cols: Sequence[str] = ("ts", "delivery_id"),
                            available_now: bool = True, processing_time: str | None = None,
-                           state_partitions: int | None = None):
+                           compact_every: int = 100):
     """Start the ledger stream; returns the ``StreamingQuery``.
 
-    ``state_partitions`` fixes how many state partitions the query has (stored in its checkpoint at
-    the first start and kept afterwards); by default the session's shuffle width. It applies to this
-    query only: a stream copies the session conf when it starts.
+    The number of state partitions is the session's ``spark.sql.shuffle.partitions`` at the first
+    start; the checkpoint keeps it. After every ``compact_every`` micro-batches the folders so far are
+    merged into one with a row per key, so readers never meet an unbounded number of folders.
     """
+    spark = stream.sparkSession
     agg = latest_by_key(stream, key_cols, order_cols)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch={batch_id}")
+        folder = f"{sink.rstrip('/')}/batch={batch_id}"
+        if compact_every and batch_id and batch_id % compact_every == 0:
+            # this batch's folder takes over all earlier rows; those folders go once it is complete
+            earlier = read_ledger(spark, sink, key_cols, order_cols)
+            latest_delivery(earlier.unionByName(batch.select(*earlier.columns)), key_cols, order_cols).write.mode(
+                "overwrite").parquet(f"{sink.rstrip('/')}/.compacting-{batch_id}")
+            _replace(spark, f"{sink.rstrip('/')}/.compacting-{batch_id}", folder, sink, batch_id)
+        else:
+            batch.write.mode("overwrite").parquet(folder)
 
     w = (agg.writeStream.outputMode("update").foreachBatch(upsert)
          .option("checkpointLocation", checkpoint))
@@ -47,16 +56,19 @@ def stream_delivery_ledger(stream: DataFrame, sink: str, checkpoint: str, *,
         w = w.trigger(processingTime=processing_time)
     elif available_now:
         w = w.trigger(availableNow=True)
-    if state_partitions is None:
-        return w.start()
-    spark = stream.sparkSession
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(int(state_partitions)))
-    try:
-        return w.start()
-    finally:
-        spark.conf.set(key, before)
+    return w.start()
+
+
+def _replace(spark: SparkSession, made: str, folder: str, sink: str, batch_id: int) -> None:
+    """Put the compacted folder in place, then delete the folders it contains (Hadoop file system)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(sink).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(path(folder), True)  # an earlier attempt of this batch
+    fs.rename(path(made), path(folder))
+    for status in fs.listStatus(path(sink)):
+        name = status.getPath().getName()
+        if name.startswith("batch=") and int(name[6:]) < batch_id:
+            fs.delete(status.getPath(), True)
 
 
 def read_ledger(spark: SparkSession, sink: str, key_cols: Sequence[str] = ("key",),

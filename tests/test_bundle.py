@@ -1,6 +1,8 @@
 import io
 import tarfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from courier.operators import bundle_plan, pack_archives, unpack_archives
@@ -77,8 +79,56 @@ def test_empty_inputs(spark):
     assert transfer_progress(e2, ["g"], ["o"], "v").count() == 0
 
 
-def test_rows_without_key_or_content_are_left_out(spark):
-    df = spark.createDataFrame([("o", "a.txt", b"x"), ("o", None, b"y"), ("o", "b.txt", None)],
-                               "owner string, key string, content binary")
-    rows = pack_archives(df, "owner").collect()
-    assert [(r.n_files, r.bytes) for r in rows] == [(1, 1)]
+@pytest.mark.parametrize("row, error", [(("o", None, b"y", 1), "without a key"), (("o", "b.txt", None, 1), "no body"),
+                                        (("o", "c.txt", b"cut", 9), "3 of 9 bytes"), (("o", "a.txt", b"again", 5), "keys twice")])
+def test_nothing_is_left_out_silently(spark, row, error):
+    df = spark.createDataFrame([("o", "a.txt", b"x", 1), row], "owner string, key string, content binary, length bigint")
+    with pytest.raises(Exception, match=error):
+        pack_archives(df, "owner").collect()
+
+
+def test_two_folders_of_one_owner_are_two_bundles(spark):
+    df = spark.createDataFrame([("u", "/h/bootcamp", "a.txt", b"1"), ("u", "/h/materials", "a.txt", b"22"), ("u", "/h/materials/", "b.txt", b"3")],
+                               "owner string, dir string, key string, content binary")
+    rows = {r.name: (r.folder, r.n_files, r.bytes) for r in pack_archives(df, path_col="dir").collect()}
+    assert rows == {"bootcamp_u.tar.gz": ("bootcamp", 1, 1), "materials_u.tar.gz": ("materials", 2, 3)}
+
+
+def test_links_folders_and_modes_are_stored(spark, tmp_path):
+    import os
+
+    from courier.sources import object_inventory
+
+    (tmp_path / "d" / "void").mkdir(parents=True)
+    (tmp_path / "d" / "run.sh").write_bytes(b"#!/bin/sh")
+    os.chmod(tmp_path / "d" / "run.sh", 0o750)
+    os.symlink("run.sh", tmp_path / "d" / "link")
+    os.symlink("/etc/passwd", tmp_path / "d" / "out")
+    inv = object_inventory(spark, str(tmp_path), content=True, folders=True).withColumn("owner", F.lit("u"))
+    rows = {r.path: r for r in unpack_archives(pack_archives(inv)).collect()}
+    assert (rows["d/run.sh"].kind, rows["d/run.sh"].mode, bytes(rows["d/run.sh"].content)) == ("file", 0o750, b"#!/bin/sh")
+    assert (rows["d/link"].kind, rows["d/link"].link_target) == ("link", "run.sh")
+    assert rows["d/void"].kind == "folder"
+    assert rows["materials_u.tar.gz/d/out"]._error == "unsafe member path"
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_running_sum_whatever_the_plan(spark, reuse, adaptive):
+    from pyspark.sql import Window
+
+    from courier.operators import running_sum
+
+    df = spark.range(20_000).selectExpr("id % 3 = 0 AS g", "pmod(xxhash64(id), 1000000007) AS o", "id % 17 AS v")
+    conf = {"spark.sql.exchange.reuse": reuse, "spark.sql.adaptive.enabled": adaptive}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = running_sum(df, ["g"], ["o"], "v", "cum", partitions=16)
+        w = Window.partitionBy("g").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
+        assert got.exceptAll(df.withColumn("cum", F.sum("v").over(w))).count() == 0 and got.count() == 20_000
+        assert "Python" not in got._jdf.queryExecution().toString() and "Pandas" not in got._jdf.queryExecution().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

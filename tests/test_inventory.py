@@ -91,9 +91,12 @@ def test_tree_split_spreads_one_big_directory(spark, tmp_path):
     files = {f"home/u/d{i:03d}/f{j}.txt": "x" * j for i in range(120) for j in range(3)}
     files.update({"home/top.txt": "t", "home/u/mid.txt": "mm", "other/z.txt": "zzz"})
     _write(tmp_path, files)
-    parts = TreeReader({"path": str(tmp_path), "partitions": "8"}).partitions()
-    assert len(parts) == 8
-    assert max(len(p.deep) for p in parts) < 120  # the one big directory is split
+    assert len(TreeReader({"path": str(tmp_path), "partitions": "8"}).partitions()) == 8
+    for budget in (1, 5, 60, 200):  # the driver reads only so many entries, whatever it then has to deal out
+        parts = TreeReader({"path": str(tmp_path), "partitions": "8", "plan_entries": str(budget)}).partitions()
+        assert len(parts) == 8
+        keys = [r[0] for p in parts for r in TreeReader({"path": str(tmp_path), "partitions": "8", "plan_entries": str(budget)}).read(p)]
+        assert sorted(keys) == sorted(files)
     inv = object_inventory(spark, str(tmp_path), partitions=8)
     got = {r.key: r.length for r in inv.collect()}
     assert got == {k: len(v) for k, v in files.items()}
@@ -121,11 +124,41 @@ def test_sizes_do_not_read_bodies(spark, tmp_path):
 def test_preview_reads_only_the_first_bytes_of_files(spark, tmp_path):
     body = ("é" * 600).encode()  # 1200 bytes, two per character
     _write(tmp_path, {"a.txt": body, "b.bin": b"\xff" * 50})
-    inv = object_inventory(spark, str(tmp_path), content=True, max_bytes=9)
-    rows = {r.key: r for r in object_preview(inv, "content", 9).collect()}
-    assert len(rows["a.txt"].content) == 9 and rows["a.txt"].length == 1200
-    assert rows["a.txt"].head == body[:9].decode("utf-8", errors="ignore") == "éééé"
-    assert rows["b.bin"].head == ""
+    inv = object_inventory(spark, str(tmp_path), max_bytes=9)
+    assert "content" not in inv.columns
+    rows = {r.key: r for r in object_preview(inv, "head", 9, out="text").collect()}
+    assert len(rows["a.txt"].head) == 9 and rows["a.txt"].length == 1200
+    assert rows["a.txt"].text == body[:9].decode("utf-8", errors="ignore") == "éééé"
+    assert rows["b.bin"].text == ""
+
+
+def test_unreadable_bodies_are_rows_with_an_error(tmp_path, monkeypatch):
+    from courier.sources.tree import TreeReader
+
+    _write(tmp_path, {"locked.txt": "secret", "open.txt": "x"})
+    real = open
+
+    def deny(path, *args, **kw):
+        if str(path).endswith("locked.txt"):
+            raise PermissionError(13, "Permission denied")
+        return real(path, *args, **kw)
+
+    monkeypatch.setattr("builtins.open", deny)
+    reader = TreeReader({"path": str(tmp_path), "content": "true", "partitions": "2"})
+    rows = {r[0]: (r[7], r[9]) for p in reader.partitions() for r in reader.read(p)}
+    assert rows == {"locked.txt": (None, "locked.txt: Permission denied"), "open.txt": (b"x", None)}
+
+
+def test_schemes(spark, tmp_path):
+    import pytest
+
+    _write(tmp_path, {"d/a.txt": "12345", ".hidden": "x"})
+    assert {r.key for r in object_inventory(spark, f"file:{tmp_path}").collect()} == {"d/a.txt", ".hidden"}
+    fast = binary_inventory(spark, f"file:{tmp_path}", content=True).first()
+    assert (fast.key, fast.length, bytes(fast.content)) == ("d/a.txt", 5, b"12345")
+    for uri in ("s3a://bucket/prefix", "nosuch://bucket/x"):  # no connector here: an error, not an empty listing
+        with pytest.raises(Exception):
+            object_inventory(spark, uri).count()
 
 
 def test_prune_skips_directories_while_listing(spark, tmp_path):

@@ -8,9 +8,9 @@ def _keys(spark, rows, **kw):
 
 def test_key_branch_golden(spark):
     r = _keys(spark, [("/home/jovyan/materials/bootcamp", "mario.rossi", "hare2026")],
-              bucket="quantia-bootcamp-results")[0]
+              bucket="results")[0]
     assert r["key"] == "hare2026/bootcamp_mario_rossi.tar.gz"
-    assert r["uri"] == "s3://quantia-bootcamp-results/hare2026/bootcamp_mario_rossi.tar.gz"
+    assert r["uri"] == "s3://results/hare2026/bootcamp_mario_rossi.tar.gz"
 
 
 def test_key_prefix_cases(spark):

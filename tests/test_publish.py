@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from courier.operators import SizeLimitExceeded
 from courier.operators.ledger import MissingObjects
 from courier.plans import copy_objects, publish
+from courier.plans.publish import KeyCollision, copy_collisions
 from courier.session import local_path, work_dir
 from courier.sources import object_inventory
 
@@ -25,7 +26,8 @@ def test_replace_mode_last_write_wins_and_leaves_other_keys(spark):
     cur = publish(_rows(spark, [("b", "u", "m", "b/m_u.tar.gz", 10, t, 4)]), target, mode="replace")
     got = {r.key: r.delivery_id for r in cur.collect()}
     assert got == {"b/m_u.tar.gz": 4, "b/n_u.tar.gz": 2, "m_u.tar.gz": 3}
-    assert os.path.isdir(os.path.join(local_path(target), "_p_prefix=__root__"))
+    with pytest.raises(ValueError):
+        publish(spark.createDataFrame([("k", 1)], "key string, length bigint"), target, mode="replace")
 
 
 def test_replace_mode_keeps_latest_within_one_call(spark):
@@ -55,6 +57,53 @@ def test_size_guard_prevents_write(spark):
     assert not os.path.exists(local_path(target))
 
 
+def test_size_guard_measures_one_delivery(spark):
+    t = dt.datetime(2024, 1, 1)
+    target = work_dir(spark, "test_guard_each")
+    rows = [("b", "u", "m", "k", 600_000, t, 1), ("b", "u", "m", "k", 600_000, t, 2)]
+    assert publish(_rows(spark, rows), target, max_size_mb=1).count() == 1
+
+
+def test_buckets_do_not_hide_each_other(spark):
+    t = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([("b1", "k", 1, t, 1), ("b2", "k", 2, t, 2)],
+                               "bucket string, key string, length bigint, ts timestamp_ntz, delivery_id bigint")
+    for mode in ("ledger", "replace"):
+        target = work_dir(spark, "test_buckets")
+        publish(df.where("bucket = 'b1'"), target, mode=mode)
+        cur = publish(df.where("bucket = 'b2'"), target, mode=mode)
+        assert sorted((r.bucket, r.delivery_id) for r in cur.collect()) == [("b1", 1), ("b2", 2)]
+
+
+def test_colliding_keys_and_missing_bodies_raise(spark):
+    df = spark.createDataFrame([("d1/x.txt", b"1", "u"), ("d2/x.txt", b"2", "u"), ("y.txt", b"3", "u")],
+                               "key string, content binary, owner string")
+    target = work_dir(spark, "test_collide")
+    with pytest.raises(KeyCollision):
+        copy_objects(df, target, prefix="p")
+    assert not os.path.exists(local_path(target))
+    assert [tuple(r) for r in copy_collisions(df, prefix="p").collect()] == [("p/x_u.txt", 2, "d1/x.txt", "d2/x.txt")]
+    none = spark.createDataFrame([("y.txt", None, "u")], df.schema)
+    with pytest.raises(Exception, match="no body"):
+        copy_objects(none, target, prefix="p")
+    with pytest.raises(Exception, match="only file"):
+        copy_objects(df.where("key = 'y.txt'"), "s3a://bucket/prefix", prefix="p")
+    bad = df.where("key = 'y.txt'").withColumn("_error", F.lit("y.txt: locked"))
+    with pytest.raises(Exception, match="locked"):
+        copy_objects(bad, target, prefix="p")
+
+
+def test_staged_names_are_no_objects(spark):
+    df = spark.createDataFrame([("a.txt", b"1", "")], "key string, content binary, owner string")
+    target = work_dir(spark, "test_staging")
+    copy_objects(df, target, prefix="")
+    assert os.listdir(local_path(target)) == ["a.txt"]
+    os.makedirs(f"{local_path(target)}/.courier-staging/x")
+    with open(f"{local_path(target)}/.courier-staging/x/left", "w") as f:
+        f.write("half")
+    assert [r.key for r in object_inventory(spark, target).collect()] == ["a.txt"]
+
+
 def test_observed_metrics_in_a_stream(spark):
     from courier.streaming import observed_stream
 

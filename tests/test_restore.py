@@ -30,30 +30,40 @@ def test_rollup_totals(spark):
 
 
 def test_deliver_then_restore_latest_delivery(spark):
+    import os
+    import tarfile
+
     import pytest
 
     from courier.operators import SizeLimitExceeded
     from courier.plans import current_bundles, deliver, restore_bundles
-    from courier.session import work_dir
+    from courier.plans.deliver import manifest
+    from courier.session import local_path, work_dir
 
     inv = documents_inventory(spark, SF001, content=True)
     store = work_dir(spark, "test_store")
-    out = deliver(inv, store, preset="bootcamp", prefix="c1", max_part_bytes=4096, delivery_id=1).collect()
-    assert {r.uri.split("/")[2] for r in out} == {"quantia-bootcamp-results"}
-    assert all(r.key.startswith("c1/materials_") for r in out)
+    out = deliver(inv, store, "b1", prefix="c1", max_part_bytes=4096, delivery_id=1).collect()
+    assert {r.bucket for r in out} == {"b1"} and all(r.key.startswith("c1/materials_") for r in out)
+    for r in manifest(spark, store).collect():  # every object the manifest names is there
+        assert r.path == f"{local_path(store)}/objects/b1/{r.object_key}"
+        assert os.path.getsize(r.path) == r.compressed
+        with tarfile.open(r.path) as tar:
+            assert len(tar.getnames()) == r.n_files
+    assert not os.path.exists(f"{local_path(store)}/.courier-staging") or not os.listdir(f"{local_path(store)}/.courier-staging")
     # a second delivery of one owner, smaller: it replaces that owner's bundle
     small = inv.where((F.col("owner") == "src0") & (F.col("lang") == "en"))
-    deliver(small, store, preset="bootcamp", prefix="c1", delivery_id=2)
-    before = spark.read.parquet(store).count()
-    deliver(small, store, preset="bootcamp", prefix="c1", delivery_id=2)  # a rerun replaces it
-    assert spark.read.parquet(store).count() == before
+    deliver(small, store, "b1", prefix="c1", delivery_id=2)
+    before = manifest(spark, store).count()
+    deliver(small, store, "b1", prefix="c1", delivery_id=2)  # a rerun replaces it
+    assert manifest(spark, store).count() == before
     with pytest.raises(SizeLimitExceeded):
-        deliver(inv, store, preset="bootcamp", prefix="c1", max_size_mb=0, delivery_id=3)
-    assert spark.read.parquet(store).where("delivery_id = 3").count() == 0
-    cur = current_bundles(spark, store)
-    assert {r.delivery_id for r in cur.where("owner = 'src0'").collect()} == {2}
+        deliver(inv, store, "b1", prefix="c1", max_size_mb=0, delivery_id=3)
+    assert manifest(spark, store).where("delivery_id = 3").count() == 0
+    deliver(small, store, "b2", prefix="c1", delivery_id=4)  # another bucket hides nothing
+    cur = current_bundles(spark, store).where("owner = 'src0'")
+    assert {(r.bucket, r.delivery_id) for r in cur.collect()} == {("b1", 2), ("b2", 4)}
     owners = spark.createDataFrame([("src0",), ("src1",), ("zed",)], "owner string")
-    members, missing = restore_bundles(spark, store, owners, prefix="c1")
+    members, missing = restore_bundles(spark, store, owners, bucket="b1", prefix="c1")
     got = members.select("owner", F.col("path").alias("key"), "content")
     want = small.select("owner", "key", "content").unionByName(
         inv.where(F.col("owner") == "src1").select("owner", "key", "content"))
@@ -61,6 +71,53 @@ def test_deliver_then_restore_latest_delivery(spark):
     assert [r.owner for r in missing.collect()] == ["zed"]
 
 
+def test_owners_with_one_slug(spark):
+    import pytest
+
+    from courier.operators.bundle import BundleError
+    from courier.plans import deliver
+    from courier.session import work_dir
+
+    df = spark.createDataFrame([("a.b", "mine.txt", b"m"), ("a_b", "yours.txt", b"y")], "owner string, key string, content binary")
+    bundles = pack_archives(df).withColumn("key", F.concat(F.lit("c/"), "name"))
+    members, _ = restore(bundles, spark.createDataFrame([("a.b",)], "owner string"), prefix="c")
+    assert [(r.owner, r.path) for r in members.collect()] == [("a.b", "mine.txt")]
+    with pytest.raises(BundleError):
+        deliver(df, work_dir(spark, "test_slug"), "b", prefix="c")
+
+
+def test_restore_replaces_its_target(spark):
+    import os
+
+    import pytest
+
+    from courier.plans import RestoreError, write_restored
+    from courier.session import local_path, work_dir
+
+    target = work_dir(spark, "test_replace")
+    root = local_path(target)
+    for rel in ("u/old.txt", "u/keep.txt", "v/other.txt"):
+        os.makedirs(os.path.dirname(f"{root}/{rel}"), exist_ok=True)
+        open(f"{root}/{rel}", "w").close()
+    schema = "owner string, key string, content binary, mode int, is_link boolean, link_target string, is_dir boolean"
+    df = spark.createDataFrame([("u", "keep.txt", b"new", 0o600, False, None, False), ("u", "run.sh", b"#!", 0o755, False, None, False),
+                                ("u", "sub/link", None, 0o777, True, "../run.sh", False), ("u", "empty", None, 0o755, False, None, True)], schema)
+    from courier.operators import unpack_archives
+
+    members = unpack_archives(pack_archives(df))
+    assert [tuple(r) for r in write_restored(members, target).collect()] == [("u", 2, 5)]
+    assert sorted(os.listdir(f"{root}/u")) == ["empty", "keep.txt", "run.sh", "sub"]
+    assert os.stat(f"{root}/u/run.sh").st_mode & 0o777 == 0o755 and os.readlink(f"{root}/u/sub/link") == "../run.sh"
+    assert os.path.isdir(f"{root}/u/empty") and os.path.exists(f"{root}/v/other.txt")
+    bad = spark.createDataFrame([("u", 0, b"not an archive")], "owner string, part bigint, archive binary")
+    with pytest.raises(RestoreError):
+        write_restored(unpack_archives(bad), target)
+    with open(f"{root}/u/keep.txt") as f:
+        assert f.read() == "new"
+    whole = write_restored(members, target, per_owner=False).collect()
+    assert [tuple(r) for r in whole] == [("u", 2, 5)] and sorted(os.listdir(root)) == ["empty", "keep.txt", "run.sh", "sub"]
+
+
 def test_write_restored_files(spark):
     import os
 
@@ -70,7 +127,7 @@ def test_write_restored_files(spark):
 
     inv = documents_inventory(spark, SF001, content=True).where(F.col("owner").isin("src0", "src1"))
     store = work_dir(spark, "test_store_w")
-    deliver(inv, store, prefix="c", delivery_id=7)
+    deliver(inv, store, "b", prefix="c", delivery_id=7)
     owners = spark.createDataFrame([("src0",), ("src1",)], "owner string")
     members, _ = restore_bundles(spark, store, owners, prefix="c")
     target = work_dir(spark, "test_restored")
@@ -100,7 +157,7 @@ def test_home_folder_round_trip(spark, tmp_path):
     inv = inv.select(F.split("key", "/").getItem(0).alias("owner"),
                      F.expr("substring(key, length(split(key, '/')[0]) + 12)").alias("key"), "content")
     store = work_dir(spark, "test_home_store")
-    out = {r.owner: r.key for r in deliver(inv, store, prefix="bip2026", folder="materials", delivery_id=1).collect()}
+    out = {r.owner: r.key for r in deliver(inv, store, "b", prefix="bip2026", folder="materials", delivery_id=1).collect()}
     assert out == {"mario.rossi": "bip2026/materials_mario_rossi.tar.gz", "anna": "bip2026/materials_anna.tar.gz"}
     owners = spark.createDataFrame([("mario.rossi",), ("anna",)], "owner string")
     members, missing = restore_bundles(spark, store, owners, prefix="bip2026")

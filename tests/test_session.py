@@ -1,19 +1,20 @@
 import pytest
 
 from courier import session
-from courier.session import block_count, work_dir
+from courier.session import local_path, materialise, work_dir
 
 
-def test_block_count_floor_and_unknown_size(spark):
-    small = spark.range(10)
-    assert block_count(small) == spark.sparkContext.defaultParallelism
-    from courier.sources.tree import object_inventory
+def test_only_file_paths_are_local():
+    assert local_path("/a/b") == local_path("file:/a/b") == local_path("file:///a/b") == "/a/b"
+    assert local_path("rel/a:b") == "rel/a:b"
+    for uri in ("s3a://b/k", "hdfs:/x", "viewfs://store/in", "S3://b"):
+        with pytest.raises(ValueError):
+            local_path(uri)
 
-    unknown = object_inventory(spark, "/nonexistent-root")
-    assert block_count(unknown) == max(spark.sparkContext.defaultParallelism,
-                                       int(spark.conf.get("spark.sql.shuffle.partitions")))
-    big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    assert block_count(big, target_bytes=1024 * 1024) > spark.sparkContext.defaultParallelism
+
+def test_materialised_rows_do_not_change(spark):
+    df = materialise(spark.range(100).selectExpr("id", "rand() AS r"), "t")
+    assert df.agg({"r": "sum"}).first() == df.agg({"r": "sum"}).first() and df.schema["id"].dataType.simpleString() == "bigint"
 
 
 def test_work_dir_is_fresh_and_under_the_checkpoint_folder(spark):

@@ -1,6 +1,6 @@
+import pytest
 from courier.operators import endpoint_inventory, layered_settings, redact_presence
 from courier.sources import kafka_options, s3a_conf, settings_from_env
-from courier.sources.connectors import Settings, aws_credentials
 
 
 def _resolve(spark, rows):
@@ -26,27 +26,31 @@ def test_defaults_env_precedence(spark):
 
 
 def test_driver_side_settings():
-    s = settings_from_env({"KAFKA_BOOTSTRAP_SERVERS": "env-broker:9092", "COURSE_NAME": "bip2026-gpu"},
-                          kafka_bootstrap="override:9092")
-    assert s.kafka_bootstrap == "override:9092" and s.course == "bip2026-gpu"
-    assert settings_from_env({}).kafka_bootstrap == "localhost:9092"
-    assert settings_from_env({"KAFKA_BOOTSTRAP_SERVERS": "e"}, kafka_bootstrap="").kafka_bootstrap == "e"
+    s = settings_from_env({"KAFKA_BOOTSTRAP_SERVERS": "env-broker:9092", "COURSE_NAME": "c1", "GITHUB_REPO": "r"},
+                          kafka_bootstrap="override:9092", github_repo="not taken")
+    assert s["kafka_bootstrap"] == "override:9092" and s["course"] == "c1" and s["github_repo"] == "r"
+    blank = settings_from_env({"KAFKA_BOOTSTRAP_SERVERS": ""})
+    assert blank["kafka_bootstrap"] == "" and blank.effective["kafka_bootstrap"] == "localhost:9092"
+    assert settings_from_env({"KAFKA_BOOTSTRAP_SERVERS": "e"}, kafka_bootstrap="")["kafka_bootstrap"] == "e"
+    with pytest.raises(TypeError):
+        settings_from_env({}, kafka_boostrap="misspelt")
     s = settings_from_env({}, aws_access_key_id="AKIATEST", aws_secret_access_key="s3cr3t", aws_region="eu-west-1")
-    assert aws_credentials(s, {}) == {"access_key": "AKIATEST", "secret_key": "s3cr3t", "region": "eu-west-1"}
-    assert aws_credentials(settings_from_env({}), {}) == {}
     assert "s3cr3t" not in repr(s) and "AKIATEST" not in repr(s)
-    conf = s3a_conf(s, {})
+    conf = s3a_conf(s)
     assert conf["spark.hadoop.fs.s3a.access.key"] == "AKIATEST"
+    assert conf["spark.hadoop.fs.s3a.endpoint.region"] == "eu-west-1"
     assert conf["spark.hadoop.fs.s3.impl"].endswith("S3AFileSystem")
-    assert "spark.hadoop.fs.s3a.access.key" not in s3a_conf(Settings(aws_access_key_id="only-key"), {})
+    mixed = settings_from_env({"AWS_SECRET_ACCESS_KEY": "e"}, aws_access_key_id="o")
+    assert s3a_conf(mixed)["spark.hadoop.fs.s3a.secret.key"] == "e"
+    assert not any("key" in k for k in s3a_conf(settings_from_env({}, aws_access_key_id="only-key")))
 
 
 def test_kafka_options():
-    assert kafka_options(Settings(kafka_bootstrap=""), {}) == {"kafka.bootstrap.servers": "localhost:9092"}
-    opts = kafka_options(Settings(kafka_bootstrap="b:9093", kafka_sasl_username="u", kafka_sasl_password='p"w'), {})
+    assert kafka_options(settings_from_env({}, kafka_bootstrap="")) == {"kafka.bootstrap.servers": "localhost:9092"}
+    opts = kafka_options(settings_from_env({}, kafka_bootstrap="b:9093", kafka_sasl_username="u", kafka_sasl_password='p"w'))
     assert opts["kafka.security.protocol"] == "SASL_SSL" and opts["kafka.sasl.mechanism"] == "PLAIN"
     assert 'password="p\\"w"' in opts["kafka.sasl.jaas.config"]
-    assert "kafka.sasl.jaas.config" not in kafka_options(Settings(kafka_sasl_password="x"), {})
+    assert "kafka.sasl.jaas.config" not in kafka_options(settings_from_env({}, kafka_sasl_password="x"))
 
 
 def test_redact_no_secret_text(spark):
@@ -115,7 +119,7 @@ def test_s3a_session_builder_conf():
             self.conf[k] = v
             return self
 
-    b = s3a_session(Builder(), Settings(aws_access_key_id="k", aws_secret_access_key="s", aws_region="eu-west-1"), {})
+    b = s3a_session(Builder(), settings_from_env({}, aws_access_key_id="k", aws_secret_access_key="s", aws_region="eu-west-1"))
     assert b.conf["spark.hadoop.fs.s3a.access.key"] == "k" and b.conf["spark.sql.repl.eagerEval.enabled"] == "true"
     assert b.conf["spark.hadoop.fs.s3a.endpoint.region"] == "eu-west-1"
 

@@ -82,23 +82,28 @@ def test_ledger_stream_resumes_from_its_checkpoint(spark):
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
-def test_state_partitions_apply_to_the_stream_only(spark):
-    ev = table(spark, SF01, "events").limit(500)
-    base = work_dir(spark, "test_state_parts")
-    ev.write.parquet(f"{base}/in")
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    stream = spark.readStream.schema(ev.schema).parquet(f"{base}/in")
-    q = stream_delivery_ledger(deliveries_from_events(stream), f"{base}/sink", f"{base}/cp", state_partitions=3)
+def test_folders_are_compacted_while_the_stream_runs(spark):
+    import os
+
+    from courier.session import local_path
+
+    ev = table(spark, SF01, "events").limit(700)
+    base = work_dir(spark, "test_compact_run")
+    ev.repartition(7, "event_id").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    q = stream_delivery_ledger(deliveries_from_events(stream), f"{base}/sink", f"{base}/cp", compact_every=3)
     q.awaitTermination()
-    ops = [p["stateOperators"][0] for p in q.recentProgress if p.get("stateOperators")]
-    assert ops and ops[0]["numShufflePartitions"] == 3
-    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert q.exception() is None and len(q.recentProgress) >= 7
+    assert sorted(n for n in os.listdir(local_path(f"{base}/sink")) if not n.startswith(".")) == ["batch=6"]
+    got = read_ledger(spark, f"{base}/sink").select("key", "delivery_id")
+    want = latest_delivery(deliveries_from_events(ev)).select("key", "delivery_id")
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
 def test_kafka_fed_ledger_parses_json_records(spark, monkeypatch):
     from courier.schema import DELIVERIES
     from courier.sources import connectors
-    from courier.sources.connectors import Settings
+    from courier.sources.connectors import settings_from_env
     from courier.sources.tables import events_deliveries
     from courier.streaming import kafka_delivery_ledger
 
@@ -113,7 +118,7 @@ def test_kafka_fed_ledger_parses_json_records(spark, monkeypatch):
         return spark_.readStream.schema("value string").parquet(f"{base}/topic")
 
     monkeypatch.setattr(connectors, "kafka_read", fake_read)
-    q = kafka_delivery_ledger(spark, "deliveries", Settings(), f"{base}/sink", f"{base}/cp")
+    q = kafka_delivery_ledger(spark, "deliveries", settings_from_env({}), f"{base}/sink", f"{base}/cp")
     q.awaitTermination()
     assert q.exception() is None
     got = read_ledger(spark, f"{base}/sink").select("key", "delivery_id")
