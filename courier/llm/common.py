@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import work_dir
+from ..session import materialise as stored  # noqa: F401
 
 #: Bytes of text handed to one call of a batch function: bounds a Python worker's memory.
 SLICE_BYTES = 4 * 1024 * 1024
@@ -88,11 +88,3 @@ def chunks_of_words(b: bytes, size: int = 1 << 22):
         yield b[start:end].split()
         start = end
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the cluster's shared checkpoint folder and read it back: later jobs
-    read the table, whatever executors are lost meanwhile."""
-    spark = df.sparkSession
-    path = work_dir(spark, "llm", name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -136,10 +136,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], t
     """
     spark = docs.sparkSession
     out, sets = None, []
-    chunks = list(_chunks(benchmark, item_col, item_text, chunk_windows)) or [[]]
-    text = text_col
-    for k, chunk in enumerate(chunks):
-        shared = spark.sparkContext.broadcast(Windows(chunk, size))
+    # one chunk at a time is in the driver's memory; a broadcast of it lies in a file
+    chunks = _chunks(benchmark, item_col, item_text, chunk_windows)
+    text, k, chunk = text_col, -1, next(chunks, [])
+    while chunk is not None:
+        k, shared, chunk = k + 1, spark.sparkContext.broadcast(Windows(chunk, size)), next(chunks, None)
 
         def fn(texts, shared=shared):
             found = shared.value.scan(texts)
@@ -148,8 +149,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], t
         own = [spare_name([*keep, text, *sum(sets, [])], f"{n}_{k}") for n in ("words", "spans", "items")]
         source = docs if out is None else out
         fields = "{} long, {} array<array<int>>, {} array<string>".format(*own)
-        last = k == len(chunks) - 1
-        carried = [*keep, *sum(sets, []), *([] if last or text in keep else [text])]
+        carried = [*keep, *sum(sets, []), *([] if chunk is None or text in keep else [text])]
         out = map_text(source, carried, text, fields, fn)
         sets.append(own)
     spans, items = F.concat(*[F.col(s[1]) for s in sets]), F.array_distinct(F.concat(*[F.col(s[2]) for s in sets]))
