@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import archive_name, basename, col_or_lit, slug
-from ..schema import BUNDLES, MEMBERS
-from ..session import materialise
+from ..schema import BUNDLES, MEMBERS, STAGED
+from ..session import local_path, materialise
 from .inventory import DEFAULT_EXCLUDE, exclude_paths
 from .scan import running_sum
 
@@ -43,9 +43,11 @@ def whole_body(df: DataFrame, content_col: str = "content"):
                   ).otherwise(F.col(content_col))
 
 
-def _writer(level: int):
-    """A function that adds one member to an open tar; shared by every archive of a task."""
+def _writer(root: str | None):
+    """A function that adds one member to an open tar: its body from the row, or streamed from the
+    file ``root``/key."""
     import io
+    import os
     import tarfile
 
     def add(tar, name, row):
@@ -60,6 +62,11 @@ def _writer(level: int):
             info.type = tarfile.DIRTYPE
             tar.addfile(info)
             return 0
+        if root is not None:
+            with open(os.path.join(root, row["key"]), "rb") as f:
+                info.size = os.fstat(f.fileno()).st_size
+                tar.addfile(info, f)
+            return info.size
         body = row["content"]
         if body is None:
             raise ValueError(f"no body for {row['key']!r} of {row['owner']!r}")
@@ -72,31 +79,41 @@ def _writer(level: int):
     return add
 
 
-def _packer(level: int):
-    """Rows sorted by (owner, folder, part, key) → one archive per part, written as the rows pass."""
+def _packer(level: int, root: str | None = None, stage: str | None = None):
+    """Rows sorted by (owner, folder, part, key) → one archive per part, written as the rows pass: into
+    memory, or into a file of its own in the folder ``stage``."""
     def pack(batches):
         import gzip
         import io
+        import os
         import tarfile
+        import uuid
 
         import pandas as pd
 
-        add, done, held, now = _writer(level), [], 0, None
+        add, done, held, now = _writer(root), [], 0, None
+        columns = ["owner", "folder", "part", "name", "archive", "n_files", "bytes"]
+        if stage is not None:
+            os.makedirs(stage, exist_ok=True)
+            columns = ["owner", "folder", "part", "name", "staged", "compressed", "n_files", "bytes"]
 
         def begin(row):
-            buf = io.BytesIO()
-            gz = gzip.GzipFile(fileobj=buf, mode="wb", mtime=0, compresslevel=level)
-            return {"at": (row["owner"], row["_folder"], row["part"]), "name": row["_name"], "buf": buf, "gz": gz,
-                    "tar": tarfile.open(fileobj=gz, mode="w", format=tarfile.PAX_FORMAT), "n": 0, "bytes": 0}
+            path = os.path.join(stage, uuid.uuid4().hex) if stage is not None else None
+            out = open(path, "wb") if path else io.BytesIO()
+            gz = gzip.GzipFile(filename="", fileobj=out, mode="wb", mtime=0, compresslevel=level)
+            return {"at": (row["owner"], row["_folder"], row["part"]), "name": row["_name"], "out": out, "path": path,
+                    "gz": gz, "tar": tarfile.open(fileobj=gz, mode="w", format=tarfile.PAX_FORMAT), "n": 0, "bytes": 0}
 
         def end(a):
             a["tar"].close()
             a["gz"].close()
             owner, folder, part = a["at"]
-            return (owner, folder, int(part), a["name"], a["buf"].getvalue(), a["n"], a["bytes"])
-
-        def frame(rows):
-            return pd.DataFrame(rows, columns=["owner", "folder", "part", "name", "archive", "n_files", "bytes"])
+            if a["path"]:
+                a["out"].close()
+                archive = [a["path"], os.path.getsize(a["path"])]
+            else:
+                archive = [a["out"].getvalue()]
+            return (owner, folder, int(part), a["name"], *archive, a["n"], a["bytes"])
 
         for pdf in batches:
             for row in pdf.to_dict("records"):
@@ -105,7 +122,7 @@ def _packer(level: int):
                         done.append(end(now))
                         held += len(done[-1][4])
                         if held >= OUT_BYTES:
-                            yield frame(done)
+                            yield pd.DataFrame(done, columns=columns)
                             done, held = [], 0
                     now = begin(row)
                 now["bytes"] += add(now["tar"], now["name"], row)
@@ -113,35 +130,52 @@ def _packer(level: int):
         if now is not None:
             done.append(end(now))
         if done:
-            yield frame(done)
+            yield pd.DataFrame(done, columns=columns)
 
     return pack
 
 
-def pack_archives(objects: DataFrame, owner_col: str = "owner", *, key_col: str = "key",
-                  content_col: str = "content", folder=None, path_col: str | None = None,
-                  length_col: str | None = None, max_part_bytes: int = DEFAULT_PART_BYTES,
-                  exclude: Sequence[str] = DEFAULT_EXCLUDE, partitions: int | None = None,
-                  compresslevel: int = 6) -> DataFrame:
+def pack_archives(objects: DataFrame, owner_col: str = "owner", *, compresslevel: int = 6, **options) -> DataFrame:
     """Bundle every owner's files into ``tar.gz`` archives, one series of parts per (owner, folder):
     ``(owner, folder, part, name, archive, n_files, bytes)``. ``part`` is the :func:`bundle_plan` part
-    of the files, so an archive holds less than ``max_part_bytes`` plus one file.
+    of the files, so an archive holds less than ``max_part_bytes`` plus one file. ``options`` are those
+    of :func:`part_rows`.
 
     Members sit under a root directory named like the archive, ``<folder>_<slug>.tar.gz``, sorted,
     with their mode (``mode`` column, else 644), gzip mtime 0 and a fixed ``compresslevel``: a bundle
     is reproducible. Links (``is_link`` and ``link_target``) and empty folders (``is_dir``) are stored
-    as such. Junk path components (``exclude``) are left out. An object without a key, a key twice in
-    one bundle, a file without its body or with a part of it only, and a link without its target
-    raise :class:`BundleError` or fail the job: nothing is left out silently.
-
-    Plan. The parts come from keys and lengths alone (``length_col``, by default a column ``length``
-    if there is one; the bodies are not read for it). Bodies are then joined to their part on the
-    whole key, so every join key is one row, and meet by (owner, folder, part), whose bytes are
-    bounded; a task writes each archive while its rows pass.
+    as such.
+    """
+    rows, root = part_rows(objects, owner_col, **options)
+    return rows.mapInPandas(_packer(compresslevel, root), BUNDLES)
+
+
+def stage_archives(objects: DataFrame, stage: str, owner_col: str = "owner", *, compresslevel: int = 6,
+                   **options) -> DataFrame:
+    """The same archives, each written by its task as a file in the folder ``stage``: ``(owner, folder,
+    part, name, staged, compressed, n_files, bytes)``. With ``source_root`` files of any size go in."""
+    rows, root = part_rows(objects, owner_col, **options)
+    return rows.mapInPandas(_packer(compresslevel, root, stage), STAGED)
+
+
+def part_rows(objects: DataFrame, owner_col: str = "owner", *, key_col: str = "key", content_col: str = "content",
+              folder=None, path_col: str | None = None, length_col: str | None = None,
+              max_part_bytes: int = DEFAULT_PART_BYTES, exclude: Sequence[str] = DEFAULT_EXCLUDE,
+              partitions: int | None = None, source_root: str | None = None) -> tuple[DataFrame, str | None]:
+    """The members with their part, where and in the order in which a packer needs them.
+
+    The parts come from keys and lengths alone (``length_col``, by default a column ``length`` if there
+    is one; bodies are not read for it). With ``source_root`` the objects are files under that folder
+    (a mount every executor sees), opened by the task that packs them: no body is ever shuffled.
+    Without it bodies are joined to their part on the whole key, so every join key is one row, and meet
+    by (owner, folder, part), whose bytes are bounded.
+
+    Junk path components (``exclude``) are left out. An object without a key, a key twice in one bundle,
+    a file without its body or with a part of it only, and a link without its target raise
+    :class:`BundleError` or fail the job: nothing is left out silently.
     """
-    df = exclude_paths(objects, key_col, exclude, "component") if exclude else objects
-    # a null key must not vanish in the filter
-    df = df if not exclude else df.unionByName(objects.where(F.col(key_col).isNull()))
+    keyless = objects.where(F.col(key_col).isNull())  # must not vanish in the filter
+    df = exclude_paths(objects, key_col, exclude, "component").unionByName(keyless) if exclude else objects
     fold = basename(F.col(path_col)) if path_col is not None else col_or_lit(
         folder if folder is not None else "materials")
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit(""))
@@ -152,15 +186,15 @@ def pack_archives(objects: DataFrame, owner_col: str = "owner", *, key_col: str
     size = F.col(length) if length else F.octet_length(content_col)
     plain = ~flag("is_link") & ~flag("is_dir")
     target = F.when(flag("is_link"), F.coalesce(F.col("link_target"), F.lit("")) if "link_target" in have else F.lit(""))
-    df = df.select(owner.alias("owner"), fold.alias("_folder"), F.col(key_col).alias("key"),
-                   whole_body(df, content_col).alias("content"), archive_name(fold, slug(owner)).alias("_name"),
-                   mtime.cast("bigint").alias("_mtime"),
-                   (F.coalesce(F.col("mode"), F.lit(0o644)) if "mode" in have else F.lit(0o644)).cast("int").alias("_mode"),
-                   target.alias("_target"), flag("is_dir").alias("_dir"),
-                   F.when(plain, size.cast("bigint")).alias("_len"))
+    member = [owner.alias("owner"), fold.alias("_folder"), F.col(key_col).alias("key"),
+              archive_name(fold, slug(owner)).alias("_name"), mtime.cast("bigint").alias("_mtime"),
+              (F.coalesce(F.col("mode"), F.lit(0o644)) if "mode" in have else F.lit(0o644)).cast("int").alias("_mode"),
+              target.alias("_target"), flag("is_dir").alias("_dir"), F.when(plain, size.cast("bigint")).alias("_len")]
     at = ["owner", "_folder", "key"]
-    plan = materialise(bundle_plan(df.select(*at, "_target", F.coalesce("_len", F.lit(0)).alias("_size")), "owner", "key",
-                                   "_size", max_part_bytes, folder_col="_folder", partitions=partitions), "bundle_plan")
+    by_path = source_root is not None
+    narrow = df.select(*member).withColumn("_size", F.coalesce("_len", F.lit(0)))
+    plan = materialise(bundle_plan(narrow if by_path else narrow.select(*at, "_target", "_size"), "owner", "key", "_size",
+                                   max_part_bytes, folder_col="_folder", partitions=partitions), "bundle_plan")
     bad = plan.where(F.col("key").isNull() | (F.col("_target") == "")).select("owner", "key").limit(5).collect()
     if bad:
         raise BundleError("objects without a key or links without a target: "
@@ -168,10 +202,11 @@ def pack_archives(objects: DataFrame, owner_col: str = "owner", *, key_col: str
     twice = plan.groupBy(*at).count().where("count > 1").limit(5).collect()
     if twice:
         raise BundleError("keys twice in one bundle: " + ", ".join(f"{r.owner}/{r._folder}: {r.key}" for r in twice))
+    rows = plan if by_path else df.select(*member, whole_body(df, content_col).alias("content")).join(
+        plan.select(*at, "part"), at)
     width = [partitions] if partitions else []
-    rows = (df.join(plan.select(*at, "part"), at).repartition(*width, "owner", "_folder", "part")
-            .sortWithinPartitions("owner", "_folder", "part", "key"))
-    return rows.mapInPandas(_packer(compresslevel), BUNDLES)
+    sorted_rows = rows.repartition(*width, "owner", "_folder", "part").sortWithinPartitions("owner", "_folder", "part", "key")
+    return sorted_rows, local_path(source_root) if by_path else None
 
 
 def _unpacker(source_col, by_path, names, strip_root, batch_rows=1024, batch_bytes=32 * 1024 * 1024):

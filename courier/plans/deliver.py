@@ -18,38 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import col_or_lit, join_key, slug
-from ..operators.bundle import DEFAULT_PART_BYTES, BundleError, pack_archives, unpack_archives
+from ..operators.bundle import DEFAULT_PART_BYTES, BundleError, stage_archives, unpack_archives
 from ..operators.inventory import DEFAULT_EXCLUDE
 from ..operators.ledger import missing_archives, size_guard
 from ..session import local_path, materialise, ship_package
 from ..sources.objects import clear_stage
 from ..sources.tree import STAGING
 
-_WRITTEN = ("owner string, folder string, part bigint, name string, staged string, n_files bigint, "
-            "bytes bigint, compressed bigint")
-
-
-def _stage_archives(stage: str):
-    """Write each archive under a name of its own in ``stage``; hand back where it is."""
-    def run(batches):
-        import os
-        import uuid
-
-        import pandas as pd
-
-        os.makedirs(stage, exist_ok=True)
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                staged = os.path.join(stage, uuid.uuid4().hex)
-                with open(staged, "wb") as f:
-                    f.write(r.archive)
-                rows.append((r.owner, r.folder, r.part, r.name, staged, r.n_files, r.bytes, len(r.archive)))
-            yield pd.DataFrame(rows, columns=["owner", "folder", "part", "name", "staged", "n_files", "bytes", "compressed"])
-
-    return run
-
-
 def _place(batches):
     """Rename staged objects to their keys: a target is replaced whole or not at all."""
     import os
@@ -69,9 +44,12 @@ def _place(batches):
 def deliver(objects: DataFrame, store: str, bucket: str, *, owner_col: str = "owner", key_col: str = "key",
             content_col: str = "content", folder: str = "materials", path_col: str | None = None, prefix=None,
             branch: str | None = None, max_size_mb=None, max_part_bytes: int = DEFAULT_PART_BYTES,
-            exclude=DEFAULT_EXCLUDE, delivery_id: int | None = None) -> DataFrame:
+            exclude=DEFAULT_EXCLUDE, delivery_id: int | None = None, source_root: str | None = None) -> DataFrame:
     """Bundle and deliver every owner's files; returns ``(owner, bucket, key, parts, bytes)``.
 
+    With ``source_root`` the objects are files under that folder, read once by the task that packs
+    them; else rows carry their body in ``content_col``.
+
     ``store`` is a folder on a mount that every executor sees. ``prefix=None`` puts the bundle under
     ``branch``; ``prefix=""`` at the bucket root. A bundle over ``max_size_mb`` (compressed, strict
     ``>``) raises :class:`SizeLimitExceeded` and nothing of this delivery stays.
@@ -87,9 +65,9 @@ def deliver(objects: DataFrame, store: str, bucket: str, *, owner_col: str = "ow
         raise BundleError("owners that would write one key: " + "; ".join(f"{r.a}, {r.b}" for r in clash))
     stage = f"{root}/{STAGING}/{did}-{time.time_ns()}"
     try:
-        bundles = pack_archives(objects, owner_col, key_col=key_col, content_col=content_col, folder=folder,
-                                path_col=path_col, max_part_bytes=max_part_bytes, exclude=exclude)
-        staged = materialise(bundles.mapInPandas(_stage_archives(stage), _WRITTEN), "staged_archives")
+        archives = stage_archives(objects, stage, owner_col, key_col=key_col, content_col=content_col, folder=folder,
+                                  path_col=path_col, max_part_bytes=max_part_bytes, exclude=exclude, source_root=source_root)
+        staged = materialise(archives, "staged_archives")
         if max_size_mb is not None:
             size_guard(staged, ["owner", "folder"], "compressed", max_size_mb, mode="fail")
         pre = col_or_lit(branch or "") if prefix is None else col_or_lit(prefix)

@@ -46,6 +46,10 @@ BUNDLES = T.StructType([
     T.StructField("bytes", T.LongType(), True),
 ])
 
+# The same, written as a file.
+STAGED = T.StructType([*BUNDLES.fields[:4], T.StructField("staged", T.StringType(), True),
+                       T.StructField("compressed", T.LongType(), True), *BUNDLES.fields[5:]])
+
 # One member restored from an archive.
 MEMBERS = T.StructType([
     T.StructField("owner", T.StringType(), True),

@@ -71,6 +71,34 @@ def test_deliver_then_restore_latest_delivery(spark):
     assert [r.owner for r in missing.collect()] == ["zed"]
 
 
+def test_deliver_by_path_reads_files_in_the_tasks(spark, tmp_path):
+    import os
+
+    from courier.plans import deliver, restore_bundles, write_restored
+    from courier.session import local_path, work_dir
+    from courier.sources import object_inventory
+
+    for owner in ("ann", "bob"):
+        (tmp_path / owner / "d").mkdir(parents=True)
+        (tmp_path / owner / "d" / "f.bin").write_bytes(owner.encode() * 9000)
+        os.chmod(tmp_path / owner / "d" / "f.bin", 0o640)
+        (tmp_path / owner / "__pycache__").mkdir()
+        (tmp_path / owner / "__pycache__" / "x.pyc").write_bytes(b"x")
+        os.symlink("d/f.bin", tmp_path / owner / "link")
+    inv = object_inventory(spark, str(tmp_path)).withColumn("owner", F.split("key", "/")[0])
+    store = work_dir(spark, "test_by_path")
+    out = deliver(inv, store, "b", prefix="", source_root=str(tmp_path), max_part_bytes=1000, delivery_id=1)
+    assert sorted((r.owner, r.key) for r in out.collect()) == [("ann", "materials_ann.tar.gz"), ("bob", "materials_bob.tar.gz")]
+    members, _ = restore_bundles(spark, store, inv.select("owner").distinct())
+    target = work_dir(spark, "test_by_path_back")
+    write_restored(members, target, per_owner=False)
+    root = local_path(target)
+    assert sorted(os.listdir(root)) == ["ann", "bob"] and sorted(os.listdir(f"{root}/ann")) == ["d", "link"]
+    with open(f"{root}/bob/link", "rb") as f:
+        assert f.read() == b"bob" * 9000
+    assert os.stat(f"{root}/ann/d/f.bin").st_mode & 0o777 == 0o640
+
+
 def test_owners_with_one_slug(spark):
     import pytest
 
