@@ -22,18 +22,25 @@ import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_text, stored
+from .token_counts import byte_symbols
 
-#: Pieces a worker remembers, at most; beyond it starts anew (a cache, results do not depend on it).
+#: Pieces a worker remembers, about (a cache, results do not depend on it).
 CACHE_PIECES = 500_000
 #: Fixed pattern: this pre-tokenizer drops white space, so pieces between spaces are independent.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: Byte (as a Latin-1 character) → the printable character that stands for it in byte-level vocabularies.
+_BYTES = {b: c for b, c in enumerate(byte_symbols())}
+#: First character behind the Latin letters.
+_LATIN_END = "\u0250"
+
 
 class Encoder:
     """Token ids (little-endian unsigned 32-bit, as bytes) of whole texts by a tokenizer file."""
@@ -48,62 +55,59 @@ class Encoder:
             spec = json.load(f)
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         added = spec.get("added_tokens", [])
-        suffix = spec["model"].get("end_of_word_suffix")
-        self.by_piece = (pre[0].get("type") == "Split" and pre[0]["pattern"].get("Regex") == _SPLIT
-                         and pre[0].get("invert") and pre[0].get("behavior") == "Removed" and bool(suffix)
+        self.by_piece = (len(pre) == 2 and pre[0].get("type") == "Split" and pre[0]["pattern"].get("Regex") == _SPLIT
+                         and pre[0].get("invert") and pre[0].get("behavior") == "Removed"
+                         and pre[1].get("type") == "ByteLevel" and not pre[1].get("add_prefix_space")
+                         and [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+                         == ["NFC", "Replace", "Lowercase"]
                          and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in added))
-        if self.by_piece:
-            size = self.tokenizer.get_vocab_size()
-            self.ends = np.zeros(size, bool)
-            for token, i in self.tokenizer.get_vocab().items():
-                self.ends[i] = token.endswith(suffix)
         self.known: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters only: encoded together, then cut where a word ends."""
-        out: list[bytes] = []
-        for lo in range(0, len(words), 2000):
-            some = words[lo:lo + 2000]
-            ids = np.frombuffer(self._plain(["\n".join(some)])[0], "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some) and cuts[-1] == len(ids):
-                out += [ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts)]
-            else:  # a word that is not one word to the tokenizer is among them
-                out += self._plain(some)
-        return out
+    def _word(self, word: str) -> bytes:
+        """Ids of one normalised word of letters, which is one pre-token: the merges alone."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(word)])
 
     def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > CACHE_PIECES:
-            self.known.clear()
-        known, cores, rest = self.known, {}, []
+        known, rest = self.known, []
+        marks = {"": b"", **dict(zip((",", "."), self._plain([",", "."])))}
         for p in pieces:
-            end = p[-1:] if p[-1:] in (",", ".") else ""
-            core = p[:-1] if end else p
-            if core.isascii() and core.isalpha() or unicodedata.normalize("NFC", core).lower().isalpha():
-                cores[p] = (core.lower() if core.isascii() else core, end)
-            else:
+            core, end = (p[:-1], p[-1]) if p[-1:] in (",", ".") else (p, "")
+            if core.isascii():
+                word = core.lower()
+                plain = word.isalpha()
+            else:  # other scripts, and letters that fall to marks, are left to the library
+                word = unicodedata.normalize("NFC", core).lower()
+                plain = word.isalpha() and max(word) < _LATIN_END
+            if not plain:
                 rest.append(p)
-        words = sorted({c for c, _ in cores.values()})
-        ids = dict(zip(words, self._words(words))) if words else {}
-        marks = {"": b"", **dict(zip((",", "."), self._plain([",", "."])))}
-        for p, (core, end) in cores.items():
-            known[p] = ids[core] + marks[end]
+                continue
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = self._word(word)
+            if word != p:
+                known[p] = ids + marks[end]
         for p, found in zip(rest, self._plain(rest)) if rest else ():
             known[p] = found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._plain(texts)
-        lists = [t.replace("\n", " ").split(" ") for t in texts]
+        # the tokenizer lower-cases; doing so first makes fewer pieces (not near special-token strings)
+        lists = [(t.lower() if t.isascii() and "<" not in t else t).replace("\n", " ").split(" ") for t in texts]
         known = self.known
         missing = set().union(*lists) - known.keys() if lists else set()
         if missing:
             if len(known) + len(missing) > CACHE_PIECES:
-                missing = set().union(*lists)  # all of this batch must be there after starting anew
+                # pieces met first are the common ones and stay; the rare ones since then go
+                for p in list(islice(known, CACHE_PIECES // 2, None)):
+                    del known[p]
+                missing = set().union(*lists) - known.keys()
             self._learn(missing)
         return [b"".join(map(known.__getitem__, x)) for x in lists]
 
