@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..session import materialise as stored  # noqa: F401
 
 #: Bytes of text handed to one call of a batch function: bounds a Python worker's memory.
-SLICE_BYTES = 4 * 1024 * 1024
+SLICE_BYTES = 2 * 1024 * 1024
 
 #: The white space between words: space, tab, line feed, vertical tab, form feed, carriage return.
 #: ``bytes.split()`` and ``bytes.strip()`` without arguments use exactly these.
@@ -29,7 +30,7 @@ def spare_name(taken, name: str) -> str:
 def _slices(column):
     """(start, end) of consecutive rows with about ``SLICE_BYTES`` of text, one row at least."""
     start = size = 0
-    for i, n in enumerate(pa.compute.binary_length(column).fill_null(0).to_pylist()):
+    for i, n in enumerate(pc.binary_length(column).fill_null(0).to_pylist()):
         if i > start and size + n > SLICE_BYTES:
             yield start, i
             start, size = i, 0
@@ -57,15 +58,15 @@ def map_text(df: DataFrame, keep: list[str], text_col: str, fields: str, fn) ->
 
     def run(batches):
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            column = table.column(text).combine_chunks().cast(pa.large_binary())
+            column = batch.column(batch.schema.get_field_index(text))
             for lo, hi in _slices(column):
-                out = fn(column.slice(lo, hi - lo).to_pylist())
-                kept = [table.column(c).slice(lo, hi - lo).combine_chunks() for c in keep]
-                new_arrays = [pa.array(v, type=arrow.field(len(keep) + i).type) for i, v in enumerate(out)]
-                arrays = [a.cast(arrow.field(i).type) if a.type != arrow.field(i).type else a
-                          for i, a in enumerate(kept)]
-                yield from pa.Table.from_arrays([*arrays, *new_arrays], schema=arrow).to_batches()
+                # only the slice is copied, not the batch
+                out = fn(column.slice(lo, hi - lo).cast(pa.large_binary()).to_pylist())
+                kept = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
+                arrays = [a if a.type == f.type else a.cast(f.type) for a, f in zip(kept, arrow)]
+                arrays += [pa.array(v, type=arrow.field(len(keep) + i).type) for i, v in enumerate(out)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+            pa.default_memory_pool().release_unused()
 
     return src.mapInArrow(run, schema)
 
