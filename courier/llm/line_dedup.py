@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import spare_name
 
+#: Pages of one host meet its lines in so many tasks: a host with a third of all pages is no hot key.
+SALTS = 64
 _BLANKS = " \t\x0b\x0c\r"
 
 
@@ -56,10 +58,13 @@ def drop_boilerplate(docs: DataFrame, host_col: str, text_col: str = "text", *,
     known = spare_name(columns, "boilerplate_lines")
     host = spare_name([*columns, known], "boilerplate_host")
     kept = spare_name([*columns, known, host], "kept_lines")
+    salt, row_salt = spare_name(columns, "host_salt"), spare_name(columns, "row_salt")
     lines = boilerplate(docs, host_col, text_col, ratio=ratio, min_pages=min_pages)
-    # by host: a small array, bounded as the module says
+    # by host: a small array, bounded as the module says, repeated for every salt
     per_host = lines.groupBy(F.col("host").alias(host)).agg(F.collect_set("line_hash").alias(known))
-    joined = docs.join(per_host, F.col(host_col).eqNullSafe(F.col(host)), "left")
+    per_host = per_host.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = docs.withColumn(row_salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(SALTS)).cast("int"))
+    joined = salted.join(per_host, (F.col(row_salt) == F.col(salt)) & F.col(host_col).eqNullSafe(F.col(host)), "left")
     every = _lines(text_col)
     rest = F.when(F.col(known).isNotNull(),
                   F.filter(every, lambda x: ~F.array_contains(F.col(known), _hash(x))))
