@@ -234,8 +234,20 @@ def _unpacker(source_col, by_path, names, strip_root, batch_rows=1024, batch_byt
                 try:
                     opened = {"name": source} if by_path else {"fileobj": io.BytesIO(bytes(source))}
                     with tarfile.open(mode="r:*", **opened) as tar:
+                        files = {}
                         for m in tar:
-                            if not (m.isreg() or m.issym() or m.isdir()) or any(n in m.name for n in names):
+                            # a hard link stands for the file in front of it that it names
+                            at_name = posixpath.normpath(m.name)
+                            file = m if m.isreg() else files.get(posixpath.normpath(m.linkname)) if m.islnk() else None
+                            if file is not None:
+                                files[at_name] = file
+                            else:
+                                files.pop(at_name, None)
+                            if any(n in m.name for n in names):
+                                continue
+                            if file is None and not (m.issym() or m.isdir()):
+                                error = "hard link without a file" if m.islnk() else "member type is not restored"
+                                rows.append((*at, m.name, None, None, None, None, None, error))
                                 continue
                             path = m.name.rstrip("/")
                             if strip_root:
@@ -249,8 +261,8 @@ def _unpacker(source_col, by_path, names, strip_root, batch_rows=1024, batch_byt
                             if not safe:
                                 rows.append((*at, m.name, None, None, None, None, None, "unsafe member path"))
                                 continue
-                            body = tar.extractfile(m).read() if m.isreg() else None
-                            kind = "file" if m.isreg() else "link" if to is not None else "folder"
+                            body = tar.extractfile(file).read() if file is not None else None
+                            kind = "file" if file is not None else "link" if to is not None else "folder"
                             rows.append((*at, path, body, len(body or b""), kind, m.mode, to, None))
                             held += len(body or b"")
                             if len(rows) >= batch_rows or held >= batch_bytes:
@@ -271,9 +283,10 @@ def unpack_archives(bundles: DataFrame, *, archive_col: str = "archive", path_co
 
     The archive is the column ``archive_col``, or the file that ``path_col`` names, opened by the task
     that unpacks it. The archive's root directory is stripped; members whose name contains an excluded
-    text are left out (the restore rule keeps ``__pycache__``). Absolute or ``..`` paths, links out of
-    the bundle and corrupt archives come back as rows with ``_error`` set, never as files. Archive by
-    archive, no shuffle.
+    text are left out (the restore rule keeps ``__pycache__``). Hard links are files with the body of the
+    file they name. Absolute or ``..`` paths, links out of the bundle, hard links without a file, members
+    of other types (devices, pipes) and corrupt archives come back as rows with ``_error`` set, never as
+    files. Archive by archive, no shuffle.
     """
     source = path_col or archive_col
     df = bundles

@@ -112,6 +112,29 @@ def test_links_folders_and_modes_are_stored(spark, tmp_path):
     assert rows["materials_u.tar.gz/d/out"]._error == "unsafe member path"
 
 
+def test_hard_links_are_files_and_other_members_errors(spark, tmp_path):
+    import os
+
+    (tmp_path / "home" / ".skip").mkdir(parents=True)
+    (tmp_path / "home" / ".skip" / "a").write_bytes(b"body")
+    for name in ("b", "c"):
+        os.link(tmp_path / "home" / ".skip" / "a", tmp_path / "home" / name)
+    os.mkfifo(tmp_path / "home" / "pipe")
+    buf = io.BytesIO()
+    with tarfile.open(fileobj=buf, mode="w:gz") as tar:
+        tar.add(tmp_path / "home", arcname="home")
+        lost = tarfile.TarInfo("home/lost")
+        lost.type, lost.linkname = tarfile.LNKTYPE, "home/nowhere"
+        tar.addfile(lost)
+        types = {m.name: m.type for m in tar.getmembers()}
+    assert list(types.values()).count(tarfile.LNKTYPE) == 3
+    df = spark.createDataFrame([("u", "f", 0, buf.getvalue())], "owner string, folder string, part int, archive binary")
+    rows = {r.path: r for r in unpack_archives(df, exclude=(".skip",)).collect()}
+    assert {p: bytes(r.content) for p, r in rows.items() if r.kind == "file"} == {"b": b"body", "c": b"body"}
+    assert {p: r._error for p, r in rows.items() if r._error} == {
+        "home/lost": "hard link without a file", "home/pipe": "member type is not restored"}
+
+
 @pytest.mark.parametrize("reuse", ["true", "false"])
 @pytest.mark.parametrize("adaptive", ["true", "false"])
 def test_running_sum_whatever_the_plan(spark, reuse, adaptive):
