@@ -7,7 +7,8 @@ their row number into shards of bounded size. Each shard is searched by several
 Spark task with its own population; after an epoch every island sends its elite to the next island
 of the ring. Shards that reach the lower bound (total length / capacity, rounded up) stop at once.
 Bins that stay loose are dissolved and pooled over all shards for a next, smaller level, until one
-shard holds what is left, so the loss does not grow with the number of shards.
+shard holds what is left, a level has over half the items of the one before, or four levels are done.
+In the last two cases each shard left keeps its own unfilled bin, up to one sequence a shard too many.
 
 Defined results: a null or empty text is the end token alone; texts over the capacity, and only
 they, are cut into pieces of the capacity; repeated rows are rows of their own; ids may be null; an
