@@ -64,9 +64,47 @@ SELECT doc_id, CASE WHEN hit > 0 AND any_left THEN rest ELSE text END AS text, c
 FROM d LEFT JOIN doc USING (rid)
 """
 
+SUBSTRINGS = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+g AS (SELECT rid, doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM s),
+late AS (SELECT rid, i FROM (SELECT rid, i, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, i) AS k FROM g) WHERE k > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 20)) AS p FROM late),
+per AS (SELECT rid, count(*) AS n_removed, list(p) AS ps FROM gone GROUP BY rid),
+kept AS (SELECT d.rid, string_agg(x.word, ' ' ORDER BY x.p) AS k
+  FROM (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) x JOIN d ON d.rid = x.rid
+  WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.rid = x.rid AND gone.p = x.p) GROUP BY d.rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN per USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+PHRASES = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, {_LOWER} AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^ \x09]+') AS w FROM d),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p WHERE len(w) > 0),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS k FROM s)),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k AS size, g AS phrase, f AS a, string_split(g, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+inner_parts AS (SELECT lang, a, array_to_string(w[j:j + m - 1], ' ') AS part
+  FROM (SELECT lang, a, w, m, unnest(range(1, size - m + 2)) AS j FROM (SELECT *, unnest(range(2, size)) AS m FROM c))),
+longest AS (SELECT lang, part, max(a) AS most FROM inner_parts GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN longest l ON l.lang = c.lang AND l.part = c.phrase WHERE l.most IS NULL OR 100 * l.most < 100 * c.a),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS h, array_to_string(w[k + 1:], ' ') AS t
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM kept)),
+scored AS (SELECT u.lang, phrase, a, u.k, fl.f AS l, fr.f AS r, n,
+    CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(fl.f AS HUGEINT) * fr.f) AS BIGINT) AS score
+  FROM cuts u JOIN f fl ON fl.lang = u.lang AND fl.g = h JOIN f fr ON fr.lang = u.lang AND fr.g = t JOIN total ON total.lang = u.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
 ORACLE = {
     "op1_warc": WARC,
     "op4_decontamination": DECONTAMINATION,
     "op6_chat_formatting": CHAT,
     "op7_line_dedup": LINES,
+    "op12_substring_dedup": SUBSTRINGS,
+    "op13_phrase_collocations": PHRASES,
 }

@@ -11,12 +11,15 @@ from ..sources.tables import table
 from .chat import chat_digests, format_chats
 from .classifier import quality_scores
 from .common import stored
+from .conversations import damaged, repair_digests
 from .decontaminate import contamination
 from .line_dedup import drop_boilerplate
 from .oracles import ORACLE  # noqa: F401
 from .packing import pack_documents
+from .phrases import collocations
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
+from .substrings import drop_repeats
 from .surrogates import replace_pii
 from .token_counts import token_counts
 from .warc import page_records, read_archives, write_archives
@@ -83,6 +86,22 @@ def op10_token_counts(spark, sf_dir):
     return token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
 
 
+def op11_conversation_repair(spark, sf_dir):
+    ship_package(spark)
+    turns = damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return repair_digests(turns, present=F.col("present")).withColumnRenamed("conv", "conv_id")
+
+
+def op12_substring_dedup(spark, sf_dir):
+    out = drop_repeats(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_phrase_collocations(spark, sf_dir):
+    ship_package(spark)
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
@@ -94,4 +113,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_token_counts": op10_token_counts,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
