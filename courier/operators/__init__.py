@@ -6,6 +6,7 @@ from .inventory import (DEFAULT_EXCLUDE, exclude_paths, excluded, list_objects,
 from .keys import delivery_keys, file_keys
 from .ledger import (MissingObjects, SizeLimitExceeded, fetch_user_archive, key_collisions,
                      latest_delivery, missing_archives, oversized, size_guard, transfer_progress)
+from .rollup import folder_sizes
 from .scan import running_sum
 from .settings import (credential_pairs, endpoint_inventory, endpoints, layered_settings, nested_lookup,
                        redact_presence, settings_report)
@@ -13,7 +14,7 @@ from .settings import (credential_pairs, endpoint_inventory, endpoints, layered_
 __all__ = [
     "DEFAULT_EXCLUDE", "MissingObjects", "credential_pairs", "SizeLimitExceeded", "bundle_plan", "delivery_keys",
     "endpoint_inventory", "endpoints", "exclude_paths", "excluded", "fetch_user_archive",
-    "file_keys", "key_collisions", "latest_delivery", "layered_settings", "list_objects",
+    "file_keys", "folder_sizes", "key_collisions", "latest_delivery", "layered_settings", "list_objects",
     "missing_archives", "nested_lookup", "object_preview", "oversized", "pack_archives",
     "redact_presence", "running_sum", "settings_report", "size_guard", "size_report", "transfer_progress",
     "tree_stats", "unpack_archives",

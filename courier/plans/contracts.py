@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.sizes import human_bytes
 from ..operators import (bundle_plan, delivery_keys, endpoint_inventory, exclude_paths, fetch_user_archive,
-                         file_keys, key_collisions, latest_delivery, layered_settings, list_objects,
+                         file_keys, folder_sizes, key_collisions, latest_delivery, layered_settings, list_objects,
                          missing_archives, nested_lookup, object_preview, pack_archives,
-                         redact_presence, settings_report, size_guard, size_report,
+                         redact_presence, running_sum, settings_report, size_guard, size_report,
                          transfer_progress, tree_stats, unpack_archives)
 from ..plans.restore import restore
 from ..plans.publish import copy_collisions, copy_objects, publish
@@ -25,6 +25,7 @@ from ..sources.tables import deliveries_from_events, documents_inventory, events
 from ..sources.tree import object_inventory
 from ..streaming.ledger import read_ledger, stream_delivery_ledger
 from ..streaming.observe import observed_transfer
+from ..streaming.progress import ROCKSDB, stream_transfer_progress
 
 PART_BYTES = 65536
 
@@ -309,6 +310,48 @@ def q_publish_replace(spark, d):
     return cur.select("bucket", "key", F.col("delivery_id").alias("event_id"))
 
 
+def q_publish_merge(spark, d):
+    """Three publishes of a table of sorted runs; the second also deletes every seventh user's keys."""
+    dl = events_deliveries(spark, d).withColumn("bucket", F.when(F.dayofweek("ts") % 2 == 0, "a").otherwise("b"))
+    target = work_dir(spark, "runs")
+    publish(dl.where("delivery_id % 3 = 0"), target, mode="merge")
+    publish(dl.where("delivery_id % 3 = 1 AND user_id % 7 <> 0"), target, mode="merge",
+            deletes=dl.where("user_id % 7 = 0").select("bucket", "key"))
+    cur = publish(dl.where("delivery_id % 3 = 2 AND user_id % 2 = 0"), target, mode="merge")
+    return cur.select("bucket", "key", F.col("delivery_id").alias("event_id"))
+
+
+def q_folder_sizes(spark, d):
+    """Every folder of a tree four levels deep per language; files of ``src3`` folders are junk."""
+    inv = documents_inventory(spark, d)
+    deep = F.concat_ws("/", "owner", (F.col("doc_id") % 10).cast("string"), F.floor(F.col("doc_id") / 50).cast("string"),
+                       F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
+    return folder_sizes(inv.withColumn("key", deep), ["lang"], names=("src3",))
+
+
+def q_stream_progress(spark, d):
+    """The chunks of five transfers in four files, each spread over the whole time, one per micro-batch."""
+    ev = table(spark, d, "events").select("event_type", "event_id", "ts", F.floor(F.col("value") * 1024).cast("bigint").alias("n"))
+    chunks = running_sum(ev, ["event_type"], ["ts", "event_id"], "n", "done", total="total")
+    base = work_dir(spark, "stream_progress")
+    (chunks.select("event_type", "event_id", (F.col("done") - F.col("n")).alias("start"), "n", "total")
+     .repartition(4, "event_id").write.option("maxRecordsPerFile", 0).parquet(f"{base}/in"))
+    stream = spark.readStream.schema("event_type string, event_id long, start long, n long, total long").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        out = stream_transfer_progress(stream, ["event_type"], ["event_id"], start_col="start", n_col="n", total_col="total")
+        q = (out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{base}/checkpoint")
+             .option("path", f"{base}/out").trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+    if q.exception():
+        raise q.exception()
+    return spark.read.schema(out.schema).parquet(f"{base}/out").select("event_type", "event_id", "pct", "done")
+
+
 def q_observed_transfer(spark, d):
     inv = documents_inventory(spark, d, content=True)
     out, obs = observed_transfer(inv, "length")
@@ -355,6 +398,9 @@ QUERIES = {
     "copy_objects": q_copy_objects,
     "publish": q_publish,
     "publish_replace": q_publish_replace,
+    "publish_merge": q_publish_merge,
+    "folder_sizes": q_folder_sizes,
+    "stream_progress": q_stream_progress,
     "observed_transfer": q_observed_transfer,
 }
 
@@ -502,5 +548,20 @@ ORACLE = {
         SELECT bkt AS bucket, key, delivery_id AS event_id FROM b
         QUALIFY row_number() OVER (PARTITION BY bkt, key
         ORDER BY delivery_id % 3 > 0 DESC, ts DESC, delivery_id DESC) = 1""",
+    "publish_merge": f"""WITH {DELIV}, b AS (SELECT *, CASE WHEN dayofweek(ts) % 2 = 1 THEN 'a' ELSE 'b' END AS bkt,
+          delivery_id % 3 AS step FROM dl),
+        w AS (SELECT bkt, key, step, ts, delivery_id FROM b
+              WHERE step = 0 OR (step = 1 AND user_id % 7 <> 0) OR (step = 2 AND user_id % 2 = 0)),
+        gone AS (SELECT DISTINCT bkt, key FROM b WHERE user_id % 7 = 0)
+        SELECT bkt AS bucket, key, delivery_id AS event_id FROM w
+        WHERE step > 0 OR NOT EXISTS (SELECT 1 FROM gone g WHERE g.bkt = w.bkt AND g.key = w.key)
+        QUALIFY row_number() OVER (PARTITION BY bkt, key ORDER BY step DESC, ts DESC, delivery_id DESC) = 1""",
+    "folder_sizes": """WITH RECURSIVE f AS (SELECT lang, strlen(text) AS n,
+          [source, CAST(doc_id % 10 AS VARCHAR), CAST(doc_id // 50 AS VARCHAR)] AS dirs FROM documents WHERE source <> 'src3'),
+        up AS (SELECT lang, dirs, sum(n) AS total_bytes, count(*) AS n_files FROM f GROUP BY ALL
+          UNION ALL SELECT lang, dirs[1:len(dirs) - 1], total_bytes, n_files FROM up WHERE len(dirs) > 0)
+        SELECT lang, array_to_string(dirs, '/') AS folder, len(dirs) AS depth, CAST(sum(total_bytes) AS BIGINT) AS total_bytes,
+        CAST(sum(n_files) AS BIGINT) AS n_files FROM up GROUP BY lang, dirs""",
     "observed_transfer": "SELECT CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(*) AS files FROM documents",
 }
+ORACLE["stream_progress"] = ORACLE["transfer_progress"]

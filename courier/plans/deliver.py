@@ -1,9 +1,11 @@
 """Deliver and restore whole bundles: archives as objects, a Parquet manifest that names them.
 
 ``deliver``: drop junk → plan the parts → pack every owner's files; the task that packs an archive
-writes it as an object ``<store>/objects/<bucket>/<key>`` (``…part-N.tar.gz`` if the bundle has
-several) under a staging name → refuse owners whose compressed bundle is over the limit → rename the
-objects into place → write the manifest rows of this delivery. Bodies of archives never pass through
+writes it as an object under a staging name → refuse owners whose compressed bundle is over the limit →
+rename the objects into place, ``<store>/objects/<bucket>/<delivery id>-<time>/<key>`` (``…part-N.tar.gz``
+if the bundle has several) → write the manifest rows of this delivery. Every delivery has a folder of its
+own, so it never changes an object that an older manifest row names: until its rows are written readers
+see the delivery before whole, and a delivery that fails leaves that as it is. Bodies of archives never pass through
 a table or a shuffle. A bundle is identified by (bucket, key): two owners whose slugs give one key
 are refused before anything is written. ``current_bundles`` gives the parts of the latest delivery of
 every (bucket, key); ``restore_bundles`` unpacks them for a set of owners, each archive opened by the
@@ -63,7 +65,8 @@ def deliver(objects: DataFrame, store: str, bucket: str, *, owner_col: str = "ow
              .agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a <> b").limit(5).collect())
     if clash:
         raise BundleError("owners that would write one key: " + "; ".join(f"{r.a}, {r.b}" for r in clash))
-    stage = f"{root}/{STAGING}/{did}-{time.time_ns()}"
+    attempt = f"{did}-{time.time_ns()}"
+    stage, placed, whole = f"{root}/{STAGING}/{attempt}", f"{root}/objects/{bucket}/{attempt}", False
     try:
         archives = stage_archives(objects, stage, owner_col, key_col=key_col, content_col=content_col, folder=folder,
                                   path_col=path_col, max_part_bytes=max_part_bytes, exclude=exclude, source_root=source_root)
@@ -77,7 +80,7 @@ def deliver(objects: DataFrame, store: str, bucket: str, *, owner_col: str = "ow
         stem = F.expr("substring(key, 1, char_length(key) - 7)")
         rows = rows.withColumn("key", key).withColumn("object_key", F.when(F.col("n_parts") == 1, F.col("key")).otherwise(
             F.concat(stem, F.lit(".part-"), F.col("part").cast("string"), F.lit(".tar.gz"))))
-        rows = rows.withColumn("path", F.concat(F.lit(f"{root}/objects/{bucket}/"), F.col("object_key")))
+        rows = rows.withColumn("path", F.concat(F.lit(f"{placed}/"), F.col("object_key")))
         # an action of its own: the manifest names nothing that is not in place
         rows.select("staged", "path").mapInPandas(_place, "n bigint").agg(F.sum("n")).first()
         manifest = rows.select(F.lit(bucket).alias("bucket"), pre.alias("prefix"), "folder", "owner", "key", "object_key",
@@ -86,8 +89,11 @@ def deliver(objects: DataFrame, store: str, bucket: str, *, owner_col: str = "ow
         target = f"{store.rstrip('/')}/manifest"
         (manifest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("delivery_id").parquet(target))
+        whole = True
     finally:
         clear_stage(stage)
+        if not whole:  # no manifest row names them
+            clear_stage(placed)
     return (spark.read.schema(manifest.schema).parquet(f"{target}/delivery_id={did}").groupBy("owner", "bucket", "key")
             .agg(F.count(F.lit(1)).alias("parts"), F.sum("compressed").alias("bytes")))
 

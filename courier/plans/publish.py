@@ -13,11 +13,13 @@ from ..operators.keys import file_keys
 from ..operators.ledger import MissingObjects, latest_delivery, size_guard
 from ..session import materialise
 from ..sources import objects as objects_sink
+from ..sources import store
+from .runs import publish_run, read_runs
 
 
 def publish(deliveries: DataFrame, target: str, *, mode: str = "ledger", max_size_mb=None,
             group_cols: Sequence[str] | None = None, length_col: str = "length",
-            observation=None, buckets: int = 256) -> DataFrame:
+            observation=None, buckets: int = 256, deletes: DataFrame | None = None) -> DataFrame:
     """Write deliveries (rows already carrying ``key``) to ``target`` and return what is current.
 
     A key is identified with its bucket: columns ``bucket`` (if there is one) and ``key``.
@@ -27,7 +29,11 @@ def publish(deliveries: DataFrame, target: str, *, mode: str = "ledger", max_siz
     * ``replace``: a write to a key replaces it (and within one call the latest row of a key wins).
       The rows need ``ts`` and ``delivery_id``. The table is partitioned by ``buckets`` hashes of the
       key, so it has a bounded number of folders however many owners there are; the hashes that the
-      new rows touch are merged with what is stored and replaced by dynamic partition overwrite.
+      new rows touch are merged with what is stored and replaced by dynamic partition overwrite. The
+      number of hashes is stored with the table; another ``buckets`` than the stored one is refused.
+    * ``merge``: a write to a key replaces it, and ``deletes`` (rows with the key columns) removes keys,
+      as sorted runs that are merged when read (:mod:`runs`): what a publish writes is as large as its
+      input. Needs the same columns.
 
     ``max_size_mb`` runs the size guard on each delivery of a key as its own action before anything is
     written and raises :class:`SizeLimitExceeded`. A failed write raises (job failure).
@@ -41,11 +47,15 @@ def publish(deliveries: DataFrame, target: str, *, mode: str = "ledger", max_siz
     if mode == "ledger":
         df.write.mode("append").parquet(target)
         return current(deliveries.sparkSession, target)
-    if mode != "replace":
-        raise ValueError("mode must be 'ledger' or 'replace'")
+    if mode not in ("replace", "merge"):
+        raise ValueError("mode must be 'ledger', 'replace' or 'merge'")
     if not {"ts", "delivery_id"} <= set(deliveries.columns):
-        raise ValueError("mode='replace' needs ts and delivery_id to tell which row of a key is the last")
+        raise ValueError(f"mode='{mode}' needs ts and delivery_id to tell which row of a key is the last")
     spark = deliveries.sparkSession
+    if mode == "merge":
+        publish_run(df, target, deletes=deletes, keys=identity)
+        return read_runs(spark, target)
+    _check_buckets(spark, target, buckets)
     # last write wins inside one publish too: one row per key (pre-aggregated, skew-safe)
     new = materialise(latest_delivery(df, identity).withColumn(
         "_bucket", F.pmod(F.xxhash64(*identity), F.lit(buckets)).cast("int")), "publish")
@@ -64,6 +74,13 @@ def publish(deliveries: DataFrame, target: str, *, mode: str = "ledger", max_siz
     return spark.read.schema(new.schema).parquet(target).drop("_bucket")
 
 
+def _check_buckets(spark, target: str, buckets: int) -> None:
+    """The number of hashes is fixed with the first write: under another one a key would lie in two folders."""
+    path = f"{target.rstrip('/')}/_buckets"
+    if not store.create_text(spark, path, str(buckets)) and (stored := int(store.read_text(spark, path))) != buckets:
+        raise ValueError(f"{target}: the table has {stored} buckets, not {buckets}")
+
+
 def key_columns(deliveries: DataFrame) -> list[str]:
     """What identifies a delivered object: its bucket, if the rows name one, and its key."""
     return [c for c in ("bucket", "key") if c in deliveries.columns]

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ledger import latest_delivery
+from ..sources import store
 
 
 def latest_by_key(stream: DataFrame, key_cols: Sequence[str] = ("key",),
@@ -60,15 +61,13 @@ def stream_delivery_ledger(stream: DataFrame, sink: str, checkpoint: str, *,
 
 
 def _replace(spark: SparkSession, made: str, folder: str, sink: str, batch_id: int) -> None:
-    """Put the compacted folder in place, then delete the folders it contains (Hadoop file system)."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(sink).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(path(folder), True)  # an earlier attempt of this batch
-    fs.rename(path(made), path(folder))
-    for status in fs.listStatus(path(sink)):
-        name = status.getPath().getName()
+    """Put the compacted folder in place, then delete the folders it contains. Every step is checked:
+    nothing is deleted unless the compacted folder lies where readers look."""
+    store.delete(spark, folder)  # an earlier attempt of this batch
+    store.rename(spark, made, folder)
+    for name in store.names(spark, sink):
         if name.startswith("batch=") and int(name[6:]) < batch_id:
-            fs.delete(status.getPath(), True)
+            store.delete(spark, f"{sink.rstrip('/')}/{name}")
 
 
 def read_ledger(spark: SparkSession, sink: str, key_cols: Sequence[str] = ("key",),

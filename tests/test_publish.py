@@ -152,3 +152,23 @@ def test_copy_objects_by_path(spark, tmp_path):
     requested = spark.createDataFrame([("modello.gguf",), ("nope",)], "key string")
     with pytest.raises(MissingObjects):
         copy_objects(inv, target, prefix="corso", source_root=str(src), requested=requested)
+
+
+def test_replace_refuses_another_number_of_buckets(spark):
+    import pytest
+
+    target = work_dir(spark, "test_buckets")
+    rows = spark.range(500).selectExpr("concat('k', id) AS key", "id AS length", "current_timestamp() AS ts", "id AS delivery_id")
+    publish(rows, target, mode="replace")
+    with pytest.raises(ValueError, match="256 buckets"):
+        publish(rows, target, mode="replace", buckets=100)
+    assert publish(rows, target, mode="replace").count() == 500
+
+
+def test_merge_mode_deletes_and_replaces(spark):
+    target = work_dir(spark, "test_merge")
+    rows = spark.range(5).selectExpr("concat('k', id) AS key", "id AS length", "current_timestamp() AS ts", "id AS delivery_id")
+    publish(rows, target, mode="merge")
+    cur = publish(rows.where("key = 'k1'").selectExpr("key", "length + 10 AS length", "ts", "delivery_id"), target, mode="merge",
+                  deletes=spark.createDataFrame([("k2",), ("k1",)], "key string"))
+    assert {(r.key, r.length) for r in cur.collect()} == {("k0", 0), ("k1", 11), ("k3", 3), ("k4", 4)}

@@ -124,3 +124,21 @@ def test_kafka_fed_ledger_parses_json_records(spark, monkeypatch):
     got = read_ledger(spark, f"{base}/sink").select("key", "delivery_id")
     want = latest_delivery(dl).select("key", "delivery_id")
     assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+
+
+def test_failed_rename_deletes_nothing(spark, monkeypatch):
+    import pytest
+
+    from courier.sources import store
+    from courier.streaming.ledger import _replace
+
+    base = work_dir(spark, "test_rename")
+    rows = spark.createDataFrame([("k", 1, 1)], "key string, ts int, delivery_id long")
+    for i in range(3):
+        rows.write.parquet(f"{base}/batch={i}")
+    with pytest.raises(Exception):  # there is no compacted folder: the rename cannot work
+        _replace(spark, f"{base}/.compacting-3", f"{base}/batch=3", base, 3)
+    assert sorted(store.names(spark, base)) == ["batch=0", "batch=1", "batch=2"]
+    rows.write.parquet(f"{base}/.compacting-3")
+    _replace(spark, f"{base}/.compacting-3", f"{base}/batch=3", base, 3)
+    assert store.names(spark, base) == ["batch=3"]
