@@ -97,11 +97,13 @@ def read_chats(formatted: DataFrame, template: dict = TEMPLATE) -> DataFrame:
 
 
 def chat_digests(formatted: DataFrame, template: dict = TEMPLATE) -> DataFrame:
-    """The digests of what is read back from the output of ``format_chats``."""
+    """The digests of what is read back from the output of ``format_chats``, and the machine's verdict:
+    ``valid``, and ``bad_turn`` (-1 if no turn is out of order)."""
     loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"]), "")
-    read = formatted.select("conv_id", "formatted", unescape(loss).alias("loss_text"), _turns(template).alias("turns"))
+    read = formatted.select("conv_id", "formatted", "valid", "bad_turn", unescape(loss).alias("loss_text"), _turns(template).alias("turns"))
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"))
+        F.length("formatted").cast("long").alias("formatted_chars"), "valid",
+        F.coalesce("bad_turn", F.lit(-1)).cast("long").alias("bad_turn"))

@@ -37,12 +37,18 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
   UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(i)),
 e AS (SELECT *, CASE role WHEN 'system' THEN 6 WHEN 'user' THEN 4 WHEN 'assistant' THEN 9
     ELSE 1 + length(url_encode(role)) END AS header,
-  replace(replace(replace(text, '\', '\\'), '#', '\#'), '</', '<\/') AS escaped FROM t)
+  replace(replace(replace(text, '\', '\\'), '#', '\#'), '</', '<\/') AS escaped,
+  row_number() OVER o - 1 AS place, lag(role, 1, '') OVER o || '>' || role AS step,
+  last_value(role) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_role FROM t
+  WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(4 + header + 2 + length(escaped) + 8) AS BIGINT) AS formatted_chars
+  CAST(sum(4 + header + 2 + length(escaped) + 8) AS BIGINT) AS formatted_chars,
+  count(*) FILTER (step NOT IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user')) = 0
+    AND min(last_role) = 'assistant' AS valid,
+  coalesce(min(place) FILTER (step NOT IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user')), -1) AS bad_turn
 FROM e GROUP BY conv_id
 """
 

@@ -107,3 +107,13 @@ def test_chat_ties_and_empty(spark):
     assert chat_digests(format_chats(chats(spark, rows).limit(0))).count() == 0
     other = TEMPLATE | {"loss": ["user"], "headers": {"user": "Mensch"}}
     assert "### Mensch: a" in format_chats(chats(spark, rows), other).first()["formatted"]
+
+
+def test_the_machine_runs_in_the_registered_query(spark):
+    from courier.llm.queries import QUERIES
+
+    out = QUERIES["op6_chat_formatting"](spark, "/root/testdata/sf0.01")
+    assert "array_contains(" in out._jdf.queryExecution().optimizedPlan().toString() and {"valid", "bad_turn"} <= set(out.columns)
+    rows = out.collect()
+    assert all(r["valid"] <= (r["bad_turn"] < 0) for r in rows) and {r["valid"] for r in rows} == {True, False}
+    assert next(r["valid"] for r in rows if r["conv_id"] == -7)
