@@ -63,3 +63,24 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: s
     if total:
         res = res.withColumn(total, F.coalesce("_tot", "_ltot").cast("bigint"))
     return res.drop(BLOCK, "_local", "_ltot", "_off", "_tot")
+
+
+def running_max(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, out: str = "before", *,
+                partitions: int | None = None) -> DataFrame:
+    """Add ``out`` = largest ``value`` of the *earlier* rows of the same ``by`` group in ``order`` (which
+    must make rows unique within a group); null for the first, nulls count as nothing.
+
+    Blocks and their carried values are those of :func:`running_sum`: a group of any size spans as many
+    blocks as it needs, and each (block, group) pair passes on one maximum.
+    """
+    by, order = list(by), list(order)
+    blocks = [partitions] if partitions else []
+    rows = materialise(df.repartitionByRange(*blocks, *by, *order).withColumn(BLOCK, F.spark_partition_id()), "running_max")
+    most = rows.groupBy(BLOCK, *by).agg(F.max(value).alias("_max"))
+    group = Window.partitionBy(*by)
+    before = group.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = most.select(BLOCK, *by, F.count(F.lit(1)).over(group).alias("_nblk"), F.max("_max").over(before).alias("_carried"))
+    inside = Window.partitionBy(BLOCK, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumn("_local", F.max(value).over(inside))
+    res = _null_safe_join(local, carried.where("_nblk > 1").drop("_nblk"), [BLOCK, *by], "left")
+    return res.withColumn(out, F.greatest("_local", "_carried")).drop(BLOCK, "_local", "_carried")

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sizes import human_bytes
+from ..operators.editions import audit_sketches, editions, key_sketches, overlapping_editions
+from ..operators.indexed import pack_indexed, read_members, restore_paths
 from ..operators import (bundle_plan, delivery_keys, endpoint_inventory, exclude_paths, fetch_user_archive,
                          file_keys, folder_sizes, key_collisions, latest_delivery, layered_settings, list_objects,
                          missing_archives, nested_lookup, object_preview, pack_archives,
@@ -19,8 +21,9 @@ from ..operators import (bundle_plan, delivery_keys, endpoint_inventory, exclude
                          transfer_progress, tree_stats, unpack_archives)
 from ..plans.restore import restore
 from ..plans.publish import copy_collisions, copy_objects, publish
-from ..session import work_dir
+from ..session import local_path, materialise, work_dir
 from ..sources import objects as objects_sink
+from ..sources.frontier import frontier_inventory
 from ..sources.tables import deliveries_from_events, documents_inventory, events_deliveries, table
 from ..sources.tree import object_inventory
 from ..streaming.ledger import read_ledger, stream_delivery_ledger
@@ -310,6 +313,50 @@ def q_publish_replace(spark, d):
     return cur.select("bucket", "key", F.col("delivery_id").alias("event_id"))
 
 
+def q_frontier_inventory(spark, d):
+    """A tree with hidden and underscored folders, one of which holds a third of all files."""
+    inv = documents_inventory(spark, d, content=True)
+    top = F.when(F.col("doc_id") % 3 == 0, ".hot").otherwise(F.concat(F.lit("_"), "owner"))
+    key = F.concat_ws("/", top, F.floor(F.col("doc_id") / 20).cast("string"), F.concat(F.lit("_doc"), F.col("doc_id").cast("string")))
+    root = work_dir(spark, "frontier")
+    objects_sink.register(spark)
+    inv.select(key.alias("key"), "content").write.format("courier_objects").mode("append").save(root)
+    return frontier_inventory(spark, root).select("key", "length")
+
+
+def _indexed(spark, d):
+    inv = documents_inventory(spark, d, content=True)
+    return materialise(pack_indexed(inv, local_path(work_dir(spark, "indexed")), max_part_bytes=8 * PART_BYTES, block_bytes=16384), "index")
+
+
+def q_restore_paths(spark, d):
+    """Every tenth file, each read from its own blocks of the archive that holds it."""
+    wanted = documents_inventory(spark, d).where("doc_id % 10 = 3").select("owner", F.col("key").alias("path"))
+    return restore_paths(_indexed(spark, d), wanted).select(F.col("path").alias("key"), "length", F.md5("content").alias("digest"))
+
+
+def q_archive_ranges(spark, d):
+    """Forty bytes from byte 100 on of every file in the archives."""
+    return read_members(_indexed(spark, d), start=100, size=40).select(F.col("path").alias("key"), F.hex("content").alias("bytes"))
+
+
+def _branch_deliveries(spark, d):
+    """Deliveries under keys that several courses share."""
+    dl = events_deliveries(spark, d).drop("key", "file_name", "folder", "uri")
+    branch = F.when(F.col("course").isin("click", "view"), F.lit("student")).otherwise(F.lit("staff"))
+    return delivery_keys(dl, path_col="path", owner_col="owner", prefix=branch)
+
+
+def q_overlapping_editions(spark, d):
+    return overlapping_editions(editions(_branch_deliveries(spark, d))).select("key", "course", "n_writes", "until", "overlaps")
+
+
+def q_audit_sketches(spark, d):
+    """The audit from sketches of single days, merged; there are few courses, so the counts are exact."""
+    daily = materialise(key_sketches(_branch_deliveries(spark, d)), "sketches")
+    return audit_sketches(daily).select("key", "n_course", "n_owner", "n_writes")
+
+
 def q_publish_merge(spark, d):
     """Three publishes of a table of sorted runs; the second also deletes every seventh user's keys."""
     dl = events_deliveries(spark, d).withColumn("bucket", F.when(F.dayofweek("ts") % 2 == 0, "a").otherwise("b"))
@@ -399,6 +446,11 @@ QUERIES = {
     "publish": q_publish,
     "publish_replace": q_publish_replace,
     "publish_merge": q_publish_merge,
+    "frontier_inventory": q_frontier_inventory,
+    "restore_paths": q_restore_paths,
+    "archive_ranges": q_archive_ranges,
+    "overlapping_editions": q_overlapping_editions,
+    "audit_sketches": q_audit_sketches,
     "folder_sizes": q_folder_sizes,
     "stream_progress": q_stream_progress,
     "observed_transfer": q_observed_transfer,
@@ -548,6 +600,19 @@ ORACLE = {
         SELECT bkt AS bucket, key, delivery_id AS event_id FROM b
         QUALIFY row_number() OVER (PARTITION BY bkt, key
         ORDER BY delivery_id % 3 > 0 DESC, ts DESC, delivery_id DESC) = 1""",
+    "frontier_inventory": """SELECT CASE WHEN doc_id % 3 = 0 THEN '.hot' ELSE '_' || source END || '/' || doc_id // 20 || '/_doc' || doc_id AS key,
+        CAST(strlen(text) AS BIGINT) AS length FROM documents""",
+    "restore_paths": f"WITH {INV} SELECT key, length, md5(text) AS digest FROM inv WHERE doc_id % 10 = 3",
+    "archive_ranges": f"WITH {INV} SELECT key, substr(hex(text), 201, 80) AS bytes FROM inv",
+    "overlapping_editions": """WITH e AS (SELECT CASE WHEN event_type IN ('click', 'view') THEN 'student' ELSE 'staff' END
+          || '/materials_user_' || user_id || '.tar.gz' AS key, event_type AS course, min(ts) AS first_ts, max(ts) AS last_ts,
+          count(*) AS n_writes FROM events GROUP BY ALL),
+        u AS (SELECT *, max(last_ts) OVER (PARTITION BY key ORDER BY first_ts, course ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM e)
+        SELECT key, course, n_writes, until, coalesce(first_ts <= until, false) AS overlaps FROM u""",
+    "audit_sketches": """SELECT CASE WHEN event_type IN ('click', 'view') THEN 'student' ELSE 'staff' END
+          || '/materials_user_' || user_id || '.tar.gz' AS key, count(DISTINCT event_type) AS n_course,
+          count(DISTINCT user_id) AS n_owner, count(*) AS n_writes FROM events GROUP BY 1
+        HAVING count(DISTINCT event_type) > 1 OR count(DISTINCT user_id) > 1""",
     "publish_merge": f"""WITH {DELIV}, b AS (SELECT *, CASE WHEN dayofweek(ts) % 2 = 1 THEN 'a' ELSE 'b' END AS bkt,
           delivery_id % 3 AS step FROM dl),
         w AS (SELECT bkt, key, step, ts, delivery_id FROM b
