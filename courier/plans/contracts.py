@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tables as table_functions
 from ..functions.sizes import human_bytes
 from ..operators.editions import audit_sketches, editions, key_sketches, overlapping_editions
+from ..operators.suffixes import find_archives, store_by_suffix
 from ..operators.indexed import pack_indexed, read_members, restore_paths
 from ..operators import (bundle_plan, delivery_keys, endpoint_inventory, exclude_paths, fetch_user_archive,
                          file_keys, folder_sizes, key_collisions, latest_delivery, layered_settings, list_objects,
@@ -27,7 +29,7 @@ from ..sources.frontier import frontier_inventory
 from ..sources.tables import deliveries_from_events, documents_inventory, events_deliveries, table
 from ..sources.tree import object_inventory
 from ..streaming.ledger import read_ledger, stream_delivery_ledger
-from ..streaming.observe import observed_transfer
+from ..streaming.observe import TransferMetrics, observed_stream, observed_transfer, read_transfer_metrics
 from ..streaming.progress import ROCKSDB, stream_transfer_progress
 
 PART_BYTES = 65536
@@ -357,6 +359,46 @@ def q_audit_sketches(spark, d):
     return audit_sketches(daily).select("key", "n_course", "n_owner", "n_writes")
 
 
+def q_unpack_lateral(spark, d):
+    """Archives opened in SQL, once as a lateral call and once over a partitioned table."""
+    table_functions.register(spark)
+    bundles = materialise(pack_archives(documents_inventory(spark, d, content=True), "owner", max_part_bytes=PART_BYTES), "bundles")
+    each = spark.sql("SELECT b.owner, m.path AS key, m.length, md5(m.content) AS digest FROM {b} b, LATERAL unpack_archive(b.archive) m", b=bundles)
+    parted = spark.sql("SELECT owner, path AS key, length AS n FROM unpack_archives(TABLE(SELECT * FROM {b}) PARTITION BY (owner, part))", b=bundles)
+    return each.join(parted, ["owner", "key"]).where("n = length").select("owner", "key", "length", "digest")
+
+
+def q_find_archives(spark, d):
+    """The archives of sixty users, looked up by how their keys end in an inventory in that order."""
+    inv = events_deliveries(spark, d).select("key").distinct()
+    path = work_dir(spark, "by_suffix")
+    store_by_suffix(inv, path)
+    owners = table(spark, d, "events").select(F.concat(F.lit("user."), F.col("user_id").cast("string")).alias("usr")).where("usr LIKE '%7'")
+    return find_archives(spark, path, owners, owner_col="usr")
+
+
+def q_stream_transfer_totals(spark, d):
+    """Totals of a stream's batches, kept by a listener; the query stops and starts again half-way."""
+    inv = documents_inventory(spark, d).select("doc_id", "key", "length")
+    base = work_dir(spark, "totals")
+    metrics = TransferMetrics(spark, f"{base}/metrics")
+    spark.streams.addListener(metrics)
+    try:
+        for half in (0, 1):
+            inv.where(F.col("doc_id") % 2 == half).repartition(2).write.mode("append").parquet(f"{base}/in")
+            stream = spark.readStream.schema(inv.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+            q = (observed_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint")
+                 .option("path", f"{base}/out").trigger(availableNow=True).start())
+            q.awaitTermination()
+            if q.exception():
+                raise q.exception()
+            metrics.catch_up(q)
+    finally:
+        spark.streams.removeListener(metrics)
+    rows = read_transfer_metrics(spark, f"{base}/metrics")
+    return rows.agg(F.sum("bytes").alias("bytes"), F.sum("files").alias("files"))
+
+
 def q_publish_merge(spark, d):
     """Three publishes of a table of sorted runs; the second also deletes every seventh user's keys."""
     dl = events_deliveries(spark, d).withColumn("bucket", F.when(F.dayofweek("ts") % 2 == 0, "a").otherwise("b"))
@@ -446,6 +488,9 @@ QUERIES = {
     "publish": q_publish,
     "publish_replace": q_publish_replace,
     "publish_merge": q_publish_merge,
+    "unpack_lateral": q_unpack_lateral,
+    "find_archives": q_find_archives,
+    "stream_transfer_totals": q_stream_transfer_totals,
     "frontier_inventory": q_frontier_inventory,
     "restore_paths": q_restore_paths,
     "archive_ranges": q_archive_ranges,
@@ -613,6 +658,11 @@ ORACLE = {
           || '/materials_user_' || user_id || '.tar.gz' AS key, count(DISTINCT event_type) AS n_course,
           count(DISTINCT user_id) AS n_owner, count(*) AS n_writes FROM events GROUP BY 1
         HAVING count(DISTINCT event_type) > 1 OR count(DISTINCT user_id) > 1""",
+    "unpack_lateral": f"WITH {INV} SELECT source AS owner, key, length, md5(text) AS digest FROM inv",
+    "find_archives": """WITH k AS (SELECT DISTINCT event_type || '/materials_user_' || user_id || '.tar.gz' AS key FROM events),
+        u AS (SELECT DISTINCT user_id FROM events WHERE user_id % 10 = 7)
+        SELECT 'user.' || user_id AS usr, min(key) AS key FROM u JOIN k ON ends_with(key, 'user_' || user_id || '.tar.gz') GROUP BY 1""",
+    "stream_transfer_totals": "SELECT CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(*) AS files FROM documents",
     "publish_merge": f"""WITH {DELIV}, b AS (SELECT *, CASE WHEN dayofweek(ts) % 2 = 1 THEN 'a' ELSE 'b' END AS bkt,
           delivery_id % 3 AS step FROM dl),
         w AS (SELECT bkt, key, step, ts, delivery_id FROM b

@@ -11,9 +11,13 @@ large, spreads over all of them. Options:
 * ``max_bytes`` – read only so much of each body, into ``head``; ``content`` stays empty;
 * ``folders`` – ``true`` to list empty folders too (``is_dir``);
 * ``prefix`` – only keys that start with it (directories that cannot match are not walked);
+* ``suffix`` – only keys that end with it (other files are neither asked for their size nor opened);
 * ``prune`` – comma-separated directory names not to descend (the size-up rule);
 * ``partitions`` – number of tasks;
 * ``plan_entries`` – how many directory entries the driver may read to split the tree.
+
+Filters on ``key`` that Spark pushes down (starts with, ends with, equals) become ``prefix`` and
+``suffix``.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ import stat as _stat
 import zlib
 from collections import deque
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (DataSource, DataSourceReader, EqualTo, InputPartition, StringEndsWith,
+                                    StringStartsWith)
 
 SCHEMA = ("key string, length bigint, is_link boolean, link_target string, is_dir boolean, mode int, "
           "modified timestamp_ntz, content binary, head binary, _error string")
@@ -79,18 +84,31 @@ class TreeReader(DataSourceReader):
         self.root = local_path(root).rstrip("/") or "/"
         self.content, self.folders = _true(options, "content"), _true(options, "folders")
         self.max_bytes = int(options.get("max_bytes", "-1"))
-        self.prefix = options.get("prefix", "")
+        self.prefix, self.suffix, self.nothing = options.get("prefix", ""), options.get("suffix", ""), False
         self.prune = tuple(p for p in options.get("prune", "").split(",") if p)
         self.n = max(1, int(options.get("partitions", "8")))
         self.plan_entries = int(options.get("plan_entries", str(256 * self.n)))
 
+    def pushFilters(self, filters):
+        """Takes what narrows the listing; all else stays with Spark."""
+        for f in filters:
+            of_key = getattr(f, "attribute", None) == ("key",)
+            if of_key and isinstance(f, (StringStartsWith, EqualTo)) and isinstance(f.value, str):
+                long, short = (f.value, self.prefix) if len(f.value) >= len(self.prefix) else (self.prefix, f.value)
+                self.prefix, self.nothing = long, self.nothing or not long.startswith(short)
+            if of_key and isinstance(f, (StringEndsWith, EqualTo)) and isinstance(f.value, str):
+                long, short = (f.value, self.suffix) if len(f.value) >= len(self.suffix) else (self.suffix, f.value)
+                self.suffix, self.nothing = long, self.nothing or not long.endswith(short)
+            if not (of_key and isinstance(f, (StringStartsWith, StringEndsWith))):
+                yield f
+
     def _descends(self, entry, rel: str) -> bool:
         return (entry.is_dir(follow_symlinks=False) and entry.name not in self.prune
                 and rel != STAGING and _could_match(rel, self.prefix))
 
     def partitions(self):
         """Directories read whole within the budget go to one task each; the others to all tasks."""
-        if not os.path.isdir(self.root):
+        if self.nothing or not os.path.isdir(self.root):
             return [_Shard(0, 1, [], [])]
         flat, shared, queue, left = [], [], deque([""]), self.plan_entries
         while queue:
@@ -145,7 +163,7 @@ class TreeReader(DataSourceReader):
         for e in entries:
             key = _join(rel, e.name)
             folder = e.is_dir(follow_symlinks=False)
-            if not key.startswith(self.prefix) or (folder and not self._is_empty(key)):
+            if not key.startswith(self.prefix) or not key.endswith(self.suffix) or (folder and not self._is_empty(key)):
                 continue
             try:
                 row = self._row(e, key)
@@ -179,6 +197,7 @@ def register(spark) -> None:
     from ..session import ship_package
 
     ship_package(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # off by default; a source that takes filters needs it
     spark.dataSource.register(TreeDataSource)
 
 

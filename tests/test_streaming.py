@@ -142,3 +142,17 @@ def test_failed_rename_deletes_nothing(spark, monkeypatch):
     rows.write.parquet(f"{base}/.compacting-3")
     _replace(spark, f"{base}/.compacting-3", f"{base}/batch=3", base, 3)
     assert store.names(spark, base) == ["batch=3"]
+
+
+def test_transfer_metrics_count_a_batch_once(spark):
+    from courier.sources import store
+    from courier.streaming.observe import TransferMetrics, read_transfer_metrics
+
+    base = work_dir(spark, "test_metrics")
+    metrics = TransferMetrics(spark, base, names=["transfer"])
+    for _ in range(2):  # reported twice, as after a restart
+        metrics._record("q", 0, "t", {"transfer": {"bytes": 5, "files": 1}, "other": {"x": 1}})
+        metrics._record("q", 1, "t", {"transfer": {"bytes": 7, "files": 2}})
+        metrics._record("q", 2, "t", {"other": {"x": 1}})
+    assert sorted(store.names(spark, f"{base}/q")) == ["0.json", "1.json"]
+    assert sorted((r["batch_id"], r["bytes"], r["files"]) for r in read_transfer_metrics(spark, base).collect()) == [(0, 5, 1), (1, 7, 2)]
