@@ -107,7 +107,8 @@ def copy_objects(objects: DataFrame, target: str, *, name_col: str = "key", owne
     passes through a column and files of any size are copied.
 
     ``requested`` (a column ``name_col``) lists what must exist: a missing object or a directory
-    raises :class:`MissingObjects` before anything is written (anti join, one action). Objects whose
+    raises :class:`MissingObjects` before anything is written (anti join, one action). A write that fails
+    leaves every object of the target as it was. Objects whose
     keys agree raise :class:`KeyCollision` (:func:`copy_collisions` lists them), a body that could not
     be read fails the job.
     """
@@ -126,6 +127,7 @@ def copy_objects(objects: DataFrame, target: str, *, name_col: str = "key", owne
     if clash:
         raise KeyCollision("several objects would be written as: " + ", ".join(str(r.key) for r in clash))
     objects_sink.register(objects.sparkSession)
+    objects_sink.recover_objects(target)  # an earlier write that died while it was put in place
     if by_path:
         (keyed.select("key", F.col("_src").alias("src"))
               .write.format("courier_objects").mode("append").option("source_root", source_root).save(target))
