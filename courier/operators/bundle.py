@@ -209,6 +209,33 @@ def part_rows(objects: DataFrame, owner_col: str = "owner", *, key_col: str = "k
     return sorted_rows, local_path(source_root) if by_path else None
 
 
+def compact_objects(objects: DataFrame, target: str, *, key_col: str = "key", content_col: str = "content",
+                    length_col: str = "length", target_bytes: int = 128 * 1024 * 1024, codec: str = "zstd") -> DataFrame:
+    """The analytics form of bundling: many small objects in few Parquet files of about ``target_bytes``
+    of bodies each, in key order, compressed with ``codec`` (``zstd``, ``gzip``, ``snappy``, ``none`` …).
+
+    Which file an object goes to is planned from the running sum of the lengths over the keys, and rows
+    are sent to the planned partition by its number, so no file is larger than planned by more than one
+    object, whatever the keys. Writes to ``target``, which must not exist, and returns it read back, with
+    all columns of ``objects``. Keys must be there and differ; a body that could not be read fails the job.
+    """
+    spark = objects.sparkSession
+    clash = {c.lower() for c in objects.columns} & {"_part", "_size"}
+    if clash:
+        raise ValueError(f"columns clash with the plan's: {sorted(clash)}")
+    body = whole_body(objects, content_col)
+    sizes = objects.select(key_col, F.coalesce(F.col(length_col).cast("bigint"), F.lit(0)).alias("_size"))
+    plan = materialise(running_sum(sizes, [], [key_col], "_size", "_cum").select(
+        key_col, F.expr(f"(_cum - _size) div {int(target_bytes)}").cast("int").alias("_part")), "compaction_plan")
+    n, twice, files = plan.agg(F.count(F.lit(1)), F.count(F.lit(1)) - F.count_distinct(key_col), F.max("_part")).first()
+    if twice:
+        raise BundleError(f"{twice} of {n} objects have no key of their own")
+    rows = objects.withColumn(content_col, body).join(plan, key_col)
+    dealt = rows.repartitionById((files or 0) + 1, F.col("_part")).sortWithinPartitions("_part", key_col)
+    dealt.select(*objects.columns).write.option("compression", codec).parquet(target)
+    return spark.read.schema(objects.schema).parquet(target)
+
+
 def _unpacker(source_col, by_path, names, strip_root, batch_rows=1024, batch_bytes=32 * 1024 * 1024):
     def unpack(batches):
         import gzip

@@ -15,6 +15,7 @@ from ..functions import tables as table_functions
 from ..functions.sizes import human_bytes
 from ..operators.editions import audit_sketches, editions, key_sketches, overlapping_editions
 from ..operators.suffixes import find_archives, store_by_suffix
+from ..operators.bundle import compact_objects
 from ..operators.indexed import pack_indexed, read_members, restore_paths
 from ..operators import (bundle_plan, delivery_keys, endpoint_inventory, exclude_paths, fetch_user_archive,
                          file_keys, folder_sizes, key_collisions, latest_delivery, layered_settings, list_objects,
@@ -399,6 +400,12 @@ def q_stream_transfer_totals(spark, d):
     return rows.agg(F.sum("bytes").alias("bytes"), F.sum("files").alias("files"))
 
 
+def q_compact_objects(spark, d):
+    inv = documents_inventory(spark, d, content=True)
+    return compact_objects(inv, work_dir(spark, "compact"), target_bytes=16 * PART_BYTES).select(
+        "owner", "key", "length", F.md5("content").alias("digest"))
+
+
 def q_publish_merge(spark, d):
     """Three publishes of a table of sorted runs; the second also deletes every seventh user's keys."""
     dl = events_deliveries(spark, d).withColumn("bucket", F.when(F.dayofweek("ts") % 2 == 0, "a").otherwise("b"))
@@ -488,6 +495,7 @@ QUERIES = {
     "publish": q_publish,
     "publish_replace": q_publish_replace,
     "publish_merge": q_publish_merge,
+    "compact_objects": q_compact_objects,
     "unpack_lateral": q_unpack_lateral,
     "find_archives": q_find_archives,
     "stream_transfer_totals": q_stream_transfer_totals,
@@ -658,6 +666,7 @@ ORACLE = {
           || '/materials_user_' || user_id || '.tar.gz' AS key, count(DISTINCT event_type) AS n_course,
           count(DISTINCT user_id) AS n_owner, count(*) AS n_writes FROM events GROUP BY 1
         HAVING count(DISTINCT event_type) > 1 OR count(DISTINCT user_id) > 1""",
+    "compact_objects": f"WITH {INV} SELECT source AS owner, key, length, md5(text) AS digest FROM inv",
     "unpack_lateral": f"WITH {INV} SELECT source AS owner, key, length, md5(text) AS digest FROM inv",
     "find_archives": """WITH k AS (SELECT DISTINCT event_type || '/materials_user_' || user_id || '.tar.gz' AS key FROM events),
         u AS (SELECT DISTINCT user_id FROM events WHERE user_id % 10 = 7)
