@@ -176,7 +176,7 @@ def test_home_folder_round_trip(spark, tmp_path):
     files = {"notebook.ipynb": b"{}", ".bashrc": b"alias x=y", "__init__.py": b"", "sub/data.csv": b"a,b\n1,2\n",
              ".ipynb_checkpoints/notebook-checkpoint.ipynb": b"old", "__pycache__/m.cpython.pyc": b"\x00\x01",
              "sub/__pycache__/n.pyc": b"\x02"}
-    for owner in ("mario.rossi", "anna"):
+    for owner in ("lena.k", "anna"):
         for rel, body in files.items():
             p = tmp_path / "home" / owner / "materials" / rel
             p.parent.mkdir(parents=True, exist_ok=True)
@@ -185,15 +185,15 @@ def test_home_folder_round_trip(spark, tmp_path):
     inv = inv.select(F.split("key", "/").getItem(0).alias("owner"),
                      F.expr("substring(key, length(split(key, '/')[0]) + 12)").alias("key"), "content")
     store = work_dir(spark, "test_home_store")
-    out = {r.owner: r.key for r in deliver(inv, store, "b", prefix="bip2026", folder="materials", delivery_id=1).collect()}
-    assert out == {"mario.rossi": "bip2026/materials_mario_rossi.tar.gz", "anna": "bip2026/materials_anna.tar.gz"}
-    owners = spark.createDataFrame([("mario.rossi",), ("anna",)], "owner string")
-    members, missing = restore_bundles(spark, store, owners, prefix="bip2026")
+    out = {r.owner: r.key for r in deliver(inv, store, "b", prefix="term-7", folder="materials", delivery_id=1).collect()}
+    assert out == {"lena.k": "term-7/materials_lena_k.tar.gz", "anna": "term-7/materials_anna.tar.gz"}
+    owners = spark.createDataFrame([("lena.k",), ("anna",)], "owner string")
+    members, missing = restore_bundles(spark, store, owners, prefix="term-7")
     target = work_dir(spark, "test_home_restored")
     write_restored(members, target)
     back = {r.key: bytes(r.content) for r in object_inventory(spark, target, content=True).collect()}
     keep = {k: v for k, v in files.items() if "__pycache__" not in k and ".ipynb_checkpoints" not in k}
-    assert back == {f"{o}/{k}": v for o in ("mario.rossi", "anna") for k, v in keep.items()}
+    assert back == {f"{o}/{k}": v for o in ("lena.k", "anna") for k, v in keep.items()}
     assert missing.count() == 0
 
 
