@@ -6,9 +6,10 @@ best-fits the displaced pieces; mutation dissolves the emptiest bins. Pieces are
 their row number into shards of bounded size. Each shard is searched by several islands, each a
 Spark task with its own population; after an epoch every island sends its elite to the next island
 of the ring. Shards that reach the lower bound (total length / capacity, rounded up) stop at once.
-Bins that stay loose are dissolved and pooled over all shards for a next, smaller level, until one
-shard holds what is left, a level has over half the items of the one before, or four levels are done.
-In the last two cases each shard left keeps its own unfilled bin, up to one sequence a shard too many.
+Of every shard the emptiest bins, up to a quarter of its items and at least one, are dissolved and
+pooled for a next level of at most half the shards, until one shard holds what is left: the room that
+shards could not fill ends up in that one. A level's shard holds at most ``shard_items`` items about, or
+what two bins hold if that is more.
 
 Defined results: a null or empty text is the end token alone; texts over the capacity, and only
 they, are cut into pieces of the capacity; repeated rows are rows of their own; ids may be null; an
@@ -237,12 +238,25 @@ def _bins(flat) -> list[list[int]]:
     return [x.tolist() for x in np.split(order, cuts)] if len(flat) else []
 
 
+def emptiest(bins, lengths, below: float, items: int) -> set[int]:
+    """Numbers of the emptiest bins that are filled to less than ``below``: as many as hold ``items``
+    items together, at least one."""
+    filled = fill(bins, lengths, 0)
+    out, n = set(), 0
+    for k in sorted((k for k in range(len(bins)) if filled[k] < below), key=lambda k: filled[k]):
+        n += len(bins[k])
+        if out and n > items:
+            break
+        out.add(k)
+    return out
+
+
 _STATE = ("shard long, island int, uids array<long>, lengths array<int>, population array<array<int>>, open boolean")
 
 
 def _level(items: DataFrame, shards: int, level: int, capacity: int, islands: int, epochs: int,
-           generations: int, size: int) -> DataFrame:
-    """(uid, shard, bin, place, filled) of every item (uid, length)."""
+           generations: int, size: int, loose: float) -> DataFrame:
+    """(uid, length, shard, bin, place, carried) of every item (uid, length)."""
     import pandas as pd
 
     def rng(shard, island, epoch):
@@ -284,42 +298,42 @@ def _level(items: DataFrame, shards: int, level: int, capacity: int, islands: in
         lengths = [int(x) for x in pdf["lengths"].iloc[0]]
         bins = max((_bins(x) for x, _ in individuals), key=lambda b: fitness(b, lengths, capacity))
         uids = pdf["uids"].iloc[0]
+        gone = emptiest(bins, lengths, loose * capacity, len(uids) // 4) if shards > 1 else set()
         rows = []
         for k, b in enumerate(bins):
-            at, total = 0, sum(lengths[i] for i in b)
+            at = 0
             for i in b:
-                rows.append((int(uids[i]), int(pdf["shard"].iloc[0]), k, at, total))
+                rows.append((int(uids[i]), lengths[i], int(pdf["shard"].iloc[0]), k, at, k in gone))
                 at += lengths[i]
-        return pd.DataFrame(rows, columns=["uid", "shard", "bin", "place", "filled"])
+        return pd.DataFrame(rows, columns=["uid", "length", "shard", "bin", "place", "carried"])
 
     dealt = items.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(shards)).alias("shard"))
     state = dealt.groupBy("shard").applyInPandas(start, _STATE)
     for epoch in range(1, epochs + 1):
         state = state.groupBy("shard", "island").applyInPandas(epoch_of(epoch), _STATE)
-    return state.groupBy("shard").applyInPandas(best, "uid long, shard long, bin long, place long, filled long")
+    return state.groupBy("shard").applyInPandas(
+        best, "uid long, length long, shard long, bin long, place long, carried boolean")
 
 
 def pack(items: DataFrame, *, capacity: int = 4096, shard_items: int = 4096, islands: int = 3, epochs: int = 2,
-         generations: int = 12, size: int = 5, levels: int = 4, loose: float = 0.99) -> DataFrame:
+         generations: int = 12, size: int = 5, loose: float = 0.99) -> DataFrame:
     """(uid, sequence_id, offset) of every item (uid, length); the uids are distinct.
 
-    Bins filled to less than ``loose`` of the capacity are pooled for the next level, while more
-    than one shard is left.
+    Only bins filled to less than ``loose`` of the capacity are pooled for the next level. The number
+    of levels is at most the logarithm of the number of shards.
     """
-    out, level, left = None, 0, items.select("uid", "length")
-    n, before = left.count(), None
+    out, level, left, shards = None, 0, items.select("uid", "length"), None
     while True:
-        shards = max(1, math.ceil(n / shard_items))
-        placed = stored(_level(left, shards, level, capacity, islands, epochs, generations, size), f"packed{level}")
-        last = shards == 1 or level == levels - 1 or (before is not None and n > before // 2)
-        done = placed if last else placed.where(F.col("filled") >= loose * capacity)
-        row = done.select("uid", (F.lit(level << 58) + F.col("shard") * (1 << 20) + F.col("bin")).alias("sequence_id"),
-                          F.col("place").alias("offset"))
+        least = max(1, math.ceil(left.count() / shard_items))
+        shards = least if shards is None else min(least, math.ceil(shards / 2))
+        placed = stored(_level(left, shards, level, capacity, islands, epochs, generations, size, loose), f"packed{level}")
+        row = placed.where(~F.col("carried")).select(
+            "uid", (F.lit(level << 58) + F.col("shard") * (1 << 20) + F.col("bin")).alias("sequence_id"),
+            F.col("place").alias("offset"))
         out = row if out is None else out.unionByName(row)
-        if last:
+        if shards == 1:
             return out
-        left = placed.where(F.col("filled") < loose * capacity).join(items, "uid").select("uid", "length")
-        before, n, level = n, placed.where(F.col("filled") < loose * capacity).count(), level + 1
+        left, level = placed.where("carried").select("uid", "length"), level + 1
 
 
 def pack_documents(docs: DataFrame, keep: list[str], vocabulary: str, text_col: str = "text", *, capacity: int = 4096,

@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import brute
@@ -155,6 +156,25 @@ def test_many_shards_lose_little(spark):
     assert n <= 1.002 * lower_bound(lengths, 4096) + 1
 
 
+def test_pooling_goes_on_to_one_shard(spark):
+    """Three pieces fill a sequence, none of them well: shards of any number lose at most one sequence together."""
+    items = spark.range(6000).select(F.col("id").alias("uid"), (1200 + F.col("id") * 37 % 151).alias("length"))
+    rows = pack(items, shard_items=256).collect()
+    assert len(rows) == 6000 == len({r["uid"] for r in rows})
+    assert len({r["sequence_id"] for r in rows}) <= 2001
+    tiny = spark.range(1000).select(F.col("id").alias("uid"), F.lit(1).cast("long").alias("length"))
+    rows = pack(tiny, shard_items=100).collect()
+    assert sorted(r["offset"] for r in rows) == list(range(1000)) and len({r["sequence_id"] for r in rows}) == 1
+
+
+def test_emptiest_bins():
+    lengths = [5, 5, 9, 1, 2, 2, 2]
+    assert packing.emptiest([[0, 1], [2], [3], [4, 5, 6]], lengths, 10, 3) == {2}
+    assert packing.emptiest([[0, 1], [2], [3], [4, 5, 6]], lengths, 10, 4) == {2, 3}
+    assert packing.emptiest([[0, 1]], lengths, 10, 4) == set()
+    assert packing.emptiest([[4, 5, 6]], lengths, 10, 1) == {0}
+
+
 def test_islands_improve_on_best_fit():
     # triples that fill a bin exactly: best-fit decreasing wastes bins
     rng = np.random.default_rng(5)

@@ -91,3 +91,14 @@ def test_edge_cases(spark):
     assert {r["doc_id"] for r in docs.collect()} <= {5, 8} and docs.count()
     only_null = p.near_dedup_stage(spark, df.where("doc_id is null"), SF01)
     assert only_null.count() == 1
+
+
+def test_the_survivor_of_a_repeated_id_is_repeatable(spark):
+    text = "One line of words that stays the same whatever the case of its letters may be"
+    odd = [(1, t, "en", "s", 1) for t in (text, text.lower(), text.upper(), text.title())]
+    kept = set()
+    for order in (odd, odd[::-1], odd[2:] + odd[:2]):
+        df = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long")
+        for parts in (1, 4):
+            kept.add(tuple(rows(p.near_dedup_stage(spark, df.repartition(parts), SF01), "doc_id", "text")))
+    assert len(kept) == 1 and len(kept.pop()) == 1
