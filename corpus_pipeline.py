@@ -5,7 +5,8 @@ of ``documents``. ``run`` applies them in order and writes each result as Parque
 checkpoint folder, so that a lost executor costs one stage's tasks and no earlier stage runs again.
 
 Defined results, besides those of the operators: columns other than those of ``documents`` are left
-out; rows with null ids pass like any other; of rows that repeat an id and a fingerprint one stays.
+out; rows with null ids pass like any other; of rows that repeat an id and a fingerprint one stays, the
+same in every run.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weighted rules take for good and that pass the base rule."""
     ship_package(spark)
-    return quality_rules(docs.select(*COLUMNS), COLUMNS).where("kept").select(*COLUMNS)
+    out = quality_rules(docs.select(*COLUMNS), COLUMNS, materialise=lambda df: stored(df, "statistics"))
+    return out.where("kept").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,15 +44,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every component of near duplicates: that with the least id."""
     ship_package(spark)
-    docs = docs.select(*COLUMNS)
-    own = stored(fingerprints(docs, ["doc_id"]), "fingerprints")
-    # of a component's ids the least, nulls last; of the fingerprints under that id the least
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")
-    stay = (own.join(members(own, "doc_id"), "fp").groupBy("root").agg(F.min(order).alias("first"))
-            .select("first.doc_id", "first.fp"))
-    rows = fingerprints(docs, COLUMNS).dropDuplicates(["doc_id", "fp"])
-    same = rows["doc_id"].eqNullSafe(stay["doc_id"]) & (rows["fp"] == stay["fp"])
-    return rows.join(stay, same, "left_semi").select(*COLUMNS)
+    # written once: fingerprints are computed once and row numbers stay what they are
+    rows = stored(fingerprints(docs.select(*COLUMNS), COLUMNS).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    # of a component's ids the least, nulls last; of rows with that id the least fingerprint, then by content
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", F.xxhash64(*COLUMNS).alias("content"), "row")
+    own = rows.select("doc_id", "fp", order.alias("place"))
+    stay = (own.join(members(own.select("doc_id", "fp"), "doc_id"), "fp").groupBy("root")
+            .agg(F.min("place").alias("first")).select(F.col("first.row").alias("row")))
+    return rows.join(stay, "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
