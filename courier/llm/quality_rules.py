@@ -126,25 +126,32 @@ def base_failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def estimate(patterns: Counter, n_rules: int, *, rounds: int = 200, tol: float = 1e-9):
+def estimate(patterns: Counter, n_rules: int, *, believed: float = 0.85, believed_good: float = 0.7,
+             belief: float = 0.05, belief_good: float = 0.05, rounds: int = 200, tol: float = 1e-9):
     """Accuracy of every rule (how often its votes are right) and the share of good documents.
 
     ``patterns``: tuple of votes → documents. Given the class, rules vote independently; abstaining
-    says nothing. Accuracies stay in [0.6, 0.98]: a rule is better than a coin, and none outvotes
-    all the others. The share of good documents stays in [0.05, 0.9] for the same reason.
+    says nothing. The estimates have priors and no bounds: a rule is held to be right in ``believed``
+    of its votes with the strength of ``belief`` times the votes it gave, and ``believed_good`` of
+    the documents to be good with that of ``belief_good`` times all documents. The strengths are
+    relative, so that a corpus of any size with the same shares gives the same estimates. Without
+    priors the likelihood is highest when every document is good and the rules that find junk are
+    wrong; with a belief of 2 a rule stays better than a coin even if no other rule ever agrees with
+    it. A rule that never votes keeps ``believed``.
     """
-    accuracy, prior = np.full(n_rules, 0.85), 0.7
+    accuracy, prior = np.full(n_rules, believed), believed_good
     if patterns:
         keys = sorted(patterns)
         v = np.array(keys, float).reshape(len(keys), n_rules)
         w = np.array([patterns[k] for k in keys], float)
+        voted = w @ (v != 0)
         for _ in range(rounds):
             logit = math.log(prior / (1 - prior)) + v @ np.log(accuracy / (1 - accuracy))
             good = 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
             right = (w * good) @ (v > 0) + (w * (1 - good)) @ (v < 0)
-            # a few votes beforehand keep rules that rarely vote near the start
-            new = np.clip((right + 8.5) / (w @ (v != 0) + 10), 0.6, 0.98)
-            new_prior = float(np.clip((w @ good) / w.sum(), 0.05, 0.9))
+            share = np.divide(right, voted, out=np.full(n_rules, believed), where=voted > 0)
+            new = (share + belief * believed) / (1 + belief)
+            new_prior = float((w @ good / w.sum() + belief_good * believed_good) / (1 + belief_good))
             moved = max(np.abs(new - accuracy).max(), abs(new_prior - prior))
             accuracy, prior = new, new_prior
             if moved < tol:
@@ -152,12 +159,17 @@ def estimate(patterns: Counter, n_rules: int, *, rounds: int = 200, tol: float =
     return [float(x) for x in accuracy], prior
 
 
-def fit_rules(stats: DataFrame, rules: dict | None = None) -> dict:
-    """Count the vote patterns of all documents, then run expectation-maximisation on the counts."""
+def fit_rules(stats: DataFrame, rules: dict | None = None, *, belief: float = 2.0, belief_good: float = 1.0) -> dict:
+    """Count the vote patterns of all documents, then run expectation-maximisation on the counts.
+
+    Junk comes in kinds that different rules find, so that rules are not independent given the class;
+    beliefs stronger than those of ``estimate`` keep the rules of a rare kind from being outvoted.
+    """
     rules = rules or default_rules()
     votes = stats.select(F.array(*[c.cast("int") for c in rules.values()]).alias("votes"))
     counted = votes.groupBy("votes").count().collect()  # at most 3 ** len(rules) rows
-    acc, prior = estimate(Counter({tuple(r["votes"]): r["count"] for r in counted}), len(rules))
+    patterns = Counter({tuple(r["votes"]): r["count"] for r in counted})
+    acc, prior = estimate(patterns, len(rules), belief=belief, belief_good=belief_good)
     return {"prior": prior, "accuracy": dict(zip(rules, acc))}
 
 

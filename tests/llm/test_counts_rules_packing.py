@@ -97,6 +97,59 @@ def test_estimate_finds_the_accuracies():
     assert estimate(Count(), 5)[1] == 0.7
 
 
+def test_estimate_is_the_same_at_every_size():
+    rng = random.Random(9)
+    patterns = Count(tuple(rng.choice((-1, 0, 0, 1)) for _ in range(4)) for _ in range(500))
+    few, many = estimate(patterns, 4), estimate(Count({k: 1000 * n for k, n in patterns.items()}), 4)
+    assert np.allclose(many[0], few[0]) and abs(many[1] - few[1]) < 1e-9
+
+
+def plain_estimate(rows, n_rules, rounds=200):
+    """The same iteration row by row, without patterns or arrays."""
+    accuracy, share = [0.85] * n_rules, 0.7
+    for _ in range(rounds):
+        right, voted, good_rows = [0.0] * n_rules, [0] * n_rules, 0.0
+        for row in rows:
+            yes, no = share, 1 - share
+            for a, vote in zip(accuracy, row):
+                if vote:
+                    yes, no = yes * (a if vote > 0 else 1 - a), no * (1 - a if vote > 0 else a)
+            good = yes / (yes + no)
+            good_rows += good
+            for j, vote in enumerate(row):
+                if vote:
+                    voted[j] += 1
+                    right[j] += good if vote > 0 else 1 - good
+        accuracy = [((r / n if n else 0.85) + 2 * 0.85) / 3 for r, n in zip(right, voted)]
+        share = (good_rows / len(rows) + 0.7) / 2
+    return accuracy, share
+
+
+def test_estimate_equals_a_plain_version():
+    rng = random.Random(5)
+    rows = [tuple(rng.choice((0, 0, 1) if j > 2 else (-1, 0, 0, 0)) for j in range(5)) + (0,) for _ in range(400)]
+    acc, prior = estimate(Count(rows), 6, belief=2, belief_good=1)
+    plain_acc, plain_prior = plain_estimate(rows, 6)
+    assert abs(prior - plain_prior) < 1e-6 and all(abs(a - b) < 1e-6 for a, b in zip(acc, plain_acc))
+    assert acc[5] == pytest.approx(0.85)
+
+
+def test_verdict_equals_a_plain_version(spark):
+    """Posterior of every row of the table from the plain estimate over its votes."""
+    from courier.llm.quality_rules import document_stats
+
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
+    votes = {r[0]: tuple(r[1:]) for r in document_stats(docs, ["doc_id"]).select(
+        "doc_id", *[c.cast("int").alias(f"v_{n}") for n, c in default_rules().items()]).collect()}
+    accuracy, share = plain_estimate(list(votes.values()), 12, rounds=60)
+    for r in quality_rules(docs, ["doc_id"]).select("doc_id", "p_good", "base_failed", "kept").collect():
+        odds = share / (1 - share)
+        for a, vote in zip(accuracy, votes[r["doc_id"]]):
+            odds *= (a / (1 - a)) ** vote
+        assert abs(r["p_good"] - odds / (1 + odds)) < 1e-6
+        assert r["kept"] == (not r["base_failed"] and r["p_good"] >= 0.5)
+
+
 def test_quality_edge_cases(spark):
     df = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "word and more, " * 100_000), (3, "One good line. " * 3)],
                                "doc_id long, text string").selectExpr("*", "1 AS n_words", "'x' AS kept")
