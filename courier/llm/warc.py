@@ -5,12 +5,19 @@ itself a Zstandard frame; each record follows as a frame of its own. The writer
 text writer, whose commit keeps lost or repeated tasks out and which reaches any store Spark can
 write: every row is one frame, and the "line separator" is an empty skippable frame (eight bytes of
 plain ASCII), which any Zstandard reader passes over. The reader gets whole archives from Spark's
-binary file source and checks frames, headers, lengths and digests. An archive holds what one input
-partition holds, so the size of partitions bounds it.
+binary file source and checks frames, headers, lengths and digests. A task starts a new archive, with a
+dictionary of its own, after a number of frames or of bytes; the text writer starts files by rows, so an
+archive that reached its bytes first is filled up with empty skippable frames (eight bytes each).
+
+Payloads travel once, to the id their digest is first seen under. Digests that hold over one in
+``HOT_SHARE`` of the repeated pages, fewer than that many, are looked up by a broadcast, and their rows
+are dealt by id, so a payload that most pages share is no hot key.
 
 Defined results: a null payload is empty; a null url or id leaves its header away; of rows with equal
 payloads and the same least id, each is a response; an empty table writes no record; damaged archives
-raise, or (``on_error="report"``) give a row with ``error`` set for the place that cannot be read.
+raise, or (``on_error="report"``) give a row with ``error`` set for the place that cannot be read. A
+payload of any length that fits a cell is one record in one frame; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -18,12 +25,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from itertools import chain, islice
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
 DICT_MAGIC = 0xEC30A437
@@ -33,6 +43,8 @@ VERSION = b"WARC/1.1"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Payload bytes the dictionary is trained on, per archive; the dictionary's size.
 SAMPLE_BYTES, DICTIONARY_BYTES = 2 * 1024 * 1024, 32 * 1024
+#: At most this many digests are broadcast: those of more than one in so many repeated pages.
+HOT_SHARE = 10_000
 
 
 def sha1_base32(b: bytes) -> str:
@@ -159,54 +171,81 @@ def frames(archive: memoryview):
         yield begun, b"".join(out)
 
 
-def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url",
-                   payload_col: str = "html", min_payload_bytes: int = 0, date: str = "1970-01-01T00:00:00Z",
-                   level: int = 3) -> None:
-    """One record per row, into one archive per partition under ``path``.
-
-    Of the rows with equal payloads of at least ``min_payload_bytes``, that with the least id is a
-    response and the others revisit it.
-    """
-    payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
+def _referred(rows: DataFrame, min_payload_bytes: int) -> DataFrame:
+    """``rows`` (page_id, url, payload, digest) with ``refers_to``, null for a response."""
     large = F.octet_length("payload") >= min_payload_bytes
-    # ids and digests only; combined within each task, so a payload that most rows share is no hot key
-    repeated = (rows.where(large).groupBy("digest").agg(F.min("page_id").alias("least_id"), F.count("*").alias("n"))
-                .where("n > 1").select("digest", "least_id"))
-    rows = rows.join(repeated, "digest", "left")
-    revisit = large & F.col("least_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least_id"))
-    rows = rows.select("page_id", "url", "payload", F.when(revisit, F.col("least_id")).alias("refers_to"))
-
-    def run(batches):
-        records = (record("response" if to is None else "revisit", i, url, body, sha1_base32(body), to, date)
-                   for batch in batches
-                   for i, url, body, to in zip(*[c.to_pylist() for c in batch.columns]))
+    # ids and digests only; combined within each task
+    repeated = stored(rows.where(large).groupBy("digest").agg(F.min("page_id").alias("least_id"), F.count("*").alias("n"))
+                      .where("n > 1"), "repeated")
+    share = repeated.agg(F.sum("n")).first()[0] or 0
+    hot = repeated.where(F.col("n") * HOT_SHARE > share).select("digest", F.struct("least_id").alias("hot"))
+    rows = rows.join(F.broadcast(hot), "digest", "left")
+    spread = F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))  # equals no digest
+    cold = repeated.where(F.col("n") * HOT_SHARE <= share).select(F.col("digest").alias("at"), F.col("least_id").alias("cold_id"))
+    rows = rows.withColumn("at", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(spread)).join(cold, "at", "left")
+    least = F.coalesce(F.col("hot.least_id"), F.col("cold_id"))
+    revisit = large & least.isNotNull() & ~F.col("page_id").eqNullSafe(least)
+    return rows.select("page_id", "url", "payload", F.when(revisit, least).alias("refers_to"))
+
+
+def archives_of(records, level: int, archive_rows: int, archive_bytes: int):
+    """Lists of frames, an archive each: dictionary, records, and padding if the bytes end it before the rows."""
+    records = iter(records)
+    while True:
         head, size = [], 0
-        for r in records:  # the first records train the dictionary
+        for r in islice(records, archive_rows - 1):  # the first records train the dictionary
             head.append(r)
             size += len(r)
-            if size >= SAMPLE_BYTES:
+            if size >= min(SAMPLE_BYTES, archive_bytes):
                 break
         if not head:
             return
         dictionary = train(head)
-        yield pa.RecordBatch.from_pydict({"frame": pa.array([skippable(dictionary)], pa.binary())})
         options = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
         pack = zstandard.ZstdCompressor(level=level, write_checksum=True, **options).compress
-        batch, size = [], 0
-        for part in (head, records):
-            for r in part:
-                batch.append(pack(r))
-                size += len(batch[-1])
-                if size >= 1 << 20:
-                    yield pa.RecordBatch.from_pydict({"frame": pa.array(batch, pa.binary())})
-                    batch, size = [], 0
+        batch = [skippable(dictionary)]
+        rows, size, whole = 1, len(batch[0]), 0
+        for r in chain(head, records):
+            batch.append(pack(r))
+            rows, size = rows + 1, size + len(batch[-1])
+            if size >= 1 << 20:
+                yield batch
+                batch, size, whole = [], 0, whole + size
+            if rows == archive_rows:
+                break
+            if rows > len(head) and whole + size >= archive_bytes:
+                batch += [b""] * (archive_rows - rows)
+                break
         if batch:
+            yield batch
+
+
+def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url",
+                   payload_col: str = "html", min_payload_bytes: int = 0, date: str = "1970-01-01T00:00:00Z",
+                   level: int = 3, archive_rows: int = 16_384, archive_bytes: int = 256 << 20) -> None:
+    """One record per row, into archives under ``path``; each task writes its own.
+
+    An archive has at most ``archive_rows`` frames, dictionary included, and takes no record after
+    ``archive_bytes`` (but always those its dictionary was trained on, some 2 MB). Of the rows with
+    equal payloads of at least ``min_payload_bytes``, that with the least id is a response and the
+    others revisit it.
+    """
+    if archive_rows < 2:
+        raise ValueError("archive_rows is 2 at least: the dictionary and a record")
+    payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
+    rows = _referred(rows.withColumn("digest", F.sha1("payload")), min_payload_bytes)
+
+    def run(batches):
+        records = (record("response" if to is None else "revisit", i, url, body, sha1_base32(body), to, date)
+                   for batch in batches
+                   for i, url, body, to in zip(*[c.to_pylist() for c in batch.columns]))
+        for batch in archives_of(records, level, archive_rows, archive_bytes):
             yield pa.RecordBatch.from_pydict({"frame": pa.array(batch, pa.binary())})
 
-    frames_ = rows.mapInArrow(run, "frame binary")
-    frames_.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    frames_ = rows.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    # frames and files must fall together, so the writer gets the rows in the order of the task
+    frames_.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", archive_rows).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, *, on_error: str = "raise", payload: bool = True) -> DataFrame:

@@ -4,9 +4,11 @@ import struct
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from courier.llm.warc import (DICTIONARY_MAGIC, SEPARATOR, frames, page_records, parse, read_archives, record,
                               sha1_base32, skippable, train, write_archives)
+from courier.llm import warc
 from courier.session import work_dir
 
 DATE = "2020-01-01T00:00:00Z"
@@ -111,3 +113,52 @@ def test_empty_table_and_reported_damage(spark):
     assert [r["error"] is None for r in rows] == [True, True, False]
     with pytest.raises(Exception, match="truncated"):
         read_archives(spark, folder).collect()
+
+
+def test_archives_end_at_their_rows_or_bytes(spark):
+    import random
+
+    rng = random.Random(3)
+    body = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(2000))
+    rows = [(i, "u", body()) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    for limits, least in (({"archive_rows": 50}, 7), ({"archive_bytes": 30_000}, 10), ({"archive_rows": 2}, 300)):
+        path = work_dir(spark, "warc")
+        write_archives(df, path, **limits)
+        full = read_archives(spark, path).cache()
+        assert sorted((r["page_id"], bytes(p["payload"]).decode()) for r, p in zip(page_records(full).collect(), full.collect())) \
+            == [(i, h) for i, _, h in rows]
+        sizes = [r["n"] for r in full.groupBy("archive").count().withColumnRenamed("count", "n").collect()]
+        assert len(sizes) >= least and max(sizes) < limits.get("archive_rows", 40)
+        lengths = [r["length"] for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+        assert max(lengths) < limits.get("archive_bytes", 1 << 20) + 8 * 16_384 + 40_000
+
+
+def test_a_third_of_the_pages_equal(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT_SHARE", 4)
+    rows = [(i, f"u{i}", "same page" if i % 3 == 0 else f"copy {i % 7}" if i % 5 == 0 else f"own {i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    path = work_dir(spark, "warc")
+    write_archives(df, path)
+    least = {}
+    for i, _, h in rows:
+        least.setdefault(h, i)
+    got = {r["page_id"]: r["refers_to"] for r in page_records(read_archives(spark, path)).collect()}
+    assert got == {i: None if least[h] == i else least[h] for i, _, h in rows}
+
+
+def test_hot_pages_are_dealt_by_id(spark, monkeypatch):
+    """No task of the joined rows holds the third of the pages that are equal."""
+    monkeypatch.setattr(warc, "HOT_SHARE", 4)
+    df = spark.range(3000).selectExpr("id AS page_id", "concat('u', id) AS url",
+                                      "encode(if(id % 3 = 0, 'same', concat('p', id)), 'UTF-8') AS payload",
+                                      "sha1(encode(if(id % 3 = 0, 'same', concat('p', id)), 'UTF-8')) AS digest")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        found = warc._referred(df, 0)
+        sizes = [r[0] for r in found.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*")).select("count(1)").collect()]
+        assert sum(sizes) == 3000 and max(sizes) < 3000 / len(sizes) * 1.5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", True)
