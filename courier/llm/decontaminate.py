@@ -1,12 +1,13 @@
 """Benchmark decontamination: a broadcast hash set of benchmark n-grams, scanned over whole texts.
 
 A window is ``size`` consecutive words of a benchmark item (an item of fewer words is one window).
-The windows are held as sorted arrays of rolling hashes over exact word numbers, and every hash hit
-is verified word by word, so results hold no hash collisions.
+The windows are held in a hash table by their rolling hash over exact word numbers, and every hash
+hit is verified word by word, so results hold no hash collisions.
 
-The broadcast is bounded: windows are taken in chunks of at most ``chunk_windows``, and the texts
-pass through one scan per chunk in the same job, without a shuffle. A benchmark of any size is thus
-scanned whole, while a worker holds one bounded chunk per scan.
+The broadcast is bounded: windows are taken in chunks of at most ``chunk_windows``. A benchmark of one
+chunk takes one scan without a shuffle. Beyond that, rows get a stored number and each chunk is a job
+of its own that stores its hits and then frees its broadcast, so that a worker holds one chunk at any
+time, whatever the benchmark's size; the hits meet by row number.
 
 Defined results: null and empty texts have no words and are clean; an item without words gives no
 window; windows of an item whose id is null mark words but name no item; repeated items and rows
@@ -16,13 +17,13 @@ count as they stand; an empty benchmark leaves every document clean.
 from __future__ import annotations
 
 import hashlib
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks_of_words, map_text, spare_name
+from .common import chunks_of_words, map_text, spare_name, stored
 
 #: Fixed by the word rule: ASCII letters are lower-cased, ASCII letters, digits and all characters
 #: from U+0080 up make words, every other ASCII character separates them.
@@ -47,14 +48,14 @@ class Windows:
             n = min(size, len(ids))
             for i in range(len(ids) - n + 1 if n else 0):
                 found.setdefault(tuple(ids[i:i + n]), set()).add(item)
-        self.by_length = {}
+        #: length → hash → (window's word numbers, its items); several windows may share a hash
+        self.by_length: dict[int, dict[int, list]] = {}
         for n in sorted({len(k) for k in found}):
-            windows = sorted(k for k in found if len(k) == n)
-            ids = np.array(windows, np.int64).reshape(-1, n)
-            hashes = rolling(ids.ravel(), n)[::n]
-            order = np.argsort(hashes, kind="stable")
-            self.by_length[n] = (hashes[order], ids[order], [sorted(i for i in found[windows[k]] if i is not None)
-                                                             for k in order])
+            windows = [k for k in found if len(k) == n]
+            hashes = rolling(np.array(windows, np.int64).ravel(), n)[::n]
+            table = self.by_length[n] = {}
+            for h, k in zip(hashes.tolist(), windows):
+                table.setdefault(h, []).append((k, sorted(i for i in found[k] if i is not None)))
 
     def scan(self, texts: list) -> list[tuple[int, list, list]]:
         """Per text: words, hit spans (start, end), items with a window in it."""
@@ -69,36 +70,33 @@ class Windows:
         spans: list[list] = [[] for _ in texts]
         items: list[set] = [set() for _ in texts]
         known = np.concatenate([[0], np.cumsum(ids >= 0)])
-        for n, (hashes, windows, owners) in self.by_length.items():
+        for n, table in self.by_length.items():
             if len(ids) < n:
                 continue
             full = np.flatnonzero(known[n:] - known[:-n] == n)  # all n words are benchmark words
             if not len(full):
                 continue
-            h = rolling(ids, n)[full]
-            k = np.searchsorted(hashes, h)
-            for at, lo, value in zip(full, k, h):
-                if lo >= len(hashes) or hashes[lo] != value:
-                    continue
-                while lo < len(hashes) and hashes[lo] == value:
-                    if np.array_equal(windows[lo], ids[at:at + n]):
+            for at, same in zip(full.tolist(), map(table.get, rolling(ids, n)[full].tolist())):
+                for window, owners in same or ():
+                    if window == tuple(ids[at:at + n].tolist()):
                         d = int(np.searchsorted(starts, at, side="right")) - 1
                         spans[d].append((int(at - starts[d]), int(at - starts[d] + n)))
-                        items[d].update(owners[lo])
+                        items[d].update(owners)
                         break
-                    lo += 1
         return [(c, merge(s), sorted(i)) for c, s, i in zip(counts, spans, items)]
 
 
 def rolling(ids: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hash of every n consecutive numbers."""
+    """64-bit hash of every n consecutive numbers, from running sums: the same work for any n."""
     v = (ids.astype(np.uint64) + np.uint64(1)) * _FACTOR
     v ^= v >> np.uint64(29)
-    size = len(ids) - n + 1
-    h = np.zeros(size, np.uint64)
-    for k in range(n):
-        h = h * _FACTOR + v[k:k + size]
-    return h
+    if len(ids) < n:
+        return np.zeros(0, np.uint64)
+    # the factor is odd, so it has an inverse modulo 2^64
+    down = np.cumprod(np.full(len(ids), pow(int(_FACTOR), -1, 1 << 64), np.uint64))
+    up = np.cumprod(np.full(len(ids), _FACTOR))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v * down)])
+    return (sums[n:] - sums[:-n]) * up[n - 1:]
 
 
 def merge(spans: list) -> list:
@@ -134,32 +132,40 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], t
 
     ``names`` gives the last three other names.
     """
-    spark = docs.sparkSession
-    out, sets = None, []
     # one chunk at a time is in the driver's memory; a broadcast of it lies in a file
     chunks = _chunks(benchmark, item_col, item_text, chunk_windows)
-    text, k, chunk = text_col, -1, next(chunks, [])
-    while chunk is not None:
-        k, shared, chunk = k + 1, spark.sparkContext.broadcast(Windows(chunk, size)), next(chunks, None)
-
-        def fn(texts, shared=shared):
-            found = shared.value.scan(texts)
-            return [[f[0] for f in found], [f[1] for f in found], [f[2] for f in found]]
+    first, second = next(chunks, []), next(chunks, None)
+    if second is None:
+        shared = docs.sparkSession.sparkContext.broadcast(Windows(first, size))
+        return _scan(docs, keep, text_col, shared, names)
+    row, text = spare_name([*keep, *names], "row_no"), spare_name([*keep, *names, "row_no"], "text_in")
+    own = stored(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(text))
+                 .withColumn(row, F.monotonically_increasing_id()), "texts")
+    hits = None
+    for k, chunk in enumerate(chain([first, second], chunks)):
+        shared = docs.sparkSession.sparkContext.broadcast(Windows(chunk, size))
+        found = _scan(own, [row], text, shared, names)
+        found = stored(found if k == 0 else found.where(F.size(names[1]) > 0), f"hits{k}")
+        shared.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+    together = hits.groupBy(row).agg(
+        F.max(names[0]).alias(names[0]), F.flatten(F.collect_list(names[1])).alias(names[1]),
+        F.array_distinct(F.flatten(F.collect_list(names[2]))).alias(names[2]))  # a row has one entry a chunk
+    return own.drop(text).join(together, row).drop(row)
+
+
+def _scan(docs: DataFrame, keep: list[str], text_col: str, shared, names: tuple) -> DataFrame:
+    def fn(texts):
+        found = shared.value.scan(texts)
+        return [[f[0] for f in found], [f[1] for f in found], [f[2] for f in found]]
 
-        own = [spare_name([*keep, text, *sum(sets, [])], f"{n}_{k}") for n in ("words", "spans", "items")]
-        source = docs if out is None else out
-        fields = "{} long, {} array<array<int>>, {} array<string>".format(*own)
-        carried = [*keep, *sum(sets, []), *([] if chunk is None or text in keep else [text])]
-        out = map_text(source, carried, text, fields, fn)
-        sets.append(own)
-    spans, items = F.concat(*[F.col(s[1]) for s in sets]), F.array_distinct(F.concat(*[F.col(s[2]) for s in sets]))
-    return out.select(*keep, F.col(sets[0][0]).alias(names[0]), spans.alias(names[1]), items.alias(names[2]))
+    return map_text(docs, keep, text_col, "`{}` long, `{}` array<array<int>>, `{}` array<string>".format(*names), fn)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", **options) -> DataFrame:
     """``keep`` columns, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` and ``contaminated`` per row."""
     found = find_contamination(docs, benchmark, keep, text_col, **options)
-    # spans of one scan are disjoint; those of several scans may overlap
+    # spans of one scan are disjoint; those of several chunks may overlap
     ordered = F.array_sort("spans")
     covered = F.aggregate(
         ordered, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")),
