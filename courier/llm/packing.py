@@ -27,6 +27,8 @@ from functools import lru_cache
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +37,15 @@ from .token_counts import byte_symbols
 
 #: Pieces a worker remembers, about (a cache, results do not depend on it).
 CACHE_PIECES = 500_000
+#: Pieces whose ids are put together at a time.
+BLOCK_PIECES = 1 << 18
 #: Fixed pattern: this pre-tokenizer drops white space, so pieces between spaces are independent.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Byte (as a Latin-1 character) → the printable character that stands for it in byte-level vocabularies.
 _BYTES = {b: c for b, c in enumerate(byte_symbols())}
+#: Marks that end a piece and neither begin a special token nor a contraction.
+_MARKS = ",.;:!?#*$%&"
 #: First character behind the Latin letters.
 _LATIN_END = "\u0250"
 
@@ -63,6 +69,8 @@ class Encoder:
                          and [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
                          == ["NFC", "Replace", "Lowercase"]
                          and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in added))
+        top = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(top + 1)]
         self.known: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -73,13 +81,14 @@ class Encoder:
         """Ids of one normalised word of letters, which is one pre-token: the merges alone."""
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(_BYTES)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(word)])
+        ids = self.id_bytes
+        return b"".join([ids[t.id] for t in self.tokenizer.model.tokenize(word)])
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         known, rest = self.known, []
-        marks = {"": b"", **dict(zip((",", "."), self._plain([",", "."])))}
+        ends: dict[str, list] = {"": []}
         for p in pieces:
-            core, end = (p[:-1], p[-1]) if p[-1:] in (",", ".") else (p, "")
+            core = p.rstrip(_MARKS)
             if core.isascii():
                 word = core.lower()
                 plain = word.isalpha()
@@ -89,29 +98,52 @@ class Encoder:
             if not plain:
                 rest.append(p)
                 continue
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = self._word(word)
+            if word not in known:
+                known[word] = self._word(word)
             if word != p:
-                known[p] = ids + marks[end]
+                ends.setdefault(p[len(core):], []).append((p, word))
         for p, found in zip(rest, self._plain(rest)) if rest else ():
             known[p] = found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_piece:
-            return self._plain(texts)
-        # the tokenizer lower-cases; doing so first makes fewer pieces (not near special-token strings)
-        lists = [(t.lower() if t.isascii() and "<" not in t else t).replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        missing = set().union(*lists) - known.keys() if lists else set()
+        # a run of marks behind the letters is a pre-token of its own
+        for (_, own), end in zip(ends.items(), [b"", *self._plain(list(ends)[1:])]):
+            for p, word in own:
+                known[p] = known[word] + end
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        ids = list(map(self.known.get, pieces))
+        missing = [p for p, i in zip(pieces, ids) if i is None]
         if missing:
+            known = self.known
             if len(known) + len(missing) > CACHE_PIECES:
                 # pieces met first are the common ones and stay; the rare ones since then go
                 for p in list(islice(known, CACHE_PIECES // 2, None)):
                     del known[p]
-                missing = set().union(*lists) - known.keys()
             self._learn(missing)
-        return [b"".join(map(known.__getitem__, x)) for x in lists]
+            ids = [known[p] if i is None else i for p, i in zip(pieces, ids)]
+        return ids
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_piece or not texts:
+            return self._plain(texts)
+        # the tokenizer lower-cases; doing so first makes fewer pieces (not near special-token strings)
+        column = pa.array([(t.lower() if t.isascii() and "<" not in t else t).replace("\n", " ") for t in texts],
+                          pa.string())
+        lists = pc.split_pattern(column, " ")
+        coded = lists.flatten().dictionary_encode()  # every piece is looked up once a call
+        pieces = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")
+        ids = self._ids(pieces[0].as_py().split(" "))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        firsts = np.cumsum(sizes) - sizes
+        table, number = np.frombuffer(b"".join(ids), "<u4"), coded.indices.to_numpy()
+        out, ends = [], np.concatenate([[0], np.cumsum(sizes[number])])
+        for lo in range(0, len(number), BLOCK_PIECES):
+            block = number[lo:lo + BLOCK_PIECES]
+            n = sizes[block]
+            at = np.repeat(firsts[block] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            out.append(table[at].tobytes())
+        whole = b"".join(out)
+        cuts = (4 * ends[lists.offsets.to_numpy()]).tolist()
+        return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 @lru_cache(maxsize=2)
