@@ -255,3 +255,19 @@ def test_packing_edge_cases(spark):
     rows = pack_documents(same, ["doc_id"], WORDS, capacity=10).collect()
     assert len(rows) == 300 and len({r["sequence_id"] for r in rows}) == math.ceil(300 / 3)
     assert pack_documents(same.limit(0), ["doc_id"], WORDS).count() == 0
+
+
+def test_pieces_with_marks_equal_the_library(monkeypatch):
+    """Runs of marks behind words, special strings, contractions and other scripts, with a small cache."""
+    monkeypatch.setattr(packing, "CACHE_PIECES", 200)
+    monkeypatch.setattr(packing, "BLOCK_PIECES", 64)
+    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert encoder.by_piece
+    rng = random.Random(8)
+    bits = [*"abcXYZ  éßİñ,.;:!?#*$%&'<>/|\n\t09中я", "\u0301", "\u200b", "'s", "don't", "<|endoftext|>", "<|startoftext|>,",
+            "Word,", "É.", "e\u0301,", "ǅ", "ﬁ", "$$$", "..,", "  ", "the ", "of, "]
+    texts = ["", " ", "\n", ",", "###", *("".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(3000))]
+    for lo in range(0, len(texts), 500):
+        part = texts[lo:lo + 500]
+        assert encoder.encode(part) == encoder._plain(part)
+    assert encoder.encode([]) == []

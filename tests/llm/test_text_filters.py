@@ -2,8 +2,10 @@
 
 import hashlib
 
+import numpy as np
+
 from courier.llm.chat import TEMPLATE, chat_digests, format_chats, read_chats
-from courier.llm.decontaminate import contamination, cut_words, decontaminate, find_contamination, items_digest, merge
+from courier.llm.decontaminate import contamination, cut_words, decontaminate, find_contamination, items_digest, merge, rolling
 from courier.llm.line_dedup import drop_boilerplate
 
 TEN = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
@@ -117,3 +119,27 @@ def test_the_machine_runs_in_the_registered_query(spark):
     rows = out.collect()
     assert all(r["valid"] <= (r["bad_turn"] < 0) for r in rows) and {r["valid"] for r in rows} == {True, False}
     assert next(r["valid"] for r in rows if r["conv_id"] == -7)
+
+
+def test_rolling_hash_by_running_sums():
+    ids = np.random.default_rng(1).integers(-1, 50, 500)
+    plain = {}
+    for n in (1, 2, 10, 500):
+        got = rolling(ids, n).tolist()
+        assert len(got) == 501 - n
+        for i, h in enumerate(got):  # equal windows, equal hashes; other windows, other hashes
+            assert plain.setdefault((n, *ids[i:i + n].tolist()), h) == h
+        assert len(set(got)) == len({k for k in plain if len(k) == n + 1})
+    assert len(rolling(ids, 501)) == 0 and len(rolling(ids[:0], 1)) == 0
+
+
+def test_chunks_of_the_benchmark_change_nothing(spark):
+    bench = spark.createDataFrame([(1, TEN), (2, TEN + " lambda mu"), (2, "other words"), (3, "two words"), (None, "two words")],
+                                  "item_id long, text string")
+    docs = [(1, f"x {TEN} lambda mu nu"), (1, f"x {TEN} lambda mu nu"), (2, "two words, other words"), (3, None), (None, ""), (4, "clean")]
+    df = spark.createDataFrame([(*d, 7, "k") for d in docs], "doc_id long, text string, row_no int, Text_in string")
+    for run in (lambda **o: contamination(df, bench, ["doc_id", "row_no", "Text_in"], **o),
+                lambda **o: decontaminate(df, bench, **o), lambda **o: decontaminate(df, bench, mode="spans", **o)):
+        whole, parts = run(), run(chunk_windows=1)
+        assert whole.columns == parts.columns
+        assert sorted(whole.collect(), key=str) == sorted(parts.collect(), key=str)
