@@ -1,0 +1,115 @@
+"""A transfer's task holds a bounded part of its chunks, however many there are."""
+
+import random
+
+import pandas as pd
+import pytest
+from pyspark.sql import types as T
+
+from courier.streaming import progress
+from courier.streaming.progress import TransferProgress, advance
+
+
+class Handle:
+    """The state of one key in memory; ``most`` is the largest list that was put at once."""
+
+    def __init__(self):
+        self.most, self.states, self.puts = 0, {}, 0
+
+    def state(self, name, *_schema_and_ttl):
+        return self.states.setdefault(name, State(self))
+
+    getValueState = getListState = getMapState = state
+
+
+class State:
+    def __init__(self, handle):
+        self.handle, self.value, self.entries = handle, None, {}
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return iter(self.value) if isinstance(self.value, list) else self.value
+
+    def put(self, value):
+        self.handle.most = max(self.handle.most, len(value))
+        self.value = value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def getValue(self, key):
+        return self.entries[key]
+
+    def updateValue(self, key, value):
+        self.handle.most, self.handle.puts = max(self.handle.most, len(value[0])), self.handle.puts + 1
+        self.entries[key] = value
+
+    def removeKey(self, key):
+        del self.entries[key]
+
+
+def processor(forget_ms=None):
+    ids = T.StructType([T.StructField("i0", T.LongType())])
+    p, handle = TransferProgress(7, 0, ["k0", "i0", "kind", "done", "pct"], ids, forget_ms), Handle()
+    p.init(handle)
+    return p, handle
+
+
+def step(p, chunks, total, size=5):
+    """One micro-batch, in frames of ``size`` chunks; its milestones."""
+    frames = [pd.DataFrame([(s, n, total, i) for s, n, i in chunks[at:at + size]], columns=["start", "length", "total", "i0"])
+              for at in range(0, len(chunks), size)]
+    out = [tuple(r) for pdf in p.handleInputRows(("t",), iter(frames), None) for r in pdf.itertuples(index=False)]
+    return [(int(i), int(done), int(pct)) for _, i, _, done, pct in out]
+
+
+@pytest.mark.parametrize("forget_ms", [None, 1000])
+def test_chunks_that_wait_are_held_by_pages(monkeypatch, forget_ms):
+    for name, value in (("BUFFER", 8), ("PAGE", 4), ("RUNS", 3)):
+        monkeypatch.setattr(progress, name, value, raising=False)
+    for seed in range(40):
+        rnd, at, chunks = random.Random(seed), 0, []
+        for i in range(rnd.randrange(1, 120)):
+            n = rnd.choice([1, 5, 50, 400])
+            back = min(at, rnd.choice([0, 0, 0, 3]))  # some overlap
+            chunks.append((at - back, n + back, i))
+            at += n
+        total, waits = at, []
+        chunks = chunks * 2
+        rnd.shuffle(chunks)
+        (p, handle), done = processor(forget_ms), 0
+        while chunks:
+            cut = rnd.randrange(1, min(len(chunks), 40) + 1)
+            done, waits, want = advance(done, total, waits + chunks[:cut], 7)
+            assert step(p, chunks[:cut], total) == [(c[2], end, pct) for c, end, pct in want]
+            left = sorted(tuple(c) for r in (handle.states["runs"].value or []) for c in p._read(*r))
+            assert left == sorted(waits)  # all that wait, and no other
+            chunks = chunks[cut:]
+        assert handle.most <= 4, "more than a page was put at once"
+        assert not waits and not handle.states["pages"].entries and not handle.states["runs"].exists()
+
+
+def test_chunks_of_an_older_checkpoint_and_transfers_without_bytes(monkeypatch):
+    for name, value in (("BUFFER", 8), ("PAGE", 4)):
+        monkeypatch.setattr(progress, name, value, raising=False)
+    p, handle = processor()
+    handle.states["waiting"].value = [(10 * i, 10, i) for i in range(1, 30)]
+    handle.states["at"].value = (0, 300)
+    assert step(p, [(290, 10, 99)], 300) == [] and not handle.states["waiting"].exists()
+    assert len(step(p, [(0, 10, 0)], 300)) == 100 // 7
+    p, handle = processor()
+    assert step(p, [(10 * i, 10, i) for i in range(30)], 0) == [] and not handle.states["pages"].entries
+    assert handle.states["at"].value is None
+
+
+def test_forgetting_renews_what_still_waits():
+    p, handle = processor(1000)
+    step(p, [(10, 10, 1)], 100)
+    puts = handle.puts
+    step(p, [(50, 10, 5)], 100)
+    assert handle.puts == puts + 2  # the run that waits, put again, and the new one
