@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
 
 from .tree import STAGING
 
@@ -53,7 +53,7 @@ class ObjectsDataSource(DataSource):
         return "key string, content binary, src string"
 
     def writer(self, schema, overwrite: bool):
-        return ObjectsWriter(dict(self.options))
+        return ArrowObjectsWriter(dict(self.options))
 
 
 def put(root: str, stage: str, key: str, *, body=None, source=None, mode=None, link_target=None, folder=False) -> int:
@@ -220,6 +220,23 @@ class ObjectsWriter(DataSourceWriter):
             clear_stage(self.stage)
 
 
+class ArrowObjectsWriter(ObjectsWriter, DataSourceArrowWriter):
+    """The writer as Spark calls it: with Arrow batches, of which one row at a time becomes Python objects.
+    A writer of rows would get the bodies of a whole batch as a list first."""
+
+    def write(self, iterator):
+        return super().write(_rows(iterator))
+
+
+def _rows(batches):
+    from pyspark.sql import Row
+
+    for batch in batches:
+        row = Row(*batch.schema.names)
+        for values in zip(*batch.columns):
+            yield row(*[v.as_py() for v in values])
+
+
 def register(spark) -> None:
     from ..session import ship_package
 

@@ -37,6 +37,9 @@ SCHEMA = ("key string, length bigint, is_link boolean, link_target string, is_di
 #: Folder under a target where objects are staged; it holds no objects.
 STAGING = ".courier-staging"
 
+#: An Arrow batch of the listing ends at so many rows or bytes of bodies.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
 
 class _Shard(InputPartition):
     def __init__(self, index: int, of: int, flat: list[str], shared: list[str]):
@@ -55,7 +58,7 @@ class TreeDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return TreeReader(dict(self.options))
+        return TreeBatches(dict(self.options))
 
 
 def _could_match(rel: str, prefix: str) -> bool:
@@ -193,6 +196,32 @@ class TreeReader(DataSourceReader):
                     yield from self._walk(_join(rel, e.name))
 
 
+class TreeBatches(TreeReader):
+    """The rows as Spark gets them: in Arrow batches that bodies fill up too. Tuples it would gather by
+    number alone, ten thousand bodies at a time."""
+
+    def read(self, partition: _Shard):
+        rows, size = [], 0
+        for row in super().read(partition):
+            rows.append(row)
+            size += len(row[7] or b"") + len(row[8] or b"")
+            if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                yield _batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows)
+
+
+def _batch(rows: list):
+    import pyarrow as pa
+
+    types = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(),
+             "timestamp_ntz": pa.timestamp("us")}
+    fields = [f.split() for f in SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(zip(*rows), fields)],
+                                      names=[n for n, _ in fields])
+
+
 def register(spark) -> None:
     from ..session import ship_package
 

@@ -1,0 +1,41 @@
+"""Objects are listed and written in Arrow batches of bounded bytes, one body at a time as a Python object."""
+
+import os
+import tracemalloc
+
+import pyarrow as pa
+from pyspark.sql.datasource import DataSourceArrowWriter
+
+from courier.sources.objects import ObjectsDataSource
+from courier.sources.tree import TreeDataSource
+
+MB = 1 << 20
+
+
+def test_listing_gives_batches_of_bounded_bytes(tmp_path):
+    for i in range(24):
+        (tmp_path / f"f{i}").write_bytes(bytes([i]) * MB)
+    reader = TreeDataSource({"path": str(tmp_path), "content": "true", "partitions": "1"}).reader(None)
+    names, bodies = [], []
+    for part in reader.partitions():
+        for batch in reader.read(part):
+            assert batch.nbytes < 6 * MB
+            names += batch.column("key").to_pylist()
+            bodies += batch.column("content").to_pylist()
+    assert dict(zip(names, bodies)) == {f"f{i}": bytes([i]) * MB for i in range(24)} and len(names) == 24
+
+
+def test_writer_makes_python_objects_of_one_row_at_a_time(tmp_path):
+    writer = ObjectsDataSource({"path": str(tmp_path)}).writer(None, False)
+    assert isinstance(writer, DataSourceArrowWriter)
+    batch = pa.table({"key": [f"d/{i}" for i in range(24)], "content": pa.array([bytes([i]) * MB for i in range(24)], pa.binary())}).to_batches()[0]
+    tracemalloc.start()
+    try:
+        done = writer.write(iter([batch]))
+        assert tracemalloc.get_traced_memory()[1] < 6 * MB
+    finally:
+        tracemalloc.stop()
+    writer.commit([done])
+    assert writer.totals == (24, 24 * MB)
+    for i in range(24):
+        assert open(os.path.join(tmp_path, "d", str(i)), "rb").read() == bytes([i]) * MB
